@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, pii, quality
+from . import bpe, jaccard, mixing, pii, quality
 from .common import table
 
 
@@ -26,8 +26,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": op3_bpe, "op5_quality": op5_quality, "op7_mixing": op7_mixing, "op8_pii": op8_pii}
+    return {"op3_bpe": op3_bpe, "op5_quality": op5_quality, "op7_mixing": op7_mixing, "op8_pii": op8_pii, "op9_jaccard": op9_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
