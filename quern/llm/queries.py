@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, mixing, pii, quality
+from . import ann, bpe, exact_topk, jaccard, language_id, mixing, pii, quality
 from .common import table
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(table(spark, sf_dir, "documents"))
+
+
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ids=False)
 
@@ -30,8 +38,12 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": op3_bpe, "op5_quality": op5_quality, "op7_mixing": op7_mixing, "op8_pii": op8_pii, "op9_jaccard": op9_jaccard}
+    return {f.__name__: f for f in (op1_language, op2_exact_topk, op3_bpe, op5_quality, op7_mixing, op8_pii, op9_jaccard, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
