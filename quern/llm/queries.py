@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_topk, jaccard, language_id, mixing, pii, quality
+from . import ann, bpe, exact_topk, jaccard, language_id, mixing, pii, quality, token_counts, warc
 from .common import table
 
 
@@ -22,10 +22,18 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ids=False)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -43,7 +51,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_exact_topk, op3_bpe, op5_quality, op7_mixing, op8_pii, op9_jaccard, op10_ann)}
+    return {f.__name__: f for f in (op1_language, op2_exact_topk, op3_bpe, op4_token_counts, op5_quality, op6_warc, op7_mixing, op8_pii, op9_jaccard, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
