@@ -24,9 +24,9 @@ from .common import in_fold
 
 #: At most so many labelled documents are fitted on (those of smallest hash), with so many windows of each.
 MAX_TRAIN_DOCS, MAX_WINDOWS = 4000, 6
-WINDOW, HIDDEN, PAD = 64, 16, 256
+WINDOW, HIDDEN, PAD = 64, 8, 256
 #: Windows that run through the network at a time.
-LANES = 4096
+LANES = 2048
 
 
 @dataclass
