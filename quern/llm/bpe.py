@@ -24,6 +24,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Most pre-tokens (and white-space separated pieces) of which a worker keeps the ids.
-KEPT = 150_000
+KEPT = 100_000
+#: Texts encoded at a time.
+ROWS = 256
 #: Stands for the end of a word; not a character of the byte alphabet.
 _END = "\x01"
 _ENDLESS = 1 << 30
@@ -223,16 +226,18 @@ def encode(docs: DataFrame, *, vocabulary: str | None = None, text: str = "text"
         model = compiled(raw.value)
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for batch in batches:
-            pairs = [model.encode(t) for t in batch["__q_text"]]
-            out = batch.drop(columns="__q_text")
-            out["n_tokens"] = [a.count(" ") + 1 if a else 0 for a, _ in pairs]
-            if ids:
-                out["ids"] = [list(map(int, a.split())) for a, _ in pairs]
-            if decoded:
-                out["decoded"] = [b for _, b in pairs]
-            if digests:
-                out["ids_sha256"], out["decoded_sha256"] = [sha(a) for a, _ in pairs], [sha(b) for _, b in pairs]
-            yield out
+            for k in range(0, len(batch), ROWS):  # token lists take many times the memory of their texts
+                out = batch.iloc[k : k + ROWS]
+                pairs = [model.encode(t) for t in out["__q_text"]]
+                out = out.drop(columns="__q_text")
+                out["n_tokens"] = [a.count(" ") + 1 if a else 0 for a, _ in pairs]
+                if ids:
+                    out["ids"] = [np.fromstring(a, dtype=np.int32, sep=" ") for a, _ in pairs]
+                if decoded:
+                    out["decoded"] = [b for _, b in pairs]
+                if digests:
+                    out["ids_sha256"], out["decoded_sha256"] = [sha(a) for a, _ in pairs], [sha(b) for _, b in pairs]
+                yield out
 
     return slim.mapInPandas(run, T.StructType(rest + new))
 
