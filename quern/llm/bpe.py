@@ -31,8 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Most pre-tokens (and white-space separated pieces) of which a worker keeps the ids.
-KEPT = 100_000
+#: A worker keeps the ids of between one and two times so many pieces (what stands between white space) and pre-tokens.
+KEPT = 150_000
+#: Most pairs of tokens of which it is known whether they are compatible.
+FITS = 1_000_000
 #: Texts encoded at a time.
 ROWS = 256
 #: Stands for the end of a word; not a character of the byte alphabet.
@@ -87,7 +89,7 @@ class WordBpe:
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pretokens = regex.compile(pattern.replace(r"\s", WHITE), regex.V0)
         self.pieces: dict[str, tuple[str, str]] = {}
-        self.words: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}  # those before; what is asked for again moves up
 
     def _side(self, token: int, right: bool) -> list[tuple[int, int]]:
         """(symbol, rank of the merge that takes it up) at the token's right or left edge, from the whole token down."""
@@ -114,24 +116,35 @@ class WordBpe:
         return True
 
     def compatible(self, a: int, b: int) -> bool:
-        key = a << 20 | b
-        fits = self._fits.get(key)
-        if fits is None:
-            if len(self._fits) > 4 * KEPT:
-                self._fits.clear()
-            fits = self._fits[key] = self._border(a, b)
+        """Whether merging the joined text of the tokens a and b gives a and b again; the answer is kept."""
+        if len(self._fits) > FITS:
+            self._fits.clear()
+        fits = self._fits[a << 20 | b] = self._border(a, b)
         return fits
 
     def word_ids(self, word: str) -> list[int]:
         """The ids of one pre-token."""
-        s = "".join([self.alphabet[b] for b in word.encode("utf-8", "surrogatepass")]) + _END
-        last: list[int] = [-1] * (len(s) + 1)  # of each prefix
-        size: list[int] = [0] * (len(s) + 1)
+        if word.isascii() and word.isalnum():
+            s = word + _END
+        else:
+            s = "".join([self.alphabet[b] for b in word.encode("utf-8", "surrogatepass")]) + _END
+        kept = self._fits.get
+        last = [-1] * (len(s) + 1)  # of each prefix: -1 for none, -2 for the empty prefix
+        size = [0] * (len(s) + 1)
+        last[0] = -2
         for end, (token, n) in self.automaton.iter(s):
-            end += 1
-            start = end - n
-            if last[end] < 0 and (start == 0 or (last[start] >= 0 and self.compatible(last[start], token))):
-                last[end], size[end] = token, n
+            if last[end + 1] >= 0:
+                continue
+            before = last[end + 1 - n]
+            if before == -1:
+                continue
+            if before >= 0:
+                fits = kept(before << 20 | token)
+                if fits is None:
+                    fits = self.compatible(before, token)
+                if not fits:
+                    continue
+            last[end + 1], size[end + 1] = token, n
         out, at = [], len(s)
         while at:
             if last[at] < 0:
@@ -140,27 +153,21 @@ class WordBpe:
             at -= size[at]
         return out[::-1]
 
-    def _word(self, word: str) -> tuple[str, str]:
-        got = self.words.get(word)
-        if got is None:
-            ids = self.word_ids(word)
-            got = " ".join(map(str, ids)), " ".join([self.names[i] for i in ids])
-            if len(word) < 64:
-                if len(self.words) >= KEPT:
-                    self.words.clear()
-                self.words[word] = got
-        return got
-
     def _piece(self, piece: str) -> tuple[str, str]:
         """Ids and token names of a piece without white space, each joined by spaces."""
-        got = self.pieces.get(piece)
+        got = self.older.get(piece)
         if got is None:
-            found = [self._word(w) for w in self.pretokens.findall(piece)]
-            got = " ".join([a for a, _ in found]), " ".join([b for _, b in found])
-            if len(piece) < 64:
-                if len(self.pieces) >= KEPT:
-                    self.pieces.clear()
-                self.pieces[piece] = got
+            words = [piece] if piece.isalpha() else self.pretokens.findall(piece)
+            if words == [piece]:
+                ids = self.word_ids(piece)
+                got = " ".join(map(str, ids)), " ".join([self.names[i] for i in ids])
+            else:
+                found = [self.pieces.get(w) or self._piece(w) for w in words]
+                got = " ".join([a for a, _ in found]), " ".join([b for _, b in found])
+        if len(piece) < 64:
+            if len(self.pieces) >= KEPT:
+                self.pieces, self.older = {}, self.pieces
+            self.pieces[piece] = got
         return got
 
     def encode(self, text: str) -> tuple[str, str]:
@@ -180,8 +187,8 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
         text = text.lower()
         pieces = text.split() if not ODD_WHITE.search(text) else SPLIT_WHITE.split(text)
-        kept, piece = self.pieces, self._piece
-        found = [kept.get(p) or piece(p) for p in pieces]
+        piece = self._piece
+        found = [self.pieces.get(p) or piece(p) for p in pieces]
         return " ".join([a for a, _ in found if a]), " ".join([b for a, b in found if a])
 
 
