@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+from . import cleaning  # noqa: F401
