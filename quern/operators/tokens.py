@@ -11,10 +11,8 @@ PAD, BOS, EOS, UNK, SHIFT = 0, 1, 2, 3, 4
 
 
 def _bytes(text: Column) -> Column:
-    h = F.hex(F.encode(text, "UTF-8"))
-    return F.when(F.length(h) == 0, F.expr("cast(array() as array<int>)")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(h) - 1, F.lit(1)), F.lit(2)), lambda k: F.conv(F.substring(h, k, F.lit(2)), 16, 10).cast("int"))
-    )
+    """Each byte as an int; the pairs of hexadecimal digits are found once, not per element."""
+    return F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("int"))
 
 
 def byte_encode(text: Column, bos: bool = False, eos: bool = False) -> Column:
@@ -31,7 +29,7 @@ def byte_decode(ids: Column) -> Column:
 
 def skeleton_encode(text: Column, vocab: int, length: int) -> Column:
     """1, byte mod (vocab - 4) + 4 of the first length - 2 bytes, 2, zeros."""
-    body = F.transform(F.slice(_bytes(text), F.lit(1), F.lit(length - 2)), lambda b: b % (vocab - SHIFT) + SHIFT)
+    body = F.transform(F.slice(_bytes(F.substring(text, 1, length - 2)), F.lit(1), F.lit(length - 2)), lambda b: b % (vocab - SHIFT) + SHIFT)
     return F.slice(F.concat(F.array(F.lit(BOS)), body, F.array(F.lit(EOS)), F.array_repeat(F.lit(PAD), length)), 1, length)
 
 
