@@ -237,4 +237,7 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that the classifier doesn't reject, with their own columns."""
     model = train(docs, labels, **options)
-    return score_documents(docs, model, score="__q_score").where(F.col("__q_score") >= THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = score_documents(docs, model, score="__q_score")
+    # a plain filter would be pushed below the statistics, and then every rule would compute its own; a generator stays above them
+    kept = scored.withColumn("__q_kept", F.explode(F.when(F.col("__q_score") >= THRESHOLD, F.array(F.lit(1))).otherwise(F.expr("cast(array() as array<int>)"))))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
