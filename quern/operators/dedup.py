@@ -32,22 +32,19 @@ def first_wins(rows: DataFrame, keep) -> DataFrame:
     are decided.  ``keep`` cuts the lineage after each round (checkpoint or
     written table).
     """
-    undecided, decided = keep(rows.select("seq", "fp", "thread")), None
+    rows = keep(rows.select("seq", "fp", "thread"))
+    undecided, winners = rows, rows.limit(0)
     while not undecided.isEmpty():
         by_fp, by_thread = undecided.groupBy("fp").agg(F.min("seq").alias("fp_least")), undecided.where("thread is not null").groupBy("thread").agg(F.min("seq").alias("thread_least"))
         state = undecided.join(by_fp, "fp").join(by_thread, "thread", "left")
         accepted = state.where((F.col("seq") == F.col("fp_least")) & (F.col("thread").isNull() | (F.col("seq") == F.col("thread_least"))))
         accepted = keep(accepted.select("seq", "fp", "thread"))
-        marked = (
-            undecided.join(accepted.select(F.col("seq").alias("fp_seq"), "fp"), "fp", "left")
-            .join(accepted.where("thread is not null").select(F.col("seq").alias("thread_seq"), "thread"), "thread", "left")
-            .withColumn("reason", F.when((F.col("seq") == F.col("fp_seq")), "").when(F.col("thread_seq") < F.col("seq"), "duplicate_thread").when(F.col("fp_seq") < F.col("seq"), "duplicate"))
-        )
-        marked = keep(marked.select("seq", "fp", "thread", "reason"))
-        new = marked.where("reason is not null").select("seq", F.nullif("reason", F.lit("")).alias("reason"))
-        decided = new if decided is None else decided.union(new)
-        undecided = marked.where("reason is null").select("seq", "fp", "thread")
-    return decided if decided is not None else undecided.select("seq", F.lit(None).cast("string").alias("reason"))
+        winners = winners.union(accepted)
+        undecided = keep(undecided.join(accepted.select("fp"), "fp", "left_anti").join(accepted.select("thread"), "thread", "left_anti").select("seq", "fp", "thread"))
+    # the reason needs all accepted rows: a thread's may have been found after the row was out by its text
+    threads = winners.where("thread is not null").select("thread", F.col("seq").alias("thread_seq"))
+    out = rows.join(winners.select("seq", F.lit(True).alias("won")), "seq", "left").join(threads, "thread", "left")
+    return out.select("seq", F.when(F.col("won").isNull(), F.when(F.col("thread_seq") < F.col("seq"), "duplicate_thread").otherwise("duplicate")).alias("reason"))
 
 
 def split(rows: DataFrame, key: str, ratio: float, seed: int = 0) -> DataFrame:
