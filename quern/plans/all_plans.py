@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import cleaning, numeric  # noqa: F401
+from . import cleaning, converting, numeric  # noqa: F401
