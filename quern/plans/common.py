@@ -37,7 +37,8 @@ class Fixture:
 
     def sql(self, name: str) -> str:
         names = [x.split()[0] for x in self._columns()]
-        body = ", ".join("(" + ", ".join(f"{literal(v)}::{t}" for v, t in zip(r, self.types, strict=True)) + ")" for r in self.rows)
+        shown = lambda v, t: f"MAP {literal(v)}" if isinstance(v, dict) and t.startswith("MAP") else literal(v)
+        body = ", ".join("(" + ", ".join(f"{shown(v, t)}::{t}" for v, t in zip(r, self.types, strict=True)) + ")" for r in self.rows)
         return f"{name}({', '.join(names)}) AS (VALUES {body})"
 
     def _columns(self) -> list[str]:

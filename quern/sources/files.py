@@ -1,0 +1,93 @@
+"""Readers of text, JSON lines, Parquet lists and the source catalog."""
+
+from __future__ import annotations
+
+from dataclasses import asdict, dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_BROKEN = "_corrupt_record"
+
+
+def jsonl(spark: SparkSession, path, schema: str, strict: bool = True) -> DataFrame:
+    """Rows of JSON lines; blank lines are skipped, a broken line is an error (``strict``) or skipped."""
+    if strict:
+        return spark.read.schema(schema).json(path, mode="FAILFAST")
+    held = T._parse_datatype_string(schema).add(_BROKEN, "string")
+    # a filter on the broken line alone would read no other column, so the lines are parsed here
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    parsed = lines.select("value", F.from_json("value", held, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}).alias("r"))
+    return parsed.where(f"r is not null and r.{_BROKEN} is null").select("r.*").drop(_BROKEN)
+
+
+def training_records(spark: SparkSession, path, schema: str) -> DataFrame:
+    """Records of an earlier run with the bytes of their lines (line end included), their file and whether the line was sound.
+
+    Malformed lines and lines that aren't objects don't count.
+    """
+    held = T._parse_datatype_string(schema).add(_BROKEN, "string")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("shard"))
+    parsed = lines.where("trim(value) like '{%'").select("shard", (F.octet_length("value") + 1).cast("long").alias("n_bytes"), F.from_json("value", held, {"columnNameOfCorruptRecord": _BROKEN}).alias("r"))
+    return parsed.where(f"r.{_BROKEN} is null").select("shard", "n_bytes", "r.*").drop(_BROKEN)
+
+
+def corpus_lines(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("txt", "py", "md", "jsonl")) -> DataFrame:
+    """(file, line_text) of all files below a folder with these suffixes.
+
+    A JSON line gives its ``text``, else its ``solution``, else ''; a line that
+    isn't JSON gives itself.  Lines keep no order across files: number them by
+    a key of their own where order matters.
+    """
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    held = F.from_json("value", f"text string, solution string, {_BROKEN} string", {"columnNameOfCorruptRecord": _BROKEN})
+    inner = F.when(F.col("r").isNull() | F.col(f"r.{_BROKEN}").isNotNull(), F.col("value")).otherwise(F.coalesce(F.nullif("r.text", F.lit("")), F.col("r.solution"), F.lit("")))
+    return raw.withColumn("r", held).select("file", F.when(F.col("file").endswith(".jsonl"), inner).otherwise(F.col("value")).alias("line_text"))
+
+
+def whole_texts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(file, record): one JSON object with ``text`` for each file."""
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.to_json(F.struct(F.col("value").alias("text"))).alias("record"))
+
+
+def parquet_files(spark: SparkSession, files: list[str], config: str = "", split: str = "", most: int | None = None) -> DataFrame:
+    """Rows of a mirror's Parquet files: those of a config and a split if any match, else all, in sorted order."""
+    held = sorted(f for f in files if f.endswith(".parquet"))
+    for mark in (f"/{config}/" if config else "", f"/{split}-" if split else ""):
+        held = [f for f in held if mark in f] or held
+    rows = spark.read.parquet(*held)
+    return rows if most is None else rows.limit(most)
+
+
+def prompts(rows: DataFrame) -> DataFrame:
+    """(value) lines to prompts; a line without prompt_id, lang or user is an error."""
+    r = F.from_json("value", "prompt_id string, lang string, category string, user string")
+    need = lambda n: F.coalesce(F.nullif(F.trim(f"r.{n}"), F.lit("")), F.raise_error(F.concat(F.lit(f"a prompt lacks {n}: "), "value"))).alias(n)
+    return rows.where("trim(value) <> ''").withColumn("r", r).select(need("prompt_id"), need("lang"), need("user"), F.coalesce("r.category", F.lit("daily_dialogue")).alias("category"))
+
+
+@dataclass(frozen=True)
+class Source:
+    key: str
+    license_id: str
+    converter: str
+    enabled: bool = True
+    restricted: bool = False
+
+
+def chosen(catalog: list[Source], keys: list[str] | None = None, allow_restricted: bool = False) -> list[Source]:
+    """The named sources, or by default the enabled ones without restrictions; a restricted one needs permission."""
+    known = {s.key: s for s in catalog}
+    if keys is None:
+        return [s for s in catalog if s.enabled and not s.restricted]
+    if missing := [k for k in keys if k not in known]:
+        raise ValueError(f"unknown sources: {', '.join(missing)}")
+    if not allow_restricted and (closed := [k for k in keys if known[k].restricted]):
+        raise ValueError(f"restricted sources need permission: {', '.join(closed)}")
+    return [known[k] for k in keys]
+
+
+def catalog_frame(spark: SparkSession, catalog: list[Source]) -> DataFrame:
+    return spark.createDataFrame([asdict(s) for s in catalog], "key string, license_id string, converter string, enabled boolean, restricted boolean")

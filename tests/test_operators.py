@@ -21,3 +21,96 @@ def test_two_key_dedup_is_one_pass_in_order(spark):
 def test_split_keeps_both_parts(spark):
     parts = [r["part"] for r in dedup.split(spark.range(2).withColumnRenamed("id", "k"), "k", 0.01).collect()]
     assert sorted(parts) == ["train", "valid"]
+
+
+def test_paths_end_at_gaps_and_loops(spark):
+    from quern.operators import trees
+
+    rows = [("a", None), ("b", "a"), ("c", "b"), ("d", "c"), ("e", "d"), ("x", "gone"), ("y", "x"), ("self", "self"), ("l1", "l2"), ("l2", "l3"), ("l3", "l1"), ("m", "l1")]
+    parents, want = dict(rows), {}
+    for node in parents:
+        path = [node]
+        while parents[path[-1]] in parents and parents[path[-1]] not in path:
+            path.append(parents[path[-1]])
+        want[node] = path[::-1]
+    got = {r["id"]: r["path"] for r in trees.ancestor_paths(spark.createDataFrame(rows, "id string, parent string")).collect()}
+    assert got == want
+
+
+def test_jsonl_round_trip_and_broken_lines(spark, tmp_path):
+    from quern.sources import files, sinks
+
+    rows = spark.createDataFrame([(1, "é"), (2, None)], "b long, a string")
+    assert sinks.write_jsonl(rows, f"{tmp_path}/out") == 2
+    lines = sorted(r["value"] for r in spark.read.text(f"{tmp_path}/out").collect())
+    assert lines == ['{"a":"é","b":1}', '{"a":null,"b":2}']
+    assert sorted(map(tuple, files.jsonl(spark, f"{tmp_path}/out", "b long, a string").collect())) == [(1, "é"), (2, None)]
+    (tmp_path / "in.jsonl").write_text('{"b":1,"a":"x"}\n\n{"b":\n[1]\n{"b":2}\n', encoding="utf-8")
+    assert sorted(r["b"] for r in files.jsonl(spark, f"{tmp_path}/in.jsonl", "b long, a string", strict=False).collect()) == [1, 2]
+    held = files.training_records(spark, f"{tmp_path}/in.jsonl", "b long, a string").collect()
+    assert sorted((r["b"], r["n_bytes"]) for r in held) == [(1, 16), (2, 8)]
+
+
+def test_sharded_write_stops_at_the_whole_budget(spark, tmp_path):
+    from quern.sources import sinks
+
+    rows = spark.createDataFrame([(i, "en" if i % 2 else "zh", "x" * 20) for i in range(10)], "seq long, lang string, text string")
+    report = sinks.write_sharded(rows, f"{tmp_path}/out", whole=300, budget={"en": 10_000, "zh": 10_000}, shard_bytes=120)
+    records = {(r["lang"], r["verdict"]): r["records"] for r in report.collect()}
+    n = len('{"lang":"en","seq":1,"text":"' + "x" * 20 + '"}\n')
+    assert sum(v for (_, why), v in records.items() if why == "") == 300 // n
+    assert sum(records.values()) == 10
+    written = spark.read.text(f"{tmp_path}/out")
+    assert written.count() == 300 // n and {r["shard"] for r in written.select("shard").distinct().collect()} == set(range(-(-(300 // n) // (120 // n))))
+
+
+def test_paged_source_reads_every_row_once(spark):
+    from quern.sources import paged
+
+    def fetch(url):
+        from urllib.parse import parse_qs, urlparse
+
+        q = {k: int(v[0]) for k, v in parse_qs(urlparse(url).query).items()}
+        return {"rows": [{"row": {"n": i}} for i in range(q["offset"], min(q["offset"] + q["length"], 23))]}
+
+    paged.register(spark, fetch)
+    got = spark.read.format("paged_rows").option("url", "http://none").option("rows", 40).option("page", 5).option("parts", 3).option("pause", 0).load()
+    assert sorted(r["row_number"] for r in got.collect()) == list(range(23))
+
+
+def test_sources_need_permission():
+    import pytest
+
+    from quern.sources.files import Source, chosen
+
+    catalog = [Source("a", "mit", "wildchat"), Source("b", "mit", "wildchat", restricted=True), Source("c", "mit", "wildchat", enabled=False)]
+    assert [s.key for s in chosen(catalog)] == ["a"]
+    assert [s.key for s in chosen(catalog, ["b"], allow_restricted=True)] == ["b"]
+    for bad in (["b"], ["nobody"]):
+        with pytest.raises(ValueError):
+            chosen(catalog, bad)
+
+
+def test_knowledge_search_is_the_plain_sum(spark):
+    from quern.operators import knowledge
+
+    points = [("p1", "python", "use a with block", 0.5, ["open files"]), ("p2", "rust", "borrow it", 0.9, []), ("p3", "general", "", 0.1, [])]
+    frame = spark.createDataFrame(points, "id string, domain string, rule string, importance double, positive_examples array<string>")
+    hits = knowledge.search(frame, spark.createDataFrame([("q", "open a python block"), ("none", "")], "query_id string, text string"), k=3).collect()
+    ranked = {q: [r["id"] for r in sorted(hits, key=lambda r: r["rank"]) if r["query_id"] == q] for q in ("q", "none")}
+    assert ranked["q"][0] == "p1" and ranked["none"] == ["p2", "p1", "p3"]
+    assert next(r["score"] for r in hits if r["query_id"] == "none" and r["id"] == "p2") == 0.045
+
+
+def test_stream_keeps_each_text_once_over_two_runs(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quern.streaming import cleaning
+
+    text = "The pump ran all night and the gauge held steady while the crew slept well in their bunks. "
+    put = lambda name, xs: spark.createDataFrame([(x,) for x in xs], "text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    for k, xs in enumerate(([text, text.upper(), "short"], [text, text + "More came later on."])):
+        put(k, xs)
+        rows = cleaning.source(spark, f"{tmp_path}/in", "text string")
+        cleaning.run(cleaning.unseen(cleaning.cleaned(rows, F.col("text"))).select("fp", "text"), f"{tmp_path}/out", f"{tmp_path}/state")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 2
