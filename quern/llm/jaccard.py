@@ -250,8 +250,15 @@ def _compare(docs: DataFrame, texts: DataFrame, met: DataFrame, groups: DataFram
     small = (F.col("members") <= SMALL_GROUP) & (F.col("mass") <= BLOCK_SHINGLES)
     sized = member.join(size, "root")
     packed = sized.where(small).select("digest", "first_id", "root", F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(packs)).cast("string")).alias("block"))
-    along = Window.partitionBy("root").orderBy("star", "digest").rowsBetween(Window.unboundedPreceding, 0)
-    cut = sized.where(~small).withColumn("place", F.greatest(F.floor(F.row_number().over(Window.partitionBy("root").orderBy("star", "digest")) / BLOCK_TEXTS), F.floor(F.sum("n").over(along) / BLOCK_SHINGLES)))
+    # places along a large group: its range partitions count on their own, then each adds what comes before it
+    ranged = stage(sized.where(~small).select("digest", "first_id", "root", "star", "n").repartitionByRange("root", "star", "digest").withColumn("slice", F.spark_partition_id()), "jaccard-ranged")
+    prior = Window.partitionBy("root").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    runs = ranged.groupBy("root", "slice").agg(F.count("*").alias("texts"), F.sum("n").alias("mass"))
+    runs = runs.select("root", "slice", F.coalesce(F.sum("texts").over(prior), F.lit(0)).alias("texts0"), F.coalesce(F.sum("mass").over(prior), F.lit(0)).alias("mass0"))
+    order = Window.partitionBy("root", "slice").orderBy("star", "digest")
+    local = ranged.withColumns({"k": F.row_number().over(order), "m": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    place = F.greatest(F.floor((F.col("texts0") + F.col("k")) / BLOCK_TEXTS), F.floor((F.col("mass0") + F.col("m")) / BLOCK_SHINGLES))
+    cut = local.join(runs, ["root", "slice"]).withColumn("place", place)
     chopped = cut.select("digest", "first_id", "root", F.concat_ws("/", "root", F.col("place").cast("string")).alias("block"))
     blocks = stage(packed.union(chopped), "jaccard-blocks")
     # blocks of large groups meet if they share a bucket
