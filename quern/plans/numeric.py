@@ -118,15 +118,34 @@ def routing_topk(spark, sf_dir):
 _HEX = "list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::INT)"
 
 
+def _encoded(docs):
+    d = docs.select("doc_id", tokens.byte_encode(F.coalesce("text", F.lit("")), bos=True, eos=True).alias("ids"))
+    return d.select("doc_id", F.size("ids").cast("long").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.element_at("ids", 1).alias("first"), F.element_at("ids", -1).alias("last"))
+
+
+def _decoded(docs):
+    return docs.select("doc_id", F.sha2(tokens.byte_decode(tokens.byte_encode(F.coalesce("text", F.lit("")), bos=True)), 256).alias("sha"))
+
+
 @query("byte_encode", f"SELECT doc_id, len(ids) AS n, list_sum(list_transform(ids, lambda x: x::BIGINT)) AS total, ids[1] AS first, ids[len(ids)] AS last FROM (SELECT doc_id, [1] || list_transform({_HEX}, lambda b: b + 4) || [2] AS ids FROM documents WHERE length(text) <= 2000)")
 def byte_encode(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(F.length("text") <= 2000).select("doc_id", tokens.byte_encode(F.col("text"), bos=True, eos=True).alias("ids"))
-    return d.select("doc_id", F.size("ids").cast("long").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.element_at("ids", 1).alias("first"), F.element_at("ids", -1).alias("last"))
+    return _encoded(table(spark, sf_dir, "documents").where(F.length("text") <= 2000))
 
 
 @query("byte_decode", "SELECT doc_id, sha256(text) AS sha FROM documents WHERE length(text) <= 2000")
 def byte_decode(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(F.length("text") <= 2000).select("doc_id", F.sha2(tokens.byte_decode(tokens.byte_encode(F.col("text"), bos=True)), 256).alias("sha"))
+    return _decoded(table(spark, sf_dir, "documents").where(F.length("text") <= 2000))
+
+
+@query("byte_encode_whole", f"SELECT doc_id, len(ids) AS n, list_sum(list_transform(ids, lambda x: x::BIGINT)) AS total, ids[1] AS first, ids[len(ids)] AS last FROM (SELECT doc_id, [1] || list_transform({_HEX.replace('text', "coalesce(text, '')")}, lambda b: b + 4) || [2] AS ids FROM documents)")
+def byte_encode_whole(spark, sf_dir):
+    """``byte_encode`` of every document, at any length; a null text counts as an empty one, as in ``tokens.pack``."""
+    return _encoded(table(spark, sf_dir, "documents"))
+
+
+@query("byte_decode_whole", "SELECT doc_id, sha256(coalesce(text, '')) AS sha FROM documents")
+def byte_decode_whole(spark, sf_dir):
+    return _decoded(table(spark, sf_dir, "documents"))
 
 
 @query("skeleton_encode", f"SELECT doc_id, ([1] || list_transform(({_HEX})[1:30], lambda b: b % 60 + 4) || [2] || list_transform(range(0, 32), lambda k: 0))[1:32] AS ids FROM documents")

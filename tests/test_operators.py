@@ -114,3 +114,19 @@ def test_stream_keeps_each_text_once_over_two_runs(spark, tmp_path):
         rows = cleaning.source(spark, f"{tmp_path}/in", "text string")
         cleaning.run(cleaning.unseen(cleaning.cleaned(rows, F.col("text"))).select("fp", "text"), f"{tmp_path}/out", f"{tmp_path}/state")
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
+
+
+def test_bytes_of_whole_texts(spark, tmp_path):
+    import hashlib
+
+    from quern.plans import registry
+
+    texts = {1: "short", 2: "", 3: None, 4: "é鲸🐋 " * 3000, 5: "x" * 2000, 6: "y" * 2001}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for k, text in texts.items():
+        ids = [1, *(b + 4 for b in (text or "").encode()), 2]
+        want[k] = (len(ids), sum(ids), ids[0], ids[-1])
+    assert {r["doc_id"]: tuple(r)[1:] for r in registry.queries()["byte_encode_whole"](spark, str(tmp_path)).collect()} == want
+    shas = {r["doc_id"]: r["sha"] for r in registry.queries()["byte_decode_whole"](spark, str(tmp_path)).collect()}
+    assert shas == {k: hashlib.sha256((text or "").encode()).hexdigest() for k, text in texts.items()}
