@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from .tokens import fnv1a_hex
 
+#: Rows of a block, and queries of a block, when every row meets every query.
+ROWS, QUERIES = 512, 1024
+
 
 def tokens(text: Column) -> Column:
     """ASCII runs in lower case; one longer than three that ends in s is preceded by its stem."""
@@ -53,11 +56,21 @@ def hybrid(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return top(both.select("query_id", "id", score.alias("score")), k)
 
 
+def met(rows: DataFrame, queries: DataFrame, most_rows: int = ROWS, most_queries: int = QUERIES) -> DataFrame:
+    """Every row (id, ...) beside every query (query_id, ...), in pairs of blocks, so that no task or broadcast holds a whole side."""
+    row_blocks, query_blocks = max(1, -(-rows.count() // most_rows)), max(1, -(-queries.count() // most_queries))
+    place = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    all_of = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    dealt = rows.withColumn("_r", place("id", row_blocks)).withColumn("_q", all_of(query_blocks))
+    asked = queries.withColumn("_q", place("query_id", query_blocks)).withColumn("_r", all_of(row_blocks))
+    return dealt.join(asked, ["_r", "_q"]).drop("_r", "_q")
+
+
 def cosine_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k rows of largest cosine for each query; the queries are few by contract (``limit``ed) and meet every row."""
+    """The k rows of largest cosine for each query, of any number of queries."""
     v = vectors.select("id", F.col("v").cast("array<double>").alias("v"))
     q = queries.select(F.col("id").alias("query_id"), F.col("v").cast("array<double>").alias("qv"))
-    scored = v.join(F.broadcast(q), F.col("id") != F.col("query_id")).select("query_id", "id", F.round(A.cosine(F.col("qv"), F.col("v")), 6).alias("score"))
+    scored = met(v, q).where(F.col("id") != F.col("query_id")).select("query_id", "id", F.round(A.cosine(F.col("qv"), F.col("v")), 6).alias("score"))
     return top(scored, k)
 
 

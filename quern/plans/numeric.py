@@ -278,10 +278,20 @@ def hybrid_rank(spark, sf_dir):
     return retrieval.hybrid(*_bench_docs(spark, sf_dir), 5)
 
 
+def _nearest(spark, sf_dir, asked):
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return retrieval.cosine_top(v, v.where(asked), 10)
+
+
 @query("cosine_topk", "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id < 16), s AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(qv, embedding::DOUBLE[]), 6) AS score FROM q, embeddings WHERE vec_id <> query_id) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10")
 def cosine_topk(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return retrieval.cosine_top(v, v.select(F.col("id").alias("id"), F.col("v").alias("v")).where("id < 16"), 10)
+    return _nearest(spark, sf_dir, "id < 16")
+
+
+@query("cosine_topk_whole", "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(qv, embedding::DOUBLE[]), 6) AS score FROM q, embeddings WHERE vec_id <> query_id) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10")
+def cosine_topk_whole(spark, sf_dir):
+    """``cosine_topk`` with the stated query set, every vec_id divisible by 50, which grows with the table."""
+    return _nearest(spark, sf_dir, "id % 50 = 0")
 
 
 _MEM = Fixture("id string, importance double, access_count long, last_access double, payload_bytes long", ["VARCHAR", "DOUBLE", "BIGINT", "DOUBLE", "BIGINT"], [(f"m{k}", 0.5 + (k * 37 % 50) / 100, k * 13 % 7, 1e6 - k * 50_000.0, 100 + k * 29 % 83) for k in range(20)])

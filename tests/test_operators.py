@@ -130,3 +130,26 @@ def test_bytes_of_whole_texts(spark, tmp_path):
     assert {r["doc_id"]: tuple(r)[1:] for r in registry.queries()["byte_encode_whole"](spark, str(tmp_path)).collect()} == want
     shas = {r["doc_id"]: r["sha"] for r in registry.queries()["byte_decode_whole"](spark, str(tmp_path)).collect()}
     assert shas == {k: hashlib.sha256((text or "").encode()).hexdigest() for k, text in texts.items()}
+
+
+def test_cosine_top_over_blocks_is_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    from quern.operators import retrieval
+
+    monkeypatch.setattr(retrieval.met, "__defaults__", (7, 3))
+    x = np.random.default_rng(5).normal(size=(60, 4))
+    x[40:] = x[:20]  # ties
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.round(unit @ unit.T, 6)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
+    want = {(q, i): n for q in range(0, 60, 3) for n, i in enumerate(sorted(set(range(60)) - {q}, key=lambda i: (-near[q, i], i))[:5], 1)}
+    assert {(r["query_id"], r["id"]): r["rank"] for r in retrieval.cosine_top(v, v.where("id % 3 = 0"), 5).collect()} == want
+
+
+def test_cosine_asks_every_fiftieth(spark, tmp_path):
+    from quern.plans import registry
+
+    spark.range(1001).selectExpr("id as vec_id", "array(cast(id as double), 1.0D) as embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.queries()["cosine_topk_whole"](spark, str(tmp_path)).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in got} == {q: 10 for q in range(0, 1001, 50)}
