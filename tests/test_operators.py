@@ -153,3 +153,19 @@ def test_cosine_asks_every_fiftieth(spark, tmp_path):
     spark.range(1001).selectExpr("id as vec_id", "array(cast(id as double), 1.0D) as embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = registry.queries()["cosine_topk_whole"](spark, str(tmp_path)).groupBy("query_id").count().collect()
     assert {r["query_id"]: r["count"] for r in got} == {q: 10 for q in range(0, 1001, 50)}
+
+
+def test_every_item_searches_the_memories(spark, tmp_path):
+    from quern.plans import registry
+
+    docs = {d: " ".join(f"w{(d * m) % 11}" for m in range(1, 5)) + "." for d in range(20)}
+    items = {i: f"w{i % 11} w{i * 3 % 11} W{i * 5 % 11} none" for i in range(12)}
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(items.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {}
+    for i, text in items.items():
+        asked = set(text.lower().split())
+        scores = {d: round(len(asked & {w.strip(".") for w in held.split()}) / len(asked), 4) for d, held in docs.items()}
+        want |= {(i, n): d for n, d in enumerate(sorted((d for d in docs if scores[d] > 0), key=lambda d: (-scores[d], d))[:3], 1)}
+    assert {(r["query_id"], r["rank"]): r["id"] for r in registry.queries()["lexical_memory_search_whole"](spark, str(tmp_path)).collect()} == want
+    assert {q for q, _ in want} == set(items)
