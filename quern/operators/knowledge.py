@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import arrays as A
+from . import retrieval
 
 # Weights of the search, and the limits of a saved point.
 OVERLAP, DENSE, IMPORTANCE = 0.70, 0.25, 0.05
@@ -45,19 +46,16 @@ def point_text(domain: Column, rule: Column, examples: Column) -> Column:
 
 
 def search(points: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
-    """(query_id, rank, id, score) for queries (query_id, text), MOST_QUERIES at most, over points with id, domain, rule, positive_examples, importance.
+    """(query_id, rank, id, score) for queries (query_id, text) over points with id, domain, rule, positive_examples, importance.
 
-    Every point counts, also without a common word, so the stated queries,
-    whose number is checked before they are broadcast, meet each point in one
-    scan of the points.
+    Every point counts, also without a common word, so each query meets each
+    point, in blocks of MOST_QUERIES queries.
     """
-    if len(queries.limit(MOST_QUERIES + 1).select("query_id").collect()) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries in one search")
     p = points.select("id", "importance", words(point_text(F.col("domain"), F.col("rule"), F.col("positive_examples"))).alias("t")).withColumns({"v": embedding(F.col("t")), "t": F.array_distinct("t")})
     q = queries.select("query_id", words(F.col("text")).alias("qt")).withColumns({"qv": embedding(F.col("qt")), "qt": F.array_distinct("qt")})
     overlap = F.size(F.array_intersect("qt", "t")) / F.greatest(F.size("qt"), F.lit(1))
     score = OVERLAP * overlap + DENSE * A.cosine(F.col("qv"), F.col("v")) + IMPORTANCE * F.col("importance")
-    scored = p.join(F.broadcast(q)).select("query_id", "id", F.round(score, 6).alias("score"))
+    scored = retrieval.met(p, q, most_queries=MOST_QUERIES).select("query_id", "id", F.round(score, 6).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

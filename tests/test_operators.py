@@ -169,3 +169,24 @@ def test_every_item_searches_the_memories(spark, tmp_path):
         want |= {(i, n): d for n, d in enumerate(sorted((d for d in docs if scores[d] > 0), key=lambda d: (-scores[d], d))[:3], 1)}
     assert {(r["query_id"], r["rank"]): r["id"] for r in registry.queries()["lexical_memory_search_whole"](spark, str(tmp_path)).collect()} == want
     assert {q for q, _ in want} == set(items)
+
+
+def test_knowledge_search_takes_any_number_of_queries(spark, monkeypatch):
+    from quern.operators import knowledge
+
+    monkeypatch.setattr(knowledge, "MOST_QUERIES", 3)
+    points = [(f"p{k}", "general", f"word{k} common", k / 10, []) for k in range(5)]
+    frame = spark.createDataFrame(points, "id string, domain string, rule string, importance double, positive_examples array<string>")
+    asked = spark.createDataFrame([(q, f"word{q % 5}") for q in range(10)], "query_id long, text string")
+    hits = knowledge.search(frame, asked, k=5).collect()
+    assert {(r["query_id"], r["id"]) for r in hits} == {(q, p[0]) for q in range(10) for p in points}
+    assert {r["query_id"]: r["id"] for r in hits if r["rank"] == 1} == {q: f"p{q % 5}" for q in range(10)}
+
+
+def test_knowledge_query_asks_every_item(spark, tmp_path):
+    from quern.plans import registry
+
+    spark.createDataFrame([(d, "en", f"word{d}") for d in range(6)], "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, f"word{i % 6}") for i in range(8)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    best = registry.queries()["knowledge_query"](spark, str(tmp_path)).where("rank = 1").collect()
+    assert {r["query_id"]: r["id"] for r in best} == {i: i % 6 for i in range(8)}
