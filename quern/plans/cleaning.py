@@ -189,7 +189,7 @@ def language_group(spark, sf_dir):
 
 @query("fingerprint_dedup", f"WITH {_DOC}, n AS (SELECT *, row_number() OVER (PARTITION BY trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) ORDER BY doc_id) AS k FROM d) SELECT doc_id, k = 1 AS kept FROM n")
 def fingerprint_dedup(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", dedup.fingerprint(F.coalesce("text", F.lit("")), compose=False).alias("fp"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", dedup.fingerprint(F.coalesce("text", F.lit(""))).alias("fp"))
     first = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
     return docs.join(first, "fp").select("doc_id", (F.col("doc_id") == F.col("least")).alias("kept"))
 

@@ -169,7 +169,7 @@ _FP = "trim(regexp_replace(lower(coalesce({0}, '')), '\\s+', ' ', 'g'))"
 @query("seed_dedup_antijoin", f"SELECT doc_id FROM documents d WHERE {_FP.format('d.text')} NOT IN (SELECT {_FP.format('text')} FROM documents WHERE source = (SELECT min(source) FROM documents))")
 def seed_dedup_antijoin(spark, sf_dir):
     """Documents whose text the first source doesn't hold."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", dedup.fingerprint(F.coalesce("text", F.lit("")), compose=False).alias("fp"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", dedup.fingerprint(F.coalesce("text", F.lit(""))).alias("fp"))
     least = docs.agg(F.min("source").alias("source"))
     return dedup.seeded(docs, docs.join(F.broadcast(least), "source", "left_semi"), "fp").select("doc_id")
 

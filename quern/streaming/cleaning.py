@@ -26,7 +26,7 @@ def cleaned(rows: DataFrame, text: Column, policy: Policy | None = None, ruleset
     """Adds ``reject_reason`` and ``fp``; works on streams and tables alike."""
     out = rows.withColumn("_text", F.coalesce(text, F.lit(""))).withColumn("_lower", F.lower("_text"))
     reason = first_reason(text_rules(ruleset, policy or Policy(), F.col("_text"), F.col("_lower")))
-    return out.withColumns({"reject_reason": reason, "fp": fingerprint(F.col("_text"), compose=False)}).drop("_text", "_lower")
+    return out.withColumns({"reject_reason": reason, "fp": fingerprint(F.col("_text"))}).drop("_text", "_lower")
 
 
 def unseen(rows: DataFrame, prior: DataFrame | None = None) -> DataFrame:

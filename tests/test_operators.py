@@ -190,3 +190,20 @@ def test_knowledge_query_asks_every_item(spark, tmp_path):
     spark.createDataFrame([(i, f"word{i % 6}") for i in range(8)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     best = registry.queries()["knowledge_query"](spark, str(tmp_path)).where("rank = 1").collect()
     assert {r["query_id"]: r["id"] for r in best} == {i: i % 6 for i in range(8)}
+
+
+def test_fingerprints_compose(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quern.plans import registry
+    from quern.streaming import cleaning
+
+    plain = "The pump ran all night and the gauge held steady while the crew slept well in their bunks."
+    wide = plain.replace("The", "".join(chr(ord(c) + 0xFEE0) for c in "The"))
+    docs = spark.createDataFrame([(1, "a", plain), (2, "b", wide), (3, "b", plain.replace(" ", "\u00a0")), (4, "b", plain + " More.")], "doc_id long, source string, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = registry.queries()["fingerprint_dedup"](spark, str(tmp_path)).where("kept").collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 4]
+    assert [r["doc_id"] for r in registry.queries()["seed_dedup_antijoin"](spark, str(tmp_path)).collect()] == [4]
+    fps = cleaning.cleaned(docs, F.col("text")).orderBy("doc_id").collect()
+    assert fps[0]["fp"] == fps[1]["fp"] == fps[2]["fp"] != fps[3]["fp"]
