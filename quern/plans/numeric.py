@@ -53,7 +53,9 @@ def entropy(spark, sf_dir):
 
 @query("ema_window", f"WITH {_VEC} SELECT vec_id, round(list_sum(list_transform(range(1, 63), lambda k: e[k] * 0.5::DOUBLE * pow(0.5::DOUBLE, 62 - k))), 6) AS summary, round(list_sum(e[63:64]) / 2, 6) AS kept FROM v WHERE len(e) = 64")
 def ema_window(spark, sf_dir):
-    return _vectors(spark, sf_dir).where(F.size("e") == 64).select("vec_id", F.round(A.ema_of_evicted(F.col("e"), 2, 0.5), 6).alias("summary"), F.round(A.total(F.slice("e", -2, 2)) / 2, 6).alias("kept"))
+    """Of vectors of any length, the mean of the last two values and the EMA of those before; the SQL is that of the tables' 64."""
+    kept = F.slice("e", F.greatest(F.size("e") - 1, F.lit(1)), F.lit(2))
+    return _vectors(spark, sf_dir).select("vec_id", F.round(A.ema_of_evicted(F.col("e"), 2, 0.5), 6).alias("summary"), F.round(F.try_divide(A.total(kept), F.size(kept)), 6).alias("kept"))
 
 
 @query("masked_mean", f"WITH {_VEC} SELECT vec_id, round(coalesce(list_sum(list_filter(e, lambda x: x > 0)), 0) / greatest(len(list_filter(e, lambda x: x > 0)), 1), 6) AS m, greatest(len(list_filter(e, lambda x: 1 / (1 + exp(-x)) >= 0.5)), 1) AS ranks FROM v")

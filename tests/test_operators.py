@@ -207,3 +207,17 @@ def test_fingerprints_compose(spark, tmp_path):
     assert [r["doc_id"] for r in registry.queries()["seed_dedup_antijoin"](spark, str(tmp_path)).collect()] == [4]
     fps = cleaning.cleaned(docs, F.col("text")).orderBy("doc_id").collect()
     assert fps[0]["fp"] == fps[1]["fp"] == fps[2]["fp"] != fps[3]["fp"]
+
+
+def test_ema_takes_vectors_of_any_length(spark, tmp_path):
+    from quern.plans import registry
+
+    vectors = {n: [float(k + 1) for k in range(n)] for n in (0, 1, 2, 5, 64, 100)}
+    spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = {}
+    for n, x in vectors.items():
+        s = 0.0
+        for v in x[:-2]:
+            s = s * 0.5 + v * 0.5
+        want[n] = (round(s, 6), round(sum(x[-2:]) / len(x[-2:]), 6) if x else None)
+    assert {r["vec_id"]: (r["summary"], r["kept"]) for r in registry.queries()["ema_window"](spark, str(tmp_path)).collect()} == want
