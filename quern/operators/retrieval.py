@@ -57,13 +57,16 @@ def hybrid(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
 
 
 def met(rows: DataFrame, queries: DataFrame, most_rows: int = ROWS, most_queries: int = QUERIES) -> DataFrame:
-    """Every row (id, ...) beside every query (query_id, ...), in pairs of blocks, so that no task or broadcast holds a whole side."""
+    """Every row (id, ...) beside every query (query_id, ...), in pairs of blocks, so that no task or broadcast holds a whole side.
+
+    The hint keeps Spark from broadcasting the dealt queries, whose size it underrates.
+    """
     row_blocks, query_blocks = max(1, -(-rows.select("id").count() // most_rows)), max(1, -(-queries.select("query_id").count() // most_queries))
     place = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
     all_of = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     dealt = rows.withColumn("_r", place("id", row_blocks)).withColumn("_q", all_of(query_blocks))
     asked = queries.withColumn("_q", place("query_id", query_blocks)).withColumn("_r", all_of(row_blocks))
-    return dealt.join(asked, ["_r", "_q"]).drop("_r", "_q")
+    return dealt.join(asked.hint("merge"), ["_r", "_q"]).drop("_r", "_q")
 
 
 def cosine_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
