@@ -1,29 +1,45 @@
 """N-gram Jaccard join: documents whose sets of word 5-grams overlap by 0.8 or more, found by a MinHash LSH forest.
 
-Words are maximal runs without white space.  Each text is sketched by ``trees``
-prefix tries: in each, the text lies under a label of MinHash values, and two
-texts of similarity s share a prefix of p values with probability s^p.  The
-matched prefix is shortened value by value until a pair at the threshold
-itself meets in some trie with the target recall (``prefix_length``); pairs
-that share longer prefixes share that one too.
+Words are maximal runs without white space.  A text's signature in each of
+``TREES`` prefix tries is a label of ``DEPTH`` MinHash values, and two texts of
+similarity s share a prefix of p values with probability s^p or more.  A trie
+is the sorted array of its labels: texts that share a prefix lie side by side,
+and a text's longest shared prefix is the one it shares with the label before
+it.  The array is range-partitioned, so that no prefix, however common, is a
+task's burden.
+
+From its longest shared prefix each text is linked to the first text of that
+prefix, and prefixes are shortened from there, value by value, until a pair at
+the threshold meets in some trie with the target recall (``prefix_length``);
+texts that share less in every trie have no candidates.  Links of shorter
+prefixes join the runs of longer ones, so every run hangs together.
 
 The rest avoids listing the pairs of a group, which may hold thousands of
-texts: exact copies are one text first.  Texts that meet in some trie are
-linked to the least text of their bucket, and those star-shaped links give
-candidate groups.  Small groups are packed into blocks, large ones are cut
-into blocks along the order of their buckets; blocks that share a bucket meet
-in one task, where the sets are compared exactly, all pairs at once, and which
-gives back only each text's number of links and a spanning forest.
+texts: exact copies are one text first.  Linked runs give candidate groups.
+Small groups are packed into blocks; large ones are cut into blocks, each of
+which is compared within and written once, in compressed form, to the shared
+folder; two blocks that share a run are fetched by ranges and compared in one
+task.  Comparisons are exact, all pairs at once, and give back only each text's
+number of links and a spanning forest.
+
+Joins by a hot key (a text with a third of all rows, a hub of a group) are
+split: see ``common.lookup``.  Texts are not shuffled but for those that may
+have a candidate, or may have to go.
 
 Defined results: a null text is a class of its own, without links; an empty
 text (no words) links to nothing but its exact copies; a text of one to four
-words has one shingle, all its words.  Copies (equal texts) are always one
-class.  Rows that repeat a doc_id get a row each.  ``class_id`` is the smallest
-doc_id of the class; ``n_links`` counts different texts, not rows.
+words has one shingle, all its words; a very long text is compared whole.
+Copies (equal texts) are always one class.  Rows that repeat a doc_id get a row
+each.  A null doc_id is an id like any other, but never a ``class_id`` where
+the class has another.  ``class_id`` is the smallest doc_id of the class;
+``n_links`` counts different texts, not rows.  An empty table gives no rows.
+Extra columns, whatever their names, are kept by ``keep_one`` and not read.
 """
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -32,15 +48,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import MemberFilter, delete, file, heavy_keys, lookup, shared_dir, stage, unstage
 
 WIDTH = 5
 THRESHOLD = 0.8
 TREES = 32
-DEPTH = 12
+#: A label is a long: DEPTH values of BITS bits, the first in the highest place.
+DEPTH, BITS = 10, 6
 RECALL = 0.999
-#: A block has about so many texts, and about so many shingles.
-BLOCK_TEXTS, BLOCK_SHINGLES = 192, 400_000
+#: A block of small groups has about so many texts; one of a large group so many; neither much more shingles than that.
+BLOCK_TEXTS, LARGE_TEXTS, BLOCK_SHINGLES = 192, 512, 400_000
 #: Groups up to this size share blocks with others.
 SMALL_GROUP = 96
 _CHUNK = 1 << 15
@@ -85,10 +102,10 @@ def shingles(texts: list[str | None], width: int = WIDTH) -> tuple[np.ndarray, n
     return _mix(out), at
 
 
-def sketch(values: np.ndarray, at: np.ndarray, trees: int, p: int) -> np.ndarray:
-    """The tries' keys (prefixes of p values, hashed) of each text: int64 of shape (texts, trees); of texts without shingles, zeros."""
-    n, factor, flip = len(at) - 1, _odd(trees * p, 12), _odd(trees * p, 13)
-    low = np.zeros((n, trees * p), np.uint64)
+def sketch(values: np.ndarray, at: np.ndarray, trees: int) -> np.ndarray:
+    """Each text's labels, one a trie: int64 of shape (texts, trees); of texts without shingles, zeros."""
+    n, factor, flip = len(at) - 1, _odd(trees * DEPTH, 12), _odd(trees * DEPTH, 13)
+    low = np.zeros((n, trees * DEPTH), np.uint64)
     some = np.flatnonzero(np.diff(at) > 0)
     first = 0
     while first < len(some):
@@ -96,56 +113,120 @@ def sketch(values: np.ndarray, at: np.ndarray, trees: int, p: int) -> np.ndarray
         docs = some[first:last]
         part, starts = values[at[docs[0]] : at[docs[-1] + 1]], at[docs] - at[docs[0]]
         work = np.empty_like(part)
-        for k in range(trees * p):
+        for k in range(trees * DEPTH):
             np.bitwise_xor(part, flip[k], out=work)
             np.multiply(work, factor[k], out=work)
             low[docs, k] = np.minimum.reduceat(work, starts)
         first = last
-    low = low.reshape(n, trees, p)
-    key = np.broadcast_to(_odd(trees, 14), (n, trees)).copy()
-    for k in range(p):
-        key = _mix((key ^ low[:, :, k]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k))
-    return key.view(np.int64)
+    low = (_mix(low) >> np.uint64(64 - BITS)).reshape(n, trees, DEPTH)
+    label = np.zeros((n, trees), np.uint64)
+    for k in range(DEPTH):
+        label = (label << np.uint64(BITS)) | low[:, :, k]
+    return label.view(np.int64)
 
 
-def sketches(docs: DataFrame, trees: int, p: int, width: int) -> DataFrame:
-    """doc_id, digest (of the text), n (shingles) and keys of every document with a text."""
-    slim = docs.where(F.col("text").isNotNull()).select("doc_id", F.md5("text").alias("digest"), "text")
+def sketches(docs: DataFrame, trees: int, width: int) -> DataFrame:
+    """doc_id, digest (of the text), n (shingles) and labels of every document with a text."""
+    slim = docs.where(F.col("text").isNotNull()).select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for k in range(0, len(batch), 500):
                 part = batch.iloc[k : k + 500]
                 values, at = shingles(list(part["text"]), width)
-                keys, n = sketch(values, at, trees, p), np.diff(at)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "digest": part["digest"].to_numpy(), "n": n, "keys": [x if m else x[:0] for x, m in zip(keys, n, strict=True)]})
+                labels, n = sketch(values, at, trees), np.diff(at)
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "digest": part["digest"].to_numpy(), "n": n, "labels": [x if m else x[:0] for x, m in zip(labels, n, strict=True)]})
 
     doc_type = dict(docs.dtypes)["doc_id"]
-    return slim.mapInPandas(run, f"doc_id {doc_type}, digest string, n long, keys array<long>")
+    return slim.mapInPandas(run, f"doc_id {doc_type}, digest binary, n long, labels array<long>")
+
+
+def _climb(p: int):
+    """Walk along sorted tries: one row (tid, head, depth, key, edge) per text and trie where a prefix of ``p`` values or more is shared.
+
+    ``depth`` is the longest prefix shared with the label before, ``head`` the
+    first text of that prefix, ``key`` names the prefix of ``p`` values.  The
+    first text of a shared prefix gets a row of its own.  ``edge`` marks the
+    first and the last prefix of a partition, which may go on next door.
+    """
+
+    def key_of(tree: np.ndarray, label: np.ndarray) -> np.ndarray:
+        return (tree << (BITS * p)) | (label >> (BITS * (DEPTH - p)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = None  # tree, label, heads by level, and whether the last row began its run of p values
+        for batch in batches:
+            tree, label, tid = (batch[c].to_numpy(np.int64) for c in ("tree", "label", "tid"))
+            n, rows = len(tid), []
+            if not n:
+                continue
+            if last is None:
+                rows.append((tid[:1], tid[:1], np.full(1, p), key_of(tree[:1], label[:1]), np.ones(1, bool)))
+                last = (-1, 0, np.zeros(DEPTH + 1, np.int64), True)
+            other = np.concatenate([[last[0]], tree[:-1]]) != tree
+            differ = np.concatenate([[last[1]], label[:-1]]) ^ label
+            depth, head, heads, begun = np.full(n, p - 1), tid.copy(), last[2].copy(), last[3]
+            for level in range(p, DEPTH + 1):
+                fresh = other | ((differ >> (BITS * (DEPTH - level))) != 0)
+                begin = np.maximum.accumulate(np.where(fresh, np.arange(n), -1))
+                of_level = np.where(begin >= 0, tid[begin], heads[level])
+                depth[~fresh], head[~fresh] = level, of_level[~fresh]
+                heads[level] = of_level[-1]
+                if level == p:
+                    run_head, starts = of_level, fresh
+            key = key_of(tree, label)
+            met = depth >= p
+            rows.append((tid[met], head[met], depth[met], key[met], np.zeros(int(met.sum()), bool)))
+            second = met & np.concatenate([[begun], starts[:-1]])
+            rows.append((run_head[second], run_head[second], np.full(int(second.sum()), DEPTH), key[second], np.zeros(int(second.sum()), bool)))
+            last = (tree[-1], label[-1], heads, bool(starts[-1]))
+            yield pd.DataFrame({c: np.concatenate([r[k] for r in rows]) for k, c in enumerate(("tid", "head", "depth", "key", "edge"))})
+        if last is not None:
+            yield pd.DataFrame({"tid": [last[2][p]], "head": [last[2][p]], "depth": [p], "key": key_of(np.array([last[0]]), np.array([last[1]])), "edge": [True]})
+
+    return run
+
+
+def forest(texts: DataFrame, p: int) -> DataFrame:
+    """(tid, head, depth, key) of all texts that share a prefix of ``p`` values or more in some trie, a row per trie."""
+    entries = texts.select(F.posexplode("labels").alias("tree", "label"), "tid")
+    tries = entries.repartitionByRange("tree", "label", "tid").sortWithinPartitions("tree", "label", "tid")
+    walked = stage(tries.mapInPandas(_climb(p), "tid long, head long, depth int, key long, edge boolean"), "jaccard-tries")
+    ends = walked.where("edge")  # two rows a partition
+    over = ends.groupBy("key").agg(F.min("tid").alias("least"), F.max("tid").alias("most")).where("least <> most").select("key", "least")
+    stitched = ends.join(over, "key").select("tid", F.col("least").alias("head"), F.lit(p).alias("depth"), "key")
+    met = stage(walked.where("not edge").drop("edge").union(stitched), "jaccard-met")
+    unstage(walked)
+    return met
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b): its component's least node.
 
     Labels run along the edges and, from label to label's label, in leaps, so
-    that long chains need few rounds.  Each round is a written table.
+    that long chains need few rounds.  Each round is a written table, and the
+    one before it is deleted.  Hubs and large components are heavy keys.
     """
     both = stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{label}-edges")
+    n = both.count()
+    hubs = stage(heavy_keys(both.groupBy("b").agg(F.count("*").alias("n")), n), f"{label}-hubs")
     roots = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), f"{label}-0")
-    k = 0
+    nodes, k = roots.count(), 0
     while True:
         k += 1
-        heard = both.join(roots.withColumnsRenamed({"node": "b"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("heard"))
-        new = roots.join(heard, "node").select("node", "root", F.least("root", "heard").alias("now"))
-        leap = new.select(F.col("node").alias("now"), F.col("now").alias("then"))
-        new = stage(new.join(leap, "now").select("node", F.col("root").alias("was"), F.least("now", "then").alias("root")), f"{label}-{k}")
-        changed = new.where("was <> root").limit(1).count()
-        roots = new.select("node", "root")
-        if not changed:
-            return roots
-
-
-def _links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, whole: bool, threshold: float) -> np.ndarray:
+        heard = lookup(both, "b", roots.withColumnsRenamed({"node": "b", "root": "heard"}), hubs).groupBy(F.col("a").alias("node")).agg(F.min("heard").alias("heard"))
+        new = stage(roots.join(heard, "node").select("node", "root", F.least("root", "heard").alias("now")), f"{label}-{k}a")
+        large = heavy_keys(new.groupBy("now").agg(F.count("*").alias("n")), nodes)
+        then = new.select(F.col("node").alias("now"), F.col("now").alias("then"))
+        leapt = stage(lookup(new, "now", then, large).select("node", F.col("root").alias("was"), F.least("now", "then").alias("root")), f"{label}-{k}")
+        unstage(roots, new)
+        roots = leapt
+        if not roots.where("was <> root").limit(1).count():
+            unstage(both, hubs)
+            return roots.select("node", "root")
+
+
+def _links(sets: list[np.ndarray], side: np.ndarray, whole: bool, threshold: float) -> np.ndarray:
     """Which texts of one group are linked: a boolean matrix (left texts x right texts)."""
     left, right = np.flatnonzero(side == 0), np.flatnonzero((side == 1) if not whole else (side == 0))
     size = np.array([len(s) for s in sets])
@@ -188,89 +269,111 @@ def _links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, whole: boo
     return out
 
 
-def _verify(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Compare the texts of two blocks (or within one) group by group; per linked text its links here and its local root."""
-    pdf = pdf.drop_duplicates(["digest", "side"]).sort_values(["root", "side", "digest"], kind="stable")
-    out_id, out_n, out_root = [], [], []
-    for _, g in pdf.groupby("root", sort=False):
-        whole, side = bool(g["whole"].iloc[0]), g["side"].to_numpy()
-        if len(g) < 2 or (not whole and len(set(side)) < 2):
-            continue
-        ids = g["digest"].to_numpy()
-        sets = [np.frombuffer(b, np.uint64) for b in g["shingles"]]
-        linked = _links(ids, sets, side, whole, threshold)
-        if not linked.any():
-            continue
-        if whole:
-            full, n = linked, linked.sum(axis=1)
-        else:
-            a, b = linked.shape
-            full = np.zeros((a + b, a + b), bool)
-            full[:a, a:], full[a:, :a] = linked, linked.T
-            n = full.sum(axis=1)
-        root = np.arange(len(ids))
-        while True:  # least text that each text reaches here
-            new = np.minimum(root, np.where(full, root[None, :], len(ids)).min(axis=1))
-            new = np.minimum(new, new[new])
-            if (new == root).all():
-                break
-            root = new
-        some = n > 0
-        out_id += list(ids[some])
-        out_n += list(n[some])
-        out_root += list(ids[root[some]])
-    return pd.DataFrame({"a": np.array(out_id, object), "n": np.array(out_n, np.int64), "b": np.array(out_root, object)})
+def _forest_of(linked: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, n, b) of the texts with links in a symmetrical matrix: the id, its number of links, the least id that it reaches here."""
+    root = np.arange(len(ids))
+    while True:
+        new = np.minimum(root, np.where(linked, root[None, :], len(ids)).min(axis=1))
+        new = np.minimum(new, new[new])
+        if (new == root).all():
+            break
+        root = new
+    n = linked.sum(axis=1)
+    some = n > 0
+    return ids[some], n[some], ids[root[some]]
+
+
+def _packed(ids: np.ndarray, sets: list[np.ndarray]) -> bytes:
+    """A block's texts, compressed: its distinct shingles once, in the order of first use, and each text's as places among them."""
+    size = np.array([len(s) for s in sets], np.int64)
+    distinct, first, place = np.unique(np.concatenate(sets), return_index=True, return_inverse=True)
+    order = np.argsort(first, kind="stable")
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    places = np.concatenate([np.diff(np.sort(r), prepend=0) for r in np.split(rank[place], np.cumsum(size)[:-1])]).astype(np.int32)
+    return zlib.compress(np.array([len(ids), len(distinct)], np.int64).tobytes() + ids.astype(np.int64).tobytes() + size.tobytes() + distinct[order].tobytes() + places.tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
+    raw = zlib.decompress(raw)
+    n, m = np.frombuffer(raw, np.int64, 2)
+    ids, size = np.frombuffer(raw, np.int64, n, 16), np.frombuffer(raw, np.int64, n, 16 + 8 * n)
+    distinct = np.frombuffer(raw, np.uint64, m, 16 + 16 * n)
+    places = np.frombuffer(raw, np.int32, -1, 16 + 16 * n + 8 * m)
+    return ids, [distinct[np.cumsum(p)] for p in np.split(places, np.cumsum(size)[:-1])]
+
+
+def _within(folder: str, threshold: float):
+    """Compare the texts of a block, group by group; a block of a large group is written to the folder as well."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("tid").sort_values(["root", "tid"], kind="stable")
+        out = []
+        for _, g in pdf.groupby("root", sort=False):
+            ids, sets = g["tid"].to_numpy(np.int64), [np.frombuffer(b, np.uint64) for b in g["shingles"]]
+            if len(g) > 1:
+                a, n, b = _forest_of(_links(sets, np.zeros(len(ids), int), True, threshold), ids)
+                out.append(pd.DataFrame({"a": pd.array(a, "Int64"), "n": pd.array(n, "Int64"), "b": pd.array(b, "Int64"), "block": None, "path": None}))
+            if g["large"].iloc[0]:
+                path = f"{folder}/{uuid.uuid4().hex}"
+                with file(path, True) as f:
+                    f.write(_packed(ids, sets))
+                out.append(pd.DataFrame({**{c: pd.array([pd.NA], "Int64") for c in "anb"}, "block": g["block"].iloc[0], "path": path}))
+        return pd.concat(out) if out else pd.DataFrame({**{c: pd.array([], "Int64") for c in "anb"}, "block": np.array([], object), "path": np.array([], object)})
+
+    return run
+
+
+def _across(threshold: float):
+    """Compare pairs of written blocks: rows of two paths."""
+
+    def fetched(path: str) -> tuple[np.ndarray, list[np.ndarray]]:
+        with file(path, False) as f:
+            return _unpacked(f.read())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, other in zip(batch["path"], batch["with"], strict=True):
+                (ids, sets), (more, more_sets) = fetched(path), fetched(other)
+                linked = _links(sets + more_sets, np.repeat([0, 1], [len(sets), len(more_sets)]), False, threshold)
+                a, b = linked.shape
+                full = np.zeros((a + b, a + b), bool)
+                full[:a, a:], full[a:, :a] = linked, linked.T
+                out = _forest_of(full, np.concatenate([ids, more]))
+                yield pd.DataFrame(dict(zip("anb", out, strict=True)))
 
+    return run
 
-def link(docs: DataFrame, *, width: int = WIDTH, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """(rows, texts): doc_id and digest of every document with a text; per distinct text digest, first_id, n_copies, n_links, root (the class's least digest)."""
-    p = prefix_length(trees, threshold, recall)
-    rows = stage(sketches(docs, trees, p, width), "jaccard-sketches")
-    texts = stage(rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("keys").alias("keys")), "jaccard-texts")
-    entries = texts.select("digest", F.explode("keys").alias("key"))
-    stars = entries.groupBy("key").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most")
-    met = stage(entries.join(stars.select("key", "least"), "key").select("digest", "key", "least"), "jaccard-met")
-    groups = components(met.where("digest <> least").select(F.col("digest").alias("a"), F.col("least").alias("b")).distinct(), "jaccard-groups")
-    found = stage(_compare(docs, texts, met, groups, width, threshold), "jaccard-links")
-    linked = found.groupBy(F.col("a").alias("digest")).agg(F.sum("n").alias("n_links"))
-    classes = components(found.where("a <> b").select("a", "b"), "jaccard-classes").withColumnRenamed("node", "digest")
-    out = texts.select("digest", "first_id", "n_copies").join(linked.join(classes, "digest"), "digest", "left")
-    return rows.select("doc_id", "digest"), out.select("digest", "first_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "digest").alias("root"))
+
+def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (first_id, digest, ...) with the texts: only documents that may be wanted are shuffled."""
+    may = MemberFilter(wanted, "first_id").split(docs.where(F.col("text").isNotNull()).select("doc_id", "text"), "doc_id").where("__q_may").drop("__q_may")
+    own = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.unhex(F.md5("text")) == F.col("digest"))
+    return may.join(wanted.hint("merge"), own).drop("doc_id")
 
 
 def _compare(docs: DataFrame, texts: DataFrame, met: DataFrame, groups: DataFrame, width: int, threshold: float) -> DataFrame:
     """Exact comparison of all texts that meet: (a, n, b) per text and task: its links there and the least text reached."""
-    near = met.groupBy("digest").agg(F.min("least").alias("star"))
-    member = stage(
-        groups.withColumnRenamed("node", "digest").join(texts.select("digest", "first_id", "n"), "digest").join(near, "digest"), "jaccard-members"
-    )
-    size = member.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("mass"))
+    near = met.groupBy("tid").agg(F.min_by("head", F.struct(-F.col("depth"), "head")).alias("star"))
+    member = groups.withColumnRenamed("node", "tid").join(texts.select("tid", "digest", "first_id", "n"), "tid").join(near, "tid")
+    member = stage(member, "jaccard-members")
+    size = stage(member.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("mass")), "jaccard-sizes")
     all_of = size.agg(F.coalesce(F.sum("members"), F.lit(0)).alias("m"), F.coalesce(F.sum("mass"), F.lit(0)).alias("w")).first()
     packs = max(1, -(-all_of["m"] // BLOCK_TEXTS), -(-all_of["w"] // BLOCK_SHINGLES))
     small = (F.col("members") <= SMALL_GROUP) & (F.col("mass") <= BLOCK_SHINGLES)
-    sized = member.join(size, "root")
-    packed = sized.where(small).select("digest", "first_id", "root", F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(packs)).cast("string")).alias("block"))
+    sized = lookup(member, "root", size, heavy_keys(size.select("root", F.col("members").alias("n")), all_of["m"]))
+    packed = sized.where(small).select("tid", "digest", "first_id", "root", F.concat(F.lit("s"), F.pmod(F.xxhash64("root"), F.lit(packs)).cast("string")).alias("block"), F.lit(False).alias("large"))
     # places along a large group: its range partitions count on their own, then each adds what comes before it
-    ranged = stage(sized.where(~small).select("digest", "first_id", "root", "star", "n").repartitionByRange("root", "star", "digest").withColumn("slice", F.spark_partition_id()), "jaccard-ranged")
+    ranged = stage(sized.where(~small).select("tid", "digest", "first_id", "root", "star", "n").repartitionByRange("root", "star", "tid").withColumn("slice", F.spark_partition_id()), "jaccard-ranged")
     prior = Window.partitionBy("root").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     runs = ranged.groupBy("root", "slice").agg(F.count("*").alias("texts"), F.sum("n").alias("mass"))
     runs = runs.select("root", "slice", F.coalesce(F.sum("texts").over(prior), F.lit(0)).alias("texts0"), F.coalesce(F.sum("mass").over(prior), F.lit(0)).alias("mass0"))
-    order = Window.partitionBy("root", "slice").orderBy("star", "digest")
+    order = Window.partitionBy("root", "slice").orderBy("star", "tid")
     local = ranged.withColumns({"k": F.row_number().over(order), "m": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    place = F.greatest(F.floor((F.col("texts0") + F.col("k")) / BLOCK_TEXTS), F.floor((F.col("mass0") + F.col("m")) / BLOCK_SHINGLES))
+    place = F.greatest(F.floor((F.col("texts0") + F.col("k")) / LARGE_TEXTS), F.floor((F.col("mass0") + F.col("m")) / BLOCK_SHINGLES))
     cut = local.join(runs, ["root", "slice"]).withColumn("place", place)
-    chopped = cut.select("digest", "first_id", "root", F.concat_ws("/", "root", F.col("place").cast("string")).alias("block"))
+    chopped = cut.select("tid", "digest", "first_id", "root", F.concat_ws("/", F.col("root").cast("string"), F.col("place").cast("string")).alias("block"), F.lit(True).alias("large"))
     blocks = stage(packed.union(chopped), "jaccard-blocks")
-    # blocks of large groups meet if they share a bucket
-    shared = met.join(blocks.where(F.substring("block", 1, 1) != "s").select("digest", "block"), "digest").select("key", "block").distinct()
-    pairs = shared.join(shared.withColumnRenamed("block", "other"), "key").where("block < other").select("block", "other").distinct()
-    tasks = blocks.select("block").distinct().withColumn("other", F.col("block")).union(pairs)
-    tasks = stage(tasks.select("block", "other", F.concat_ws("|", "block", "other").alias("task"), (F.col("block") == F.col("other")).alias("whole")), "jaccard-tasks")
-    sides = tasks.select("block", "task", "whole", F.lit(0).alias("side")).union(tasks.where(~F.col("whole")).select("other", "task", "whole", F.lit(1)))
-
-    wanted = blocks.select(F.col("first_id").alias("__q_id"), "digest", "root", "block")
-    text = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    text = text.join(wanted, F.col("doc_id").eqNullSafe(F.col("__q_id")) & (F.md5("text") == F.col("digest")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -281,24 +384,78 @@ def _compare(docs: DataFrame, texts: DataFrame, met: DataFrame, groups: DataFram
                 out["shingles"] = [np.unique(values[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield out
 
-    sets = text.select("digest", "root", "block", "text").mapInPandas(run, "digest string, root string, block string, shingles binary")
-    return sets.join(sides, "block").groupBy("task").applyInPandas(lambda pdf: _verify(pdf, threshold), "a string, n long, b string")
+    text = _fetch(docs, blocks).select("tid", "root", "block", "large", "text")
+    sets = text.mapInPandas(run, "tid long, root long, block string, large boolean, shingles binary")
+    folder = shared_dir(docs.sparkSession, "jaccard-packed")
+    within = stage(sets.groupBy("block").applyInPandas(_within(folder, threshold), "a long, n long, b long, block string, path string"), "jaccard-within")
+    # blocks of large groups meet if they share a run
+    shared = met.join(blocks.where("large").select("tid", "block"), "tid").select("key", "block").distinct()
+    pairs = shared.join(shared.withColumnRenamed("block", "other"), "key").where("block < other").select("block", "other").distinct()
+    paths = within.where("path is not null").select("block", "path")
+    tasks = pairs.join(paths, "block").join(paths.select(F.col("block").alias("other"), F.col("path").alias("with")), "other").select("path", "with")
+    across = tasks.repartition("path", "with").mapInPandas(_across(threshold), "a long, n long, b long")
+    out = stage(within.where("a is not null").select("a", "n", "b").union(across), "jaccard-links")
+    unstage(member, size, ranged, blocks, within)
+    delete(docs.sparkSession, folder)
+    return out
+
+
+def link(docs: DataFrame, *, width: int = WIDTH, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """(rows, texts): doc_id and digest of every document with a text; per distinct text digest, first_id, n_copies, n_links, root (the class's least text)."""
+    p = prefix_length(trees, threshold, recall)
+    if trees << (BITS * p) >= 1 << 62:
+        raise ValueError("a run's name must fit a long: fewer trees or shorter prefixes are needed")
+    rows = stage(sketches(docs, trees, width), "jaccard-sketches")
+    texts = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("labels").alias("labels"))
+    texts = stage(texts.withColumn("tid", F.monotonically_increasing_id()), "jaccard-texts")  # the ids are fixed by being written
+    met = forest(texts, p)
+    groups = components(met.where("tid <> head").select(F.col("tid").alias("a"), F.col("head").alias("b")).distinct(), "jaccard-groups")
+    found = _compare(docs, texts, met, groups, width, threshold)
+    linked = found.groupBy(F.col("a").alias("tid")).agg(F.sum("n").alias("n_links"))
+    classes = components(found.where("a <> b").select("a", "b"), "jaccard-classes").withColumnRenamed("node", "tid")
+    out = texts.select("tid", "digest", "first_id", "n_copies").join(linked.join(classes, "tid"), "tid", "left")
+    out = stage(out.select("tid", "digest", "first_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "tid").alias("root")), "jaccard-classed")
+    slim = stage(rows.select("doc_id", "digest"), "jaccard-rows")
+    unstage(rows, texts, met, found)
+    return slim, out
+
+
+def _least(texts: DataFrame) -> DataFrame:
+    """``texts`` with class_id and class_digest, the id and digest of the class's first text."""
+    n = texts.count()
+    least = texts.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "digest")).alias("w"), F.count("*").alias("n"))
+    known = least.select("root", F.col("w.first_id").alias("class_id"), F.col("w.digest").alias("class_digest"))
+    return lookup(texts, "root", known, heavy_keys(least.select("root", "n"), n))
 
 
 def classes(docs: DataFrame, **options) -> DataFrame:
     """doc_id, class_id, n_links and n_copies of every document."""
     rows, texts = link(docs, **options)
-    least = texts.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    known = rows.join(texts.join(least, "root").select("digest", "class_id", "n_links", "n_copies"), "digest")
+    total = rows.count()
+    found = stage(_least(texts).select("digest", "class_id", "n_links", "n_copies"), "jaccard-found")
+    known = lookup(rows, "digest", found, heavy_keys(found.select("digest", F.col("n_copies").alias("n")), total))
     none = docs.where(F.col("text").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return known.select("doc_id", "class_id", "n_links", "n_copies").union(none)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """Of each class the document of the smallest (doc_id, digest), with its own columns; documents without text stay."""
-    _, texts = link(docs, **options)
-    winner = texts.groupBy("root").agg(F.min(F.struct("first_id", "digest")).alias("w")).select(F.col("w.first_id").alias("__q_id"), F.col("w.digest").alias("__q_of"))
-    has = docs.where(F.col("text").isNotNull()).withColumn("__q_digest", F.md5("text"))
-    kept = has.join(winner, F.col("doc_id").eqNullSafe(F.col("__q_id")) & (F.col("__q_digest") == F.col("__q_of")), "left_semi").dropDuplicates(["doc_id", "__q_digest"])
+    """Of each class the document of the smallest (doc_id, digest), with its own columns; documents without text stay.
+
+    Only documents that may have to go, or to be told from a repeated row, are
+    shuffled; all others are known to stay from a small filter of ids.
+    """
+    rows, texts = link(docs, **options)
+    total = rows.count()
+    winner = F.col("first_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("class_digest"))
+    # texts whose class has another text or that have copies; all their rows are looked at closely
+    mine = stage(_least(texts).select("digest", "first_id", "n_copies", winner.alias("wins")), "jaccard-winners")
+    close = mine.where("n_copies > 1 or not wins")
+    ids = stage(lookup(rows, "digest", close.select("digest", "first_id", "wins"), heavy_keys(close.select("digest", F.col("n_copies").alias("n")), total)), "jaccard-close")
+    has = MemberFilter(ids, "doc_id").split(docs, "doc_id")
+    sure = has.where(~F.col("__q_may") | F.col("text").isNull())
+    verdict = ids.select(F.col("doc_id").alias("__q_id"), F.col("digest").alias("__q_of"), (F.col("wins") & F.col("doc_id").eqNullSafe(F.col("first_id"))).alias("__q_wins")).distinct()
+    risky = has.where(F.col("__q_may") & F.col("text").isNotNull()).withColumn("__q_digest", F.unhex(F.md5("text")))
+    met = risky.join(verdict.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__q_id")) & (F.col("__q_digest") == F.col("__q_of")), "left")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return kept.select(*columns).union(docs.where(F.col("text").isNull()).select(*columns))
+    kept = met.where(F.col("__q_wins")).dropDuplicates(["doc_id", "__q_digest"])
+    return sure.select(*columns).union(met.where(F.col("__q_wins").isNull()).select(*columns)).union(kept.select(*columns))

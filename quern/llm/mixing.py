@@ -15,7 +15,10 @@ at a time, and one number per source.
 Defined results: a null text has size 0, and documents of size 0 are never
 taken (taken 0); null is a source of its own, the last one; entries of equal
 finish time are taken all or none; rows that repeat a doc_id count each, in
-the order of (hash, doc_id, size).  Without any words every target is 0.
+the order of (hash, doc_id, size).  Without any words every target is 0; an
+empty table gives no rows.  A very long text is taken or left whole, so that a
+source's words may miss its target by one document.  Extra columns are not
+read by ``mix``, and kept by ``take``, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,13 +26,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import heavy_keys, lookup, stage
 
 #: The weights of the sources in order, repeating; the budget as a share of all sizes; the most passes over a source.
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_PASSES = 2
 BUCKETS = 4096
+#: The last keys of at most so many sources are broadcast; those of more are joined.
+MOST_BROADCAST = 50_000
 
 
 def size_of(text: str = "text") -> Column:
@@ -55,12 +60,16 @@ def _key(source: str) -> Column:
     return F.when(F.col(source).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source)))
 
 
+def _order() -> Column:
+    """The hash by which a source's documents are shuffled."""
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+
+
 def schedule(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, first (its finish time in the first pass) and second."""
     spark = docs.sparkSession
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     base = stage(
-        docs.select("doc_id", "source", size_of().alias("size"), order.alias("h"))
+        docs.select("doc_id", "source", size_of().alias("size"), _order().alias("h"))
         .withColumns({"key": _key("source"), "bucket": F.conv(F.substring("h", 1, 3), 16, 10).cast("int")}), "mix-sizes",
     )
     sums = base.groupBy("key", "bucket").agg(F.sum("size").alias("in_bucket"))
@@ -106,27 +115,47 @@ def _below(x: float) -> float:
     return math.nextafter(x, -math.inf)
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words that the mix takes, repeats counted) of every document."""
-    plan = stage(schedule(docs), "mix-plan")
+def _passes(plan: DataFrame) -> Column:
+    """How often each row of a schedule is taken."""
     sized = plan.where((F.col("size") > 0) & F.col("first").isNotNull())
     entries = sized.select("size", F.explode(F.array("first", "second")).alias("finish"))
     budget = plan.groupBy("source").agg(F.first("target").alias("t")).agg(F.sum("t")).first()[0] or 0.0
     cut = _cut(entries, budget)
-    passes = (
-        F.lit(MOST_PASSES) if cut is None
-        else F.coalesce((F.col("first") <= cut).cast("int") + (F.col("second") <= cut).cast("int"), F.lit(0))
-    )
-    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * passes).cast("long").alias("taken"))
+    if cut is None:
+        return F.when((F.col("size") > 0) & F.col("first").isNotNull(), F.lit(MOST_PASSES)).otherwise(F.lit(0))
+    return F.coalesce((F.col("first") <= cut).cast("int") + (F.col("second") <= cut).cast("int"), F.lit(0))
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target and taken (words that the mix takes, repeats counted) of every document."""
+    plan = stage(schedule(docs), "mix-plan")
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * _passes(plan)).cast("long").alias("taken"))
 
 
 def take(docs: DataFrame) -> DataFrame:
-    """The documents of the mix with their own columns, each as many times as it is taken; rows that repeat a doc_id share one decision."""
-    taken = (
-        mix(docs).where("size > 0").groupBy("doc_id").agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("__q_times"))
-        .where("__q_times > 0").withColumnRenamed("doc_id", "__q_doc_id")
-    )
-    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__q_doc_id")))
+    """The documents of the mix with their own columns, each as many times as it is taken; rows that repeat a doc_id with one size share one decision.
+
+    A source's documents are taken in one order, so that its share of the mix
+    is all up to a last document of each pass.  These last keys, two a source,
+    go to the documents, which stay where they are.
+    """
+    plan = stage(schedule(docs), "mix-plan")
+    order = lambda size: F.struct(_order().alias("h"), F.col("doc_id").alias("i"), size.alias("n"))
+    chosen = plan.where("size > 0").withColumn("__q_times", _passes(plan)).withColumn("__q_key", _key("source"))
+    last = lambda k: F.max(F.when(F.col("__q_times") >= k, order(F.col("size"))))
+    cuts = stage(chosen.groupBy("__q_key").agg(F.count("*").alias("n"), *[last(k).alias(f"__q_last{k}") for k in range(1, MOST_PASSES + 1)]), "mix-cuts")
+    rows = docs.withColumn("__q_key", _key("source"))
+    if cuts.count() <= MOST_BROADCAST:
+        met = rows.join(F.broadcast(cuts.drop("n")), "__q_key")
+    else:
+        met = lookup(rows, "__q_key", cuts.drop("n"), heavy_keys(cuts.select("__q_key", "n"), docs.count()))
+
+    def within(k: int) -> Column:
+        to = F.col(f"__q_last{k}")  # the words are counted for documents that share the last one's hash only
+        return F.when(to.isNull() | (_order() > to["h"]), 0).when(_order() < to["h"], 1).otherwise((order(size_of()) <= to).cast("int"))
+
+    times = F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), sum((within(k) for k in range(2, MOST_PASSES + 1)), within(1))).otherwise(F.lit(0))
+    out = met.withColumn("__q_times", times).where("__q_times > 0")
     return out.withColumn("__q_copy", F.explode(F.sequence(F.lit(1), F.col("__q_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

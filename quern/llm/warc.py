@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stage
+from .common import file, shared_dir, stage
 
 LEAST = 1000
 #: An archive is closed and the next one begun beyond so many bytes; ranges up to so many bytes are read at once.
@@ -45,19 +45,6 @@ _DATE = "2024-01-01T00:00:00Z"  # records hold no time of capture; a fixed one k
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _file(path: str, write: bool) -> BinaryIO:
-    from pyarrow import fs
-
-    if ":" in path.split("/")[0]:
-        system, own = fs.FileSystem.from_uri(path)
-    else:
-        system, own = fs.LocalFileSystem(), path
-    if write:
-        system.create_dir(own.rpartition("/")[0], recursive=True)
-        return system.open_output_stream(own)
-    return system.open_input_file(own)
-
-
 def _line(x: str) -> str:
     return x.replace("\r", "%0D").replace("\n", "%0A")
 
@@ -209,7 +196,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
             for page_id, url, html, refers_to in zip(batch["page_id"], batch["url"], batch["html"], batch["refers_to"], strict=True):
                 if archive is None:
                     path, n = f"{folder}/{uuid.uuid4().hex}.zip", 0
-                    archive = ArchiveWriter(_file(path, True))
+                    archive = ArchiveWriter(file(path, True))
                 archive.add(whole(page_id), url, html.encode(), whole(refers_to))
                 n += 1
                 if archive.at >= ARCHIVE_BYTES:
@@ -230,7 +217,7 @@ def read(archives: DataFrame) -> DataFrame:
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path in batch["path"]:
-                with _file(path, False) as f:
+                with file(path, False) as f:
                     rows = list(ArchiveReader(f, f.size()).entries())
                 out = pd.DataFrame(rows, columns=["at", "n"])
                 out["path"], out["part"] = path, out["at"] // READ_BYTES
@@ -240,7 +227,7 @@ def read(archives: DataFrame) -> DataFrame:
         for batch in batches:
             for path, at, n in zip(batch["path"], batch["at"], batch["n"], strict=True):
                 out = []
-                with _file(path, False) as f:
+                with file(path, False) as f:
                     f.seek(int(at[0]))
                     piece = f.read(int(at[-1] + n[-1] - at[0]))  # the records of a part lie side by side
                 for a, b in zip(at, n, strict=True):
