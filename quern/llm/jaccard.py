@@ -8,11 +8,12 @@ and a text's longest shared prefix is the one it shares with the label before
 it.  The array is range-partitioned, so that no prefix, however common, is a
 task's burden.
 
-From its longest shared prefix each text is linked to the first text of that
-prefix, and prefixes are shortened from there, value by value, until a pair at
-the threshold meets in some trie with the target recall (``prefix_length``);
-texts that share less in every trie have no candidates.  Links of shorter
-prefixes join the runs of longer ones, so every run hangs together.
+Each text starts from the longest prefix that it shares in a trie, and the
+prefix is shortened from there, value by value, until a pair at the threshold
+meets in some trie with the target recall (``prefix_length``); a text whose
+longest shared prefix is shorter in every trie has no candidates.  In the run
+of the shortened prefix each text is linked to the run's least text; the first
+text of its longest prefix is kept too, to lay the nearest texts side by side.
 
 The rest avoids listing the pairs of a group, which may hold thousands of
 texts: exact copies are one text first.  Linked runs give candidate groups.
@@ -45,6 +46,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,13 +56,15 @@ WIDTH = 5
 THRESHOLD = 0.8
 TREES = 32
 #: A label is a long: DEPTH values of BITS bits, the first in the highest place.
-DEPTH, BITS = 10, 6
+DEPTH, BITS = 9, 7
 RECALL = 0.999
 #: A block of small groups has about so many texts; one of a large group so many; neither much more shingles than that.
 BLOCK_TEXTS, LARGE_TEXTS, BLOCK_SHINGLES = 192, 512, 400_000
 #: Groups up to this size share blocks with others.
 SMALL_GROUP = 96
 _CHUNK = 1 << 15
+#: Texts that are in Python's hands at a time.
+ROWS = 250
 
 
 def prefix_length(trees: int = TREES, threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH) -> int:
@@ -129,43 +133,47 @@ def sketches(docs: DataFrame, trees: int, width: int) -> DataFrame:
     """doc_id, digest (of the text), n (shingles) and labels of every document with a text."""
     slim = docs.where(F.col("text").isNotNull()).select("doc_id", F.unhex(F.md5("text")).alias("digest"), "text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, len(batch), 500):
-                part = batch.iloc[k : k + 500]
-                values, at = shingles(list(part["text"]), width)
-                labels, n = sketch(values, at, trees), np.diff(at)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "digest": part["digest"].to_numpy(), "n": n, "labels": [x if m else x[:0] for x, m in zip(labels, n, strict=True)]})
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                values, at = shingles(part.column(2).to_pylist(), width)
+                n = np.diff(at)
+                ends = np.concatenate([[0], np.cumsum(np.where(n > 0, trees, 0))]).astype(np.int32)
+                labels = pa.ListArray.from_arrays(ends, sketch(values, at, trees)[n > 0].reshape(-1))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), labels], names=["doc_id", "digest", "n", "labels"])
 
     doc_type = dict(docs.dtypes)["doc_id"]
-    return slim.mapInPandas(run, f"doc_id {doc_type}, digest binary, n long, labels array<long>")
+    return slim.mapInArrow(run, f"doc_id {doc_type}, digest binary, n long, labels array<long>")
 
 
 def _climb(p: int):
-    """Walk along sorted tries: one row (tid, head, depth, key, edge) per text and trie where a prefix of ``p`` values or more is shared.
+    """Walk along sorted tries: one row (tid, first, head, depth, key, edge) per text and trie where a prefix of ``p`` values or more is shared.
 
-    ``depth`` is the longest prefix shared with the label before, ``head`` the
-    first text of that prefix, ``key`` names the prefix of ``p`` values.  The
-    first text of a shared prefix gets a row of its own.  ``edge`` marks the
-    first and the last prefix of a partition, which may go on next door.
+    ``depth`` is the longest prefix shared with the label before and ``head``
+    its first text; ``key`` names the prefix shortened to ``p`` values, and
+    ``first`` is the least text of its run (as far as this batch knows; if a
+    later one holds a lesser text, one more row links the two).  ``edge`` marks
+    the first and the last run of a partition, which may go on next door.
     """
 
     def key_of(tree: np.ndarray, label: np.ndarray) -> np.ndarray:
         return (tree << (BITS * p)) | (label >> (BITS * (DEPTH - p)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None  # tree, label, heads by level, and whether the last row began its run of p values
+        last = None  # tree, label, heads by level, and of the run of p values its least text and whether it is the only one
         for batch in batches:
             tree, label, tid = (batch[c].to_numpy(np.int64) for c in ("tree", "label", "tid"))
             n, rows = len(tid), []
             if not n:
                 continue
+            key = key_of(tree, label)
             if last is None:
-                rows.append((tid[:1], tid[:1], np.full(1, p), key_of(tree[:1], label[:1]), np.ones(1, bool)))
-                last = (-1, 0, np.zeros(DEPTH + 1, np.int64), True)
+                rows.append((tid[:1], tid[:1], tid[:1], np.full(1, p), key[:1], np.ones(1, bool)))
+                last = (-1, 0, np.zeros(DEPTH + 1, np.int64), 0, False)
             other = np.concatenate([[last[0]], tree[:-1]]) != tree
             differ = np.concatenate([[last[1]], label[:-1]]) ^ label
-            depth, head, heads, begun = np.full(n, p - 1), tid.copy(), last[2].copy(), last[3]
+            depth, head, heads = np.full(n, DEPTH), tid.copy(), last[2].copy()
             for level in range(p, DEPTH + 1):
                 fresh = other | ((differ >> (BITS * (DEPTH - level))) != 0)
                 begin = np.maximum.accumulate(np.where(fresh, np.arange(n), -1))
@@ -173,28 +181,33 @@ def _climb(p: int):
                 depth[~fresh], head[~fresh] = level, of_level[~fresh]
                 heads[level] = of_level[-1]
                 if level == p:
-                    run_head, starts = of_level, fresh
-            key = key_of(tree, label)
-            met = depth >= p
-            rows.append((tid[met], head[met], depth[met], key[met], np.zeros(int(met.sum()), bool)))
-            second = met & np.concatenate([[begun], starts[:-1]])
-            rows.append((run_head[second], run_head[second], np.full(int(second.sum()), DEPTH), key[second], np.zeros(int(second.sum()), bool)))
-            last = (tree[-1], label[-1], heads, bool(starts[-1]))
-            yield pd.DataFrame({c: np.concatenate([r[k] for r in rows]) for k, c in enumerate(("tid", "head", "depth", "key", "edge"))})
+                    starts = fresh
+            goes_on = not starts[0]
+            at = np.flatnonzero(starts | (np.arange(n) == 0))
+            least, size = np.minimum.reduceat(tid, at), np.diff(np.append(at, n))
+            several = size > 1
+            if goes_on:
+                before, least[0], several[0] = last[3], min(last[3], least[0]), True
+                if last[4] or least[0] < before:
+                    rows.append((np.array([before]), least[:1], least[:1], np.full(1, p), key[:1], np.zeros(1, bool)))
+            first, met = np.repeat(least, size), np.repeat(several, size)
+            rows.append((tid[met], first[met], head[met], depth[met], key[met], np.zeros(int(met.sum()), bool)))
+            last = (tree[-1], label[-1], heads, least[-1], not several[-1])
+            yield pd.DataFrame({c: np.concatenate([r[k] for r in rows]) for k, c in enumerate(("tid", "first", "head", "depth", "key", "edge"))})
         if last is not None:
-            yield pd.DataFrame({"tid": [last[2][p]], "head": [last[2][p]], "depth": [p], "key": key_of(np.array([last[0]]), np.array([last[1]])), "edge": [True]})
+            yield pd.DataFrame({"tid": [last[3]], "first": [last[3]], "head": [last[3]], "depth": [p], "key": key_of(np.array([last[0]]), np.array([last[1]])), "edge": [True]})
 
     return run
 
 
 def forest(texts: DataFrame, p: int) -> DataFrame:
-    """(tid, head, depth, key) of all texts that share a prefix of ``p`` values or more in some trie, a row per trie."""
+    """(tid, first, head, depth, key) of all texts that share a prefix of ``p`` values or more in some trie, a row per trie."""
     entries = texts.select(F.posexplode("labels").alias("tree", "label"), "tid")
     tries = entries.repartitionByRange("tree", "label", "tid").sortWithinPartitions("tree", "label", "tid")
-    walked = stage(tries.mapInPandas(_climb(p), "tid long, head long, depth int, key long, edge boolean"), "jaccard-tries")
+    walked = stage(tries.mapInPandas(_climb(p), "tid long, first long, head long, depth int, key long, edge boolean"), "jaccard-tries")
     ends = walked.where("edge")  # two rows a partition
     over = ends.groupBy("key").agg(F.min("tid").alias("least"), F.max("tid").alias("most")).where("least <> most").select("key", "least")
-    stitched = ends.join(over, "key").select("tid", F.col("least").alias("head"), F.lit(p).alias("depth"), "key")
+    stitched = ends.join(over, "key").select("tid", F.col("least").alias("first"), F.col("least").alias("head"), F.lit(p).alias("depth"), "key")
     met = stage(walked.where("not edge").drop("edge").union(stitched), "jaccard-met")
     unstage(walked)
     return met
@@ -375,17 +388,16 @@ def _compare(docs: DataFrame, texts: DataFrame, met: DataFrame, groups: DataFram
     chopped = cut.select("tid", "digest", "first_id", "root", F.concat_ws("/", F.col("root").cast("string"), F.col("place").cast("string")).alias("block"), F.lit(True).alias("large"))
     blocks = stage(packed.union(chopped), "jaccard-blocks")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, len(batch), 500):
-                part = batch.iloc[k : k + 500]
-                values, at = shingles(list(part["text"]), width)
-                out = part.drop(columns="text")
-                out["shingles"] = [np.unique(values[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield out
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                values, at = shingles(part.column(4).to_pylist(), width)
+                sets = pa.array([np.unique(values[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in range(4)], sets], names=["tid", "root", "block", "large", "shingles"])
 
     text = _fetch(docs, blocks).select("tid", "root", "block", "large", "text")
-    sets = text.mapInPandas(run, "tid long, root long, block string, large boolean, shingles binary")
+    sets = text.mapInArrow(run, "tid long, root long, block string, large boolean, shingles binary")
     folder = shared_dir(docs.sparkSession, "jaccard-packed")
     within = stage(sets.groupBy("block").applyInPandas(_within(folder, threshold), "a long, n long, b long, block string, path string"), "jaccard-within")
     # blocks of large groups meet if they share a run
@@ -400,6 +412,16 @@ def _compare(docs: DataFrame, texts: DataFrame, met: DataFrame, groups: DataFram
     return out
 
 
+def _stars(met: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect what the runs connect: each text with its least first text, and that with the text's others, once for all texts.
+
+    A text has about one first text a trie, so its set of them is small.
+    """
+    of = met.groupBy("tid").agg(F.min("first").alias("b"), F.collect_set("first").alias("all"))
+    own = of.select(F.col("tid").alias("a"), "b")
+    return own.union(of.select(F.explode("all").alias("a"), "b")).where("a <> b").distinct()
+
+
 def link(docs: DataFrame, *, width: int = WIDTH, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """(rows, texts): doc_id and digest of every document with a text; per distinct text digest, first_id, n_copies, n_links, root (the class's least text)."""
     p = prefix_length(trees, threshold, recall)
@@ -409,7 +431,7 @@ def link(docs: DataFrame, *, width: int = WIDTH, threshold: float = THRESHOLD, t
     texts = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("labels").alias("labels"))
     texts = stage(texts.withColumn("tid", F.monotonically_increasing_id()), "jaccard-texts")  # the ids are fixed by being written
     met = forest(texts, p)
-    groups = components(met.where("tid <> head").select(F.col("tid").alias("a"), F.col("head").alias("b")).distinct(), "jaccard-groups")
+    groups = components(_stars(met), "jaccard-groups")
     found = _compare(docs, texts, met, groups, width, threshold)
     linked = found.groupBy(F.col("a").alias("tid")).agg(F.sum("n").alias("n_links"))
     classes = components(found.where("a <> b").select("a", "b"), "jaccard-classes").withColumnRenamed("node", "tid")
