@@ -26,15 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A worker keeps the ids of between one and two times so many pieces (what stands between white space) and pre-tokens.
-KEPT = 150_000
+KEPT = 100_000
 #: Most pairs of tokens of which it is known whether they are compatible.
-FITS = 1_000_000
+FITS = 500_000
 #: Texts encoded at a time.
 ROWS = 256
 #: Stands for the end of a word; not a character of the byte alphabet.
@@ -229,24 +230,25 @@ def encode(docs: DataFrame, *, vocabulary: str | None = None, text: str = "text"
     rest = [f for f in docs.schema.fields if f.name not in names and (keep_text or f.name != text)]
     slim = docs.select(*[F.col(f"`{f.name}`") for f in rest], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__q_text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = compiled(raw.value)
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for batch in batches:
-            for k in range(0, len(batch), ROWS):  # token lists take many times the memory of their texts
-                out = batch.iloc[k : k + ROWS]
-                pairs = [model.encode(t) for t in out["__q_text"]]
-                out = out.drop(columns="__q_text")
-                out["n_tokens"] = [a.count(" ") + 1 if a else 0 for a, _ in pairs]
+            for k in range(0, batch.num_rows, ROWS):  # token lists take many times the memory of their texts
+                part = batch.slice(k, ROWS)
+                pairs = [model.encode(t) for t in part.column(len(rest)).to_pylist()]
+                out = [part.column(i) for i in range(len(rest))]
+                out.append(pa.array([a.count(" ") + 1 if a else 0 for a, _ in pairs], pa.int64()))
                 if ids:
-                    out["ids"] = [np.fromstring(a, dtype=np.int32, sep=" ") for a, _ in pairs]
+                    each = [np.fromstring(a, dtype=np.int32, sep=" ") for a, _ in pairs]
+                    out.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32), np.concatenate(each)))
                 if decoded:
-                    out["decoded"] = [b for _, b in pairs]
+                    out.append(pa.array([b for _, b in pairs], pa.string()))
                 if digests:
-                    out["ids_sha256"], out["decoded_sha256"] = [sha(a) for a, _ in pairs], [sha(b) for _, b in pairs]
-                yield out
+                    out += [pa.array([sha(p[side]) for p in pairs], pa.string()) for side in (0, 1)]
+                yield pa.RecordBatch.from_arrays(out, names=[f.name for f in rest] + [f.name for f in new])
 
-    return slim.mapInPandas(run, T.StructType(rest + new))
+    return slim.mapInArrow(run, T.StructType(rest + new))
 
 
 def decode(rows: DataFrame, *, vocabulary: str | None = None, ids: str = "ids", to: str = "text") -> DataFrame:
