@@ -3,7 +3,7 @@
 Everything is a Spark column: ``regexp_extract_all`` gives the matches and
 ``split`` by the same pattern the text between them, so that the running sum
 of both lengths gives each match's place in code points.  No Python runs and
-nothing is shuffled.
+nothing is shuffled.  Time is in proportion to the text and its spans.
 
 The patterns here find exactly the leftmost non-overlapping matches of the
 plain patterns of ``BASE``, but in time linear in the text: a run of
@@ -17,8 +17,11 @@ hexadecimal or mixed key), which stay if their score, raised by context words
 before them, reaches ``LEAST_SCORE``.
 
 Defined results: a null text counts as empty; a text without spans has an empty
-list of spans.  Rows that repeat are treated each for itself; extra columns
-pass through ``redact`` untouched.
+list of spans; an empty table gives no rows.  Spans of one kind never overlap;
+spans of several kinds may, and are all listed, by start and then kind.  A very
+long text is searched whole.  Rows that repeat, or share a doc_id, are treated
+each for itself; extra columns, whatever their names, pass through ``redact``
+untouched and aren't read by ``find``.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from .common import text_or_empty
 
 _T = "__q_text"
 LEAST_SCORE = 0.5
-#: How many characters before a span are searched for context words.
+#: How many characters before a span, since the match before it of its kind, are searched for context words.
 CONTEXT_CHARS = 40
 
 #: The base patterns as specified.
@@ -104,32 +107,61 @@ KINDS = (
 CONTEXT_GAIN = 0.25
 
 
+#: Folds over a text's spans go in steps of so many, as a step copies what it has gathered.
+_STEP = 64
+
+
+def _let(x: Column, f) -> Column:
+    """f(x), with x computed once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _folded(items: Column, total, combine, fold, none: Column) -> Column:
+    """``fold(chunk, start)`` over chunks of ``items``, flattened; ``start`` combines the totals of all chunks before.
+
+    It takes time in proportion to the items, which one fold that appends to an
+    array would not.
+    """
+
+    def over(chunks: Column) -> Column:
+        def with_totals(totals: Column) -> Column:
+            starts = F.transform(totals, lambda _, c: F.aggregate(F.slice(totals, F.lit(1), c), F.lit(0), combine))
+            return F.flatten(F.zip_with(chunks, starts, fold))
+
+        return _let(F.transform(chunks, total), with_totals)
+
+    def cut(all_of: Column) -> Column:
+        places = F.sequence(F.lit(0), F.floor((F.size(all_of) - 1) / _STEP).cast("int"))
+        return F.when(F.size(all_of) == 0, none).otherwise(_let(F.transform(places, lambda c: F.slice(all_of, c * _STEP + 1, F.lit(_STEP))), over))
+
+    return _let(items, cut)
+
+
 def _found(kind: Kind, at: int) -> Column:
     """array<struct<start, kind, end, score>> of the kind's spans that its validator confirms, by start."""
-    matches, gaps = F.regexp_extract_all(_T, F.lit(kind.pattern), F.lit(0)), F.split(_T, kind.pattern, -1)
-    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,match:string>>)")
+    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,score:double>>)")
 
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + F.length(pair["gap"])
         end = start + F.length(pair["match"])
-        span = F.struct(start.alias("start"), F.lit(at).alias("kind"), end.alias("end"), pair["match"].alias("match"))
-        return F.struct(end.alias("at"), F.when(kind.valid(pair["match"]), F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
-
-    # the last gap has no match after it
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda s: s["spans"])
-
-    def scored(s: Column) -> Column:
-        first = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-        before = F.lower(F.substring(F.col(_T), first + 1, s["start"] - first))
+        before = F.lower(F.substring(pair["gap"], -CONTEXT_CHARS, CONTEXT_CHARS))
         score = F.lit(kind.base) + F.when(before.rlike(kind.context), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
-        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), score.alias("score"))
-
-    out = F.transform(spans, scored)
-    if not kind.in_base:
-        out = F.filter(out, lambda s: s["score"] >= LEAST_SCORE)
+        span = F.struct(start.alias("start"), F.lit(at).alias("kind"), end.alias("end"), score.alias("score"))
+        ok = kind.valid(pair["match"]) if kind.in_base else kind.valid(pair["match"]) & (score >= LEAST_SCORE)
+        return F.struct(end.alias("at"), F.when(ok, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+
+    def pairs(matches: Column) -> Column:  # the last gap has no match after it
+        return F.zip_with(F.slice(F.split(_T, kind.pattern, -1), F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+
+    out = _folded(
+        _let(F.regexp_extract_all(_T, F.lit(kind.pattern), F.lit(0)), pairs),
+        lambda chunk: F.aggregate(chunk, F.lit(0), lambda n, p: n + F.length(p["gap"]) + F.length(p["match"])),
+        lambda a, b: a + b,
+        lambda chunk, start: F.aggregate(chunk, F.struct(start.alias("at"), none.alias("spans")), step, lambda s: s["spans"]),
+        none,
+    )
     hint = F.contains(F.col(_T), F.lit(kind.hint)) if kind.hint == "@" else F.col(_T).rlike(kind.hint)
-    return F.when(hint, out).otherwise(F.expr("cast(array() as array<struct<start:int,kind:int,end:int,score:double>>)"))
+    return F.when(hint, out).otherwise(none)
 
 
 def with_spans(docs: DataFrame, *, text: str = "text", to: str = "__q_spans") -> DataFrame:
@@ -146,13 +178,15 @@ def _listed(spans: Column) -> Column:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, the number of base spans by kind, base_sha256, and all spans as text."""
+    """Per document: doc_id, the number of base spans by kind, base_sha256, all spans as text; then the method's own counts and every span's score."""
     n_base = sum(k.in_base for k in KINDS)
     out = with_spans(docs.select("doc_id", "text"), to="__q_spans").drop("text")
     count = lambda at: F.size(F.filter("__q_spans", lambda s: s["kind"] == at)).cast("long")
     return out.select(
         "doc_id", *[count(at).alias(f"n_{k.name}") for at, k in enumerate(KINDS) if k.in_base],
         F.sha2(_listed(F.filter("__q_spans", lambda s: s["kind"] < n_base)), 256).alias("base_sha256"), _listed(F.col("__q_spans")).alias("spans"),
+        *[count(at).alias(f"n_{k.name}") for at, k in enumerate(KINDS) if not k.in_base],
+        F.size("__q_spans").cast("long").alias("n_spans"), F.transform("__q_spans", lambda s: s["score"]).alias("scores"),
     )
 
 
@@ -163,20 +197,31 @@ def redact(docs: DataFrame, *, text: str = "text", n_chars: str = "n_chars") ->
     """
     names = F.array(*[F.lit(f"<{k.name.upper()}>") for k in KINDS])
     out = with_spans(docs.withColumn("__q_src", F.col(f"`{text}`")), text="__q_src", to="__q_spans")
-
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(F.col("__q_src"), state["at"] + 1, s["start"] - state["at"])
-        fresh = s["start"] >= state["at"]
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(state["parts"], F.array(gap, F.element_at(names, s["kind"] + 1)))).otherwise(state["parts"]).alias("parts"),
-        )
-
-    clean = F.aggregate(
-        F.col("__q_spans"), F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts")), step,
-        lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(F.col("__q_src"), s["at"] + 1, F.length("__q_src"))),
-    )
-    new = {text: F.when(F.size("__q_spans") > 0, clean).otherwise(F.col("__q_src"))}
+    none = F.expr("cast(array() as array<string>)")
+
+    def clean(chars: Column) -> Column:
+        """The text from its characters, of which slices are taken in time of their own length."""
+
+        def step(state: Column, s: Column) -> Column:
+            gap = F.array_join(F.slice(chars, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0))), "")
+            fresh = s["start"] >= state["at"]
+            return F.struct(
+                F.greatest(state["at"], s["end"]).alias("at"),
+                F.when(fresh, F.concat(state["parts"], F.array(gap, F.element_at(names, s["kind"] + 1)))).otherwise(state["parts"]).alias("parts"),
+            )
+
+        last = F.array_max(F.transform("__q_spans", lambda s: s["end"]))
+        rest = F.slice(chars, last + 1, F.size(chars))
+        parts = _folded(
+            F.col("__q_spans"),
+            lambda chunk: F.array_max(F.transform(chunk, lambda s: s["end"])),
+            lambda a, b: F.greatest(a, b),
+            lambda chunk, start: F.aggregate(chunk, F.struct(start.alias("at"), none.alias("parts")), step, lambda s: s["parts"]),
+            none,
+        )
+        return F.concat(F.array_join(parts, ""), F.array_join(rest, ""))
+
+    new = {text: F.when(F.size("__q_spans") > 0, _let(F.regexp_extract_all("__q_src", F.lit("(?s)."), F.lit(0)), clean)).otherwise(F.col("__q_src"))}
     out = out.withColumns(new)
     if n_chars in docs.columns:
         out = out.withColumn(n_chars, F.when(F.size("__q_spans") > 0, F.length(F.col(f"`{text}`")).cast(dict(docs.dtypes)[n_chars])).otherwise(F.col(f"`{n_chars}`")))

@@ -2,47 +2,64 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of vectors, and of a block of queries.
-ROWS, QUERIES = 8192, 4096
+#: A block, of rows or of queries, has at most so many vectors and about so many bytes.
+BLOCK_ROWS, BLOCK_BYTES = 16_384, 1 << 24
 
 
 def valid(vectors: DataFrame, *, nonzero: bool) -> DataFrame:
-    """(vec_id, v array<double>, dim) of the vectors that take part."""
+    """(vec_id, v array<double>, dim) of the vectors that take part; of rows that share an id the least vector."""
     v = F.col("embedding").cast("array<double>")
     ok = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     if nonzero:
         ok = ok & F.exists(v, lambda x: x != 0)
-    return vectors.where(F.coalesce(ok, F.lit(False))).select("vec_id", v.alias("v"), F.size("embedding").alias("dim"))
+    out = vectors.where(F.coalesce(ok, F.lit(False))).groupBy("vec_id").agg(F.min(v).alias("v"))
+    return out.withColumn("dim", F.size("v"))
 
 
-def sides(data: DataFrame, every: int) -> tuple[DataFrame, DataFrame]:
-    """Rows and queries (vec_id divisible by ``every``), each dealt to all pairs of blocks that it belongs to: with the columns dim, d and q."""
-    n = data.select(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
-    blocks, query_blocks = max(1, -(-n["n"] // ROWS)), max(1, -(-n["q"] // QUERIES))
-    place = lambda k: F.pmod(F.xxhash64("vec_id"), F.lit(k)).cast("int")
-    all_of = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    rows = data.withColumn("d", place(blocks)).withColumn("q", all_of(query_blocks))
-    again = data.select(*[F.col(c).alias(c) for c in data.columns])  # columns of their own, so that both sides can meet
-    asked = again.where(F.col("vec_id") % every == 0).withColumn("q", place(query_blocks)).withColumn("d", all_of(blocks))
-    return rows, asked
+@dataclass(frozen=True)
+class Blocks:
+    """Vectors dealt to ``rows`` blocks and queries (ids divisible by ``every``) to ``queries`` blocks, by hash; every pair of blocks (d, q) meets."""
 
+    every: int
+    rows: int
+    queries: int
 
-def matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Ids, rising and without repeats, and their vectors; of rows that share an id the least vector counts."""
-    order = sorted(range(len(pdf)), key=lambda k: (pdf["vec_id"].iat[k], tuple(pdf["v"].iat[k]))) if pdf["vec_id"].duplicated().any() else np.argsort(pdf["vec_id"].to_numpy(), kind="stable")
-    ids = pdf["vec_id"].to_numpy()[order]
-    keep = np.concatenate([[True], ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, bool)
-    return ids[keep], np.stack([pdf["v"].iat[k] for k, own in zip(order, keep, strict=True) if own]) if len(ids) else np.zeros((0, 0))
+    @staticmethod
+    def of(data: DataFrame, every: int) -> Blocks:
+        n = data.select(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q"), F.max("dim").alias("dim")).first()
+        size = max(256, min(BLOCK_ROWS, BLOCK_BYTES // (8 * (n["dim"] or 1))))
+        return Blocks(every, max(1, -(-n["n"] // size)), max(1, -(-n["q"] // size)))
+
+    def place_of_row(self, col: str = "vec_id") -> Column:
+        return F.pmod(F.xxhash64(col), F.lit(self.rows)).cast("int")
+
+    def place_of_query(self, col: str = "vec_id") -> Column:
+        return F.pmod(F.xxhash64(col), F.lit(self.queries)).cast("int")
 
+    def as_rows(self, data: DataFrame) -> DataFrame:
+        """Each row once for every block of queries, with the columns d and q."""
+        return data.withColumn("d", self.place_of_row()).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(self.queries - 1))))
+
+    def as_queries(self, data: DataFrame) -> DataFrame:
+        """Each query once for every block of rows, with the columns d and q."""
+        again = data.select(*[F.col(c).alias(c) for c in data.columns])  # columns of their own, so that both sides can meet
+        return again.where(F.col("vec_id") % self.every == 0).withColumn("q", self.place_of_query()).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(self.rows - 1))))
+
+
+def matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, rising, and their vectors."""
+    order = np.argsort(pdf["vec_id"].to_numpy(np.int64), kind="stable")
+    return pdf["vec_id"].to_numpy(np.int64)[order], np.stack([pdf["v"].iat[k] for k in order]).astype(float) if len(order) else np.zeros((0, 0))
 
-def ranked(scores: DataFrame, k: int) -> DataFrame:
-    """The k best (query_id, vec_id, score) of each query, with their rank; ties go to the smaller vec_id."""
-    from pyspark.sql import Window
 
-    order: list[Column] = [F.desc("score"), F.asc("vec_id")]
-    return scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+def ranked(scores: DataFrame, k: int, by: str = "score") -> DataFrame:
+    """The k best rows of each query_id by the column ``by``, with their rank; ties go to the smaller vec_id."""
+    order: list[Column] = [F.desc(by), F.asc("vec_id")]
+    return scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)).cast("int")).where(F.col("rank") <= k)
