@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,9 +11,14 @@ from pyspark.sql import types as T
 PAD, BOS, EOS, UNK, SHIFT = 0, 1, 2, 3, 4
 
 
+def each_byte(raw: Column) -> Column:
+    """The bytes of a binary as ints: read as Latin-1, where a byte is a character of that number."""
+    chars = F.split(F.decode(raw, "ISO-8859-1"), "")
+    return F.when(F.octet_length(raw) == 0, F.expr("cast(array() as array<int>)")).otherwise(F.transform(chars, lambda c: F.ascii(c)))
+
+
 def _bytes(text: Column) -> Column:
-    """Each byte as an int; the pairs of hexadecimal digits are found once, not per element."""
-    return F.transform(F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0)), lambda x: F.conv(x, 16, 10).cast("int"))
+    return each_byte(F.encode(text, "UTF-8"))
 
 
 def byte_encode(text: Column, bos: bool = False, eos: bool = False) -> Column:
@@ -21,10 +27,15 @@ def byte_encode(text: Column, bos: bool = False, eos: bool = False) -> Column:
     return F.concat(*([F.array(F.lit(BOS))] * bos), body, *([F.array(F.lit(EOS))] * eos))
 
 
-def byte_decode(ids: Column) -> Column:
-    """Bytes of the ids from four up; malformed UTF-8 becomes U+FFFD."""
+def raw_bytes(ids: Column) -> Column:
+    """The bytes of the ids from four up, as a binary."""
     body = F.filter(ids, lambda i: i >= SHIFT)
-    return F.make_valid_utf8(F.unhex(F.array_join(F.transform(body, lambda i: F.lpad(F.hex((i - SHIFT).cast("long")), 2, "0")), "")).cast("string"))
+    return F.encode(F.array_join(F.transform(body, lambda i: F.char((i - SHIFT).cast("long"))), ""), "ISO-8859-1")
+
+
+def byte_decode(ids: Column) -> Column:
+    """The text of the ids from four up; malformed UTF-8 becomes U+FFFD."""
+    return F.make_valid_utf8(raw_bytes(ids).cast("string"))
 
 
 def skeleton_encode(text: Column, vocab: int, length: int) -> Column:
@@ -53,19 +64,22 @@ def pack(lines: DataFrame, seq: str, text: str, length: int) -> DataFrame:
     """(chunk, input_ids): all lines, each with a line end, as one stream after a BOS, cut to chunks of ``length``.
 
     A chunk needs one token to look ahead to, so the last, partial one drops,
-    and a full last one too.  Each line gives its slices; a chunk joins the few
-    that fall in it.
+    and a full last one too.  A line's tokens are its bytes, so places come
+    from its length alone, slices travel as bytes, and only a whole chunk is
+    made tokens.
     """
-    ids = lines.select(F.col(seq), byte_encode(F.concat(F.coalesce(F.col(text), F.lit("")), F.lit("\n"))).alias("ids"))
-    placed = line_starts(ids, seq, F.size("ids")).withColumn("start", F.col("start") + 1)  # the BOS comes first
-    whole = placed.agg(F.max(F.col("start") + F.col("n"))).first()[0] or 1
+    own = lines.select(F.col(seq), F.encode(F.concat(F.coalesce(F.col(text), F.lit("")), F.lit("\n")), "UTF-8").alias("raw"))
+    starts = line_starts(own.select(seq, F.octet_length("raw").alias("bytes")), seq, F.col("bytes"))
+    whole = 1 + (own.agg(F.sum(F.octet_length("raw"))).first()[0] or 0)
     chunks = (whole - 1) // length
+    placed = own.join(starts.select(F.col(seq).alias("_seq"), (F.col("start") + 1).alias("start"), "n"), F.col(seq) == F.col("_seq"))  # the BOS comes first
     first, last = F.floor(F.col("start") / length), F.floor((F.col("start") + F.col("n") - 1) / length)
-    parts = placed.select("start", "n", "ids", F.explode(F.sequence(first, last)).alias("chunk")).where(F.col("chunk") < chunks)
+    parts = placed.select("start", "n", "raw", F.explode(F.sequence(first, last)).alias("chunk")).where(F.col("chunk") < chunks)
     lo, hi = F.greatest(F.col("chunk") * length - F.col("start"), F.lit(0)), F.least((F.col("chunk") + 1) * length - F.col("start"), F.col("n"))
-    cut = parts.select("chunk", "start", F.slice("ids", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("ids"))
-    body = cut.groupBy("chunk").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "ids"))), lambda p: p["ids"])).alias("ids"))
-    return body.select("chunk", F.when(F.col("chunk") == 0, F.concat(F.array(F.lit(BOS)), "ids")).otherwise(F.col("ids")).alias("input_ids"))
+    cut = parts.select("chunk", "start", F.hex(F.substring("raw", (lo + 1).cast("int"), (hi - lo).cast("int"))).alias("raw"))
+    body = cut.groupBy("chunk").agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "raw"))), lambda p: p["raw"]), "")).alias("raw"))
+    ids = F.transform(each_byte(F.col("raw")), lambda b: b + SHIFT)
+    return body.select("chunk", F.when(F.col("chunk") == 0, F.concat(F.array(F.lit(BOS)), ids)).otherwise(ids).alias("input_ids"))
 
 
 def hard_labels(losses: Column, threshold: float, rate: float | None = None) -> Column:
@@ -86,12 +100,16 @@ def external_labels(hot: Column, teacher: Column, least_hot: float = 3.0, most_t
 
 @F.pandas_udf(T.StringType())
 def fnv1a_hex(x: pd.Series) -> pd.Series:
-    """64-bit FNV-1a in hexadecimal; Spark has no wrapping 64-bit product under ANSI rules."""
-
-    def one(t: str) -> str:
-        h = 0xCBF29CE484222325
-        for b in t.encode():
-            h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-        return f"{h:016x}"
-
-    return x.map(lambda t: None if t is None else one(t))
+    """64-bit FNV-1a in hexadecimal; Spark has no wrapping 64-bit product under ANSI rules.  All texts of a batch step together, byte by byte."""
+    raw = [None if t is None else t.encode() for t in x]
+    size = np.array([0 if r is None else len(r) for r in raw], np.int64)
+    order = np.argsort(-size, kind="stable")  # longest first, so that those still at it are a prefix
+    flat = np.frombuffer(b"".join(raw[k] or b"" for k in order), np.uint8).astype(np.uint64)
+    at, left = np.concatenate([[0], np.cumsum(size[order])[:-1]]).astype(np.int64), size[order]
+    h = np.full(len(raw), 0xCBF29CE484222325, np.uint64)
+    for k in range(int(size.max()) if len(size) else 0):
+        n = int(np.searchsorted(-left, -k, "left"))  # those longer than k
+        h[:n] = (h[:n] ^ flat[at[:n] + k]) * np.uint64(0x100000001B3)
+    out = np.empty(len(raw), object)
+    out[order] = [f"{v:016x}" for v in h.tolist()]
+    return pd.Series([None if r is None else o for r, o in zip(raw, out, strict=True)])

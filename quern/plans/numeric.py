@@ -51,9 +51,9 @@ def entropy(spark, sf_dir):
     return _vectors(spark, sf_dir).withColumn("p", A.softmax(F.col("e"))).select("vec_id", F.round(A.normalized_entropy(F.col("p")), 6).alias("h"))
 
 
-@query("ema_window", f"WITH {_VEC} SELECT vec_id, round(list_sum(list_transform(range(1, 63), lambda k: e[k] * 0.5::DOUBLE * pow(0.5::DOUBLE, 62 - k))), 6) AS summary, round(list_sum(e[63:64]) / 2, 6) AS kept FROM v WHERE len(e) = 64")
+@query("ema_window", f"WITH {_VEC} SELECT vec_id, round(coalesce(list_sum(list_transform(range(1, len(e) - 1), lambda k: e[k] * 0.5::DOUBLE * pow(0.5::DOUBLE, len(e) - 2 - k))), 0), 6) AS summary, round(list_sum(e[greatest(len(e) - 1, 1):len(e)]) / least(len(e), 2), 6) AS kept FROM v")
 def ema_window(spark, sf_dir):
-    """Of vectors of any length, the mean of the last two values and the EMA of those before; the SQL is that of the tables' 64."""
+    """Of vectors of any length, the mean of the last two values and the EMA of those before."""
     kept = F.slice("e", F.greatest(F.size("e") - 1, F.lit(1)), F.lit(2))
     return _vectors(spark, sf_dir).select("vec_id", F.round(A.ema_of_evicted(F.col("e"), 2, 0.5), 6).alias("summary"), F.round(F.try_divide(A.total(kept), F.size(kept)), 6).alias("kept"))
 
@@ -129,25 +129,17 @@ def _decoded(docs):
     return docs.select("doc_id", F.sha2(tokens.byte_decode(tokens.byte_encode(F.coalesce("text", F.lit("")), bos=True)), 256).alias("sha"))
 
 
-@query("byte_encode", f"SELECT doc_id, len(ids) AS n, list_sum(list_transform(ids, lambda x: x::BIGINT)) AS total, ids[1] AS first, ids[len(ids)] AS last FROM (SELECT doc_id, [1] || list_transform({_HEX}, lambda b: b + 4) || [2] AS ids FROM documents WHERE length(text) <= 2000)")
+@query("byte_encode", f"SELECT doc_id, len(ids) AS n, list_sum(list_transform(ids, lambda x: x::BIGINT)) AS total, ids[1] AS first, ids[len(ids)] AS last FROM (SELECT doc_id, [1] || list_transform({_HEX.replace('text', "coalesce(text, '')")}, lambda b: b + 4) || [2] AS ids FROM documents)")
 def byte_encode(spark, sf_dir):
-    return _encoded(table(spark, sf_dir, "documents").where(F.length("text") <= 2000))
+    """Every document, at any length; a null text counts as an empty one, as in ``tokens.pack``."""
+    d = table(spark, sf_dir, "documents").select("doc_id", tokens.byte_encode(F.coalesce("text", F.lit("")), bos=True, eos=True).alias("ids"))
+    return d.select("doc_id", F.size("ids").cast("long").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.element_at("ids", 1).alias("first"), F.element_at("ids", -1).alias("last"))
 
 
-@query("byte_decode", "SELECT doc_id, sha256(text) AS sha FROM documents WHERE length(text) <= 2000")
+@query("byte_decode", "SELECT doc_id, sha256(coalesce(text, '')) AS sha FROM documents")
 def byte_decode(spark, sf_dir):
-    return _decoded(table(spark, sf_dir, "documents").where(F.length("text") <= 2000))
-
-
-@query("byte_encode_whole", f"SELECT doc_id, len(ids) AS n, list_sum(list_transform(ids, lambda x: x::BIGINT)) AS total, ids[1] AS first, ids[len(ids)] AS last FROM (SELECT doc_id, [1] || list_transform({_HEX.replace('text', "coalesce(text, '')")}, lambda b: b + 4) || [2] AS ids FROM documents)")
-def byte_encode_whole(spark, sf_dir):
-    """``byte_encode`` of every document, at any length; a null text counts as an empty one, as in ``tokens.pack``."""
-    return _encoded(table(spark, sf_dir, "documents"))
-
-
-@query("byte_decode_whole", "SELECT doc_id, sha256(coalesce(text, '')) AS sha FROM documents")
-def byte_decode_whole(spark, sf_dir):
-    return _decoded(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.sha2(tokens.byte_decode(tokens.byte_encode(F.coalesce("text", F.lit("")), bos=True)), 256).alias("sha"))
 
 
 @query("skeleton_encode", f"SELECT doc_id, ([1] || list_transform(({_HEX})[1:30], lambda b: b % 60 + 4) || [2] || list_transform(range(0, 32), lambda k: 0))[1:32] AS ids FROM documents")
@@ -160,8 +152,8 @@ c AS (SELECT unnest(range(0, (n - 1) // 4096)) AS chunk, h FROM n)
 SELECT chunk, CASE WHEN chunk = 0 THEN md5('01' || h[1 : 4095 * 2]) ELSE md5(h[(chunk * 4096 - 1) * 2 + 1 : (chunk * 4096 + 4095) * 2]) END AS digest FROM c""")
 def pack_tokens(spark, sf_dir):
     packed = tokens.pack(table(spark, sf_dir, "documents"), "doc_id", "text", 4096)
-    back = F.array_join(F.transform("input_ids", lambda i: F.when(i == tokens.BOS, F.lit("01")).otherwise(F.lpad(F.hex((i - 4).cast("long")), 2, "0"))), "")
-    return packed.select("chunk", F.md5(back).alias("digest"))
+    bos = F.when(F.element_at("input_ids", 1) == tokens.BOS, "01").otherwise("")
+    return packed.select("chunk", F.md5(F.concat(bos, F.hex(tokens.raw_bytes(F.col("input_ids"))))).alias("digest"))
 
 
 @query("hard_token_labels", f"""WITH {_VEC}, a AS (SELECT vec_id, list_transform(e, lambda x: abs(x)) AS l FROM v), b AS (SELECT *, greatest(0.1::DOUBLE, list_sort(l, 'DESC')[greatest(1, floor(len(l) * 0.125::DOUBLE))::INT]) AS bar FROM a)
@@ -280,20 +272,11 @@ def hybrid_rank(spark, sf_dir):
     return retrieval.hybrid(*_bench_docs(spark, sf_dir), 5)
 
 
-def _nearest(spark, sf_dir, asked):
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return retrieval.cosine_top(v, v.where(asked), 10)
-
-
-@query("cosine_topk", "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id < 16), s AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(qv, embedding::DOUBLE[]), 6) AS score FROM q, embeddings WHERE vec_id <> query_id) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10")
+@query("cosine_topk", "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(qv, embedding::DOUBLE[]), 6) AS score FROM q, embeddings WHERE vec_id <> query_id) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10")
 def cosine_topk(spark, sf_dir):
-    return _nearest(spark, sf_dir, "id < 16")
-
-
-@query("cosine_topk_whole", "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS id, round(list_cosine_similarity(qv, embedding::DOUBLE[]), 6) AS score FROM q, embeddings WHERE vec_id <> query_id) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10")
-def cosine_topk_whole(spark, sf_dir):
-    """``cosine_topk`` with the stated query set, every vec_id divisible by 50, which grows with the table."""
-    return _nearest(spark, sf_dir, "id % 50 = 0")
+    """The stated query set is every vec_id divisible by 50, which grows with the table; candidates are all rows."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return retrieval.cosine_top(v, v.where("id % 50 = 0"), 10)
 
 
 _MEM = Fixture("id string, importance double, access_count long, last_access double, payload_bytes long", ["VARCHAR", "DOUBLE", "BIGINT", "DOUBLE", "BIGINT"], [(f"m{k}", 0.5 + (k * 37 % 50) / 100, k * 13 % 7, 1e6 - k * 50_000.0, 100 + k * 29 % 83) for k in range(20)])

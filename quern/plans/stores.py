@@ -55,28 +55,15 @@ def knowledge_query(spark, sf_dir):
     return knowledge.search(points, asked)
 
 
-def _remembered(spark, sf_dir, items):
-    memories = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("seq"), "text")
-    return knowledge.memory_search(memories, items.select(F.col("item_id").alias("query_id"), "text"), 3)
-
-
-@query("lexical_memory_search", """WITH q AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '')) AS q FROM (SELECT * FROM benchmark ORDER BY item_id LIMIT 5)),
+@query("lexical_memory_search", """WITH q AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '')) AS q FROM benchmark),
 a AS (SELECT query_id, len(q) AS size, unnest(q) AS tok FROM q),
 h AS (SELECT doc_id, unnest(list_distinct(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda t: regexp_replace(t, '^[.,:;()\\[\\]{}]+|[.,:;()\\[\\]{}]+$', '', 'g')))) AS tok FROM documents),
 s AS (SELECT query_id, doc_id, round(count(*)::DOUBLE / size, 4) AS score FROM a JOIN h USING (tok) GROUP BY query_id, doc_id, size)
 SELECT query_id, rank::INTEGER AS rank, doc_id AS id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 3""")
 def lexical_memory_search(spark, sf_dir):
-    return _remembered(spark, sf_dir, table(spark, sf_dir, "benchmark").orderBy("item_id").limit(5))
-
-
-@query("lexical_memory_search_whole", """WITH q AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '')) AS q FROM benchmark),
-a AS (SELECT query_id, len(q) AS size, unnest(q) AS tok FROM q),
-h AS (SELECT doc_id, unnest(list_distinct(list_transform(regexp_split_to_array(lower(text), '\\s+'), lambda t: regexp_replace(t, '^[.,:;()\\[\\]{}]+|[.,:;()\\[\\]{}]+$', '', 'g')))) AS tok FROM documents),
-s AS (SELECT query_id, doc_id, round(count(*)::DOUBLE / size, 4) AS score FROM a JOIN h USING (tok) GROUP BY query_id, doc_id, size)
-SELECT query_id, rank::INTEGER AS rank, doc_id AS id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 3""")
-def lexical_memory_search_whole(spark, sf_dir):
-    """``lexical_memory_search`` for every item of ``benchmark``."""
-    return _remembered(spark, sf_dir, table(spark, sf_dir, "benchmark"))
+    """Every item of ``benchmark`` as a query against all documents as memories."""
+    memories = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("seq"), "text")
+    return knowledge.memory_search(memories, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 3)
 
 
 OPS = Fixture("session string, seq long, ops array<string>", ["VARCHAR", "BIGINT", _LIST], [("a", 2, ["loop", "read"]), ("a", 1, ["read", "filter"]), ("a", 3, ["write"]), ("b", 1, ["emit"])])
