@@ -7,6 +7,9 @@ test that comes before its expression.
 
 # Word lists and patterns of the rules, in their natural order.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+# The same texts match as by EMAIL, in time linear in the text: a run of name characters is entered at its last word only.
+EMAIL_ONCE = r"(?:\b[A-Za-z0-9_]++[.%+-]*+|\b[.%+-]++)@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+# Fixed values, continued.
 SECRET_MARKERS = ("sk-", "api_key", "api-key", "secret", "token", "password", "akia")
 SECRET = r"(?i)\b(sk-[A-Za-z0-9_-]{16,}|(api[_-]?key|secret|token|password)\s*[:=]\s*[A-Za-z0-9_./+=-]{12,}|AKIA[0-9A-Z]{16})\b"
 SECRET_KEYS = ("api_key", "api-key", "secret", "token", "password")
@@ -23,7 +26,8 @@ MOJIBAKE = "�|Ã.|â€|鈥|檚|搒|揷|榚|茅|铆|€|缁|涓€|璇|鐢|鍚
 MOJIBAKE_TERMS = ("�", "Ã", "â€", "鈥", "檚", "搒", "揷", "榚", "茅", "铆", "€", "缁", "涓€", "璇", "鐢", "鍚", "鏁", "鐓", "楠", "姹")
 PERSONA_MARKERS = ("pretend", "roleplay", "act", "mommy", "baby girl")
 PERSONA = r"(?i)\b(pretend|roleplay|act)\b.{0,80}\b(6|six|7|seven|8|eight)\s*(year[- ]old|yo)\s+(girl|boy|child)|\b(call me mommy|hi mommy|baby girl)\b"
-PERSONA_PLAY, PERSONA_AGE, PERSONA_WHO = ("pretend", "roleplay", "act"), tuple(f"{n} year old" for n in ("6", "six", "7", "seven", "8", "eight")), ("girl", "boy", "child")
+PERSONA_PLAY, PERSONA_WHO = ("pretend", "roleplay", "act"), ("girl", "boy", "child")
+PERSONA_AGE = ("6 year old", "six year old", "7 year old", "seven year old", "8 year old", "eight year old")
 PERSONA_ALONE = ("call me mommy", "baby girl")
 SENSITIVE = ("passcode", "phone", "pin", "password")
 FORCING = ("guess", "brute force", "generate combinations", "test each combination", "try every")
@@ -43,7 +47,10 @@ ZH_TOOL = ("工具调用", "工具", "命令", "终端", "接口", "函数调用
 ZH_SECURITY = ("漏洞", "注入", "越权", "鉴权", "权限绕过", "安全审计", "攻击面", "补丁", "修补", "XSS", "SSRF", "SQL注入")
 ZH_REASONING = ("为什么", "原因", "步骤", "推导", "证明", "因为", "所以", "怎么")
 REPAIR = r"(?i)\b(actually|correction|fix(?:ed|ing)?\s+(?:bug|issue|error|test)|regression test|root cause|I was wrong)\b"
-REPAIR_TERMS = ("actually", "correction", *(f"{f} {w}" for w in ("bug", "issue", "error") for f in ("fixed", "fixing", "fix")), "regression test", "root cause", "i was wrong")
+REPAIR_TERMS = (
+    "actually", "correction", "fixed bug", "fixing bug", "fix bug", "fixed issue", "fixing issue", "fix issue", "fixed error", "fixing error", "fix error",
+    "regression test", "root cause", "i was wrong",
+)
 GENERIC_REPLIES = ("sure", "yes", "ok", "i can help with that")
 CUES, CUE_MARKS = ("how", "why"), ("?", "？", "怎么")
 LICENSES = ("apache-2.0", "odc-by", "cc-by-4.0", "cc-by-sa-3.0", "cc-by-sa-4.0", "mit")

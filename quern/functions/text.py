@@ -44,13 +44,36 @@ def normalize_for_hash(text: Column, compose: bool = True) -> Column:
     return F.trim(F.regexp_replace(F.lower(clean_text(text, compose)), r"\s+", " "))
 
 
+def let(x: Column, f) -> Column:
+    """f(x), with x computed once however often f speaks of it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _up_to_last(text: Column, end: str, f) -> Column:
+    """f of the text up to the last match of ``end``, and the rest as it is.
+
+    A pattern that runs to such an end would search the whole rest anew from each place that has none.
+    """
+
+    def cut(t: Column) -> Column:
+        return let(F.regexp_extract(t, f"(?is)^.*{end}", 0), lambda head: F.concat(f(head), F.substring(t, F.length(head) + 1, F.length(t))))
+
+    return let(text, cut)
+
+
 def clean_html(text: Column, entities: bool = True) -> Column:
-    """Visible text of HTML: entities, scripts and styles out, block ends as line ends, tags out."""
+    """Visible text of HTML: entities, scripts and styles out, block ends as line ends, tags out; in time linear in the text."""
     t = unescape(text) if entities else text
-    t = F.regexp_replace(F.regexp_replace(t, r"(?is)<script.*?</script>", ""), r"(?is)<style.*?</style>", "")
-    t = F.regexp_replace(t, r"(?i)<\s*br\s*/?\s*>", "\n")
-    t = F.regexp_replace(t, r"(?i)</\s*(p|li|div|pre|blockquote|h[1-6])\s*>", "\n")
-    return tidy(F.regexp_replace(t, r"(?s)<[^>]+>", ""))
+    for tag in ("script", "style"):
+        t = _up_to_last(t, f"</{tag}>", lambda head, tag=tag: F.regexp_replace(head, rf"(?is)<{tag}.*?</{tag}>", ""))
+    t = F.regexp_replace(t, r"(?i)<\s*+br\s*+/?\s*+>", "\n")
+    t = F.regexp_replace(t, r"(?i)</\s*+(p|li|div|pre|blockquote|h[1-6])\s*+>", "\n")
+    return tidy(_up_to_last(t, ">", lambda head: F.regexp_replace(head, r"(?s)<[^>]++>", "")))
+
+
+def ascii_lower(text: Column) -> Column:
+    """Lower case of A to Z only."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def has_any(text: Column, terms: tuple[str, ...]) -> Column:
@@ -61,15 +84,22 @@ def has_any(text: Column, terms: tuple[str, ...]) -> Column:
 
 
 def repetition_ratio(lower: Column, byte_length: bool = False) -> Column:
-    """Share of the tokens longer than two that occur more than four times; 0 for fewer than twenty tokens."""
-    tokens = F.regexp_extract_all(lower, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    """Share of the tokens longer than two that occur more than four times; 0 for fewer than twenty tokens.
+
+    Tokens are found and sorted once.  Among sorted tokens, one that equals the
+    fourth after it counts 1, and the first such of its run counts for the four
+    that have none.
+    """
     size = F.octet_length if byte_length else F.length
-    run = lambda s: F.when((s["n"] > 4) & (size(s["last"]) > 2), s["total"] + s["n"]).otherwise(s["total"])
-    counted = F.aggregate(  # over the sorted tokens: lengths of runs
-        F.array_sort(tokens), F.struct(F.lit("").alias("last"), F.lit(0).alias("n"), F.lit(0).alias("total")),
-        lambda s, t: F.when(s["last"] == t, F.struct(t.alias("last"), (s["n"] + 1).alias("n"), s["total"].alias("total"))).otherwise(F.struct(t.alias("last"), F.lit(1).alias("n"), run(s).alias("total"))), run,
-    )
-    return F.when(F.size(tokens) < 20, F.lit(0.0)).otherwise(counted / F.greatest(F.size(tokens), F.lit(1)))
+
+    def of(t: Column) -> Column:
+        def counted(n: Column, i: Column) -> Column:
+            first = (i == 0) | (F.get(t, i - 1) != F.get(t, i))
+            return n + F.when((F.get(t, i) == F.get(t, i + 4)) & (size(F.get(t, i)) > 2), F.when(first, 5).otherwise(1)).otherwise(0)
+
+        return F.when(F.size(t) < 20, F.lit(0.0)).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(t) - 5), F.lit(0), counted) / F.size(t))
+
+    return let(F.sort_array(F.regexp_extract_all(lower, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))), of)
 
 
 def bad_unicode_ratio(text: Column, returns_are_bad: bool = True) -> Column:

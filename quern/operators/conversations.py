@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import signals as S
 from ..functions import text as X
-from .rules import Policy, first_reason, metadata_rules, scored, text_rules
+from .rules import Policy, first_reason, lowered, metadata_rules, scored, text_rules
 
 MESSAGES = "array<struct<role:string,content:string>>"
 
@@ -63,7 +63,7 @@ def judge(conversations: DataFrame, policy: Policy | None = None, ruleset: str =
     """Adds text, score, category, quality_tags and reject_reason (null: fine) to rows with messages, license_id and language."""
     policy = policy or Policy()
     text, lower, m = F.col("text"), F.col("lower"), F.col("messages")
-    out = conversations.withColumn("text", plain_text(m)).withColumn("lower", F.lower("text"))
+    out = conversations.withColumn("text", plain_text(m)).withColumn("lower", lowered(ruleset, F.col("text")))
     score, category, tags = scored(ruleset, text, lower, F.size(m), generic_reply_ratio(m))
     out = out.withColumns({"score": score, "category": category, "quality_tags": tags})
     rules = metadata_rules(policy, F.col("license_id"), F.col("language"), F.size(m), alternates(m), ruleset == "fast") + text_rules(ruleset, policy, text, lower)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,9 +16,13 @@ def fingerprint(text, compose: bool = True):
 
 
 def first_by_key(rows: DataFrame, key: str, seq: str) -> DataFrame:
-    """The row of least ``seq`` of each key.  The least seq is aggregated first, so that a hot key meets before the shuffle."""
-    least = rows.groupBy(key).agg(F.min(seq).alias(seq))
-    return rows.join(least, [key, seq], "left_semi")
+    """The row of least ``seq`` of each key (one of them, if several share it).
+
+    One aggregate over the whole rows: they are computed once, and those of a
+    hot key meet before the shuffle.
+    """
+    rest = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    return rows.groupBy(key).agg(F.min_by(rest, seq).alias("_row")).select("_row.*")
 
 
 def seeded(rows: DataFrame, prior: DataFrame, key: str) -> DataFrame:
@@ -33,14 +39,15 @@ def first_wins(rows: DataFrame, keep) -> DataFrame:
     written table).
     """
     rows = keep(rows.select("seq", "fp", "thread"))
-    undecided, winners = rows, rows.limit(0)
+    undecided, won = rows, []
     while not undecided.isEmpty():
         by_fp, by_thread = undecided.groupBy("fp").agg(F.min("seq").alias("fp_least")), undecided.where("thread is not null").groupBy("thread").agg(F.min("seq").alias("thread_least"))
         state = undecided.join(by_fp, "fp").join(by_thread, "thread", "left")
         accepted = state.where((F.col("seq") == F.col("fp_least")) & (F.col("thread").isNull() | (F.col("seq") == F.col("thread_least"))))
         accepted = keep(accepted.select("seq", "fp", "thread"))
-        winners = winners.union(accepted)
+        won.append(accepted)
         undecided = keep(undecided.join(accepted.select("fp"), "fp", "left_anti").join(accepted.select("thread"), "thread", "left_anti").select("seq", "fp", "thread"))
+    winners = reduce(DataFrame.union, won, rows.limit(0))
     # the reason needs all accepted rows: a thread's may have been found after the row was out by its text
     threads = winners.where("thread is not null").select("thread", F.col("seq").alias("thread_seq"))
     out = rows.join(winners.select("seq", F.lit(True).alias("won")), "seq", "left").join(threads, "thread", "left")

@@ -53,10 +53,10 @@ def _length_rules(policy: Policy, text: Column) -> list[tuple[str, Column]]:
 
 def strict_text_rules(policy: Policy, text: Column, lower: Column) -> list[tuple[str, Column]]:
     return [
-        ("pii_or_secret", (F.contains(text, F.lit("@")) & text.rlike(S.EMAIL)) | (X.has_any(lower, S.SECRET_MARKERS) & text.rlike(S.SECRET))),
+        ("pii_or_secret", (F.contains(text, F.lit("@")) & text.rlike(S.EMAIL_ONCE)) | (X.has_any(lower, S.SECRET_MARKERS) & text.rlike(S.SECRET))),
         ("financial_market_advice", X.has_any(lower, S.MARKET_MARKERS) & text.rlike(S.MARKET)),
         ("bad_code_artifact", X.has_any(lower, S.BAD_CODE_MARKERS) & text.rlike(S.BAD_CODE)),
-        ("mojibake", text.rlike(S.MOJIBAKE)),
+        ("mojibake", (F.octet_length(text) != F.length(text)) & text.rlike(S.MOJIBAKE)),  # none of its characters is ASCII alone
         ("child_persona_roleplay", X.has_any(lower, S.PERSONA_MARKERS) & text.rlike(S.PERSONA)),
         ("unsafe_security", X.has_any(lower, S.SENSITIVE) & X.has_any(lower, S.FORCING) & text.rlike(S.UNSAFE)),
         *_length_rules(policy, text),
@@ -93,13 +93,23 @@ def fast_text_rules(policy: Policy, text: Column, lower: Column) -> list[tuple[s
     ]
 
 
+def lowered(ruleset: str, text: Column) -> Column:
+    """The lower case that a set of rules looks at: the fast set knows that of ASCII only."""
+    return X.ascii_lower(text) if ruleset == "fast" else F.lower(text)
+
+
 def text_rules(ruleset: str, policy: Policy, text: Column, lower: Column) -> list[tuple[str, Column]]:
     return {"strict": strict_text_rules, "fast": fast_text_rules}[ruleset](policy, text, lower)
 
 
+#: The order of the prefilter's rules, which is not that of the fast set.
+PREFILTER_ORDER = ("too_short", "too_long", "pii_or_secret", "bad_code_artifact", "mojibake", "url_only", "bad_unicode", "unsafe_security", "financial_market_advice", "repetition")
+
+
 def prefilter_rules(policy: Policy, text: Column, lower: Column) -> list[tuple[str, Column]]:
-    """The hard rejections that may run ahead of the rest: the fast rules without the persona rule."""
-    return [r for r in fast_text_rules(policy, text, lower) if r[0] != "child_persona_roleplay"]
+    """The hard rejections that may run ahead of the rest: the fast rules without the persona rule, in an order of their own."""
+    rules = dict(fast_text_rules(policy, text, lower))
+    return [(r, rules[r]) for r in PREFILTER_ORDER]
 
 
 def features(ruleset: str, text: Column, lower: Column, turns: Column, generic_ratio: Column) -> list[tuple[str, float, Column, Column | None]]:

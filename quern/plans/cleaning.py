@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import conversations as C
 from ..operators import dedup
 from ..operators import rules as R
+from ..sources.lineage import cut
 from .common import Fixture, contains_sql, literal, rlike_sql, table
 from .registry import query
 
@@ -51,9 +52,13 @@ def case_sql(rules: list[tuple[str, str]]) -> str:
     return "CASE " + " ".join(f"WHEN {c} THEN '{r}'" for r, c in rules) + " END"
 
 
-def repetition_sql(source: str, key: str, t: str, name: str = "rep", size: str = "length") -> str:
+def lower_sql(ruleset: str, t: str) -> str:
+    return f"lower({t})" if ruleset == "strict" else f"translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def repetition_sql(source: str, key: str, t: str, name: str = "rep", size: str = "length", ruleset: str = "strict") -> str:
     """CTEs ``name`` (key, ratio) over the rows of ``source``."""
-    return f"""{name}_tokens AS (SELECT {key}, unnest(regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}_]+')) AS tok FROM {source}),
+    return f"""{name}_tokens AS (SELECT {key}, unnest(regexp_extract_all({lower_sql(ruleset, t)}, '[\\p{{L}}\\p{{N}}_]+')) AS tok FROM {source}),
 {name}_counts AS (SELECT {key}, tok, count(*) AS c FROM {name}_tokens GROUP BY ALL),
 {name} AS (SELECT {key}, CASE WHEN sum(c) < 20 THEN 0.0::DOUBLE ELSE coalesce(sum(c) FILTER (c > 4 AND {size}(tok) > 2), 0)::DOUBLE / sum(c)::DOUBLE END AS ratio FROM {name}_counts GROUP BY {key})"""
 
@@ -133,15 +138,18 @@ _LANG = ("language_not_allowed", f"lower(trim(coalesce(lang, ''))) NOT IN {_in((
 
 
 def doc_reasons(spark, sf_dir, ruleset):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text")).withColumn("lower", F.lower("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text")).withColumn("lower", R.lowered(ruleset, F.col("text")))
     lang = [r for r in R.metadata_rules(POLICY, F.lit("mit"), F.col("lang"), F.lit(2), fast=ruleset == "fast") if r[0] == "language_not_allowed"]
     return docs.select("doc_id", "source", "lang", "text", R.first_reason(lang + R.text_rules(ruleset, POLICY, F.col("text"), F.col("lower"))).alias("reason"))
 
 
 def _doc_sql(ruleset: str) -> str:
-    rules = (strict_sql if ruleset == "strict" else fast_sql)("text", "lower(text)", "coalesce(ratio, 0)")
-    size = "length" if ruleset == "strict" else "strlen"
-    return f"WITH {_DOC}, {repetition_sql('d', 'doc_id', 'text', size=size)} SELECT doc_id, {case_sql([_LANG, *rules])} AS reason FROM d LEFT JOIN rep USING (doc_id)"
+    strict = ruleset == "strict"
+    rules = (strict_sql if strict else fast_sql)("text", lower_sql(ruleset, "text"), "coalesce(ratio, 0)")
+    if ruleset == "prefilter":
+        rules = [(r, dict(rules)[r]) for r in R.PREFILTER_ORDER]
+    rep = repetition_sql("d", "doc_id", "text", size="length" if strict else "strlen", ruleset=ruleset)
+    return f"WITH {_DOC}, {rep} SELECT doc_id, {case_sql([_LANG, *rules])} AS reason FROM d LEFT JOIN rep USING (doc_id)"
 
 
 @query("doc_policy_strict", _doc_sql("strict"))
@@ -157,17 +165,18 @@ def doc_policy_fast(spark, sf_dir):
 @query("ruleset_diff", f"""SELECT coalesce(s.reason, 'accepted') AS strict_reason, coalesce(f.reason, 'accepted') AS fast_reason, count(*) AS cnt
 FROM ({_doc_sql('strict')}) s JOIN ({_doc_sql('fast')}) f USING (doc_id) GROUP BY 1, 2""")
 def ruleset_diff(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")).withColumn("lower", F.lower("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumns({f"lower_{r}": R.lowered(r, F.col("text")) for r in ("strict", "fast")})
     reason = {}
     for s in ("strict", "fast"):  # both in one pass over the texts
         lang = [r for r in R.metadata_rules(POLICY, F.lit("mit"), F.col("lang"), F.lit(2), fast=s == "fast") if r[0] == "language_not_allowed"]
-        reason[f"{s}_reason"] = F.coalesce(R.first_reason(lang + R.text_rules(s, POLICY, F.col("text"), F.col("lower"))), F.lit("accepted"))
+        reason[f"{s}_reason"] = F.coalesce(R.first_reason(lang + R.text_rules(s, POLICY, F.col("text"), F.col(f"lower_{s}"))), F.lit("accepted"))
     return docs.select(*[c.alias(k) for k, c in reason.items()]).groupBy("strict_reason", "fast_reason").agg(F.count("*").alias("cnt"))
 
 
-@query("doc_prefilter", _doc_sql("fast").replace("WHEN " + fast_sql("text", "lower(text)", "coalesce(ratio, 0)")[6][1] + " THEN 'child_persona_roleplay' ", ""))
+@query("doc_prefilter", _doc_sql("prefilter"))
 def doc_prefilter(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")).withColumn("lower", F.lower("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")).withColumn("lower", X.ascii_lower(F.col("text")))
     lang = [r for r in R.metadata_rules(POLICY, F.lit("mit"), F.col("lang"), F.lit(2), fast=True) if r[0] == "language_not_allowed"]
     return docs.select("doc_id", R.first_reason(lang + R.prefilter_rules(POLICY, F.col("text"), F.col("lower"))).alias("reason"))
 
@@ -189,7 +198,8 @@ def language_group(spark, sf_dir):
 
 @query("fingerprint_dedup", f"WITH {_DOC}, n AS (SELECT *, row_number() OVER (PARTITION BY trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) ORDER BY doc_id) AS k FROM d) SELECT doc_id, k = 1 AS kept FROM n")
 def fingerprint_dedup(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", dedup.fingerprint(F.coalesce("text", F.lit(""))).alias("fp"))
+    # both sides of the join read the written fingerprints: they are computed once, and a hot one meets in a partial minimum
+    docs = cut(table(spark, sf_dir, "documents").select("doc_id", dedup.fingerprint(F.coalesce("text", F.lit(""))).alias("fp")))
     first = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
     return docs.join(first, "fp").select("doc_id", (F.col("doc_id") == F.col("least")).alias("kept"))
 
@@ -233,22 +243,29 @@ BRANCHES = Fixture("seq long, license_id string, language string, turns int, tex
     (24, "mit", "en", 2, _long + "Call the tool with a json schema argument in the sandbox."), (25, "mit", "en", 2, _long + "The CVE needs a security audit and access control."),
     (26, "mit", "en", 2, _long + "Prove it step by step, because I was wrong about the root cause."), (27, "mit", "yue", 2, _long * 2), (28, "mit", "en", 2, _long + "A class of function, compiler output only, without trouble, as a component."),
     (29, "mit", "en", 2, _long + "Toolbox, pinned acts, excves."), (30, "mit", "", 24, _long * 4),
+    (31, "mit", "en", 2, _long + "A bitcoin shop runs on flask(name) now."), (32, "mit", "en", 2, _long + "Guess the passcode, then buy crypto."),
+    (33, "mit", "en", 2, _long + "Bitcoin cafÃ© with \x01\x02\x03\x04"), (34, "mit", "en", 2, _long + "A ＢＩＴＣＯＩＮ in full width, and the ÉTOILE of Ä."), (35, "mit", "en", 2, "http://one.example.com/bitcoin-and-other-coins http://two.example.com/and-a-longer-path-to-reach-eighty"),
 ])
 
 
 def _branch_sql(ruleset: str) -> str:
-    fast = ruleset == "fast"
+    fast = ruleset != "strict"
     lang = "lower(trim(language))"
     if fast:
         lang = f"CASE WHEN {lang} IN {_in([x for x in S.CHINESE if x != 'yue'])} THEN 'zh' WHEN {lang} IN {_in(S.ENGLISH)} THEN 'en' ELSE {lang} END"
     meta = [("license_not_allowed", f"lower(trim(license_id)) NOT IN {_in(S.LICENSES)}"), ("language_not_allowed", f"({lang}) <> '' AND ({lang}) NOT IN {_in(S.LANGUAGES)}"), ("too_few_turns", "turns < 2"), ("too_many_turns", "turns > 24")]
-    rules = (fast_sql if fast else strict_sql)("text", "lower(text)", "coalesce(ratio, 0)")
-    score, category, tags = scored_sql(ruleset, "text", "lower(text)", "turns", "0.0::DOUBLE")
-    return f"WITH {BRANCHES.sql('fx')}, {repetition_sql('fx', 'seq', 'text', size='strlen' if fast else 'length')} SELECT seq, {case_sql(meta + rules)} AS reason, round({score}, 4) AS score, {category} AS category, {tags} AS tags FROM fx LEFT JOIN rep USING (seq)"
+    rules = (fast_sql if fast else strict_sql)("text", lower_sql(ruleset, "text"), "coalesce(ratio, 0)")
+    if ruleset == "prefilter":
+        rules = [(r, dict(rules)[r]) for r in R.PREFILTER_ORDER]
+    rep = repetition_sql("fx", "seq", "text", size="strlen" if fast else "length", ruleset=ruleset)
+    if ruleset == "prefilter":
+        return f"WITH {BRANCHES.sql('fx')}, {rep} SELECT seq, {case_sql(meta + rules)} AS reason FROM fx LEFT JOIN rep USING (seq)"
+    score, category, tags = scored_sql(ruleset, "text", lower_sql(ruleset, "text"), "turns", "0.0::DOUBLE")
+    return f"WITH {BRANCHES.sql('fx')}, {rep} SELECT seq, {case_sql(meta + rules)} AS reason, round({score}, 4) AS score, {category} AS category, {tags} AS tags FROM fx LEFT JOIN rep USING (seq)"
 
 
 def _branches(spark, ruleset):
-    rows = BRANCHES.frame(spark).withColumn("lower", F.lower("text"))
+    rows = BRANCHES.frame(spark).withColumn("lower", R.lowered(ruleset, F.col("text")))
     score, category, tags = R.scored(ruleset, F.col("text"), F.col("lower"), F.col("turns"), F.lit(0.0))
     rules = R.metadata_rules(POLICY, F.col("license_id"), F.col("language"), F.col("turns"), fast=ruleset == "fast") + R.text_rules(ruleset, POLICY, F.col("text"), F.col("lower"))
     return rows.select("seq", R.first_reason(rules).alias("reason"), F.round(score, 4).alias("score"), category.alias("category"), F.array_join(tags, ",").alias("tags"))
@@ -264,6 +281,14 @@ def score_features_fast(spark, sf_dir):
     return _branches(spark, "fast")
 
 
+@query("prefilter_branches", _branch_sql("prefilter"))
+def prefilter_branches(spark, sf_dir):
+    """Rows that break two rules at once get the reason that the prefilter's own order gives."""
+    rows = BRANCHES.frame(spark).withColumn("lower", X.ascii_lower(F.col("text")))
+    rules = R.metadata_rules(POLICY, F.col("license_id"), F.col("language"), F.col("turns"), fast=True) + R.prefilter_rules(POLICY, F.col("text"), F.col("lower"))
+    return rows.select("seq", R.first_reason(rules).alias("reason"))
+
+
 @query("bad_unicode_ratio", f"WITH {BRANCHES.sql('fx')} SELECT seq, round(len(regexp_extract_all(text, '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x{{9f}}]'))::DOUBLE / length(text), 6) AS ratio FROM fx")
 def bad_unicode_ratio(spark, sf_dir):
     return BRANCHES.frame(spark).select("seq", F.round(X.bad_unicode_ratio(F.col("text")), 6).alias("ratio"))

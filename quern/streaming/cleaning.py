@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedup import fingerprint
-from ..operators.rules import Policy, first_reason, text_rules
+from ..operators.rules import Policy, first_reason, lowered, text_rules
 
 
 def source(spark: SparkSession, path: str, schema, files_per_batch: int = 100, form: str = "parquet") -> DataFrame:
@@ -24,7 +24,7 @@ def table_source(rows: DataFrame, path: str) -> DataFrame:
 
 def cleaned(rows: DataFrame, text: Column, policy: Policy | None = None, ruleset: str = "strict") -> DataFrame:
     """Adds ``reject_reason`` and ``fp``; works on streams and tables alike."""
-    out = rows.withColumn("_text", F.coalesce(text, F.lit(""))).withColumn("_lower", F.lower("_text"))
+    out = rows.withColumn("_text", F.coalesce(text, F.lit(""))).withColumn("_lower", lowered(ruleset, F.col("_text")))
     reason = first_reason(text_rules(ruleset, policy or Policy(), F.col("_text"), F.col("_lower")))
     return out.withColumns({"reject_reason": reason, "fp": fingerprint(F.col("_text"))}).drop("_text", "_lower")
 

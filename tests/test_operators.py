@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from quern.operators import dedup
 
 
@@ -127,8 +129,8 @@ def test_bytes_of_whole_texts(spark, tmp_path):
     for k, text in texts.items():
         ids = [1, *(b + 4 for b in (text or "").encode()), 2]
         want[k] = (len(ids), sum(ids), ids[0], ids[-1])
-    assert {r["doc_id"]: tuple(r)[1:] for r in registry.queries()["byte_encode_whole"](spark, str(tmp_path)).collect()} == want
-    shas = {r["doc_id"]: r["sha"] for r in registry.queries()["byte_decode_whole"](spark, str(tmp_path)).collect()}
+    assert {r["doc_id"]: tuple(r)[1:] for r in registry.queries()["byte_encode"](spark, str(tmp_path)).collect()} == want
+    shas = {r["doc_id"]: r["sha"] for r in registry.queries()["byte_decode"](spark, str(tmp_path)).collect()}
     assert shas == {k: hashlib.sha256((text or "").encode()).hexdigest() for k, text in texts.items()}
 
 
@@ -151,7 +153,7 @@ def test_cosine_asks_every_fiftieth(spark, tmp_path):
     from quern.plans import registry
 
     spark.range(1001).selectExpr("id as vec_id", "array(cast(id as double), 1.0D) as embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = registry.queries()["cosine_topk_whole"](spark, str(tmp_path)).groupBy("query_id").count().collect()
+    got = registry.queries()["cosine_topk"](spark, str(tmp_path)).groupBy("query_id").count().collect()
     assert {r["query_id"]: r["count"] for r in got} == {q: 10 for q in range(0, 1001, 50)}
 
 
@@ -167,7 +169,7 @@ def test_every_item_searches_the_memories(spark, tmp_path):
         asked = set(text.lower().split())
         scores = {d: round(len(asked & {w.strip(".") for w in held.split()}) / len(asked), 4) for d, held in docs.items()}
         want |= {(i, n): d for n, d in enumerate(sorted((d for d in docs if scores[d] > 0), key=lambda d: (-scores[d], d))[:3], 1)}
-    assert {(r["query_id"], r["rank"]): r["id"] for r in registry.queries()["lexical_memory_search_whole"](spark, str(tmp_path)).collect()} == want
+    assert {(r["query_id"], r["rank"]): r["id"] for r in registry.queries()["lexical_memory_search"](spark, str(tmp_path)).collect()} == want
     assert {q for q, _ in want} == set(items)
 
 
@@ -221,3 +223,55 @@ def test_ema_takes_vectors_of_any_length(spark, tmp_path):
             s = s * 0.5 + v * 0.5
         want[n] = (round(s, 6), round(sum(x[-2:]) / len(x[-2:]), 6) if x else None)
     assert {r["vec_id"]: (r["summary"], r["kept"]) for r in registry.queries()["ema_window"](spark, str(tmp_path)).collect()} == want
+
+
+def test_linear_rules_match_the_plain_patterns(spark):
+    import random
+    import re
+
+    from quern.functions import signals as S
+    from quern.functions import text as X
+
+    r = random.Random(3)
+    texts = ["".join(r.choice("ab.@_-%1 é") for _ in range(r.randrange(30))) + r.choice(["", "@x.org", "a@b.co", "..@d.com", "éa@b.co", "a-@b.co"]) for _ in range(4000)]
+    for t in texts:
+        assert bool(re.search(S.EMAIL, t, re.ASCII)) == bool(re.search(S.EMAIL_ONCE, t, re.ASCII)), t
+    # ratios by brute force
+    from collections import Counter
+
+    rows = [(k, " ".join(r.choice(["mill", "to", "stone", "ox", "grain", "é"]) for _ in range(r.randrange(60)))) for k in range(300)]
+    got = {x["k"]: x["v"] for x in spark.createDataFrame(rows, "k int, t string").select("k", X.repetition_ratio(F.col("t")).alias("v")).collect()}
+    for k, t in rows:
+        n = Counter(t.split())
+        assert abs(got[k] - (0 if sum(n.values()) < 20 else sum(c for w, c in n.items() if c > 4 and len(w) > 2) / sum(n.values()))) < 1e-12
+
+
+def test_long_runs_take_linear_time(spark):
+    import time
+
+    from quern.functions import signals as S
+    from quern.functions import text as X
+
+    bad = spark.createDataFrame([("a." * 200_000 + "@",), ("<" * 200_000,), ("<script " * 50_000,), ("<br" + " " * 200_000,), ("</p" + " " * 200_000,)], "t string")
+    began = time.time()
+    out = bad.select(F.col("t").rlike(S.EMAIL_ONCE).alias("mail"), X.clean_html(F.col("t")).alias("text")).collect()
+    assert time.time() - began < 20 and not any(x["mail"] for x in out)
+
+
+def test_html_is_cleaned_as_by_the_plain_patterns(spark):
+    import random
+    import re
+
+    from quern.functions import text as X
+
+    r = random.Random(8)
+    parts = ["<script>", "</script>", "<SCRIPT x>", "<style>", "</style>", "<p>", "</p>", "< br / >", "<br/", "<", ">", "a", " ", "b c", "\n", "</ li >", "<i>"]
+    pages = ["".join(r.choice(parts) for _ in range(r.randrange(25))) for _ in range(400)]
+
+    def plain(t):
+        for p, to in [("(?is)<script.*?</script>", ""), ("(?is)<style.*?</style>", ""), (r"(?i)<\s*br\s*/?\s*>", "\n"), (r"(?i)</\s*(p|li|div|pre|blockquote|h[1-6])\s*>", "\n"), ("(?s)<[^>]+>", ""), ("[ \t]+", " "), (r"\s*\n\s*", "\n"), (r"^\s+|\s+$", "")]:
+            t = re.sub(p, to, t)
+        return t
+
+    got = spark.createDataFrame(list(enumerate(pages)), "k int, t string").select("k", X.clean_html(F.col("t")).alias("v")).collect()
+    assert {x["k"]: x["v"] for x in got} == {k: plain(t) for k, t in enumerate(pages)}
