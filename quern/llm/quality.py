@@ -5,11 +5,14 @@ inner or outer node is a conjunctive rule.  A lasso logistic regression keeps
 few of the rules, and those compile into one Spark column, so that scoring
 runs in the JVM, with no Python and no shuffle.
 
-Defined results: a null text counts as empty; an empty text has all statistics
-0 and gets the score of that point; without labels (or with labels of one
-class only) every score is the smoothed share of label 1, or 0.5.  Repeated
-rows are scored each.  Several labels of one document count as their minimum.
-Extra columns pass through ``score_documents`` untouched.
+Defined results: a null text counts as empty; an empty text has the statistics
+of one empty word and one empty line and gets the score of that point; a very
+long text is scored whole; a score of just THRESHOLD is accepted; without
+labels (or with labels of one class only) every score is the smoothed share of
+label 1, or 0.5.  An empty table gives no rows.  Repeated rows are scored each,
+and fitted on once (the one of least statistics).  Several labels of one
+document count as their minimum.  Extra columns, whatever their names, pass
+through ``score_documents`` and ``keep_good`` untouched.
 """
 
 from __future__ import annotations
@@ -148,8 +151,11 @@ def _grow(bins: np.ndarray, grad: np.ndarray, hess: np.ndarray, depth: int, n_bi
     return nodes
 
 
-def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 25, depth: int = 3, rate: float = 0.3, n_bins: int = 64, penalty: float = 2e-3, most_rules: int = 48, steps: int = 400) -> RuleModel:
-    """Extract rules from boosted trees and weigh them by a lasso logistic regression (accelerated proximal gradient)."""
+def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 25, depth: int = 3, rate: float = 0.3, n_bins: int = 64, penalty: float = 5e-4, most_rules: int = 48, steps: int = 400) -> RuleModel:
+    """Extract rules from boosted trees and weigh them by a lasso logistic regression (accelerated proximal gradient).
+
+    The penalty grows from ``penalty`` until at most ``most_rules`` have a weight; the weights are the lasso's own.
+    """
     n = len(y)
     if n == 0:
         return RuleModel(0.0)
@@ -193,19 +199,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, trees: int = 25, depth: int = 3, rate:
             break
     kept = np.flatnonzero(w)
     own = w[kept] / spread[kept]
-    # The lasso chose the rules; a second fit without its shrinkage, but a slight ridge, sets their weights.
-    chosen = a[:, kept] * spread[kept] + mean[kept]
-    own, inner = own.copy(), b - float(own @ mean[kept])
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-(chosen @ own + inner)))
-        s = np.maximum(p * (1 - p), 1e-6)
-        full = np.hstack([chosen, np.ones((n, 1))])
-        ridge = np.append(np.full(len(kept), 1.0), 1e-6)
-        step = np.linalg.solve((full * s[:, None]).T @ full + np.diag(ridge), full.T @ (p - y) + ridge * np.append(own, inner))
-        own, inner = own - step[:-1], inner - step[-1]
-        if np.abs(step).max() < 1e-6:
-            break
-    return RuleModel(float(inner), [rules[k] for k in kept], [float(v) for v in own])
+    return RuleModel(float(b - own @ mean[kept]), [rules[k] for k in kept], [float(v) for v in own])
 
 
 def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_TRAIN_ROWS, **options) -> RuleModel:
@@ -217,7 +211,9 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = MAX_TRAIN_ROWS,
     )
     # max_rows rows of two numbers: small enough to broadcast at any size of the tables
     sample = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
-    got = with_statistics(sample).select("doc_id", "__q_y", *FEATURES).toPandas().sort_values(["doc_id", *FEATURES])
+    # one row an id, however often the table repeats it
+    one = with_statistics(sample).groupBy("doc_id", "__q_y").agg(F.min(F.struct(*FEATURES)).alias("__q_x"))
+    got = one.select("doc_id", "__q_y", "__q_x.*").toPandas().sort_values("doc_id")
     return fit(got[list(FEATURES)].to_numpy(float), (got["__q_y"].to_numpy() != 0).astype(float), **options)
 
 
