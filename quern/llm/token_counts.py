@@ -11,13 +11,15 @@ an order; a piece's probability is by the Zipf-Mandelbrot law of its place in
 that order, 1 / (place + SHIFT).  Characters that no piece covers are spelled in
 bytes, a token each, at BYTE_SCORE.  Equal scores go to the longer last piece.
 
-Defined results: a null or blank text has no tokens; rows that repeat count
-each; white space is Python's.
+Defined results: a null or blank text has no tokens; a very long text or word
+is counted whole; an empty table gives no rows; rows that repeat, or share a
+doc_id, count each; white space is Python's; extra columns aren't read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 from itertools import chain
 
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 SHIFT = 2.7
 BYTE_SCORE = -20.0
-#: Longer pre-tokens are cut one by one: as rows of a matrix they would cost their length for all.
+#: Pre-tokens up to this length go through the trie level by level, as rows of a matrix; longer ones, which would cost
+#: their length for all, in depth first order, each from the prefix that it shares with the one before.
 LONGEST = 48
 #: Texts whose pre-tokens share one trie.
 TEXTS = 1500
@@ -68,26 +71,31 @@ class Unigram:
         self.ends = np.full(len(step) + 1, np.nan)
         self.ends[list(ends)] = list(ends.values())
 
-    def count_one(self, word: str) -> int:
-        """Tokens of one pre-token, without sharing."""
-        best, n = [0.0], [0]
-        for end in range(1, len(word) + 1):
-            width = len(word[end - 1].encode("utf-8", "surrogatepass"))
-            top, tokens = best[end - 1] + width * BYTE_SCORE, n[end - 1] + width
-            for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
-                score = self.scores.get(word[start:end])
-                if score is not None and best[start] + score >= top:
-                    top, tokens = best[start] + score, n[start] + 1
-            best.append(top)
-            n.append(tokens)
-        return n[-1]
+    def depth_first(self, words: list[str]) -> list[int]:
+        """Tokens of each of the sorted ``words``: the trie walked from word to word, so that a shared prefix keeps its scores."""
+        best, n, out, before = [0.0], [0], [], ""
+        for word in words:
+            shared = len(os.path.commonprefix([before, word]))
+            del best[shared + 1 :], n[shared + 1 :]
+            for end in range(shared + 1, len(word) + 1):
+                width = len(word[end - 1].encode("utf-8", "surrogatepass"))
+                top, tokens = best[end - 1] + width * BYTE_SCORE, n[end - 1] + width
+                for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
+                    score = self.scores.get(word[start:end])
+                    if score is not None and best[start] + score >= top:
+                        top, tokens = best[start] + score, n[start] + 1
+                best.append(top)
+                n.append(tokens)
+            out.append(n[-1])
+            before = word
+        return out
 
     def count(self, words: list[str]) -> np.ndarray:
         """Tokens of each of the distinct pre-tokens ``words``."""
         out = np.zeros(len(words), np.int64)
         length = np.array([len(w) for w in words], np.int64)
-        for k in np.flatnonzero(length > LONGEST):
-            out[k] = self.count_one(words[k])
+        long = sorted(np.flatnonzero(length > LONGEST).tolist(), key=words.__getitem__)
+        out[long] = self.depth_first([words[k] for k in long])
         own = np.flatnonzero((length > 0) & (length <= LONGEST))
         if not len(own):
             return out
