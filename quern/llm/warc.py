@@ -11,7 +11,9 @@ Files go to a folder that all executors share; each attempt of a task writes a
 file of its own, and only files that a finished task reported are read, so that
 lost executors leave nothing behind but files nobody reads.
 
-Defined results: a null payload is an empty one.  Of records with equal
+Defined results: a null payload is an empty one; a very long one is a record
+like any other; an empty table gives no archives and no rows; extra columns
+aren't read.  Of records with equal
 payloads of ``least`` bytes or more those with the largest page_id are
 responses and the others revisit it; rows without a page_id revisit it too, and
 are responses where no equal row has one.  Rows that repeat are records each.
@@ -212,7 +214,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
 
 
 def read(archives: DataFrame) -> DataFrame:
-    """page_id, url, payload (null for a revisit), payload_bytes, payload_digest, record_type and refers_to of every record in the archives (column path)."""
+    """page_id, url, payload (null for a revisit), payload_bytes, payload_digest, record_type and refers_to of every record in the archives (columns path and bytes)."""
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -243,7 +245,9 @@ def read(archives: DataFrame) -> DataFrame:
                 yield part.astype({"page_id": "Int64", "refers_to": "Int64"})
 
     parts = archives.select("path").mapInPandas(index, "path string, part long, at array<long>, n array<long>")
-    return parts.repartition("path", "part").mapInPandas(records, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # as many tasks as there are parts: the rows of the index are tiny, and would be put together for their size
+    tasks = archives.agg(F.sum(F.ceil(F.col("bytes") / READ_BYTES))).first()[0] or 1
+    return parts.repartition(max(1, int(tasks)), "path", "part").mapInPandas(records, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
