@@ -6,8 +6,10 @@ are the mean over its positions.  It is written and trained in numpy, by back
 propagation through time, on a bounded sample of labelled documents.
 
 Defined results: a null text, or one without any letter, is ``und`` with score
-0; without labelled documents every other text is ``und`` too.  Rows that
-repeat are labelled each.  Extra columns are not read.
+0; without labelled documents every other text is ``und`` too.  Of languages of
+equal probability the first by name is taken.  A very long text is read whole.
+An empty table gives no rows.  Rows that repeat are labelled each, and learned
+from once (the one of least language and windows).  Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -173,7 +175,9 @@ def train(docs: DataFrame, *, max_docs: int = MAX_TRAIN_DOCS, **options) -> Netw
         F.sequence(F.lit(0), F.lit(MAX_WINDOWS - 1)),
         lambda k: F.substring("text", F.floor(k * F.greatest(F.length("text") - WINDOW, F.lit(0)) / (MAX_WINDOWS - 1)).cast("int") + 1, F.lit(WINDOW)),
     )
-    got = rows.join(F.broadcast(ids), "doc_id").select("doc_id", "lang", F.explode(F.array_distinct(spread)).alias("part")).where("part <> ''").toPandas().sort_values(["doc_id", "lang", "part"])
+    # one row an id, however often the table repeats it
+    one = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", F.array_distinct(spread).alias("parts"))).alias("x"))
+    got = one.select("doc_id", F.col("x.lang").alias("lang"), F.explode("x.parts").alias("part")).where("part <> ''").toPandas().sort_values(["doc_id", "lang", "part"])
     return fit(list(got["part"]), list(got["lang"]), **options)
 
 
