@@ -21,6 +21,12 @@ def nfkc(x: pd.Series) -> pd.Series:
     return x.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def nfkc_each(x: pd.Series) -> pd.Series:
+    """``nfkc`` of every text of an array; lambda functions can't call Python."""
+    return x.map(lambda a: None if a is None else [t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in a])
+
+
 @F.pandas_udf(T.StringType())
 def unescape(x: pd.Series) -> pd.Series:
     """HTML entities to characters."""
