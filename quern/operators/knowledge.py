@@ -5,17 +5,13 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions import arrays as A
 from . import retrieval
 
 # Weights of the search, and the limits of a saved point.
 OVERLAP, DENSE, IMPORTANCE = 0.70, 0.25, 0.05
-MOST_QUERIES = 1000
 POINT_BYTES, KEPT_EXAMPLES, RULE_CHARS = 20 * 1024, 8, 4096
 
 
@@ -23,22 +19,14 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9_+#]+"), F.lit(0))
 
 
-def embedding(tokens: Column, dim: int = 128) -> Column:
-    """Signed hashing of tokens into ``dim`` cells, of unit length; BLAKE2b has no built-in, so token lists pass through Arrow."""
+def blake_cells(dim: int = 128):
+    """What hashes tokens: (cell, sign) of each, by the low bits of a 64-bit BLAKE2b and the bit above its first byte."""
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def hashed(x: pd.Series) -> pd.Series:
-        def one(tokens) -> list[float]:
-            v = np.zeros(dim)
-            for t in tokens if tokens is not None else ():
-                h = int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little")
-                v[h % dim] += 1.0 if (h >> 8) & 1 else -1.0
-            n = np.sqrt((v * v).sum())
-            return (v / n if n > 0 else v).tolist()
+    def run(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        h = np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in words], np.uint64)
+        return (h % np.uint64(dim)).astype(np.int64), np.where((h >> np.uint64(8)) & np.uint64(1), 1.0, -1.0)
 
-        return x.map(one)
-
-    return hashed(tokens)
+    return run
 
 
 def point_text(domain: Column, rule: Column, examples: Column) -> Column:
@@ -49,15 +37,11 @@ def search(points: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     """(query_id, rank, id, score) for queries (query_id, text) over points with id, domain, rule, positive_examples, importance.
 
     Every point counts, also without a common word, so each query meets each
-    point, in blocks of MOST_QUERIES queries.
+    point: see ``retrieval.best_by_tokens``.
     """
-    p = points.select("id", "importance", words(point_text(F.col("domain"), F.col("rule"), F.col("positive_examples"))).alias("t")).withColumns({"v": embedding(F.col("t")), "t": F.array_distinct("t")})
-    q = queries.select("query_id", words(F.col("text")).alias("qt")).withColumns({"qv": embedding(F.col("qt")), "qt": F.array_distinct("qt")})
-    overlap = F.size(F.array_intersect("qt", "t")) / F.greatest(F.size("qt"), F.lit(1))
-    score = OVERLAP * overlap + DENSE * A.cosine(F.col("qv"), F.col("v")) + IMPORTANCE * F.col("importance")
-    scored = retrieval.met(p, q, most_queries=MOST_QUERIES).select("query_id", "id", F.round(score, 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    p = points.select("id", words(point_text(F.col("domain"), F.col("rule"), F.col("positive_examples"))).alias("t"), (IMPORTANCE * F.col("importance")).alias("more"))
+    q = queries.select("query_id", words(F.col("text")).alias("t"))
+    return retrieval.best_by_tokens(p, q, k, overlap=OVERLAP, dense=DENSE, cells=blake_cells(), repeats=False).select("query_id", "rank", "id", "score")
 
 
 def touched(table: DataFrame, hits: DataFrame, now: Column) -> DataFrame:

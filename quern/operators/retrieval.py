@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from .tokens import fnv1a_hex
+from .tokens import fnv1a
 
 #: Rows of a block, and queries of a block, when every row meets every query.
 ROWS, QUERIES = 512, 1024
+#: A pass over the rows takes at most so many queries, of about so many tokens; so many are scored at a time.
+MOST_QUERIES, MOST_TOKENS, QUERY_BLOCK = 4096, 1 << 20, 256
 
 
 def tokens(text: Column) -> Column:
@@ -18,42 +26,128 @@ def tokens(text: Column) -> Column:
     return F.flatten(F.transform(plain, lambda t: F.when((F.length(t) > 3) & t.endswith("s"), F.array(F.substring(t, F.lit(1), F.length(t) - 1), t)).otherwise(F.array(t))))
 
 
-def overlap(queries: DataFrame, texts: DataFrame) -> DataFrame:
-    """(query_id, id, overlap) of all pairs that share a token: hits of the query's token multiset in the text's token set.
-
-    Tokens meet in an equi-join, never query by text; the query's counts keep
-    its side small, and the text's tokens are distinct before they travel.
-    """
-    q = queries.select("query_id", tokens(F.col("text")).alias("t")).withColumn("size", F.size("t"))
-    asked = q.select("query_id", "size", F.explode("t").alias("tok")).groupBy("query_id", "size", "tok").agg(F.count("*").alias("times"))
-    held = texts.select("id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("tok"))
-    return asked.join(held, "tok").groupBy("query_id", "id", "size").agg(F.sum("times").alias("hits")).select("query_id", "id", (F.col("hits") / F.col("size")).alias("overlap"))
-
-
 def top(scores: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def hashed(texts: DataFrame, dim: int = 128) -> DataFrame:
-    """(id, cell, w): a signed hashing embedding of unit length, in sparse form."""
-    toks = texts.select("id", F.explode(tokens(F.col("text"))).alias("tok"))
-    distinct = toks.groupBy("id", "tok").agg(F.count("*").alias("n"))
-    h = distinct.withColumn("h", fnv1a_hex("tok"))
-    cell = F.conv(F.substring("h", 9, 8), 16, 10).cast("long") % dim
-    sign = F.when(F.conv(F.substring("h", 1, 1), 16, 10).cast("int") >= 8, -1).otherwise(1)
-    cells = h.select("id", cell.alias("cell"), (sign * F.col("n")).alias("v")).groupBy("id", "cell").agg(F.sum("v").alias("v"))
-    length = cells.groupBy("id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
-    return cells.join(length, "id").where("length > 0").select("id", "cell", (F.col("v") / F.col("length")).alias("w"))
+def fnv_cells(dim: int = 128):
+    """What hashes tokens: (cell, sign) of each, by FNV-1a's low half and its highest bit."""
+
+    def run(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        h = fnv1a(words)
+        return ((h & np.uint64(0xFFFFFFFF)) % np.uint64(dim)).astype(np.int64), np.where(h >> np.uint64(63), -1.0, 1.0)
+
+    return run
+
+
+def _vectors(docs: np.ndarray, cells: np.ndarray, signs: np.ndarray, n: int, dim: int) -> np.ndarray:
+    """Signed hashing embeddings of n token lists, of unit length; a list without tokens has none."""
+    v = np.zeros((n, dim))
+    np.add.at(v, (docs, cells), signs)
+    length = np.sqrt(np.einsum("ij,ij->i", v, v))
+    return v / np.where(length > 0, length, 1.0)[:, None]
+
+
+def _passes(asked: DataFrame) -> Iterator[list[tuple]]:
+    """The queries (query_id, t) in groups of at most MOST_QUERIES and about MOST_TOKENS tokens, for which a broadcast is small."""
+    group, size = [], 0
+    for r in asked.select("query_id", "t").toLocalIterator():
+        if group and (len(group) >= MOST_QUERIES or size + len(r["t"]) > MOST_TOKENS):
+            yield group
+            group, size = [], 0
+        group.append((r["query_id"], r["t"]))
+        size += len(r["t"])
+    if group:
+        yield group
+
+
+def best_by_tokens(rows: DataFrame, asked: DataFrame, k: int, *, overlap: float, dense: float = 0.0, cells=None, dim: int = 128, repeats: bool = True, only_met: bool = False) -> DataFrame:
+    """(query_id, id, score, rank): the k rows of largest score for each query; ties, at six places, go to the smaller id.
+
+    rows: (id, t, more), asked: (query_id, t), with t their tokens.  A score is
+    ``overlap`` times the share of the query's tokens (each as often as it
+    stands there, if ``repeats``) that the row has, plus ``dense`` times the
+    cosine of both lists' hashed embeddings, plus ``more``.  ``only_met`` leaves
+    out rows without a common token.
+
+    The queries go to the rows, a bounded group at a time; each batch of rows
+    is scored as a whole and gives only its k best, so that no token, however
+    common, gathers rows in one place.
+    """
+    kinds = dict(rows.dtypes)["id"], dict(asked.dtypes)["query_id"]
+
+    def searched(group: list[tuple]) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            lists = [list(t) if repeats else list(dict.fromkeys(t)) for _, t in group]
+            names = np.array([q for q, _ in group], object)
+            place = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(lists)))}
+            blocks = []
+            for at in range(0, len(lists), QUERY_BLOCK):
+                part = lists[at : at + QUERY_BLOCK]
+                weight = np.zeros((len(place), len(part)), np.float32)
+                for q, t in enumerate(part):
+                    np.add.at(weight, ([place[w] for w in t], q), 1.0)
+                blocks.append((at, weight, np.array([max(len(t), 1) for t in part])))
+            if dense:
+                at, flat = np.repeat(np.arange(len(group)), [len(t) for _, t in group]), list(chain.from_iterable(t for _, t in group))
+                asked_v = _vectors(at, *cells(flat), len(group), dim)
+            for batch in batches:
+                for lo in range(0, len(batch), 1000):
+                    pdf = batch.iloc[lo : lo + 1000]
+                    n = np.array([len(t) for t in pdf["t"]], np.int64)
+                    doc, flat = np.repeat(np.arange(len(pdf)), n), np.empty(int(n.sum()), object)
+                    flat[:] = list(chain.from_iterable(pdf["t"]))
+                    codes, words = pd.factorize(flat)
+                    known = np.array([place.get(w, -1) for w in words], np.int64)[codes] if len(words) else np.zeros(0, np.int64)
+                    pairs = np.unique(doc[known >= 0] * len(place) + known[known >= 0])
+                    of, word = pairs // max(len(place), 1), pairs % max(len(place), 1)
+                    first = np.searchsorted(of, np.arange(len(pdf)))
+                    some = np.flatnonzero(np.diff(np.append(first, len(of))) > 0)
+                    own_v = None
+                    if dense:
+                        cell, sign = cells(list(words))
+                        own_v = _vectors(doc, cell[codes], sign[codes], len(pdf), dim) if len(words) else np.zeros((len(pdf), dim))
+                    ids, more = pdf["id"].to_numpy(), pdf["more"].to_numpy(float)
+                    for at, weight, size in blocks:
+                        hits = np.zeros((len(pdf), weight.shape[1]))
+                        if len(some):
+                            hits[some] = np.add.reduceat(weight[word], first[some], axis=0)
+                        score = overlap * (hits / size) + more[:, None]
+                        if dense:
+                            score += dense * (own_v @ asked_v[at : at + weight.shape[1]].T)
+                        rounded = np.floor(score * 1e6 + 0.5)
+                        if only_met:
+                            rounded[hits == 0] = -np.inf
+                        out = []
+                        for q in range(weight.shape[1]):
+                            r = rounded[:, q]
+                            best = np.flatnonzero(r >= np.partition(r, len(r) - min(k, len(r)))[len(r) - min(k, len(r))])
+                            best = best[np.isfinite(r[best])]
+                            best = best[np.lexsort((ids[best], -r[best]))][:k]
+                            if len(best):
+                                out.append(pd.DataFrame({"query_id": names[at + q], "id": ids[best], "score": score[best, q]}))
+                        if out:
+                            yield pd.concat(out)
+
+        return rows.select("id", "t", "more").mapInPandas(run, f"query_id {kinds[1]}, id {kinds[0]}, score double")
+
+    parts = [searched(group) for group in _passes(asked)]
+    found = reduce(DataFrame.union, parts) if parts else rows.select(F.lit(None).cast(kinds[1]).alias("query_id"), "id", F.lit(0.0).alias("score")).limit(0)
+    return top(found.select("query_id", "id", F.round("score", 6).alias("score")), k)
+
+
+def lexical(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank): hits of the query's token multiset in the text's token set, of texts with a hit."""
+    rows = texts.select("id", F.array_distinct(tokens(F.col("text"))).alias("t"), F.lit(0.0).alias("more"))
+    return best_by_tokens(rows, queries.select("query_id", tokens(F.col("text")).alias("t")), k, overlap=1.0, only_met=True)
 
 
 def hybrid(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """0.7 dense + 0.3 overlap, the k best of each query; ties by id."""
-    q, t = hashed(queries.withColumnRenamed("query_id", "id")).withColumnsRenamed({"id": "query_id", "w": "qw"}), hashed(texts)
-    dense = q.join(t, "cell").groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("w")).alias("dense"))
-    both = dense.join(overlap(queries, texts), ["query_id", "id"], "full")
-    score = F.round(F.lit(0.7) * F.coalesce("dense", F.lit(0.0)) + F.lit(0.3) * F.coalesce("overlap", F.lit(0.0)), 6)
-    return top(both.select("query_id", "id", score.alias("score")), k)
+    rows = texts.select("id", tokens(F.col("text")).alias("t"), F.lit(0.0).alias("more"))
+    asked = queries.select("query_id", tokens(F.col("text")).alias("t"))
+    return best_by_tokens(rows, asked, k, overlap=0.3, dense=0.7, cells=fnv_cells()).select("query_id", "id", "score", "rank")
 
 
 def met(rows: DataFrame, queries: DataFrame, most_rows: int = ROWS, most_queries: int = QUERIES) -> DataFrame:

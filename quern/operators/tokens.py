@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 PAD, BOS, EOS, UNK, SHIFT = 0, 1, 2, 3, 4
 
@@ -98,18 +96,17 @@ def external_labels(hot: Column, teacher: Column, least_hot: float = 3.0, most_t
     return F.zip_with(hot, teacher, lambda h, t: F.when(ok(h) & ok(t), ((h >= least_hot) & (t <= most_teacher) & (h - t >= margin)).cast("double")).otherwise(F.lit(-1.0)))
 
 
-@F.pandas_udf(T.StringType())
-def fnv1a_hex(x: pd.Series) -> pd.Series:
-    """64-bit FNV-1a in hexadecimal; Spark has no wrapping 64-bit product under ANSI rules.  All texts of a batch step together, byte by byte."""
-    raw = [None if t is None else t.encode() for t in x]
-    size = np.array([0 if r is None else len(r) for r in raw], np.int64)
+def fnv1a(texts: list[str]) -> np.ndarray:
+    """64-bit FNV-1a of each text; all step together, byte by byte."""
+    raw = [t.encode() for t in texts]
+    size = np.array([len(r) for r in raw], np.int64)
     order = np.argsort(-size, kind="stable")  # longest first, so that those still at it are a prefix
-    flat = np.frombuffer(b"".join(raw[k] or b"" for k in order), np.uint8).astype(np.uint64)
-    at, left = np.concatenate([[0], np.cumsum(size[order])[:-1]]).astype(np.int64), size[order]
+    flat = np.frombuffer(b"".join(raw[k] for k in order), np.uint8).astype(np.uint64)
+    at, left = np.concatenate([[0], np.cumsum(size[order])[:-1]]).astype(np.int64)[: len(raw)], size[order]
     h = np.full(len(raw), 0xCBF29CE484222325, np.uint64)
     for k in range(int(size.max()) if len(size) else 0):
         n = int(np.searchsorted(-left, -k, "left"))  # those longer than k
         h[:n] = (h[:n] ^ flat[at[:n] + k]) * np.uint64(0x100000001B3)
-    out = np.empty(len(raw), object)
-    out[order] = [f"{v:016x}" for v in h.tolist()]
-    return pd.Series([None if r is None else o for r, o in zip(raw, out, strict=True)])
+    out = np.empty_like(h)
+    out[order] = h
+    return out

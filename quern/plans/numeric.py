@@ -264,10 +264,18 @@ def _bench_docs(spark, sf_dir):
 
 @query("lexical_topk", f"WITH {_OVERLAP} SELECT query_id, id, round(overlap, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(overlap, 6) DESC, id) AS rank FROM o) WHERE rank <= 5")
 def lexical_topk(spark, sf_dir):
-    return retrieval.top(retrieval.overlap(*_bench_docs(spark, sf_dir)).select("query_id", "id", F.round("overlap", 6).alias("score")), 5).select("query_id", "id", "score", "rank")
+    return retrieval.lexical(*_bench_docs(spark, sf_dir), 5).select("query_id", "id", "score", "rank")
 
 
-@query("hybrid_rank")
+_FNV = "list_reduce(list_transform(regexp_extract_all(hex(encode(tok)), '..'), lambda x: ('0x' || x)::INT::UHUGEINT), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616, 14695981039346656037::UHUGEINT)"
+_DENSE = f"""tk AS (SELECT 'q' AS kind, query_id AS id, unnest(t) AS tok FROM q UNION ALL SELECT 'd', doc_id, unnest({_TOKS('text')}) FROM documents), hh AS (SELECT tok, {_FNV} AS h FROM (SELECT DISTINCT tok FROM tk)),
+cl AS (SELECT kind, id, (h % 4294967296 % 128)::INT AS cell, sum(CASE WHEN h >= 9223372036854775808 THEN -1 ELSE 1 END)::DOUBLE AS v FROM tk JOIN hh USING (tok) GROUP BY ALL),
+nm AS (SELECT kind, id, sqrt(sum(v * v)) AS n FROM cl GROUP BY ALL), w AS (SELECT kind, id, cell, v / n AS w FROM cl JOIN nm USING (kind, id) WHERE n > 0),
+dn AS (SELECT a.id AS query_id, b.id AS id, sum(a.w * b.w) AS dense FROM w a JOIN w b ON a.kind = 'q' AND b.kind = 'd' AND a.cell = b.cell GROUP BY ALL),
+al AS (SELECT query_id, doc_id AS id FROM q, documents)"""
+
+
+@query("hybrid_rank", f"WITH {_OVERLAP}, {_DENSE}, sc AS (SELECT query_id, id, round(0.7::DOUBLE * coalesce(dense, 0) + 0.3::DOUBLE * coalesce(overlap, 0), 6) AS score FROM al LEFT JOIN dn USING (query_id, id) LEFT JOIN o USING (query_id, id)) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 5")
 def hybrid_rank(spark, sf_dir):
     return retrieval.hybrid(*_bench_docs(spark, sf_dir), 5)
 

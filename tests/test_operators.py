@@ -174,9 +174,9 @@ def test_every_item_searches_the_memories(spark, tmp_path):
 
 
 def test_knowledge_search_takes_any_number_of_queries(spark, monkeypatch):
-    from quern.operators import knowledge
+    from quern.operators import knowledge, retrieval
 
-    monkeypatch.setattr(knowledge, "MOST_QUERIES", 3)
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 3)
     points = [(f"p{k}", "general", f"word{k} common", k / 10, []) for k in range(5)]
     frame = spark.createDataFrame(points, "id string, domain string, rule string, importance double, positive_examples array<string>")
     asked = spark.createDataFrame([(q, f"word{q % 5}") for q in range(10)], "query_id long, text string")
