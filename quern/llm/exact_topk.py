@@ -4,7 +4,7 @@ A vector's components are cut into ``slices``.  A list server is a task that
 holds one slice of a block of rows and knows these rows' partial scores, and
 no others.
 
-1. Every server gives, for each query, its list of the k best partial scores.
+1. Every server gives, for each query, its list of the best partial scores.
    The listed rows' missing partial scores are asked of the other servers, and
    the k-th best of these few totals is a safe bar: no row below it can be
    among the k best.
@@ -38,6 +38,8 @@ from .common import stage, unstage
 from .vectors import Blocks, matrix, ranked, valid
 
 K, EVERY, SLICES, SCALE = 5, 50, 2, 256
+#: A local list is so many times k: the more rows are looked at, the higher the bar and the fewer the entries above the cutoff.
+LISTED = 8
 _STEP = 256
 _HUGE = 2.0**1000
 
@@ -175,9 +177,9 @@ def search(vectors: DataFrame, *, k: int = K, every: int = EVERY, slices: int =
         return ranked(scores, k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias(name))
 
     # 1: local lists; the listed rows' totals give the bar (none where a query has fewer candidates than k)
-    lists = rows.groupBy(*on).cogroup(asked.groupBy(*on)).applyInPandas(_lists(k), entry)
+    lists = rows.groupBy(*on).cogroup(asked.groupBy(*on)).applyInPandas(_lists(LISTED * k), entry)
     best = F.row_number().over(Window.partitionBy("query_id", "slice").orderBy(F.desc("part"), "vec_id"))
-    listed = stage(with_seen(lists.withColumn("place", best).where(F.col("place") <= k)), "topk-lists")
+    listed = stage(with_seen(lists.withColumn("place", best).where(F.col("place") <= LISTED * k)), "topk-lists")
     bar = stage(kth(total(listed), "bar"), "topk-bars")
 
     # 2: the cutoff goes out with each query; sufficient entries come in
