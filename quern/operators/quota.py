@@ -27,16 +27,17 @@ def per_language(rows: DataFrame, budget: dict[str, int]) -> DataFrame:
     return rows.select("seq", "lang", "n").groupBy("lang").applyInPandas(lambda p: _fold(p.sort_values("seq"), budget), "seq long, lang string, n long, verdict string")
 
 
-def with_total(rows: DataFrame, budget: dict[str, int], whole: int, total_first: bool) -> DataFrame:
+def with_total(rows: DataFrame, budget: dict[str, int], whole: int, total_first: bool, used: dict[str, int] | None = None) -> DataFrame:
     """Both budgets, in one pass in order of seq over narrow rows: the whole budget depends on every verdict before, so this pass is sequential by nature.
 
     ``total_first`` is the batch writer's order of the two tests; the stream
     writer asks for the language first.  Once a row exceeds the whole budget,
-    it and all later rows are ``stopped``.
+    it and all later rows are ``stopped``.  ``used`` is what earlier runs wrote of each language.
     """
+    before = dict(used or {})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        used, spent, stopped = {}, 0, False
+        used, spent, stopped = dict(before), sum(before.values()), False
         for pdf in batches:
             out = []
             for lang, n in zip(pdf["lang"], pdf["n"], strict=True):

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import learning as L
 from ..operators import cleaner, landmarks, tokens, training
+from ..sources import files
 from ..sources.lineage import cut
 from .cleaning import _JUDGE_SQL, _doc_sql, doc_prefilter, judged_conversations
-from .common import Fixture, table
+from .common import Fixture, literal, table
 from .numeric import _VEC, _vectors
 from .registry import query
 from .stores import lexical_memory_search
@@ -313,6 +314,15 @@ def cognitive_search(spark, sf_dir):
     return landmarks.searched(asked, memory.union(web), 0.5).select("query_id", F.array_join("ops", ",").alias("ops"), "found")
 
 
+_SOURCES = ", ".join("(" + ", ".join(literal(v) for v in (s.key, s.license_id, s.converter, s.dataset, s.config, s.split, s.start, s.enabled, s.restricted)) + ")" for s in files.CATALOG)
+
+
+@query("source_catalog", f"SELECT key, license_id, converter, dataset, config, split, start::BIGINT AS start, enabled AND NOT restricted AS chosen FROM (VALUES {_SOURCES}) v(key, license_id, converter, dataset, config, split, start, enabled, restricted)")
+def source_catalog(spark, sf_dir):
+    chosen = [s.key for s in files.chosen(files.CATALOG)]
+    return files.catalog_frame(spark, files.CATALOG).select("key", "license_id", "converter", "dataset", "config", "split", "start", F.col("key").isin(*chosen).alias("chosen"))
+
+
 # ---- the cleaner over real conversations
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,6 +69,27 @@ def prompts(rows: DataFrame) -> DataFrame:
     return rows.where("trim(value) <> ''").withColumn("r", r).select(need("prompt_id"), need("lang"), need("user"), F.coalesce("r.category", F.lit("daily_dialogue")).alias("category"))
 
 
+def dataset_rows(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """Rows of a dataset's folder, Parquet or JSON lines by its files' names; the first ``most`` if asked for."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").limit(1000)
+    parquet = names.where("path like '%.parquet'").limit(1).count() > 0
+    reader = spark.read.option("recursiveFileLookup", True)
+    rows = reader.option("pathGlobFilter", "*.parquet").parquet(path) if parquet else reader.json(path)
+    return rows if most is None else rows.limit(most)
+
+
+def points(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Knowledge points, a JSON file each, in the order of their file names; files that don't parse are left out."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(path, mode="DROPMALFORMED")
+    return rows.withColumn("file", F.col("_metadata.file_name")).where(F.coalesce(*[F.col(c).isNotNull() for c in rows.columns[:1]])).orderBy("file")
+
+
+def ranked_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(id, text) of lines ``id<TAB>text``; lines without an id are left out, and a text keeps its further tabs."""
+    parts = F.split("value", "\t", 2)
+    return spark.read.text(path).select(F.element_at(parts, 1).alias("id"), F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")).alias("text")).where("id <> ''")
+
+
 @dataclass(frozen=True)
 class Source:
     key: str
@@ -75,6 +97,61 @@ class Source:
     converter: str
     enabled: bool = True
     restricted: bool = False
+    dataset: str = ""
+    config: str = "default"
+    split: str = "train"
+    start: int = 0
+
+
+#: The known public datasets, their licences and converters.
+CATALOG = [
+    Source("oasst1", "apache-2.0", "openassistant", dataset="OpenAssistant/oasst1"),
+    Source("oasst2", "apache-2.0", "openassistant", dataset="OpenAssistant/oasst2"),
+    Source("wildchat", "odc-by", "wildchat", dataset="allenai/WildChat-1M"),
+    Source("aya_dataset", "apache-2.0", "prompt_target", dataset="CohereLabs/aya_dataset"),
+    Source("aya_collection_translated_dolly", "apache-2.0", "prompt_target_en_zh", dataset="CohereLabs/aya_collection", config="translated_dolly", start=1_700_000),
+    Source("aya_collection_flan_cot", "apache-2.0", "prompt_target_en_zh", dataset="CohereLabs/aya_collection", config="translated_flan_cot"),
+    Source("aya_collection_flan_qa", "apache-2.0", "prompt_target_en_zh", dataset="CohereLabs/aya_collection", config="translated_flan_qa"),
+    Source("helpsteer2", "cc-by-4.0", "prompt_target", dataset="nvidia/HelpSteer2"),
+    Source("helpsteer3_preference", "cc-by-4.0", "helpsteer3_preference", dataset="nvidia/HelpSteer3", config="preference"),
+    Source("hh_rlhf", "mit", "hh_rlhf", enabled=False, dataset="Anthropic/hh-rlhf"),
+    Source("databricks_dolly_15k", "cc-by-sa-3.0", "dolly", enabled=False, dataset="databricks/databricks-dolly-15k"),
+    Source("stack_exchange_preferences", "cc-by-sa-4.0", "stack_exchange", dataset="HuggingFaceH4/stack-exchange-preferences"),
+    Source("pmp_stack_exchange", "cc-by-sa-4.0", "stack_exchange", dataset="HuggingFaceH4/pmp-stack-exchange"),
+    Source("openorca", "mit", "openorca", enabled=False, dataset="Open-Orca/OpenOrca"),
+    Source("lmsys_chat_1m", "lmsys-chat-1m-agreement", "wildchat", enabled=False, restricted=True, dataset="lmsys/lmsys-chat-1m"),
+    Source("ultrachat_200k", "mit", "wildchat", enabled=False, dataset="HuggingFaceH4/ultrachat_200k", split="train_sft"),
+]
+
+
+def load(spark: SparkSession, source: Source, root: str, backend: str = "auto", url: str | None = None, most: int | None = None) -> DataFrame:
+    """A source's raw rows from one of the backends ``mirror`` (Parquet below root/dataset), ``datasets`` (any files there) and ``rows-api`` (a paged service).
+
+    ``auto`` takes the first of them that can be read; rows of the service come as JSON in ``record``.
+    """
+    folder = f"{root.rstrip('/')}/{source.dataset}"
+
+    def mirror() -> DataFrame:
+        names = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(folder).select("path")
+        return parquet_files(spark, [r["path"] for r in names.toLocalIterator()], source.config, source.split, most)
+
+    def paged() -> DataFrame:
+        if url is None:
+            raise ValueError("the rows-api backend needs a url")
+        return spark.read.format("paged_rows").options(url=url, rows=most or 100, start=source.start).load()
+
+    backends = {"mirror": mirror, "datasets": lambda: dataset_rows(spark, folder, most), "rows-api": paged}
+    if backend != "auto":
+        if backend not in backends:
+            raise ValueError(f"unknown backend: {backend}")
+        return backends[backend]()
+    failures = []
+    for name, read in backends.items():
+        try:
+            return read()
+        except (AnalysisException, ValueError) as e:
+            failures.append(f"{name}: {str(e).splitlines()[0]}")
+    raise ValueError(f"no backend can read {source.key}: " + "; ".join(failures))
 
 
 def chosen(catalog: list[Source], keys: list[str] | None = None, allow_restricted: bool = False) -> list[Source]:
@@ -90,4 +167,4 @@ def chosen(catalog: list[Source], keys: list[str] | None = None, allow_restricte
 
 
 def catalog_frame(spark: SparkSession, catalog: list[Source]) -> DataFrame:
-    return spark.createDataFrame([asdict(s) for s in catalog], "key string, license_id string, converter string, enabled boolean, restricted boolean")
+    return spark.createDataFrame([asdict(s) for s in catalog], "key string, license_id string, converter string, enabled boolean, restricted boolean, dataset string, config string, split string, start long")

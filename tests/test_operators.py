@@ -275,3 +275,125 @@ def test_html_is_cleaned_as_by_the_plain_patterns(spark):
 
     got = spark.createDataFrame(list(enumerate(pages)), "k int, t string").select("k", X.clean_html(F.col("t")).alias("v")).collect()
     assert {x["k"]: x["v"] for x in got} == {k: plain(t) for k, t in enumerate(pages)}
+
+
+def test_sources_by_backend(spark, tmp_path):
+    import pytest
+
+    from quern.sources import files
+
+    assert len(files.CATALOG) == 16 and [s.key for s in files.CATALOG if s.restricted] == ["lmsys_chat_1m"]
+    assert len(files.chosen(files.CATALOG)) == 11 and files.catalog_frame(spark, files.CATALOG).count() == 16
+    source = files.Source("x", "mit", "dolly", dataset="org/set", config="c", split="train")
+    spark.range(3).write.parquet(f"{tmp_path}/org/set/c/train-0")
+    spark.range(5).write.parquet(f"{tmp_path}/org/set/d/test-0")
+    assert files.load(spark, source, str(tmp_path)).count() == 3 and files.load(spark, source, str(tmp_path), "datasets").count() == 8
+    spark.createDataFrame([("a",), ("b",)], "v string").write.json(f"{tmp_path}/org/lines")
+    lines = files.Source("y", "mit", "dolly", dataset="org/lines")
+    assert files.load(spark, lines, str(tmp_path), most=1).count() == 1
+    with pytest.raises(ValueError, match="no backend"):
+        files.load(spark, files.Source("z", "mit", "dolly", dataset="none"), str(tmp_path))
+    (tmp_path / "points").mkdir()
+    for name, text in {"b.json": '{"id": "2",\n "rule": "r"}', "a.json": '{"id": "1", "rule": "q"}', "c.json": "{broken"}.items():
+        (tmp_path / "points" / name).write_text(text)
+    assert [r["id"] for r in files.points(spark, f"{tmp_path}/points", "id string, rule string").collect()] == ["1", "2"]
+    (tmp_path / "rank.tsv").write_text("a\tone\ttwo\n\tnothing\nb\nc\t\n")
+    assert {(r["id"], r["text"]) for r in files.ranked_texts(spark, f"{tmp_path}/rank.tsv").collect()} == {("a", "one\ttwo"), ("b", ""), ("c", "")}
+
+
+def test_readers_of_files(spark, tmp_path):
+    from quern.sources import files, sinks
+
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.txt").write_text("one\n\ntwo\n")
+    (tmp_path / "d" / "b.jsonl").write_text('{"text": "t"}\n{"solution": "s"}\n{}\nplain\n')
+    (tmp_path / "d" / "c.bin").write_text("no")
+    got = sorted(r["line_text"] for r in files.corpus_lines(spark, f"{tmp_path}/d").collect())
+    assert got == sorted(["one", "", "two", "t", "s", "", "plain"])
+    whole = {r["file"].rpartition("/")[2]: r["record"] for r in files.whole_texts(spark, f"{tmp_path}/d", "*.txt").collect()}
+    assert whole == {"a.txt": '{"text":"one\\n\\ntwo\\n"}'}
+    lines = spark.createDataFrame([('{"prompt_id": "1", "lang": "en", "user": "hi"}',), (" ",)], "value string")
+    assert [tuple(r) for r in files.prompts(lines).collect()] == [("1", "en", "hi", "daily_dialogue")]
+    import pytest
+
+    with pytest.raises(Exception, match="lacks user"):
+        files.prompts(spark.createDataFrame([('{"prompt_id": "1", "lang": "en"}',)], "value string")).collect()
+    found = spark.createDataFrame([("x/run10.json",), ("x/run9.json",), ("x/run.json",)], "path string")
+    assert [r["path"] for r in sinks.in_run_order(found).collect()] == ["x/run.json", "x/run9.json", "x/run10.json"]
+    shards = spark.createDataFrame([("a/shard-00004.jsonl",), ("a/other.jsonl",)], "path string")
+    assert sinks.next_shard(shards) == 5 and sinks.next_shard(shards.limit(0)) == 0
+
+
+def test_knowledge_upkeep(spark):
+    from pyspark.sql import functions as F
+
+    from quern.operators import knowledge
+
+    held = spark.createDataFrame([("a", 1, "2020"), ("b", 0, "2020")], "id string, access_count long, last_access string")
+    out = {r["id"]: (r["access_count"], r["last_access"]) for r in knowledge.touched(held, spark.createDataFrame([("a",), ("a",)], "id string"), F.lit("2024")).collect()}
+    assert out == {"a": (3, "2024"), "b": (0, "2020")}
+    schema = "id string, rule string, positive_examples array<string>, negative_examples array<string>"
+    big = spark.createDataFrame([("p", "r" * 5000, ["e" * 2000] * 12, ["x"]), ("q", "short", ["a"] * 12, [])], schema)
+    kept = {r["id"]: r for r in knowledge.fitted(big).collect()}
+    assert len(kept["p"]["rule"]) == 4096 and len(kept["p"]["positive_examples"]) == 8 and len(kept["q"]["positive_examples"]) == 12
+    hits = spark.createDataFrame([(1, 2, "two"), (1, 1, "one")], "query_id long, rank int, text string")
+    assert knowledge.injection(hits).first()["prefix"] == "<|memory|> one <|/memory|>\n<|memory|> two <|/memory|>"
+
+
+def test_function_skeletons(spark):
+    from quern.operators import training
+
+    code = "import os\n\ndef f(a, b):\n    x = a\n    for i in b:\n        if i:\n            print(i)\n    return x\n\nclass C:\n    def m(self): pass\n\nasync def g():\n    pass\n"
+    rows = spark.createDataFrame([("a.py", code), ("b.py", "def broken(:"), ("c.py", None)], "path string, source string")
+    got = {r["name"]: (r["params"], r["steps"]) for r in training.function_skeletons(rows).collect()}
+    assert got == {"f": (["a", "b"], ["parse_input", "assign", "loop", "branch", "call", "return"]), "g": ([], ["emit_output"])}
+
+
+def test_unknown_verdicts_are_errors(spark):
+    import pytest
+
+    from quern.operators import cleaner
+
+    rows = spark.createDataFrame([(1,), (2,)], "i long")
+    verdict = lambda action: spark.createDataFrame([(1, action, "why")], "i long, action string, reason string")
+    assert {(r["i"], r["action"], r["reason"]) for r in cleaner.with_verdicts(rows, verdict("reject"), "i").collect()} == {(1, "reject", "why"), (2, "accept", "accepted")}
+    with pytest.raises(Exception, match="unknown action"):
+        cleaner.with_verdicts(rows, verdict("maybe"), "i").collect()
+
+
+def test_whole_run_as_a_stream(spark, tmp_path):
+    """Two keys over batches, budgets, a stop, a second run that goes on, and a report."""
+    from quern.operators import cleaner
+    from quern.streaming.run import CleaningRun
+
+    talk = lambda k: [("user", f"How do I fix bug {k} in the pump function, because the pytest run fails with an error?"), ("assistant", f"First step by step: the root cause {k} is a wrong argument in def pump, so check the traceback and call the tool again. " * 2)]
+    row = lambda i, k, tree: (i, "s", f"id{i}", "mit", "en", talk(k), tree)
+    schema = "seq long, source string, source_id string, license_id string, language string, messages array<struct<role:string,content:string>>, tree_id string"
+    one = [row(1, 1, "t1"), row(2, 2, "t1"), row(3, 1, ""), row(4, 4, None)]
+    two = [row(5, 4, "t9"), row(6, 6, "t1"), row(7, 7, "t2"), row(8, 8, None)]
+    folder = f"{tmp_path}/in"
+    spark.createDataFrame(one, schema).coalesce(1).write.mode("append").parquet(folder)
+    run = CleaningRun(f"{tmp_path}/out", whole=10**6, shard_bytes=700)
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    work = lambda: stream().writeStream.foreachBatch(run.clean_batch).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    work()
+    spark.createDataFrame(two, schema).coalesce(1).write.mode("append").parquet(folder)
+    work()
+    told = {(r["metric"], r["key"]): r["cnt"] for r in run.report(spark).collect()}
+    assert told["seen", ""] == 8 and told["accepted", ""] == 4 and told["rejected", "duplicate_thread"] == 2 and told["rejected", "duplicate"] == 2
+    assert told["written", "en"] == 4 and told["source", "s"] == 4 and told["converted", "s"] == 8
+    lines = spark.read.text(f"{tmp_path}/out/shards")
+    assert sorted(r["value"].split('"source_id":"')[1].split('"')[0] for r in lines.collect()) == ["id1", "id4", "id7", "id8"]
+    assert lines.select("batch", "shard").distinct().count() > 2
+    run.clean_batch(spark.createDataFrame(two, schema), 1)  # a batch that runs again changes nothing
+    assert {(r["metric"], r["key"]): r["cnt"] for r in run.report(spark).collect()} == told
+    assert '"seen": 8' in cleaner.quality_report(run.report(spark), {"least_score": 0.45}, {"shards": "x"})
+
+    small = CleaningRun(f"{tmp_path}/small", whole=1500)
+    small.take(spark, {"a": stream(), "b": stream()})
+    assert small.stopped(spark) and small.exhausted(spark) == set()
+    told = {(r["metric"], r["key"]): (r["cnt"], r["bytes"]) for r in small.report(spark).collect()}
+    assert told["written", "en"][1] <= 1500 and told["skipped", "stopped"][0] >= 1
+    large = CleaningRun(f"{tmp_path}/large", whole=10**6)
+    large.take(spark, {"a": stream()})
+    assert large.exhausted(spark) == {"a"} and not large.stopped(spark)
