@@ -13,8 +13,11 @@ Texts are normalised and cut to pre-tokens as the vocabulary's own file says
 pre-token's ids are kept for the next time it occurs, in a store of bounded
 size.
 
-Defined results: a null text counts as empty and has no ids; rows that repeat
-are encoded each; extra columns pass through untouched.
+Defined results: a null text counts as empty and has no ids; a very long text
+is encoded whole, a very long pre-token in time linear in its length; an empty
+table gives no rows; rows that repeat, or share a doc_id, are encoded each;
+extra columns pass through untouched, but for those that have the name of a
+result, which are replaced.
 """
 
 from __future__ import annotations

@@ -65,6 +65,34 @@ def test_jaccard(docs):
     assert 100 in kept and not {101, 102} & set(kept) and len(kept) == len(set(kept))
 
 
+@pytest.mark.parametrize("kind", ["docs", "odd", "blank", "empty"])
+def test_mixing_is_duckdbs(spark, docs, kind):
+    """Against the SQL on awkward tables: null and clashing columns, repeats, documents longer than their source's target, no words at all."""
+    import duckdb
+    import pandas as pd
+
+    r = random.Random(4)
+    rows = {
+        "docs": [(x["doc_id"], x["text"], x["source"]) for x in docs.collect()],
+        "odd": [(i, "w " * r.randrange(40), r.choice(["a", "b", "é", "", None])) for i in range(200)] + [(7, "w " * 5000, "z"), (8, None, "a"), (8, "w", "a"), (9, "\x1c \xa0", None)],
+        "blank": [(1, None, "a"), (2, " \n", None)], "empty": [],
+    }[kind]
+    frame = spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, text string, source string, size string")
+    got = sorted(tuple(x) for x in mixing.mix(frame).collect())
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text", "source"]).astype({"doc_id": "int64", "text": object, "source": object}))
+    want = sorted(con.sql(f"select doc_id, size, source_size, target, taken from ({mixing.SQL})").fetchall()) if rows else []
+    assert [x[:3] + x[4:] for x in got] == [x[:3] + x[4:] for x in want]
+    assert all(abs(a[3] - b[3]) < 1e-6 for a, b in zip(got, want, strict=True))
+    once = {}
+    for i, n, *_, taken in got:
+        once[i] = max(once.get(i, 0), taken // n if n else 0)
+    if kind != "odd":  # there two rows of one id have sizes of their own
+        out = mixing.take(frame)
+        each = [i for i, text, _ in rows if (text or "").strip(" \t\n") for _ in range(once[i])]
+        assert out.columns == frame.columns and sorted(x["doc_id"] for x in out.collect()) == sorted(each)
+
+
 def test_mixing(docs):
     rows = mixing.mix(docs).collect()
     assert len(rows) == docs.count()
@@ -85,8 +113,20 @@ def test_bpe_is_the_librarys(spark, docs):
         text = "".join(r.choice("aehinorst  éßΣ字1!'\t\x1c<|endoftext|>") for _ in range(r.randrange(40)))
         ids = t.encode(text, add_special_tokens=False).ids
         assert model.encode(text) == (" ".join(map(str, ids)), t.decode(ids, skip_special_tokens=False))
-    out = bpe.encode(docs.where("doc_id <> 203"), decoded=True)
-    assert bpe.decode(out.select("ids", "decoded"), to="again").where("again <> decoded").count() == 0
+    from pyspark.sql import functions as F
+
+    odd = spark.createDataFrame([(1, "x" * 200_000 + " é" * 1000), (2, None), (2, None), (3, ""), (None, " \t\n"), (5, "ab" * 50_000)], "doc_id long, text string").withColumn("n_tokens", F.lit("clash"))
+    for frame in (docs, odd):
+        rows = frame.collect()
+        out = bpe.encode(frame, decoded=True)
+        got = out.collect()
+        assert len(got) == len(rows) and bpe.decode(out.select("ids", "decoded"), to="again").where("again <> decoded").count() == 0
+        want = sorted((str(r["doc_id"]), t.encode(r["text"] or "", add_special_tokens=False).ids) for r in rows)
+        assert sorted((str(r["doc_id"]), list(r["ids"])) for r in got) == want and all(r["n_tokens"] == len(r["ids"]) for r in got)
+        for r in got:
+            assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, r["ids"])).encode()).hexdigest()
+            assert r["decoded"] == t.decode(list(r["ids"]), skip_special_tokens=False) and r["decoded_sha256"] == hashlib.sha256(r["decoded"].encode()).hexdigest()
+    assert bpe.encode(docs.limit(0)).count() == 0
 
 
 def test_token_counts():

@@ -81,6 +81,75 @@ def test_large_group_has_all_links(spark, rows):
     assert {i: got[i] for i in want} == want
 
 
+@pytest.mark.parametrize("texts", [40, 150])
+def test_blocks_of_a_large_group_meet(spark, rows, monkeypatch, texts):
+    """Blocks smaller than the group: links across blocks, read from the written ones, are all there."""
+    monkeypatch.setattr(jaccard, "LARGE_TEXTS", texts)
+    links = linked([r[1] for r in rows if r[1]])
+    got = {r["doc_id"]: r for r in jaccard.classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {r[0]: got[r[0]]["n_links"] for r in rows if r[1]} == {r[0]: len(links[r[1]]) for r in rows if r[1]}
+    least = {}
+    for i, t, *_ in rows:
+        if t:
+            least.setdefault(got[i]["class_id"], set()).add(t)
+    assert all(set(links[t]) <= own for own in least.values() for t in own)
+
+
+def test_climbing_sorted_tries():
+    """Runs of shared prefixes, however the sorted labels are cut into batches."""
+    import numpy as np
+    import pandas as pd
+
+    r = np.random.default_rng(3)
+    p, bits, depth = 7, jaccard.BITS, jaccard.DEPTH
+    label = r.integers(0, 3, (300, depth)) @ (1 << (bits * np.arange(depth)[::-1]))
+    label[:120] = np.where(r.random(120) < 0.5, label[0], label[:120])
+    rows = pd.DataFrame({"tree": r.integers(0, 2, 300), "label": label, "tid": r.permutation(300)}).sort_values(["tree", "label", "tid"], ignore_index=True)
+    run = rows.groupby(["tree", rows["label"].to_numpy() >> (bits * (depth - p))])["tid"]
+    want = {int(t): frozenset(map(int, own)) for _, own in run for t in own if len(own) > 1}
+    for step in (1, 2, 7, 50, 300):
+        out = pd.concat(list(jaccard._climb(p)(iter([rows.iloc[k : k + step] for k in range(0, 300, step)]))))
+        own = out[~out["edge"]]
+        assert set(own["tid"]) == set(want)
+        reach = {t: {t} for t in want}  # joined by their first texts, the rows give the runs again
+        for t, first in zip(own["tid"], own["first"], strict=True):
+            both = reach[t] | reach[first]
+            for x in both:
+                reach[x] = both
+        assert {t: frozenset(x) for t, x in reach.items()} == want
+        named = own.groupby("key")["tid"].agg(set)
+        assert {frozenset(map(int, x)) for x in named} == set(want.values())
+        assert (own["depth"] >= p).all() and out["edge"].sum() == 2
+
+
+def test_awkward_rows_of_the_join(spark):
+    """Nulls in every column, repeats, short and long texts, clashing names; each class keeps one row."""
+    long = " ".join(f"w{k}" for k in range(30_000))
+    data = [(1, "a b c"), (2, "a b c"), (2, "a b c"), (None, "a b c"), (None, "lonely words of an id that is null"), (None, None), (5, None), (5, None), (6, ""), (7, ""), (8, "one"), (9, "one  "), (10, long), (11, long + " end"), (12, "x y z v w"), (12, "other text under the same id")]
+    frame = spark.createDataFrame([(i, t, "z", 1) for i, t in data], "doc_id long, text string, digest string, tid int")
+    got = sorted(((r["doc_id"], r["class_id"], r["n_links"], r["n_copies"]) for r in jaccard.classes(frame).collect()), key=str)
+    assert len(got) == len(data)
+    assert got.count((2, 1, 0, 4)) == 2 and (None, 1, 0, 4) in got and (1, 1, 0, 4) in got
+    assert (10, 10, 1, 1) in got and (11, 10, 1, 1) in got and (6, 6, 0, 2) in got and (7, 6, 0, 2) in got
+    assert (8, 8, 1, 1) in got and (9, 8, 1, 1) in got and got.count((5, 5, 0, 1)) == 2
+    kept = sorted(((r["doc_id"], r["text"]) for r in jaccard.keep_one(frame).collect()), key=str)
+    want = [(1, "a b c"), (None, "lonely words of an id that is null"), (None, None), (5, None), (5, None), (6, ""), (8, "one"), (10, long), (12, "x y z v w"), (12, "other text under the same id")]
+    assert kept == sorted(want, key=str) and jaccard.keep_one(frame).columns == frame.columns
+    assert jaccard.classes(frame.limit(0)).count() == 0 == jaccard.keep_one(frame.limit(0)).count()
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs whose similarity is 0.8 or little more, the hardest to meet."""
+    r, data = random.Random(2), []
+    for k in range(150):
+        words = [f"v{r.randrange(10**6)}" for _ in range(94)]
+        data += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: 94 - 2] + ["t"] * 0 + words[94:]))] if k % 2 else [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-10], *[f"u{k}x{j}" for j in range(10)]]))]
+    links = linked([t for _, t in data])
+    got = {x["doc_id"]: x["n_links"] for x in jaccard.classes(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    there = sum(len(links[t]) for _, t in data)
+    assert there >= 250 and sum(got.values()) >= 0.99 * there and all(got[i] <= len(links[t]) for i, t in data)
+
+
 def test_stages(spark, rows, sf):
     docs, stages = spark.createDataFrame(rows, SCHEMA), dict(corpus_pipeline.STAGES)
     labels = spark.read.parquet(f"{sf}/labels.parquet")
