@@ -10,6 +10,16 @@ as Parquet and read again as the next stage's ``docs``:
 4. ``mixing``: sources are sampled down or repeated to their target weights.
 5. ``bpe``: texts become token ids (``n_tokens``, ``ids``, and the digests of
    ids and decoded text), with the other columns of documents.
+
+Defined results, stage by stage: a null or empty text is scored like any other
+by ``quality``; ``near_copies`` keeps every document without a text, and one
+row of those that repeat a text; ``pii`` leaves a null text null; ``mixing``
+takes no document without words, and rows that repeat a doc_id of one size
+share a decision; ``bpe`` gives a null text no ids.  Very long texts go through
+whole.  A score, or a place in the mix, that ties with its limit is kept.  An
+empty table gives an empty table.  All but the last stage return the columns
+they were given, whatever further columns there are.  tests/llm compares the
+stages and ``run`` with brute force.
 """
 
 from __future__ import annotations
@@ -42,7 +52,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality_stage), ("near_copies", near_copies_stage), ("pii", pii_stage), ("mixing", mixing_stage), ("bpe", bpe_stage)]
 
-#: Learned rules, set similarity and BPE are beyond SQL; tests/llm compares the stages with brute force instead.
+#: Learned rules, set similarity and BPE are beyond SQL.
 ORACLE_SQL = None
 
 
