@@ -35,8 +35,10 @@ def first_wins(rows: DataFrame, keep) -> DataFrame:
 
     A row is accepted once it is the least undecided row of both its keys; rows
     that share a key with an accepted one are rejected; and so on until all
-    are decided.  ``keep`` cuts the lineage after each round (checkpoint or
-    written table).
+    are decided.  A round accepts the least undecided row of every pair of keys,
+    so there are as many rounds as the longest chain in which each row waits
+    for one before it.  ``keep`` cuts the lineage after each round (checkpoint or
+    written table); the accepted rows are put together once, at the end.
     """
     rows = keep(rows.select("seq", "fp", "thread"))
     undecided, won = rows, []

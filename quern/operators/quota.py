@@ -4,75 +4,144 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.lineage import cut
 
-def _fold(pdf: pd.DataFrame, budget: dict[str, int]) -> pd.DataFrame:
-    used, out = {}, []
-    for lang, n in zip(pdf["lang"], pdf["n"], strict=True):
-        if lang not in budget:
-            out.append("language_not_target")
-        elif used.get(lang, 0) + n > budget[lang]:
-            out.append("language_quota_full")
-        else:
-            used[lang] = used.get(lang, 0) + n
-            out.append("")
-    return pdf.assign(verdict=out)
 
+#: So many rows, of three narrow columns, are folded in one task; of more, all but the last so many are decided by running sums.
+FOLD_ROWS = 1_000_000
 
-def per_language(rows: DataFrame, budget: dict[str, int]) -> DataFrame:
-    """(seq, lang, n) with a verdict ('' for kept).  Languages are independent, so each folds in its own task, over three narrow columns."""
-    return rows.select("seq", "lang", "n").groupBy("lang").applyInPandas(lambda p: _fold(p.sort_values("seq"), budget), "seq long, lang string, n long, verdict string")
+
+def running_total(rows: DataFrame, order: list[str], value: str, by: list[str] | None = None) -> DataFrame:
+    """Adds ``total``: the sum of ``value`` up to and including each row in the order, of each group ``by``.
+
+    Range partitions add up on their own, then each adds what comes before it,
+    so that no task sees more than its partition, however large a group is.
+    """
+    by = by or []
+    ranged = cut(rows.repartitionByRange(*by, *order).withColumn("_slice", F.spark_partition_id()))
+    sums = ranged.groupBy(*by, "_slice").agg(F.sum(value).alias("_sum"))  # one row a partition, and one more where a group ends
+    prior = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*by, "_slice", F.coalesce(F.sum("_sum").over(prior), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.join(before, [*by, "_slice"]).withColumn("total", F.col("_before") + F.sum(value).over(within)).drop("_slice", "_before")
+
+
+def _folded(batches: Iterator[pd.DataFrame], room: dict[str, int]) -> Iterator[pd.DataFrame]:
+    left = dict(room)
+    for pdf in batches:
+        out = []
+        for lang, n in zip(pdf["lang"], pdf["n"], strict=True):
+            if lang not in left:
+                out.append("language_not_target")
+            elif n > left[lang]:
+                out.append("language_quota_full")
+            else:
+                left[lang] -= n
+                out.append("")
+        yield pdf.assign(verdict=out)
+
+
+def _in_one_task(rows: DataFrame) -> DataFrame:
+    return rows.select("seq", "lang", "n").repartitionByRange(1, "seq").sortWithinPartitions("seq")
+
+
+_VERDICTS = "seq long, lang string, n long, verdict string"
+
+
+def per_language(rows: DataFrame, budget: dict[str, int], used: dict[str, int] | None = None) -> DataFrame:
+    """(seq, lang, n) with a verdict ('' for kept): a row that doesn't fit its language's budget is skipped, and smaller ones after it may fit.
+
+    All rows fit up to the first that the running sum shows not to; of those
+    after it, only rows within what is then left can fit, and so on: each pass
+    leaves less than the row that ended it.  Once few rows are undecided one
+    task folds them.
+    """
+    room = {lang: n - (used or {}).get(lang, 0) for lang, n in budget.items()}
+    rows = rows.select("seq", "lang", "n")
+    spark, passes, left = rows.sparkSession, [], rows.where(F.col("lang").isin(*room)) if room else rows.limit(0)
+    if left.count() > FOLD_ROWS:
+        rows = cut(rows)
+        after: dict[str, int | None] = dict.fromkeys(room)
+        while True:
+            undecided = F.lit(False)
+            for lang, n in room.items():
+                mine = (F.col("lang") == lang) & (F.col("n") <= n)
+                undecided = undecided | (mine if after[lang] is None else mine & (F.col("seq") > after[lang]))
+            left = cut(rows.where(undecided))
+            if left.count() <= FOLD_ROWS:
+                break
+            total = cut(running_total(left, ["seq"], "n", ["lang"]))
+            over = F.lit(False)
+            for lang, n in room.items():
+                over = over | ((F.col("lang") == lang) & (F.col("total") > n))
+            first = {r["lang"]: r["s"] for r in total.where(over).groupBy("lang").agg(F.min("seq").alias("s")).collect()}
+            spent = total.where(~over).groupBy("lang").agg(F.max("total").alias("t"))
+            spent = {r["lang"]: r["t"] for r in spent.collect()}
+            for lang, n in list(room.items()):
+                passes.append((lang, after[lang], first.get(lang), n))
+                room[lang] = n - spent.get(lang, 0) if lang in first else -1  # without a row beyond it the language is done
+                after[lang] = first.get(lang, after[lang])
+    kept = F.lit(False)
+    for lang, low, high, n in passes:  # a few for each language
+        mine = (F.col("lang") == lang) & (F.col("n") <= n)
+        mine = mine if low is None else mine & (F.col("seq") > low)
+        kept = kept | (mine if high is None else mine & (F.col("seq") < high))
+    last = {lang: n for lang, n in room.items() if n >= 0}
+    tail = _in_one_task(left).mapInPandas(lambda b: _folded(b, last), _VERDICTS)
+    if not passes:
+        rest = rows.where(~F.col("lang").isin(*room) | F.col("lang").isNull()) if room else rows
+        return tail.unionByName(rest.withColumn("verdict", F.lit("language_not_target")))
+    tail = tail.select(F.col("seq").alias("_seq"), F.col("verdict").alias("_verdict"))
+    verdict = F.when(~F.coalesce(F.col("lang").isin(*budget), F.lit(False)), "language_not_target").when(kept, "").otherwise(F.coalesce("_verdict", F.lit("language_quota_full")))
+    return rows.join(tail, F.col("seq") == F.col("_seq"), "left").select("seq", "lang", "n", verdict.alias("verdict"))
 
 
 def with_total(rows: DataFrame, budget: dict[str, int], whole: int, total_first: bool, used: dict[str, int] | None = None) -> DataFrame:
-    """Both budgets, in one pass in order of seq over narrow rows: the whole budget depends on every verdict before, so this pass is sequential by nature.
+    """Both budgets, in order of seq.
 
     ``total_first`` is the batch writer's order of the two tests; the stream
     writer asks for the language first.  Once a row exceeds the whole budget,
-    it and all later rows are ``stopped``.  ``used`` is what earlier runs wrote of each language.
-    """
-    before = dict(used or {})
+    it and all later rows are ``stopped``.  ``used`` is what earlier runs wrote
+    of each language.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        used, spent, stopped = dict(before), sum(before.values()), False
-        for pdf in batches:
-            out = []
-            for lang, n in zip(pdf["lang"], pdf["n"], strict=True):
-                if not stopped and total_first and spent + n > whole:
-                    stopped = True
-                if stopped:
-                    out.append("stopped")
-                elif lang not in budget:
-                    out.append("language_not_target")
-                elif used.get(lang, 0) + n > budget[lang]:
-                    out.append("language_quota_full")
-                elif spent + n > whole:
-                    stopped = True
-                    out.append("stopped")
-                else:
-                    used[lang], spent = used.get(lang, 0) + n, spent + n
-                    out.append("")
-            yield pdf.assign(verdict=out)
-
-    ordered = rows.select("seq", "lang", "n").repartitionByRange(1, "seq").sortWithinPartitions("seq")
-    return ordered.mapInPandas(run, "seq long, lang string, n long, verdict string")
+    Up to the stop the languages don't depend on each other, so the running sum
+    of what they keep finds it.
+    """
+    verdicts = cut(per_language(rows, budget, used))
+    spent = running_total(verdicts.withColumn("taken", F.when(F.col("verdict") == "", F.col("n")).otherwise(F.lit(0))), ["seq"], "taken")
+    beyond = F.col("total") - F.col("taken") + F.col("n") > whole - sum((used or {}).values())
+    stop = spent.where(beyond if total_first else beyond & (F.col("verdict") == "")).agg(F.min("seq")).first()[0]
+    return verdicts if stop is None else verdicts.withColumn("verdict", F.when(F.col("seq") >= stop, "stopped").otherwise(F.col("verdict")))
 
 
 def shards(rows: DataFrame, limit: int) -> DataFrame:
-    """(seq, n) with ``shard``: a new one begins where the current one would exceed ``limit`` (a first row always fits)."""
+    """(seq, n) with ``shard``: a new one begins where the current one would exceed ``limit`` (a first row always fits).
+
+    Where a shard ends depends on where it began, so one task walks the sums of
+    two narrow columns; it stops at the shards' ends only, not at every row.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, used = 0, 0
         for pdf in batches:
-            out = []
-            for n in pdf["n"]:
-                if used and used + n > limit:
-                    shard, used = shard + 1, 0
-                used += n
-                out.append(shard)
+            size = pdf["n"].to_numpy("int64")
+            total, out, at = np.cumsum(size), np.empty(len(size), "int32"), 0
+            while at < len(size):
+                base = int(total[at - 1]) if at else 0
+                end = int(np.searchsorted(total, base + limit - used, side="right"))
+                if end <= at:
+                    if used:
+                        shard, used = shard + 1, 0
+                        continue
+                    end = at + 1
+                out[at:end] = shard
+                used += int(total[end - 1]) - base
+                at = end
             yield pdf.assign(shard=out)
 
     return rows.select("seq", "n").repartitionByRange(1, "seq").sortWithinPartitions("seq").mapInPandas(run, "seq long, n long, shard int")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from .quota import running_total
 from .tokens import fnv1a
 
 #: Rows of a block, and queries of a block, when every row meets every query.
@@ -174,10 +175,12 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def prune_to_budget(memories: DataFrame, budget: int, now: float, gamma: float = 0.995, tau: float = 86400.0) -> DataFrame:
     """What stays when the lowest scores go until the payload fits; at least one stays."""
     score = F.col("importance") * F.pow(F.lit(gamma), (F.lit(now) - F.col("last_access")) / F.lit(tau)) + F.lit(0.01) * F.col("access_count")
-    w = Window.orderBy("score", "id")
-    ranked = memories.withColumn("score", score).select("id", "payload_bytes", "score", F.row_number().over(w).alias("k"), F.sum("payload_bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    whole = memories.agg(F.sum("payload_bytes").alias("total"), F.count("*").alias("rows"))
-    return ranked.join(F.broadcast(whole)).where(~((F.col("total") - F.coalesce("before", F.lit(0)) > budget) & (F.col("k") < F.col("rows")))).select("id", F.round("score", 6).alias("score"))
+    ranked = running_total(memories.withColumn("score", score).select("id", "payload_bytes", "score"), ["score", "id"], "payload_bytes")
+    last = memories.select(F.max(F.struct(score.alias("score"), "id")).alias("last"), F.sum("payload_bytes").alias("all")).first()
+    # what is left before a row goes is all but the rows below it; the best row stays
+    beyond = F.lit(last["all"] or 0) - (F.col("total") - F.col("payload_bytes")) > budget
+    best = F.col("id") == F.lit(last["last"]["id"] if last["last"] else None)
+    return ranked.where(~beyond | best).select("id", F.round("score", 6).alias("score"))
 
 
 def prune_to_count(points: DataFrame, most: int, order: list) -> DataFrame:

@@ -397,3 +397,45 @@ def test_whole_run_as_a_stream(spark, tmp_path):
     large = CleaningRun(f"{tmp_path}/large", whole=10**6)
     large.take(spark, {"a": stream()})
     assert large.exhausted(spark) == {"a"} and not large.stopped(spark)
+
+
+def test_quotas_by_running_sums_are_the_fold(spark, monkeypatch):
+    """More rows than one task folds: the passes give what one walk in order gives, for both orders of the tests."""
+    import pytest
+
+    from quern.operators import quota, retrieval
+
+    r = random.Random(12)
+    rows = [(k, r.choice(["de", "fr", "en", None]), r.choice([1, 3, 10, 40, 200, 999])) for k in range(600)]
+    frame = spark.createDataFrame(rows, "seq long, lang string, n long")
+
+    def walk(budget, whole, total_first, used):
+        left, spent, stopped, out = {k: v - used.get(k, 0) for k, v in budget.items()}, sum(used.values()), False, {}
+        for seq, lang, n in rows:
+            over = whole is not None and spent + n > whole
+            fits = lang in left and n <= left[lang]
+            stopped = stopped or (over and (total_first or fits))
+            out[seq] = "stopped" if stopped else "language_not_target" if lang not in left else "" if fits else "language_quota_full"
+            if out[seq] == "":
+                left[lang], spent = left[lang] - n, spent + n
+        return out
+
+    for limit in (10**6, 5, 60):
+        monkeypatch.setattr(quota, "FOLD_ROWS", limit)
+        for budget, used in (({"de": 9000, "fr": 700}, {}), ({"de": 2000, "fr": 10**9}, {"de": 500})):
+            got = {x["seq"]: x["verdict"] for x in quota.per_language(frame, budget, used).collect()}
+            assert got == walk(budget, None, False, used), (limit, budget)
+            for total_first in (True, False):
+                got = {x["seq"]: x["verdict"] for x in quota.with_total(frame, budget, 6000, total_first, used).collect()}
+                assert got == walk(budget, 6000, total_first, used), (limit, budget, total_first)
+    used, shard, want = 0, 0, []
+    for _, _, n in rows:
+        if used and used + n > 1000:
+            used, shard = 0, shard + 1
+        used += n
+        want.append(shard)
+    assert [x["shard"] for x in quota.shards(frame, 1000).orderBy("seq").collect()] == want
+    assert quota.per_language(frame.limit(0), {"de": 1}).count() == 0 and quota.with_total(frame, {}, 10, True).where("verdict = ''").count() == 0
+    assert retrieval.prune_to_budget(spark.createDataFrame([], "id string, importance double, access_count long, last_access double, payload_bytes long"), 5, 0.0).count() == 0
+    with pytest.raises(ValueError, match="more than zero"):
+        quota.ratios({"a": 0.0}, 5)
