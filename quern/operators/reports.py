@@ -29,6 +29,20 @@ def merge_source_stats(reports: DataFrame, column: str = "source_stats") -> Data
     return rows.groupBy("source").agg(F.sum("s.converted").alias("converted"), F.sum("s.accepted").alias("accepted"), F.bool_or("s.exhausted").alias("exhausted"))
 
 
+def run_report(settings: dict[str, object], metrics: dict[str, float], steps: list[dict[str, float]]) -> str:
+    """A training run as Markdown: its settings, its last metrics, and a table of steps, whose columns are those of the first."""
+    out = ["# Training report", "", "## Settings", "", *[f"- {k}: {settings[k]}" for k in sorted(settings)], "", "## Metrics", "", *[f"- {k}: {metrics[k]:.4f}" for k in sorted(metrics)]]
+    if steps:
+        names = list(steps[0])
+        out += ["", "## Steps", "", "| " + " | ".join(names) + " |", "|" + " --- |" * len(names), *["| " + " | ".join(f"{s[n]:g}" for n in names) + " |" for s in steps]]
+    return "\n".join(out) + "\n"
+
+
+def due(written: int, every: int, now: float, last: float, least_seconds: float) -> bool:
+    """Whether a running report is due: at every so many records, but not sooner than so many seconds after the last."""
+    return every > 0 and written > 0 and written % every == 0 and (least_seconds <= 0 or now - last >= least_seconds)
+
+
 def markdown(title: str, sections: dict[str, dict[str, int]]) -> str:
     """Sections of sorted counters."""
     out = [f"# {title}"]

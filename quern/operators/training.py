@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..functions import learning as L
+from ..sources.lineage import cut
 from . import tokens
 
 #: The toy rows (text, skeleton name, its steps).
@@ -27,6 +28,22 @@ STAGES = (
 )
 
 
+#: What the names of stages stand for.
+ALIASES = {
+    "stage1": "structural_reconstruction", "stage2": "hyper_lora", "stage2_5": "intent_alignment", "stage3": "isg_training", "stage3_5": "cognitive_search", "stage4": "cognitive_search",
+    "stage_sdit": "self_driven_induction", "stage5": "knowledge_management", "stage_deliberation": "adaptive_deliberation", "stage_dspark": "dspark_speculative",
+    "stage_tool_calling": "tool_calling", "stage_tool_schema_following": "tool_calling", "stage_tool_retrieval": "tool_calling", "stage_agent_rollout": "tool_calling",
+}
+
+
+def stage_steps(stages: list[str], steps: str | None, default: int = 1000) -> list[tuple[str, int]]:
+    """(stage, steps) of a plan: one number of steps holds for all stages, or there is one for each."""
+    counts = [default] if steps is None else [int(n) for n in steps.split(",") if n.strip()]
+    if len(counts) not in (1, len(stages)):
+        raise ValueError(f"{len(counts)} numbers of steps for {len(stages)} stages")
+    return list(zip([ALIASES.get(s, s) for s in stages], counts * len(stages) if len(counts) == 1 else counts, strict=True))
+
+
 def evaluation(batches: DataFrame) -> DataFrame:
     """One row from (loss, difficulty) a batch: how many have a loss, its mean and perplexity, the mean difficulty; means of none are 0."""
     m = batches.agg(F.count("loss").alias("eval_batches"), F.coalesce(F.avg("loss"), F.lit(0.0)).alias("loss"), F.coalesce(F.avg("difficulty"), F.lit(0.0)).alias("difficulty_mean"))
@@ -46,6 +63,22 @@ def annotated(records: DataFrame, threshold: float, rate: float) -> DataFrame:
     return out.withColumn("positive_tokens", F.size(F.filter("external_knowledge_labels", lambda v: v > 0)).cast("long")).drop("_y")
 
 
+def annotate_files(records: DataFrame, out: str, threshold: float, rate: float, limit: int = 0) -> DataFrame:
+    """Write annotated records (file, seq, record JSON, losses, encoded_len), each input file to a folder of its own, and give the summary.
+
+    Folders are named by the whole path of the input, so that equal names don't
+    clash.  With a limit the first so many records, by file and seq, count.
+    """
+    rows = records.orderBy("file", "seq").limit(limit) if limit > 0 else records
+    done = cut(annotated(rows, threshold, rate))
+    fields = ("external_knowledge_labels", "hot_token_losses", "valid_tokens", "positive_tokens")
+    value = F.to_json(F.struct("record", *fields), {"ignoreNullFields": "false"})
+    folder = F.concat(F.regexp_replace(F.regexp_extract("file", r"([^/]*?)(\.\w+)?$", 1), r"\W+", "_"), F.lit("-"), F.substring(F.md5("file"), 1, 8))
+    lines = done.select(folder.alias("source"), "seq", value.alias("value"))
+    lines.repartition("source").sortWithinPartitions("source", "seq").select("source", "value").write.mode("overwrite").partitionBy("source").text(out)
+    return annotation_summary(done)
+
+
 def annotation_summary(rows: DataFrame) -> DataFrame:
     none = F.lit(0).cast("long")
     return rows.agg(F.count("*").alias("records"), F.coalesce(F.sum("valid_tokens"), none).alias("valid_tokens"), F.coalesce(F.sum("positive_tokens"), none).alias("positive_tokens"))

@@ -439,3 +439,46 @@ def test_quotas_by_running_sums_are_the_fold(spark, monkeypatch):
     assert retrieval.prune_to_budget(spark.createDataFrame([], "id string, importance double, access_count long, last_access double, payload_bytes long"), 5, 0.0).count() == 0
     with pytest.raises(ValueError, match="more than zero"):
         quota.ratios({"a": 0.0}, 5)
+
+
+def test_annotated_files_plans_and_reports(spark, tmp_path):
+    import pytest
+
+    from quern.operators import reports, training
+
+    rows = [(f"in/{d}/a.jsonl", k, f'{{"text": "{d}{k}"}}', [5.0, 0.1, float("nan")], 4) for d in ("x", "y") for k in range(3)]
+    frame = spark.createDataFrame(rows, "file string, seq long, record string, losses array<double>, encoded_len int")
+    told = training.annotate_files(frame, f"{tmp_path}/out", 1.0, 0.5).first()
+    assert (told["records"], told["valid_tokens"], told["positive_tokens"]) == (6, 12, 6)
+    lines = spark.read.text(f"{tmp_path}/out")
+    assert lines.select("source").distinct().count() == 2 and lines.count() == 6 and '"hot_token_losses":[5.0,0.1,null,null]' in lines.first()["value"]
+    assert training.annotate_files(frame, f"{tmp_path}/few", 1.0, 0.5, limit=4).first()["records"] == 4
+    assert training.stage_steps(["stage1", "odd"], "5") == [("structural_reconstruction", 5), ("odd", 5)] and training.stage_steps(["stage5"], None, 7) == [("knowledge_management", 7)]
+    with pytest.raises(ValueError, match="numbers of steps"):
+        training.stage_steps(["a", "b", "c"], "1,2")
+    text = reports.run_report({"seed": 1}, {"loss": 0.25}, [{"step": 1, "loss": 0.5}])
+    assert "- seed: 1" in text and "- loss: 0.2500" in text and "| 1 | 0.5 |" in text
+    assert reports.due(10, 5, 9.0, 0.0, 5.0) and not reports.due(10, 5, 3.0, 0.0, 5.0) and not reports.due(11, 5, 9.0, 0.0, 0.0) and not reports.due(10, 0, 9.0, 0.0, 0.0)
+
+
+def test_sessions_and_learning(spark, tmp_path):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from quern.operators import memory
+
+    rows = lambda s, n: [(s, k, [float(k), 1.0], f"w{k}") for k in range(n)]
+    schema = "session string, pos long, hidden array<double>, text string"
+    held = memory.chunks(spark.createDataFrame(rows("a", 5) + rows("b", 3), schema), size=2)
+    memory.save_sessions(held, f"{tmp_path}/s")
+    memory.save_sessions(memory.chunks(spark.createDataFrame(rows("b", 1), schema), size=2), f"{tmp_path}/s")
+    assert [(r["chunk_id"], r["vector"], r["text"]) for r in memory.load_session(spark, f"{tmp_path}/s", "a").orderBy("chunk_id").collect()] == [(0, [0.5, 1.0], "w0 w1"), (1, [2.5, 1.0], "w2 w3"), (2, [4.0, 1.0], "w4")]
+    assert memory.load_session(spark, f"{tmp_path}/s", "b").count() == 1
+    with pytest.raises(KeyError):
+        memory.load_session(spark, f"{tmp_path}/s", "c")
+    failures = spark.createDataFrame([("1", "python loop", "bad", "good"), ("2", "python loop", "bad", "good"), ("3", "rust", "x", "y")], "id string, requirement string, failed string, corrected string")
+    from quern.operators import knowledge
+
+    known = knowledge.learned(failures.where("id = '1'")).withColumns({"access_count": F.lit(0).cast("long"), "last_access": F.lit(0.0)})
+    out = {r["id"]: r["access_count"] for r in memory.learned_twice(known, failures.where("id > '1'"), F.lit(5.0)).collect()}
+    assert out == {"1": 1, "3": 0}
