@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file, shared_dir, stage
+from .common import MemberFilter, file, heavy_keys, lookup, shared_dir, stage
 
 LEAST = 1000
 #: An archive is closed and the next one begun beyond so many bytes; ranges up to so many bytes are read at once.
@@ -181,15 +181,21 @@ def roles(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """page_id, digest and refers_to of the records that revisit another."""
     seen = pages.select("page_id", F.sha1(F.coalesce("html", F.lit(""))).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n")).where(F.col("n") >= least)
     seen = stage(seen.select("page_id", "digest"), "warc-digests")
-    first = seen.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
-    return seen.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct()
+    first = stage(seen.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null"), "warc-firsts")
+    met = lookup(seen, "digest", first.drop("n"), heavy_keys(first.select("digest", "n"), seen.count()))
+    return met.where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct()
 
 
 def write(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
-    """Archives of all pages under ``folder``; one row (path, bytes, records) per archive, already written."""
-    revisits = roles(pages, least).select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "refers_to")
-    body = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    rows = body.join(revisits, F.col("page_id").eqNullSafe(F.col("r_id")) & (F.sha1("html") == F.col("r_digest")) & (F.octet_length("html") >= least), "left").select("page_id", "url", "html", "refers_to")
+    """Archives of all pages under ``folder``; one row (path, bytes, records) per archive, already written.
+
+    Only pages that may revisit another are shuffled; the rest are written where they are read.
+    """
+    revisits = stage(roles(pages, least).select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "refers_to"), "warc-revisits")
+    body = MemberFilter(revisits, "r_id").split(pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")), "page_id")
+    same = F.col("page_id").eqNullSafe(F.col("r_id")) & (F.sha1("html") == F.col("r_digest")) & (F.octet_length("html") >= least)
+    close = body.where("__q_may").join(revisits.hint("merge"), same, "left").select("page_id", "url", "html", "refers_to")
+    rows = close.union(body.where("not __q_may").select("page_id", "url", "html", F.lit(None).cast(dict(pages.dtypes)["page_id"])))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         done, archive, path, n = [], None, "", 0
