@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import freeing
+
 #: A worker keeps the ids of between one and two times so many pieces (what stands between white space) and pre-tokens.
 KEPT = 100_000
 #: Most pairs of tokens of which it is known whether they are compatible.
@@ -251,7 +253,7 @@ def encode(docs: DataFrame, *, vocabulary: str | None = None, text: str = "text"
                     out += [pa.array([sha(p[side]) for p in pairs], pa.string()) for side in (0, 1)]
                 yield pa.RecordBatch.from_arrays(out, names=[f.name for f in rest] + [f.name for f in new])
 
-    return slim.mapInArrow(run, T.StructType(rest + new))
+    return slim.mapInArrow(freeing(run), T.StructType(rest + new))
 
 
 def decode(rows: DataFrame, *, vocabulary: str | None = None, ids: str = "ids", to: str = "text") -> DataFrame:

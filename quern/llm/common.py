@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 from typing import BinaryIO
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -114,6 +116,23 @@ class MemberFilter:
         return out.withColumn("__q_may", F.coalesce(F.col("__q_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("__q_word", "__q_bits")
 
 
+def freeing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over batches; at its end the Python worker, which goes on to other tasks, gives back what it holds unused."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import pyarrow
+
+            pyarrow.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's own
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MemberFilter, delete, file, heavy_keys, lookup, shared_dir, stage, unstage
+from .common import MemberFilter, delete, file, freeing, heavy_keys, lookup, shared_dir, stage, unstage
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -144,7 +144,7 @@ def sketches(docs: DataFrame, trees: int, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), labels], names=["doc_id", "digest", "n", "labels"])
 
     doc_type = dict(docs.dtypes)["doc_id"]
-    return slim.mapInArrow(run, f"doc_id {doc_type}, digest binary, n long, labels array<long>")
+    return slim.mapInArrow(freeing(run), f"doc_id {doc_type}, digest binary, n long, labels array<long>")
 
 
 def _climb(p: int):
@@ -204,7 +204,7 @@ def forest(texts: DataFrame, p: int) -> DataFrame:
     """(tid, first, head, depth, key) of all texts that share a prefix of ``p`` values or more in some trie, a row per trie."""
     entries = texts.select(F.posexplode("labels").alias("tree", "label"), "tid")
     tries = entries.repartitionByRange("tree", "label", "tid").sortWithinPartitions("tree", "label", "tid")
-    walked = stage(tries.mapInPandas(_climb(p), "tid long, first long, head long, depth int, key long, edge boolean"), "jaccard-tries")
+    walked = stage(tries.mapInPandas(freeing(_climb(p)), "tid long, first long, head long, depth int, key long, edge boolean"), "jaccard-tries")
     ends = walked.where("edge")  # two rows a partition
     over = ends.groupBy("key").agg(F.min("tid").alias("least"), F.max("tid").alias("most")).where("least <> most").select("key", "least")
     stitched = ends.join(over, "key").select("tid", F.col("least").alias("first"), F.col("least").alias("head"), F.lit(p).alias("depth"), "key")
@@ -397,7 +397,7 @@ def _compare(docs: DataFrame, texts: DataFrame, met: DataFrame, groups: DataFram
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in range(4)], sets], names=["tid", "root", "block", "large", "shingles"])
 
     text = _fetch(docs, blocks).select("tid", "root", "block", "large", "text")
-    sets = text.mapInArrow(run, "tid long, root long, block string, large boolean, shingles binary")
+    sets = text.mapInArrow(freeing(run), "tid long, root long, block string, large boolean, shingles binary")
     folder = shared_dir(docs.sparkSession, "jaccard-packed")
     within = stage(sets.groupBy("block").applyInPandas(_within(folder, threshold), "a long, n long, b long, block string, path string"), "jaccard-within")
     # blocks of large groups meet if they share a run

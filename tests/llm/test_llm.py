@@ -382,6 +382,12 @@ def test_warc_awkward_rows(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_pii_is_native(docs):
+    for out in (pii.find(docs), pii.redact(docs)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not any(w in plan for w in ("Python", "Pandas", "Arrow", "Exchange"))
+
+
 def test_pii_many_and_awkward_spans(spark):
     import time
 
