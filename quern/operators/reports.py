@@ -29,6 +29,26 @@ def merge_source_stats(reports: DataFrame, column: str = "source_stats") -> Data
     return rows.groupBy("source").agg(F.sum("s.converted").alias("converted"), F.sum("s.accepted").alias("accepted"), F.bool_or("s.exhausted").alias("exhausted"))
 
 
+#: What every cleaning run holds its rows to.
+GATE = (
+    "Licenses must be allowlisted.", "Role order must be user/assistant alternating and end with assistant.",
+    "PII and secret-like tokens are rejected instead of redacted into training data.", "Exact normalized duplicates are removed.",
+)
+
+
+def quality_markdown(report: DataFrame, train: int, valid: int) -> str:
+    """A cleaning run's counters (metric, key, cnt; a few hundred rows) as Markdown, with the gate that all rows passed."""
+    counts: dict[str, dict[str, int]] = {}
+    for r in report.collect():
+        counts.setdefault(r["metric"], {})[r["key"]] = r["cnt"]
+    one = lambda metric: counts.get(metric, {}).get("", 0)
+    out = ["# Dialogue Corpus Trial Quality Report", "", f"seen={one('seen')} accepted={one('accepted')} train={train} valid={valid}"]
+    for title, metric in (("Accepted Categories", "category"), ("Sources", "source"), ("Rejections", "rejected")):
+        held = counts.get(metric) or {"none": 0}
+        out += ["", f"## {title}", *[f"- {k}: {held[k]}" for k in sorted(held)]]
+    return "\n".join([*out, "", "## Quality Gate", *[f"- {g}" for g in GATE]]) + "\n"
+
+
 def run_report(settings: dict[str, object], metrics: dict[str, float], steps: list[dict[str, float]]) -> str:
     """A training run as Markdown: its settings, its last metrics, and a table of steps, whose columns are those of the first."""
     out = ["# Training report", "", "## Settings", "", *[f"- {k}: {settings[k]}" for k in sorted(settings)], "", "## Metrics", "", *[f"- {k}: {metrics[k]:.4f}" for k in sorted(metrics)]]

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..operators import quota
+from .lineage import cut
 
 
 def sorted_json(rows: DataFrame) -> Column:
@@ -46,6 +50,57 @@ def pending_files(found: DataFrame, manifest: DataFrame) -> DataFrame:
     return found.join(done, "path", "left_anti")
 
 
+def _path_of(path: str):
+    """(file system, path in it) of a path or URI."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+
+
+def copy_pending(found: DataFrame, target: str, manifest: str, first: int = 0) -> DataFrame:
+    """Copy files (path) that no earlier copy into ``target`` names, as shard-00000.jsonl and so on in the order of their runs; gives (source, dest, bytes) of this copy.
+
+    Each file is copied by one task, as it is, and numbered from ``first``.  What
+    was copied is appended to the table ``manifest``, so that a second call
+    copies nothing; a call that fails before that copies the same again, to
+    the same names.  A lock file keeps two calls from copying at once.
+    """
+    spark = found.sparkSession
+    folders, root = _path_of(target)
+    folders.create_dir(root, recursive=True)
+    lock = f"{root}/.copying"
+    if folders.get_file_info(lock).type.name != "NotFound":
+        raise RuntimeError(f"another copy is at work, or was broken off: {lock}")
+    folders.open_output_stream(lock).close()
+    schema = "source string, dest string, bytes long"
+    try:
+        folder, name = _path_of(manifest)
+        done = spark.read.schema(schema).parquet(manifest) if folder.get_file_info(name).type.name != "NotFound" else spark.createDataFrame([], schema)
+        done = done.select(F.col("source").alias("path"), F.col("dest"))
+        number = F.regexp_extract("dest", r"shard-(\d+)\.jsonl$", 1).cast("int")
+        last = done.agg(F.max(number)).first()[0]
+        start = first if last is None else max(first, last + 1)
+        ordered = in_run_order(found.join(done.select("path"), "path", "left_anti")).withColumn("k", F.row_number().over(Window.orderBy("number", "path")))  # names only
+        plan = ordered.select(F.col("path").alias("source"), F.concat(F.lit(target.rstrip("/") + "/shard-"), F.lpad((F.col("k") - 1 + start).cast("string"), 5, "0"), F.lit(".jsonl")).alias("dest"))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for source, dest in zip(batch["source"], batch["dest"], strict=True):
+                    (a, own), (b, to), n = _path_of(source), _path_of(dest), 0
+                    with a.open_input_stream(own) as f, b.open_output_stream(to) as g:
+                        while piece := f.read(1 << 20):
+                            g.write(piece)
+                            n += len(piece)
+                    yield pd.DataFrame({"source": [source], "dest": [dest], "bytes": [n]})
+
+        copied = cut(plan.repartition(max(1, plan.count()), "source").mapInPandas(run, schema))
+        if not copied.isEmpty():
+            copied.coalesce(1).write.mode("append").parquet(manifest)
+        return copied
+    finally:
+        folders.delete_file(lock)
+
+
 def in_run_order(found: DataFrame) -> DataFrame:
     """(path, place): by the number at the end of the run's name, then by name."""
     number = F.coalesce(F.regexp_extract("path", r"(\d+)(?:\.\w+)?$", 1).try_cast("long"), F.lit(-1))

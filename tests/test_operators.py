@@ -482,3 +482,26 @@ def test_sessions_and_learning(spark, tmp_path):
     known = knowledge.learned(failures.where("id = '1'")).withColumns({"access_count": F.lit(0).cast("long"), "last_access": F.lit(0.0)})
     out = {r["id"]: r["access_count"] for r in memory.learned_twice(known, failures.where("id > '1'"), F.lit(5.0)).collect()}
     assert out == {"1": 1, "3": 0}
+
+
+def test_copies_of_runs_and_their_report(spark, tmp_path):
+    import pytest
+
+    from quern.operators import reports
+    from quern.sources import sinks
+
+    for run in (2, 10):
+        (tmp_path / f"run{run}").mkdir()
+        (tmp_path / f"run{run}" / f"shard-{run}.jsonl").write_text(f'{{"run": {run}}}\n' * run)
+    paths = lambda *runs: spark.createDataFrame([(f"{tmp_path}/run{r}/shard-{r}.jsonl",) for r in runs], "path string")
+    target, manifest = f"{tmp_path}/all", f"{tmp_path}/manifest"
+    assert [r["bytes"] for r in sinks.copy_pending(paths(2), target, manifest).collect()] == [22]
+    assert {r["dest"].rpartition("/")[2] for r in sinks.copy_pending(paths(10, 2), target, manifest).collect()} == {"shard-00001.jsonl"}
+    assert sinks.copy_pending(paths(10, 2), target, manifest).count() == 0
+    assert (tmp_path / "all" / "shard-00001.jsonl").read_text() == '{"run": 10}\n' * 10
+    (tmp_path / "all" / ".copying").write_text("")
+    with pytest.raises(RuntimeError, match="another copy"):
+        sinks.copy_pending(paths(2), target, manifest)
+    rows = spark.createDataFrame([("seen", "", 5), ("accepted", "", 2), ("category", "debug", 2), ("rejected", "mojibake", 3)], "metric string, key string, cnt long")
+    text = reports.quality_markdown(rows, 1, 1)
+    assert "seen=5 accepted=2 train=1 valid=1" in text and "- mojibake: 3" in text and "## Sources\n- none: 0" in text and text.endswith("duplicates are removed.\n")
