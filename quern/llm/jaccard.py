@@ -389,9 +389,12 @@ def _compare(docs: DataFrame, texts: DataFrame, met: DataFrame, groups: DataFram
     blocks = stage(packed.union(chopped), "jaccard-blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 part = batch.slice(k, ROWS)
+                tid = part.column(0).to_numpy()  # rows that repeat a document come out of the join side by side; one is enough
+                part, last = part.filter(pa.array(np.concatenate([[tid[0] != last], tid[1:] != tid[:-1]]))), tid[-1]
                 values, at = shingles(part.column(4).to_pylist(), width)
                 sets = pa.array([np.unique(values[a:b]).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in range(4)], sets], names=["tid", "root", "block", "large", "shingles"])
