@@ -132,7 +132,7 @@ def prepared(lines: DataFrame, key: str, ratio: float, seed: int = 0) -> DataFra
 def setting_errors(settings: DataFrame) -> DataFrame:
     """Adds ``errors``: what is wrong with each row of settings, in order."""
     c, off = F.col, lambda name: ~F.coalesce(F.col(name), F.lit(False))
-    need = lambda stages, name, flag: (f"{name} requires dopa.{flag}=true", c("train_stage").isin(*stages) & off(flag))
+    need = lambda stages, name, flag: (f"{name} requires model.{flag}=true", c("train_stage").isin(*stages) & off(flag))
     return settings.withColumn("errors", L.expectations([
         ("data.train_path is required for training", c("train_path").isNull()),
         (F.concat(F.lit("unknown train_stage: "), "train_stage"), ~c("train_stage").isin(*STAGES)),
@@ -141,8 +141,8 @@ def setting_errors(settings: DataFrame) -> DataFrame:
         need(("stage_deliberation", "adaptive_deliberation"), "stage_deliberation", "adaptive_deliberation_enabled"),
         need(("stage_dspark", "dspark_speculative"), "stage_dspark", "dspark_enabled"),
         need(("stage_tool_calling", "stage_tool_schema_following", "stage_tool_retrieval", "stage_agent_rollout", "tool_calling"), "stage_tool_calling", "tool_calling_enabled"),
-        ("dopa.dspark_gamma must be at least 2", c("dspark_enabled") & (c("dspark_gamma") < 2)),
-        ("dopa.tool_action_count must be at least 2", c("tool_calling_enabled") & (c("tool_action_count") < 2)),
+        ("model.dspark_gamma must be at least 2", c("dspark_enabled") & (c("dspark_gamma") < 2)),
+        ("model.tool_action_count must be at least 2", c("tool_calling_enabled") & (c("tool_action_count") < 2)),
         ("train.max_steps must be positive", c("max_steps") <= 0),
         ("train.grad_accum_steps must be positive", c("grad_accum_steps") <= 0),
     ]))

@@ -207,14 +207,14 @@ _SETTINGS = Fixture(
     ["BIGINT", "VARCHAR", "VARCHAR", *["BOOLEAN"] * 4, "INTEGER", "BOOLEAN", "INTEGER", "INTEGER", "INTEGER"],
     [(1, "a", "stage1", False, False, False, False, 4, False, 8, 10, 1), (2, None, "stage9", False, False, False, True, 1, True, 1, 0, 0), (3, "a", "stage_sdit", False, True, True, False, 4, False, 8, 5, 1), (4, "a", "tool_calling", True, True, True, True, 2, False, 8, 5, 1), (5, "a", "stage5", True, None, False, False, 4, False, 8, -1, 2)],
 )
-_need = lambda stages, name, flag: f"CASE WHEN train_stage IN {stages} AND NOT coalesce({flag}, FALSE) THEN '{name} requires dopa.{flag}=true' END"
+_need = lambda stages, name, flag: f"CASE WHEN train_stage IN {stages} AND NOT coalesce({flag}, FALSE) THEN '{name} requires model.{flag}=true' END"
 
 
 @query("setting_errors", f"""WITH {_SETTINGS.sql('fx')} SELECT id, list_filter([CASE WHEN train_path IS NULL THEN 'data.train_path is required for training' END, CASE WHEN train_stage NOT IN {training.STAGES} THEN 'unknown train_stage: ' || train_stage END,
   {_need("('stage_sdit', 'self_driven_induction')", 'stage_sdit', 'self_driven_induction_enabled')}, {_need("('stage5', 'knowledge_management')", 'stage5', 'permanent_knowledge_enabled')},
   {_need("('stage_deliberation', 'adaptive_deliberation')", 'stage_deliberation', 'adaptive_deliberation_enabled')}, {_need("('stage_dspark', 'dspark_speculative')", 'stage_dspark', 'dspark_enabled')},
   {_need("('stage_tool_calling', 'stage_tool_schema_following', 'stage_tool_retrieval', 'stage_agent_rollout', 'tool_calling')", 'stage_tool_calling', 'tool_calling_enabled')},
-  CASE WHEN dspark_enabled AND dspark_gamma < 2 THEN 'dopa.dspark_gamma must be at least 2' END, CASE WHEN tool_calling_enabled AND tool_action_count < 2 THEN 'dopa.tool_action_count must be at least 2' END,
+  CASE WHEN dspark_enabled AND dspark_gamma < 2 THEN 'model.dspark_gamma must be at least 2' END, CASE WHEN tool_calling_enabled AND tool_action_count < 2 THEN 'model.tool_action_count must be at least 2' END,
   CASE WHEN max_steps <= 0 THEN 'train.max_steps must be positive' END, CASE WHEN grad_accum_steps <= 0 THEN 'train.grad_accum_steps must be positive' END], lambda m: m IS NOT NULL) AS errors FROM fx""")
 def setting_errors(spark, sf_dir):
     return training.setting_errors(_SETTINGS.frame(spark)).select("id", "errors")
