@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, exact_topk, jaccard, language_id, mixing, pii, quality, token_counts, warc
+from . import ann, bpe, byte_bpe, exact_topk, filter_audit, jaccard, language_id, mixing, pii, quality, token_counts, warc, whitening
 from .common import table
 
 
@@ -50,9 +50,21 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ids=False)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_exact_topk, op3_bpe, op4_token_counts, op5_quality, op6_warc, op7_mixing, op8_pii, op9_jaccard, op10_ann)}
+    return {f.__name__: f for f in (op1_language, op2_exact_topk, op3_bpe, op4_token_counts, op5_quality, op6_warc, op7_mixing, op8_pii, op9_jaccard, op10_ann, op11_byte_bpe, op12_filter_audit, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.SQL}
+    return {"op7_mixing": mixing.SQL, "op12_filter_audit": filter_audit.SQL}
