@@ -76,12 +76,16 @@ def judge(conversations: DataFrame, policy: Policy | None = None, ruleset: str =
 def full_record(rows: DataFrame, source: str) -> DataFrame:
     """``training_record`` with the tags as a list and the metadata (message_tree_id, language; only what is known) as a map."""
     known = F.map_filter(F.create_map(F.lit("language"), F.lower(F.trim(F.coalesce("language", F.lit("")))), F.lit("message_tree_id"), F.coalesce("tree_id", F.lit(""))), lambda k, v: v != "")
-    own = training_record(rows, source).drop("quality_tags")
-    return own.join(rows.select(F.col("conv_id").cast("string").alias("source_id"), "quality_tags", known.alias("metadata")), "source_id")
+    return rows.select(*record_columns(F.lit(source))[:-1], "quality_tags", known.alias("metadata"))
+
+
+def record_columns(source: Column) -> list[Column]:
+    """The columns of a training record, of a judged row; ids need not be unique, as nothing is joined."""
+    return [
+        F.col("conv_id").cast("string").alias("source_id"), source.alias("source"), F.col("license_id").alias("license"), X.language_group(F.col("language"), F.col("text")).alias("language"),
+        F.col("text"), F.col("category"), F.round("score", 4).alias("quality_score"), F.array_join("quality_tags", ",").alias("quality_tags"),
+    ]
 
 
 def training_record(rows: DataFrame, source: str) -> DataFrame:
-    return rows.select(
-        F.col("conv_id").cast("string").alias("source_id"), F.lit(source).alias("source"), F.col("license_id").alias("license"), X.language_group(F.col("language"), F.col("text")).alias("language"),
-        "text", "category", F.round("score", 4).alias("quality_score"), F.array_join("quality_tags", ",").alias("quality_tags"),
-    )
+    return rows.select(*record_columns(F.lit(source)))

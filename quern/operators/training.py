@@ -165,23 +165,45 @@ def skeleton_of(function: ast.FunctionDef | ast.AsyncFunctionDef) -> tuple[str,
     return function.name, parameters, steps if steps and steps[-1] == end else [*steps, end]
 
 
-def function_skeletons(files: DataFrame) -> DataFrame:
-    """(path, source) to a row for each top-level Python function: path, name, params, steps and its code; sources that don't parse have none."""
+#: A text without such a line has no top-level function.
+_HAS_FUNCTION = "(?m)^(async[ \\t]+)?def[ \\t]"
+
+
+def function_skeletons(files: DataFrame, sample_rate: float = 1.0, seed: int = 0) -> DataFrame:
+    """(path, source) to a row for each top-level Python function: path, name, params, steps and its code.
+
+    Sources that don't parse, or that are too deep for the parser, have none.
+    Of all functions a share of ``sample_rate`` stays, chosen by a hash of seed,
+    path and place, so that a second run, or another partitioning, chooses the same.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for path, source in zip(batch["path"], batch["source"], strict=True):
                 try:
-                    tree = ast.parse(source or "")
-                except (SyntaxError, ValueError):
+                    tree = ast.parse(source)
+                except (SyntaxError, ValueError, MemoryError, RecursionError):
                     continue
-                for node in tree.body:
+                for place, node in enumerate(tree.body):
                     if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                        out.append((path, *skeleton_of(node), ast.get_source_segment(source, node)))
-            yield pd.DataFrame(out, columns=["path", "name", "params", "steps", "code"])
-
-    return files.select("path", "source").mapInPandas(run, "path string, name string, params array<string>, steps array<string>, code string")
+                        out.append((path, place, *skeleton_of(node), ast.get_source_segment(source, node)))
+            yield pd.DataFrame(out, columns=["path", "place", "name", "params", "steps", "code"])
+
+    likely = files.select("path", "source").where(F.col("source").rlike(_HAS_FUNCTION))
+    found = likely.mapInPandas(run, "path string, place long, name string, params array<string>, steps array<string>, code string")
+    share = F.pmod(F.xxhash64(F.lit(seed).cast("long"), "path", "place"), F.lit(1 << 30)) / (1 << 30)
+    return (found if sample_rate >= 1 else found.where(share < sample_rate)).drop("place")
+
+
+def skeleton_tasks(skeletons: DataFrame) -> DataFrame:
+    """(path, name, params, steps, code) to records (text, skeleton, metadata) of the task that asks for a function's skeleton; JSON with sorted keys, a blank after each comma and colon."""
+    quoted = lambda c: F.to_json(F.struct(c.alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("v")))) - 6)
+    listed = lambda c, f: F.concat(F.lit("["), F.array_join(F.transform(c, f), ", "), F.lit("]"))
+    steps = listed("steps", lambda x: F.concat(F.lit('{"op": '), quoted(x), F.lit("}")))
+    skeleton = F.concat(F.lit('{"kind": "python_function", "name": '), quoted(F.col("name")), F.lit(', "params": '), listed("params", quoted), F.lit(', "steps": '), steps, F.lit("}"))
+    meta = F.create_map(F.lit("source_path"), F.col("path"), F.lit("function"), F.col("name"), F.lit("task"), F.lit("skeleton_generation"))
+    return skeletons.select(F.concat(F.lit("[skeleton]\nCode:\n"), F.trim("code"), F.lit("\nSkeleton JSON:\n"), skeleton).alias("text"), skeleton.alias("skeleton"), meta.alias("metadata"))
 
 
 def encoded_lines(texts: DataFrame, key: str) -> DataFrame:

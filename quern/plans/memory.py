@@ -39,8 +39,8 @@ def memory_injection(spark, sf_dir):
     return _recalled(spark, sf_dir)[2].select("query_id", F.md5("prefix").alias("prefix"))
 
 
-_CHUNKED = """t AS (SELECT label AS session, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, vec_id, embedding::DOUBLE[] AS e FROM embeddings), u AS (SELECT * FROM t WHERE pos < 70),
-c AS (SELECT session, pos // 8 AS chunk_id, min(pos) AS token_start, max(pos) + 1 AS token_end, avg(e[1]) AS x, avg(e[64]) AS y, string_agg(vec_id::VARCHAR, ' ' ORDER BY pos) AS text FROM u GROUP BY ALL)"""
+_CHUNKED = """t AS (SELECT label AS session, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+c AS (SELECT session, pos // 8 AS chunk_id, min(pos) AS token_start, max(pos) + 1 AS token_end, avg(e[1]) AS x, avg(e[64]) AS y, string_agg(vec_id::VARCHAR, ' ' ORDER BY pos) AS text FROM t WHERE pos < 258000 GROUP BY ALL)"""
 
 
 def _chunks(spark, sf_dir):
@@ -48,7 +48,7 @@ def _chunks(spark, sf_dir):
 
     w = Window.partitionBy("label").orderBy("vec_id")
     rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("session"), (F.row_number().over(w) - 1).alias("pos"), F.col("embedding").alias("hidden"), F.col("vec_id").cast("string").alias("text"))
-    return memory.chunks(rows, 8, 70, 32)
+    return memory.chunks(rows, 8, span=32)
 
 
 @query("hra_ingest", f"WITH {_CHUNKED} SELECT session, chunk_id::BIGINT AS chunk_id, token_start::BIGINT AS token_start, token_end::BIGINT AS token_end, (token_start // 32)::BIGINT AS span, round(x, 6) AS x, round(y, 6) AS y, text FROM c")

@@ -302,15 +302,15 @@ def ranked_memories(spark, sf_dir):
 
 
 @query("cognitive_search", f"""WITH {_MEMORY_SQL}, asked AS (SELECT item_id AS query_id FROM benchmark WHERE (item_id * 31 % 100) / 100 < 0.5::DOUBLE),
-i AS (SELECT query_id, 'memory' AS provider, rank FROM r WHERE rank <= 3 UNION ALL SELECT item_id, 'web', page_id FROM benchmark JOIN pages ON page_id % 5 = item_id % 7 AND page_id < 40),
+i AS (SELECT query_id, 'memory' AS provider, rank FROM r WHERE rank <= 3 UNION ALL SELECT item_id, 'web', page_id FROM benchmark JOIN pages ON page_id // 3 = item_id),
 f AS (SELECT query_id, provider, row_number() OVER (PARTITION BY query_id, provider ORDER BY rank) AS k FROM i), g AS (SELECT query_id, bool_or(provider = 'web') AS w, bool_or(provider = 'memory') AS m, count(*) AS n FROM f WHERE k <= 3 GROUP BY query_id)
 SELECT query_id, CASE WHEN w AND m THEN 'retrieve_web,retrieve_memory' WHEN w THEN 'retrieve_web' WHEN m THEN 'retrieve_memory' ELSE 'retrieve' END AS ops, coalesce(n, 0) AS found FROM asked LEFT JOIN g USING (query_id)""")
 def cognitive_search(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark")
     asked = items.select(F.col("item_id").alias("query_id"), (F.col("item_id") * 31 % 100 / 100).alias("confidence"))
     memory = lexical_memory_search(spark, sf_dir).select("query_id", F.lit("memory").alias("provider"), F.col("rank").cast("long").alias("rank"))
-    pages = table(spark, sf_dir, "pages").where("page_id < 40").select("page_id")
-    web = items.join(pages, F.col("page_id") % 5 == F.col("item_id") % 7).select(F.col("item_id").alias("query_id"), F.lit("web").alias("provider"), F.col("page_id").alias("rank"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.floor(F.col("page_id") / 3).alias("item_id"))  # a page belongs to one item, so that all pages count
+    web = items.join(pages, "item_id").select(F.col("item_id").alias("query_id"), F.lit("web").alias("provider"), F.col("page_id").alias("rank"))
     return landmarks.searched(asked, memory.union(web), 0.5).select("query_id", F.array_join("ops", ",").alias("ops"), "found")
 
 

@@ -71,9 +71,9 @@ def prompts(rows: DataFrame) -> DataFrame:
 
 def dataset_rows(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
     """Rows of a dataset's folder, Parquet or JSON lines by its files' names; the first ``most`` if asked for."""
-    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path").limit(1000)
-    parquet = names.where("path like '%.parquet'").limit(1).count() > 0
     reader = spark.read.option("recursiveFileLookup", True)
+    names = reader.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
+    parquet = not names.limit(1).isEmpty()
     rows = reader.option("pathGlobFilter", "*.parquet").parquet(path) if parquet else reader.json(path)
     return rows if most is None else rows.limit(most)
 
@@ -138,7 +138,8 @@ def load(spark: SparkSession, source: Source, root: str, backend: str = "auto",
     def paged() -> DataFrame:
         if url is None:
             raise ValueError("the rows-api backend needs a url")
-        return spark.read.format("paged_rows").options(url=url, rows=most or 100, start=source.start).load()
+        reader = spark.read.format("paged_rows").options(url=url, start=source.start)
+        return (reader if most is None else reader.option("rows", most)).load()
 
     backends = {"mirror": mirror, "datasets": lambda: dataset_rows(spark, folder, most), "rows-api": paged}
     if backend != "auto":

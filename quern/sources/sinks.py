@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import quota
 from .lineage import cut
+from .shards import Lock
 
 
 def sorted_json(rows: DataFrame) -> Column:
@@ -57,23 +58,22 @@ def _path_of(path: str):
     return fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
 
 
-def copy_pending(found: DataFrame, target: str, manifest: str, first: int = 0) -> DataFrame:
+def copy_pending(found: DataFrame, target: str, manifest: str, first: int = 0, stale: float = 86_400) -> DataFrame:
     """Copy files (path) that no earlier copy into ``target`` names, as shard-00000.jsonl and so on in the order of their runs; gives (source, dest, bytes) of this copy.
 
     Each file is copied by one task, as it is, and numbered from ``first``.  What
     was copied is appended to the table ``manifest``, so that a second call
     copies nothing; a call that fails before that copies the same again, to
-    the same names.  A lock file keeps two calls from copying at once.
+    the same names.  A lock file, which only
+    one call can make, keeps two from copying at once; one that was broken off
+    is taken over after ``stale`` seconds.  The target is a folder that all
+    machines mount.
     """
     spark = found.sparkSession
     folders, root = _path_of(target)
     folders.create_dir(root, recursive=True)
-    lock = f"{root}/.copying"
-    if folders.get_file_info(lock).type.name != "NotFound":
-        raise RuntimeError(f"another copy is at work, or was broken off: {lock}")
-    folders.open_output_stream(lock).close()
     schema = "source string, dest string, bytes long"
-    try:
+    with Lock(f"{root}/.copying", stale):
         folder, name = _path_of(manifest)
         done = spark.read.schema(schema).parquet(manifest) if folder.get_file_info(name).type.name != "NotFound" else spark.createDataFrame([], schema)
         done = done.select(F.col("source").alias("path"), F.col("dest"))
@@ -97,8 +97,6 @@ def copy_pending(found: DataFrame, target: str, manifest: str, first: int = 0) -
         if not copied.isEmpty():
             copied.coalesce(1).write.mode("append").parquet(manifest)
         return copied
-    finally:
-        folders.delete_file(lock)
 
 
 def in_run_order(found: DataFrame) -> DataFrame:

@@ -1,15 +1,16 @@
 """A whole cleaning run as a stream: rules, two keys, byte budgets, shards and a report, a micro-batch at a time.
 
-A batch writes folders of its own, named by its id, and looks only at those of
-smaller ids.  So a batch that runs again after a failure writes the same again,
-over what it had written, and a run can be stopped and taken up at any point.
+A batch writes folders of its own, named by its id, and looks only at what
+smaller ids took.  So a batch that runs again after a failure writes the same
+again, over what it had written, and a run can be stopped and taken up at any
+point.  Texts and threads that were taken are looked up in the state store, so
+a batch costs as much after a year as on the first day.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +18,9 @@ from ..operators import cleaner, conversations, quota, reports
 from ..operators.dedup import fingerprint
 from ..operators.rules import Policy
 from ..sources.lineage import cut
+from .keys import KeyState
 
-_KEYS, _REPORT, _DONE = "batch long, fp string, thread string", "batch long, metric string, key string, cnt long, bytes long", "source string"
+_REPORT, _DONE = "batch long, metric string, key string, cnt long, bytes long", "source string"
 
 
 @dataclass
@@ -31,13 +33,21 @@ class CleaningRun:
     shard_bytes: int = 1 << 30
     policy: Policy = field(default_factory=Policy)
     ruleset: str = "strict"
+    keep_ms: int | None = None
+    state_parts: int = 64
+
+    @property
+    def keys(self) -> KeyState:
+        """The texts and threads taken so far; with ``keep_ms`` each is forgotten so long after."""
+        return KeyState(f"{self.out}/keys", self.keep_ms, self.state_parts)
+
+    def _there(self, spark: SparkSession, part: str) -> bool:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.out}/{part}")
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
     def _earlier(self, spark: SparkSession, part: str, schema: str, batch: int | None = None) -> DataFrame:
         """What earlier batches wrote of a part; nothing, if there is none."""
-        try:
-            rows = spark.read.schema(schema).parquet(f"{self.out}/{part}")
-        except AnalysisException:
-            rows = spark.createDataFrame([], schema)
+        rows = spark.read.schema(schema).parquet(f"{self.out}/{part}") if self._there(spark, part) else spark.createDataFrame([], schema)
         return rows if batch is None else rows.where(F.col("batch") < batch)
 
     def report(self, spark: SparkSession) -> DataFrame:
@@ -57,16 +67,18 @@ class CleaningRun:
         spark = rows.sparkSession
         judged = conversations.judge(rows.withColumn("thread", cleaner.thread_key(F.col("source"), F.col("tree_id"))), self.policy, self.ruleset)
         judged = cut(judged.withColumn("fp", fingerprint(F.col("text"))))
-        keys = self._earlier(spark, "keys", _KEYS, batch)
-        threads = keys.where("thread is not null").select("thread", F.lit(True).alias("_t")).distinct()
-        known = judged.join(threads, "thread", "left").join(keys.select("fp", F.lit(True).alias("_f")).distinct(), "fp", "left")
+        fp, thread = F.concat(F.lit("f:"), F.col("fp")), F.concat(F.lit("t:"), F.col("thread"))
+        own = lambda rows: rows.select(F.explode(F.filter(F.array(fp, thread), lambda k: k.isNotNull())).alias("key"))
+        known = cut(self.keys.taken_before(own(judged.where("reject_reason is null")), batch))
+        flag = lambda name: known.select(F.col("key").alias(f"{name}_key"), F.lit(True).alias(name))
+        found = judged.join(flag("_t"), thread == F.col("_t_key"), "left").join(flag("_f"), fp == F.col("_f_key"), "left")
         reason = F.coalesce("reject_reason", F.when(F.col("_t"), "duplicate_thread").when(F.col("_f"), "duplicate"))
-        judged = cut(cleaner.by_two_keys(known.withColumn("reject_reason", reason).drop("_t", "_f"), "seq", cut))
+        judged = cut(cleaner.by_two_keys(found.withColumn("reject_reason", reason).drop("_t", "_f", "_t_key", "_f_key"), "seq", cut))
         good = judged.where("reject_reason is null")
-        good.select(F.lit(batch).cast("long").alias("batch"), "fp", "thread").write.mode("overwrite").parquet(f"{self.out}/keys/part={batch}")
+        self.keys.take(own(good), batch)
 
-        record = conversations.training_record(good.withColumn("conv_id", F.col("source_id")), "").withColumnRenamed("language", "lang")
-        lines = good.select("seq", "source", "source_id").join(record.drop("source"), "source_id").select("seq", "source", "lang", F.to_json(F.struct("category", "lang", "license", "quality_score", "quality_tags", "source", "source_id", "text")).alias("value"))
+        record = good.withColumn("conv_id", F.col("source_id")).select("seq", *conversations.record_columns(F.col("source"))).withColumnRenamed("language", "lang")
+        lines = record.select("seq", "source", "lang", F.to_json(F.struct("category", "lang", "license", "quality_score", "quality_tags", "source", "source_id", "text")).alias("value"))
         lines = cut(lines)
         sizes = lines.select("seq", "lang", (F.octet_length("value") + 1).cast("long").alias("n"))
         budget = self.budget or {r["lang"]: 1 << 62 for r in sizes.select("lang").distinct().collect()}  # two language groups at most
