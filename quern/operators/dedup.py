@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import selection
 
 
 def fingerprint(text, compose: bool = True):
@@ -41,18 +42,48 @@ def seeded(rows: DataFrame, prior: DataFrame, key: str) -> DataFrame:
     return rows.join(prior.select(key).distinct(), key, "left_anti")
 
 
-def first_wins(rows: DataFrame, keep) -> DataFrame:
-    """(seq, fp, thread) to (seq, reason): what one pass in order of seq decides, if only accepted rows register their keys.
+#: A component of so many different pairs of keys at most is decided in one task, of three narrow columns.
+FOLD_PAIRS = 1_000_000
+
+
+def components(edges: DataFrame, keep) -> DataFrame:
+    """(a, b) of numbered vertices to (vertex, least): the least vertex that each is connected with.
 
-    A row is accepted once it is the least undecided row of both its keys; rows
-    that share a key with an accepted one are rejected; and so on until all
-    are decided.  A round accepts the least undecided row of every pair of keys,
-    so there are as many rounds as the longest chain in which each row waits
-    for one before it.  ``keep`` cuts the lineage after each round (checkpoint or
-    written table); the accepted rows are put together once, at the end.
+    Every vertex hands its least neighbour to the others around it, in turn to
+    the larger and to the smaller ones, until all point at their least; the
+    rounds grow with the logarithm of the longest path.
     """
-    rows = keep(rows.select("seq", "fp", "thread"))
-    undecided, won = rows, []
+    pairs = keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    while True:
+        both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = keep(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        small = keep(small)
+        if small.exceptAll(pairs).isEmpty() and pairs.exceptAll(small).isEmpty():
+            break
+        pairs = small
+    roots = pairs.select("b").distinct()
+    return pairs.select(F.col("a").alias("vertex"), F.col("b").alias("least")).union(roots.select("b", "b"))
+
+
+def _fold(pdf):
+    """The accepted rows of one component, in order of seq."""
+    prints, threads, won = set(), set(), []
+    ordered = pdf.sort_values("seq")
+    for seq, fp, thread in zip(ordered["seq"], ordered["fp"], ordered["thread"], strict=True):
+        thread = None if thread != thread else thread  # a missing thread may come as NaN
+        if fp not in prints and (thread is None or thread not in threads):
+            prints.add(fp)
+            threads |= {thread} - {None}
+            won.append(seq)
+    return ordered.loc[ordered["seq"].isin(won), ["seq", "fp", "thread"]]
+
+
+def _by_rounds(undecided: DataFrame, keep) -> DataFrame:
+    """The accepted rows, by rounds: each accepts the least undecided row of every pair of keys and lets go what shares a key with it."""
+    won = [undecided.limit(0)]
     while not undecided.isEmpty():
         by_fp, by_thread = undecided.groupBy("fp").agg(F.min("seq").alias("fp_least")), undecided.where("thread is not null").groupBy("thread").agg(F.min("seq").alias("thread_least"))
         state = undecided.join(by_fp, "fp").join(by_thread, "thread", "left")
@@ -60,7 +91,31 @@ def first_wins(rows: DataFrame, keep) -> DataFrame:
         accepted = keep(accepted.select("seq", "fp", "thread"))
         won.append(accepted)
         undecided = keep(undecided.join(accepted.select("fp"), "fp", "left_anti").join(accepted.select("thread"), "thread", "left_anti").select("seq", "fp", "thread"))
-    winners = reduce(DataFrame.union, won, rows.limit(0))
+    return reduce(DataFrame.union, won)
+
+
+def first_wins(rows: DataFrame, keep) -> DataFrame:
+    """(seq, fp, thread) to (seq, reason): what one pass in order of seq decides, if only accepted rows register their keys.
+
+    Of the rows of one text and thread only the first can be accepted, so only
+    firsts are looked at.  Texts and threads are the vertices of a graph whose
+    edges are those rows; what happens in one of its components doesn't touch
+    the others, so each is folded in order in one task.  A component of more
+    than ``FOLD_PAIRS`` rows is decided by rounds instead, as many as its longest
+    chain of rows that wait for each other.  ``keep`` cuts the lineage
+    (checkpoint or written table).
+    """
+    rows = keep(rows.select("seq", "fp", "thread"))
+    pairs = keep(rows.groupBy("fp", "thread").agg(F.min("seq").alias("seq")).select("seq", "fp", "thread").withColumn("vertex", F.xxhash64(F.lit("f"), "fp")))
+    linked = pairs.where("thread is not null").select(F.col("vertex").alias("a"), F.xxhash64(F.lit("t"), "thread").alias("b"))
+    of = pairs.join(components(linked, keep), "vertex", "left").withColumn("part", F.coalesce("least", "vertex"))
+    of = keep(of.select("seq", "fp", "thread", "part"))
+    giant = of.groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > FOLD_PAIRS).select("part")
+    giant = keep(giant)  # at most one for each FOLD_PAIRS rows
+    schema = of.select("seq", "fp", "thread").schema
+    folded = of.join(F.broadcast(giant), "part", "left_anti").groupBy("part").applyInPandas(_fold, schema)
+    rest = _by_rounds(of.join(F.broadcast(giant), "part", "left_semi").select("seq", "fp", "thread"), keep)
+    winners = keep(folded.union(rest))
     # the reason needs all accepted rows: a thread's may have been found after the row was out by its text
     threads = winners.where("thread is not null").select("thread", F.col("seq").alias("thread_seq"))
     out = rows.join(winners.select("seq", F.lit(True).alias("won")), "seq", "left").join(threads, "thread", "left")
@@ -71,9 +126,13 @@ def split(rows: DataFrame, key: str, ratio: float, seed: int = 0) -> DataFrame:
     """Adds ``part`` (train or valid): a hash order chooses int(n ratio) rows, one at least if ratio > 0 and n > 1, and never all."""
     n = rows.count()
     k = min(max(1, int(n * ratio)) if ratio > 0 and n > 1 else 0, max(n - 1, 0))
+    return rows.withColumn("part", F.when(in_hash_order(rows, key, seed, k), "valid").otherwise("train"))
+
+
+def in_hash_order(rows: DataFrame, key: str, seed: int, k: int) -> Column:
+    """Whether a row is one of the first k by the MD5 of key and seed; rows of one key are together."""
     mark = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
-    chosen = rows.select(key, mark.alias("mark")).orderBy("mark", key).limit(k).select(key, F.lit("valid").alias("part"))
-    return rows.join(chosen, key, "left").withColumn("part", F.coalesce("part", F.lit("train")))
+    return selection.first_rows(rows, [F.conv(F.substring(mark, 1, 13), 16, 10).cast("long"), mark, F.col(key)], k)
 
 
 def ranked_first(rows: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import retrieval
@@ -91,16 +92,66 @@ def fitted(points: DataFrame, limit: int = POINT_BYTES) -> DataFrame:
 
 
 def memory_search(memories: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, id, score): share of the query's words that the memory holds; ties in order of ``seq``.
+    """(query_id, rank, id, score): share of the query's words that the memory holds; ties in order of ``seq``, which is unique.
 
-    Only words travel, so no query meets a memory that shares none with it.
-    A score of 0 isn't a hit.
+    A score of 0 isn't a hit.  Queries go to the memories in bounded groups
+    (``retrieval.best_by_tokens``), so that a word that most memories hold
+    gathers nothing in one place.
     """
-    asked = queries.select("query_id", F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda t: t != "")).alias("q")).select("query_id", F.size("q").alias("size"), F.explode("q").alias("tok"))
-    held = memories.select("id", "seq", F.explode(F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda t: F.regexp_replace(t, r"^[.,:;()\[\]{}]+|[.,:;()\[\]{}]+$", "")))).alias("tok"))
-    scored = asked.join(held, "tok").groupBy("query_id", "id", "seq", "size").agg(F.count("*").alias("hits")).select("query_id", "id", "seq", F.round(F.col("hits") / F.col("size"), 4).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "seq")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    asked = queries.select("query_id", F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda t: t != "")).alias("t")).where("t is not null")
+    bare = lambda t: F.regexp_replace(t, r"^[.,:;()\[\]{}]+|[.,:;()\[\]{}]+$", "")
+    held = memories.select(F.col("seq").alias("id"), F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), bare)).alias("t"), F.lit(0.0).alias("more")).where("t is not null")
+    best = retrieval.best_by_tokens(held, asked, k, overlap=1.0, repeats=False, only_met=True).select("query_id", "rank", F.col("id").alias("_seq"), F.round("score", 4).alias("score"))
+    return best.join(memories.select("seq", "id"), F.col("seq") == F.col("_seq")).select("query_id", "rank", "id", "score")
+
+
+def embedded(points: DataFrame, dim: int = 128) -> DataFrame:
+    """Adds ``vector``: the hashed embedding of a point's text, of unit length (all zeros without words)."""
+
+    @F.pandas_udf("array<double>")
+    def vectors(lists: pd.Series) -> pd.Series:
+        cells = blake_cells(dim)
+        out = []
+        for t in lists:
+            v = np.zeros(dim)
+            if len(t):
+                np.add.at(v, *cells(list(t)))
+            out.append(v / (np.sqrt(v @ v) or 1.0))
+        return pd.Series(out)
+
+    return points.withColumn("vector", vectors(words(point_text(F.col("domain"), F.col("rule"), F.col("positive_examples")))))
+
+
+def upserted(points: DataFrame, changes: DataFrame, embed=embedded) -> DataFrame:
+    """Points with vectors after changes (seq, id, op, rule, domain, importance, add_positive, add_negative), each in the order of seq.
+
+    ``update`` replaces what it gives (null: nothing) and appends examples;
+    ``create`` begins a point that isn't there, or begins it anew; ``delete``
+    removes it.  An update of a point that isn't there, or no longer, is
+    ignored.  Changes are folded by id on the map side before they meet the
+    points, and only points whose text changes are embedded again: every other
+    row keeps the vector it has.
+    """
+    base = F.when(F.col("op").isin("create", "delete"), F.col("seq"))
+    last = changes.groupBy("id").agg(F.max(base).alias("base"), F.max_by("op", base).alias("base_op"))
+    live = changes.join(last, "id").where((F.col("op") != "delete") & (F.col("base").isNull() | (F.col("seq") >= F.col("base"))))
+    newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"_{c}")
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("seq", F.col(c).alias("v"))))), lambda x: x["v"]).alias(f"_{c}")
+    news = live.groupBy("id").agg(newest("rule"), newest("domain"), newest("importance"), listed("add_positive"), listed("add_negative"))
+    folded = last.join(news, "id", "left")
+    none = F.array().cast("array<string>")
+    rows = points.withColumn("_there", F.lit(True)).join(folded, "id", "full")
+    fresh = F.coalesce(F.col("base_op") == "create", F.lit(False))
+    was = lambda c, empty=None: F.when(fresh, F.lit(None) if empty is None else empty).otherwise(F.col(c))
+    kept = rows.where((F.coalesce(F.col("base_op"), F.lit("")) != "delete") & (fresh | F.col("_there")))
+    new = kept.select(
+        "id", F.coalesce("_rule", was("rule")).alias("rule"), F.coalesce("_domain", was("domain", F.lit("general"))).alias("domain"), F.coalesce("_importance", was("importance", F.lit(0.5))).alias("importance"),
+        F.concat(F.coalesce(was("positive_examples", none), none), F.coalesce("_add_positive", none)).alias("positive_examples"),
+        F.concat(F.coalesce(was("negative_examples", none), none), F.coalesce("_add_negative", none)).alias("negative_examples"),
+        F.coalesce(was("dependencies", none), none).alias("dependencies"), "vector",
+        (fresh | F.col("_rule").isNotNull() | F.col("_domain").isNotNull() | (F.size(F.coalesce("_add_positive", none)) > 0)).alias("stale"),
+    )
+    return new.where(~F.col("stale")).unionByName(embed(new.where("stale").drop("vector")))
 
 
 def injection(hits: DataFrame) -> DataFrame:

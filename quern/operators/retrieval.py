@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from . import selection
 from .quota import running_total
 from .tokens import fnv1a
 
@@ -72,9 +73,9 @@ def best_by_tokens(rows: DataFrame, asked: DataFrame, k: int, *, overlap: float,
     cosine of both lists' hashed embeddings, plus ``more``.  ``only_met`` leaves
     out rows without a common token.
 
-    The queries go to the rows, a bounded group at a time; each batch of rows
-    is scored as a whole and gives only its k best, so that no token, however
-    common, gathers rows in one place.
+    The queries go to the rows, a bounded group at a time; each task scores its
+    rows in batches and gives only the k best of all of them, so that no token,
+    however common, gathers rows in one place.
     """
     kinds = dict(rows.dtypes)["id"], dict(asked.dtypes)["query_id"]
 
@@ -93,6 +94,7 @@ def best_by_tokens(rows: DataFrame, asked: DataFrame, k: int, *, overlap: float,
             if dense:
                 at, flat = np.repeat(np.arange(len(group)), [len(t) for _, t in group]), list(chain.from_iterable(t for _, t in group))
                 asked_v = _vectors(at, *cells(flat), len(group), dim)
+            held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # of each query the best so far: ids, rounded and plain scores
             for batch in batches:
                 for lo in range(0, len(batch), 1000):
                     pdf = batch.iloc[lo : lo + 1000]
@@ -120,16 +122,20 @@ def best_by_tokens(rows: DataFrame, asked: DataFrame, k: int, *, overlap: float,
                         rounded = np.floor(score * 1e6 + 0.5)
                         if only_met:
                             rounded[hits == 0] = -np.inf
-                        out = []
-                        for q in range(weight.shape[1]):
-                            r = rounded[:, q]
+                        most = rounded.max(axis=0)
+                        for q in np.flatnonzero(np.isfinite(most)):
+                            r, old = rounded[:, q], held.get(at + q)
+                            if old is not None and len(old[0]) == k and most[q] < old[1][-1]:
+                                continue
                             best = np.flatnonzero(r >= np.partition(r, len(r) - min(k, len(r)))[len(r) - min(k, len(r))])
                             best = best[np.isfinite(r[best])]
-                            best = best[np.lexsort((ids[best], -r[best]))][:k]
-                            if len(best):
-                                out.append(pd.DataFrame({"query_id": names[at + q], "id": ids[best], "score": score[best, q]}))
-                        if out:
-                            yield pd.concat(out)
+                            new = ids[best], r[best], score[best, q]
+                            if old is not None:
+                                new = tuple(np.concatenate(x) for x in zip(old, new, strict=True))
+                            order = np.lexsort((new[0], -new[1]))[:k]
+                            held[at + q] = new[0][order], new[1][order], new[2][order]
+            for q, (i, _, s) in held.items():
+                yield pd.DataFrame({"query_id": names[q], "id": i, "score": s})
 
         return rows.select("id", "t", "more").mapInPandas(run, f"query_id {kinds[1]}, id {kinds[0]}, score double")
 
@@ -185,6 +191,5 @@ def prune_to_budget(memories: DataFrame, budget: int, now: float, gamma: float =
 
 def prune_to_count(points: DataFrame, most: int, order: list) -> DataFrame:
     """All but the first rows in ``order``, so that ``most`` stay."""
-    n = points.count()
-    gone = points.select("id", *order).orderBy(*order, "id").limit(max(0, n - most))
-    return points.join(gone.select("id"), "id", "left_anti")
+    order = [*[F.col(c) if isinstance(c, str) else c for c in order], F.col("id")]
+    return points.where(~selection.first_rows(points, order, points.count() - most))

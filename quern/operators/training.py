@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import learning as L
 from ..sources.lineage import cut
-from . import tokens
+from . import dedup, tokens
 
 #: The toy rows (text, skeleton name, its steps).
 TOY = (
@@ -124,9 +124,7 @@ def toy_rows(spark: SparkSession, times: int = 100) -> DataFrame:
 def prepared(lines: DataFrame, key: str, ratio: float, seed: int = 0) -> DataFrame:
     """Adds ``part``: the first max(1, int(n ratio)) lines in a hash order are ``valid``, so a single line leaves nothing to train on."""
     n = lines.count()
-    mark = F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
-    chosen = lines.select(key, mark.alias("mark")).orderBy("mark", key).limit(max(1, int(n * ratio)) if n else 0).select(key, F.lit("valid").alias("part"))
-    return lines.join(chosen, key, "left").withColumn("part", F.coalesce("part", F.lit("train")))
+    return lines.withColumn("part", F.when(dedup.in_hash_order(lines, key, seed, max(1, int(n * ratio)) if n else 0), "valid").otherwise("train"))
 
 
 def setting_errors(settings: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import conversations as C
 from ..operators import dedup
 from ..operators import rules as R
 from ..sources.lineage import cut
+from . import derived
 from .common import Fixture, contains_sql, literal, rlike_sql, table
 from .registry import query
 
@@ -231,7 +232,7 @@ def html_clean_pages(spark, sf_dir):
 # ---- rows that reach every branch
 
 _long = "The pump ran all night and the gauge held steady while the crew slept. "
-BRANCHES = Fixture("seq long, license_id string, language string, turns int, text string", ["BIGINT", "VARCHAR", "VARCHAR", "INTEGER", "VARCHAR"], [
+BRANCHES = Fixture.over(derived.branches, "seq long, license_id string, language string, turns int, text string", ["BIGINT", "VARCHAR", "VARCHAR", "INTEGER", "VARCHAR"], [
     (1, "mit", "en", 4, _long * 5), (2, "gpl-3.0", "en", 2, _long * 2), (3, "MIT", "fr", 2, _long * 2), (4, "mit", "", 1, _long * 2), (5, "mit", "", 25, _long * 2),
     (6, "mit", "en", 2, _long + "Write to joan@mill.example.org please."), (7, "mit", "en", 2, _long + "api_key=abcdefghijkl1234"), (8, "mit", "en", 2, _long + 'token = "abcdefghijkl1234"'),
     (9, "mit", "en", 2, _long + "Is bitcoin a fair bet for my savings?"), (10, "mit", "en", 2, _long + "The risk of frost is small in the market square."),
@@ -264,8 +265,8 @@ def _branch_sql(ruleset: str) -> str:
     return f"WITH {BRANCHES.sql('fx')}, {rep} SELECT seq, {case_sql(meta + rules)} AS reason, round({score}, 4) AS score, {category} AS category, {tags} AS tags FROM fx LEFT JOIN rep USING (seq)"
 
 
-def _branches(spark, ruleset):
-    rows = BRANCHES.frame(spark).withColumn("lower", R.lowered(ruleset, F.col("text")))
+def _branches(spark, sf_dir, ruleset):
+    rows = BRANCHES.frame(spark, sf_dir).withColumn("lower", R.lowered(ruleset, F.col("text")))
     score, category, tags = R.scored(ruleset, F.col("text"), F.col("lower"), F.col("turns"), F.lit(0.0))
     rules = R.metadata_rules(POLICY, F.col("license_id"), F.col("language"), F.col("turns"), fast=ruleset == "fast") + R.text_rules(ruleset, POLICY, F.col("text"), F.col("lower"))
     return rows.select("seq", R.first_reason(rules).alias("reason"), F.round(score, 4).alias("score"), category.alias("category"), F.array_join(tags, ",").alias("tags"))
@@ -273,22 +274,22 @@ def _branches(spark, ruleset):
 
 @query("score_features_strict", _branch_sql("strict"))
 def score_features_strict(spark, sf_dir):
-    return _branches(spark, "strict")
+    return _branches(spark, sf_dir, "strict")
 
 
 @query("score_features_fast", _branch_sql("fast"))
 def score_features_fast(spark, sf_dir):
-    return _branches(spark, "fast")
+    return _branches(spark, sf_dir, "fast")
 
 
 @query("prefilter_branches", _branch_sql("prefilter"))
 def prefilter_branches(spark, sf_dir):
     """Rows that break two rules at once get the reason that the prefilter's own order gives."""
-    rows = BRANCHES.frame(spark).withColumn("lower", X.ascii_lower(F.col("text")))
+    rows = BRANCHES.frame(spark, sf_dir).withColumn("lower", X.ascii_lower(F.col("text")))
     rules = R.metadata_rules(POLICY, F.col("license_id"), F.col("language"), F.col("turns"), fast=True) + R.prefilter_rules(POLICY, F.col("text"), F.col("lower"))
     return rows.select("seq", R.first_reason(rules).alias("reason"))
 
 
 @query("bad_unicode_ratio", f"WITH {BRANCHES.sql('fx')} SELECT seq, round(len(regexp_extract_all(text, '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x{{9f}}]'))::DOUBLE / length(text), 6) AS ratio FROM fx")
 def bad_unicode_ratio(spark, sf_dir):
-    return BRANCHES.frame(spark).select("seq", F.round(X.bad_unicode_ratio(F.col("text")), 6).alias("ratio"))
+    return BRANCHES.frame(spark, sf_dir).select("seq", F.round(X.bad_unicode_ratio(F.col("text")), 6).alias("ratio"))

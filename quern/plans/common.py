@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .derived import Dialect
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,19 +33,31 @@ def literal(x) -> str:
 
 
 class Fixture:
-    """Rows that Spark and the oracle see alike; nested structs are dicts."""
+    """Rows that Spark and the oracle see alike: hand-made ones that reach every branch (nested structs are dicts), and those that ``also`` derives from the given tables."""
+
+    def __init__(self, spark_schema: str, sql_types: list[str], rows: list[tuple], also: Callable[[Dialect], str] | None = None) -> None:
+        self.schema, self.types, self.rows, self.also = spark_schema, sql_types, rows, also
 
-    def __init__(self, spark_schema: str, sql_types: list[str], rows: list[tuple]) -> None:
-        self.schema, self.types, self.rows = spark_schema, sql_types, rows
+    @classmethod
+    def over(cls, also: Callable[[Dialect], str], spark_schema: str, sql_types: list[str], rows: list[tuple]) -> Fixture:
+        return cls(spark_schema, sql_types, rows, also)
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, self.schema)
+    def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = spark.createDataFrame(self.rows, self.schema)
+        if self.also is None:
+            return made
+        text = self.also(Dialect(True))
+        names = sorted(set(re.findall(r"\b(?:FROM|JOIN) (\w+)", text)))
+        more = spark.sql(re.sub(r"\b(FROM|JOIN) (\w+)", r"\1 {\2}", text), **{n: table(spark, sf_dir, n) for n in names})
+        kinds = [F.col(f"`{f.name}`").cast(f.dataType) for f in made.schema.fields]
+        return made.union(more.toDF(*made.columns).select(*kinds))
 
     def sql(self, name: str) -> str:
         names = [x.split()[0] for x in self._columns()]
         shown = lambda v, t: f"MAP {literal(v)}" if isinstance(v, dict) and t.startswith("MAP") else literal(v)
         body = ", ".join("(" + ", ".join(f"{shown(v, t)}::{t}" for v, t in zip(r, self.types, strict=True)) + ")" for r in self.rows)
-        return f"{name}({', '.join(names)}) AS (VALUES {body})"
+        more = "" if self.also is None else f" UNION ALL {self.also(Dialect(False))}"
+        return f"{name}({', '.join(names)}) AS (SELECT * FROM (VALUES {body}){more})"
 
     def _columns(self) -> list[str]:
         out, depth, at = [], 0, 0

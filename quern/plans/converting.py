@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import converters as V
 from ..operators import trees
+from . import derived
 from .common import Fixture, literal, table
 from .registry import query
 
@@ -31,7 +32,7 @@ tidy_sql = _TIDY.format
 
 # ---- prompt and answer in columns
 
-PROMPTS = Fixture("id string, lang string, domain string, prompt string, response string", ["VARCHAR"] * 5, [
+PROMPTS = Fixture.over(derived.prompts, "id string, lang string, domain string, prompt string, response string", ["VARCHAR"] * 5, [
     ("a1", "EN", "mills", "How does  a mill\tgrind?", "Stones turn."), (None, "zh", "", "Line one \n\n  line two", " ok then "), ("  ", None, None, "", "lost"), ("a4", "en", None, None, "lost"),
     ("a5", "en", "x", "Why?", "   "), ("", "", "y", "Same", "Same"),
 ])
@@ -41,13 +42,13 @@ PROMPTS = Fixture("id string, lang string, domain string, prompt string, respons
 SELECT 'demo' AS source, 'mit' AS license_id, {_id_sql('id', "p || chr(10) || r")} AS source_id, {_pair_sql('p', 'r')} AS turns,
 concat_ws(';', 'domain=' || nullif(domain, ''), 'language=' || nullif(lower(lang), '')) AS meta FROM t WHERE p <> '' AND r <> ''""")
 def conv_from_prompt_target(spark, sf_dir):
-    return shown(V.convert(PROMPTS.frame(spark), "prompt_target", "demo", "MIT"))
+    return shown(V.convert(PROMPTS.frame(spark, sf_dir), "prompt_target", "demo", "MIT"))
 
 
 # ---- chats of turns
 
 _TURN = "STRUCT(\"from\" VARCHAR, role VARCHAR, content VARCHAR)[]"
-CHATS = Fixture("id string, model string, language string, conversation array<struct<from:string,role:string,content:string>>", ["VARCHAR", "VARCHAR", "VARCHAR", _TURN], [
+CHATS = Fixture.over(derived.chats, "id string, model string, language string, conversation array<struct<from:string,role:string,content:string>>", ["VARCHAR", "VARCHAR", "VARCHAR", _TURN], [
     ("c1", "m", "English", [{"from": None, "role": "User", "content": "hi"}, {"from": None, "role": "user", "content": "there"}, {"from": "gpt", "role": None, "content": "yes"}]),
     (None, "", "EN", [{"from": "human", "role": "", "content": "q"}, {"from": "system", "role": None, "content": "no"}, {"from": "bot", "role": None, "content": "a"}]),
     ("c3", "m", "en", [{"from": "system", "role": None, "content": "alone"}]), ("c4", "m", "en", []), ("c5", "m", "en", [{"from": "human", "role": None, "content": " "}]),
@@ -62,12 +63,12 @@ x AS (SELECT n, i, first(role) AS role, string_agg(content, chr(10) ORDER BY k)
 y AS (SELECT n, string_agg(role || '=' || content, '~' ORDER BY i) AS turns, string_agg(content, chr(10) ORDER BY i) AS body FROM x GROUP BY n)
 SELECT 'chat' AS source, 'odc-by' AS license_id, {_id_sql('id', 'body')} AS source_id, turns, concat_ws(';', 'language=' || lower(language), 'model=' || nullif(model, ''), 'redacted=false') AS meta FROM t JOIN y USING (n)""")
 def conv_from_wildchat(spark, sf_dir):
-    return shown(V.convert(CHATS.frame(spark), "wildchat", "chat", "ODC-BY"))
+    return shown(V.convert(CHATS.frame(spark, sf_dir), "wildchat", "chat", "ODC-BY"))
 
 
 # ---- preferences
 
-PREFERENCES = Fixture("id string, overall_preference int, prompt string, response1 string, response2 string, context array<struct<role:string,content:string>>", ["VARCHAR", "INTEGER", "VARCHAR", "VARCHAR", "VARCHAR", "STRUCT(role VARCHAR, content VARCHAR)[]"], [
+PREFERENCES = Fixture.over(derived.preferences, "id string, overall_preference int, prompt string, response1 string, response2 string, context array<struct<role:string,content:string>>", ["VARCHAR", "INTEGER", "VARCHAR", "VARCHAR", "VARCHAR", "STRUCT(role VARCHAR, content VARCHAR)[]"], [
     ("p1", 2, None, "one", "two", [{"role": "user", "content": "q"}]), ("p2", -1, None, "one", "two", [{"role": "user", "content": "q"}, {"role": "assistant", "content": "old"}]),
     ("p3", 0, None, "one", "two", [{"role": "user", "content": "q"}]), ("p4", None, None, "one", "two", [{"role": "user", "content": "q"}]), ("p5", 1, "ask", "one", "two", []),
     ("p6", 1, "", "one", "two", []), ("p7", 1, "ask", "one", "", []), ("p8", 3, None, "one", "two", [{"role": "assistant", "content": "first"}]),
@@ -79,12 +80,12 @@ SELECT 'pref' AS source, 'cc-by-4.0' AS license_id, id AS source_id, CASE WHEN n
 'chosen_response=' || CASE WHEN overall_preference > 0 THEN 'response2' ELSE 'response1' END || ';preference=' || overall_preference AS meta
 FROM t WHERE c <> '' AND CASE WHEN n = 0 THEN prompt <> '' ELSE context[1].role = 'user' END""")
 def conv_from_helpsteer3(spark, sf_dir):
-    return shown(V.convert(PREFERENCES.frame(spark), "preference", "pref", "CC-BY-4.0"))
+    return shown(V.convert(PREFERENCES.frame(spark, sf_dir), "preference", "pref", "CC-BY-4.0"))
 
 
 # ---- transcripts
 
-TRANSCRIPTS = Fixture("id string, chosen string", ["VARCHAR", "VARCHAR"], [
+TRANSCRIPTS = Fixture.over(derived.transcripts, "id string, chosen string", ["VARCHAR", "VARCHAR"], [
     ("t1", "\n\nHuman: hello\n\nAssistant: well met"), ("t2", "Human: a\nHuman: b\nAssistant: c\nmore"), ("t3", "Assistant: first"), ("t4", "no roles"), ("t5", None), (None, "Human: q\n\nAssistant: r"),
     ("t7", "Human: q\n\nAssistant:   "),
 ])
@@ -98,12 +99,12 @@ x AS (SELECT n, i, first(role) AS role, string_agg(content, chr(10) ORDER BY k)
 y AS (SELECT n, string_agg(role || '=' || content, '~' ORDER BY i) AS turns, string_agg(content, chr(10) ORDER BY i) AS body FROM x GROUP BY n HAVING count(*) % 2 = 0 AND arg_min(role, i) = 'user')
 SELECT 'hh' AS source, 'mit' AS license_id, {_id_sql('id', 'body')} AS source_id, turns, 'language=en' AS meta FROM t JOIN y USING (n)""")
 def conv_from_hh_rlhf(spark, sf_dir):
-    return shown(V.convert(TRANSCRIPTS.frame(spark), "transcript", "hh", "mit"))
+    return shown(V.convert(TRANSCRIPTS.frame(spark, sf_dir), "transcript", "hh", "mit"))
 
 
 # ---- instructions, with and without context
 
-INSTRUCTIONS = Fixture("id string, category string, instruction string, context string, response string", ["VARCHAR"] * 5, [
+INSTRUCTIONS = Fixture.over(derived.instructions, "id string, category string, instruction string, context string, response string", ["VARCHAR"] * 5, [
     ("d1", "qa", " Say why ", "Some  context", "Because"), ("d2", None, "Say how", " ", "So"), (None, "x", "a", None, "b"), ("d4", "x", "", "c", "b"), ("d5", "x", "a", "c", None),
 ])
 _DOLLY = "trim(instruction) || CASE WHEN trim(coalesce(context, '')) = '' THEN '' ELSE chr(10) || chr(10) || 'Context:' || chr(10) || trim(context) END"
@@ -112,12 +113,12 @@ _DOLLY = "trim(instruction) || CASE WHEN trim(coalesce(context, '')) = '' THEN '
 @query("conv_from_dolly", f"""WITH {INSTRUCTIONS.sql('fx')}, t AS (SELECT *, {_DOLLY} AS p, trim(response) AS r FROM fx)
 SELECT 'dolly' AS source, 'cc-by-sa-3.0' AS license_id, {_id_sql('id', 'p || chr(10) || r')} AS source_id, {_pair_sql('p', 'r')} AS turns, concat_ws(';', 'category=' || category, 'language=en') AS meta FROM t WHERE trim(instruction) <> '' AND r <> ''""")
 def conv_from_dolly(spark, sf_dir):
-    return shown(V.convert(INSTRUCTIONS.frame(spark), "instruction", "dolly", "cc-by-sa-3.0"))
+    return shown(V.convert(INSTRUCTIONS.frame(spark, sf_dir), "instruction", "dolly", "cc-by-sa-3.0"))
 
 
 # ---- questions with several answers
 
-QUESTIONS = Fixture("qid string, title string, body string, tags string, answers array<struct<text:string,score:string,is_accepted:string>>, answer string", ["VARCHAR"] * 4 + ["STRUCT(\"text\" VARCHAR, score VARCHAR, is_accepted VARCHAR)[]", "VARCHAR"], [
+QUESTIONS = Fixture.over(derived.questions, "qid string, title string, body string, tags string, answers array<struct<text:string,score:string,is_accepted:string>>, answer string", ["VARCHAR"] * 4 + ["STRUCT(\"text\" VARCHAR, score VARCHAR, is_accepted VARCHAR)[]", "VARCHAR"], [
     ("q1", "Why", "Because of rain", "a, b;c", [{"text": "low", "score": "1", "is_accepted": "false"}, {"text": "high", "score": "7", "is_accepted": "no"}], None),
     ("q2", "RAIN", "why rain falls", None, [{"text": "liked", "score": "9", "is_accepted": None}, {"text": "taken", "score": None, "is_accepted": "Yes"}], None),
     ("q3", "", "tied", "", [{"text": "one", "score": "2", "is_accepted": None}, {"text": "two", "score": "2", "is_accepted": None}], "plain"), ("q4", "none", "none", "x", [], None),
@@ -133,10 +134,10 @@ q AS (SELECT t.n, qid, tags, CASE WHEN coalesce(title, '') <> '' AND coalesce(t.
 SELECT 'stack' AS source, 'cc-by-sa-4.0' AS license_id, {_id_sql('qid', 'p || chr(10) || r')} AS source_id, {_pair_sql('p', 'r')} AS turns,
 concat_ws(';', 'answer_accepted=' || ok, 'answer_score=' || CASE WHEN score = floor(score) THEN score::BIGINT::VARCHAR ELSE score::VARCHAR END, 'language=en', 'preference_source=' || origin, 'tags=' || nullif(array_to_string(list_filter(regexp_split_to_array(tags, '[,;| ]+'), lambda x: x <> ''), ','), '')) AS meta FROM q WHERE p <> ''""")
 def conv_from_stack_exchange(spark, sf_dir):
-    return shown(V.convert(QUESTIONS.frame(spark), "question_answers", "stack", "cc-by-sa-4.0"))
+    return shown(V.convert(QUESTIONS.frame(spark, sf_dir), "question_answers", "stack", "cc-by-sa-4.0"))
 
 
-SYSTEMS = Fixture("id string, system_prompt string, question string, response string", ["VARCHAR"] * 4, [
+SYSTEMS = Fixture.over(derived.systems, "id string, system_prompt string, question string, response string", ["VARCHAR"] * 4, [
     ("o1", "Be brief.", "What is rye?", "A grain."), ("o2", "", "What is oat?", "A grain too."), ("o3", "x", None, "lost"), ("o4", "x", "lost", " "), (None, None, "bare", "answer"),
 ])
 _ORCA = "CASE WHEN coalesce(system_prompt, '') = '' THEN question ELSE 'System:' || chr(10) || system_prompt || chr(10) || chr(10) || 'User:' || chr(10) || question END"
@@ -145,28 +146,28 @@ _ORCA = "CASE WHEN coalesce(system_prompt, '') = '' THEN question ELSE 'System:'
 @query("conv_from_openorca", f"""WITH {SYSTEMS.sql('fx')}, t AS (SELECT *, {_ORCA} AS p FROM fx WHERE coalesce(question, '') <> '' AND trim(coalesce(response, '')) <> '')
 SELECT 'orca' AS source, 'mit' AS license_id, {_id_sql('id', 'p || chr(10) || response')} AS source_id, {_pair_sql('p', 'response')} AS turns, 'has_system_prompt=' || (coalesce(system_prompt, '') <> '') || ';language=en;synthetic=true' AS meta FROM t""")
 def conv_from_openorca(spark, sf_dir):
-    return shown(V.convert(SYSTEMS.frame(spark), "system_question", "orca", "mit"))
+    return shown(V.convert(SYSTEMS.frame(spark, sf_dir), "system_question", "orca", "mit"))
 
 
-TAUGHT = Fixture("prompt_id string, lang string, category string, user string, answer string", ["VARCHAR"] * 5, [("k1", "en", "rewrite", "Make it short", " Short. "), ("k2", "zh", "rewrite", "改写", "好")])
+TAUGHT = Fixture.over(derived.taught, "prompt_id string, lang string, category string, user string, answer string", ["VARCHAR"] * 5, [("k1", "en", "rewrite", "Make it short", " Short. "), ("k2", "zh", "rewrite", "改写", "好")])
 
 
 @query("conv_from_distilled", f"""WITH {TAUGHT.sql('fx')} SELECT 'distill:own:teacher' AS source, 'mit' AS license_id, prompt_id AS source_id, {_pair_sql('"user"', 'trim(answer)')} AS turns,
 'distill_source=api;language=' || lang || ';prompt_id=' || prompt_id || ';provider=own;teacher_model=teacher' AS meta FROM fx""")
 def conv_from_distilled(spark, sf_dir):
-    return shown(V.distilled(TAUGHT.frame(spark), "own", "teacher", "MIT"))
+    return shown(V.distilled(TAUGHT.frame(spark, sf_dir), "own", "teacher", "MIT"))
 
 
-SPOKEN = Fixture("prompt_id string, lang string, topic string, user string, answer string", ["VARCHAR"] * 5, [
+SPOKEN = Fixture.over(derived.spoken, "prompt_id string, lang string, topic string, user string, answer string", ["VARCHAR"] * 5, [
     ("s1", "en", "mills", '"User: how do mills work?"', "Assistant: stones turn"), ("s2", "en", "mills", "assistant: I speak", "fine"), ("s3", "en", "mills", "fine", "my password is x"),
     ("s4", "en", "mills", "u" * 1201, "fine"), ("s5", "zh", "磨", "用户：磨怎么转？", "“石头转”"), ("s6", "en", "x", "one Ã two Ã", "fine"), ("s7", "en", "x", "gap\n\n\n\nend", "fine"),
 ])
 
 
-@query("conv_from_selfplay", f"""WITH {SPOKEN.sql('fx')}, t AS (SELECT *, CASE prompt_id WHEN 's1' THEN 'how do mills work?' WHEN 's5' THEN '磨怎么转？' WHEN 's7' THEN 'gap' || chr(10) || chr(10) || 'end' END AS p, CASE prompt_id WHEN 's1' THEN 'stones turn' WHEN 's5' THEN '石头转' ELSE answer END AS r FROM fx)
+@query("conv_from_selfplay", f"""WITH {SPOKEN.sql('fx')}, t AS (SELECT *, CASE prompt_id WHEN 's1' THEN 'how do mills work?' WHEN 's5' THEN '磨怎么转？' WHEN 's7' THEN 'gap' || chr(10) || chr(10) || 'end' ELSE CASE WHEN starts_with(prompt_id, 'v') THEN "user" END END AS p, CASE prompt_id WHEN 's1' THEN 'stones turn' WHEN 's5' THEN '石头转' ELSE answer END AS r FROM fx)
 SELECT 'selfplay:a:m->b:n' AS source, 'mit' AS license_id, prompt_id AS source_id, {_pair_sql('p', 'r')} AS turns, 'language=' || lang || ';prompt_id=' || prompt_id || ';topic=' || topic AS meta FROM t WHERE p IS NOT NULL""")
 def conv_from_selfplay(spark, sf_dir):
-    return shown(V.selfplay(SPOKEN.frame(spark), ("a", "m"), ("b", "n"), "mit"))
+    return shown(V.selfplay(SPOKEN.frame(spark, sf_dir), ("a", "m"), ("b", "n"), "mit"))
 
 
 _MARKS = ", ".join(map(literal, V.EN_ZH))
@@ -181,7 +182,7 @@ def row_language(spark, sf_dir):
 
 # ---- trees
 
-NODES = Fixture("seq long, message_id string, parent_id string, tree_id string, role string, text string, rank int, lang string, deleted boolean, names array<string>, vals array<double>", ["BIGINT"] + ["VARCHAR"] * 5 + ["INTEGER", "VARCHAR", "BOOLEAN", "VARCHAR[]", "DOUBLE[]"], [
+NODES = Fixture.over(derived.nodes, "seq long, message_id string, parent_id string, tree_id string, role string, text string, rank int, lang string, deleted boolean, names array<string>, vals array<double>", ["BIGINT"] + ["VARCHAR"] * 5 + ["INTEGER", "VARCHAR", "BOOLEAN", "VARCHAR[]", "DOUBLE[]"], [
     (1, "r", None, "T", "prompter", "ask", None, "en", False, ["quality"], [0.9]), (2, "a", "r", "T", "assistant", "one", 1, "en", False, [], []), (3, "b", "r", "T", "assistant", "two", 0, "en", False, ["spam"], [0.35]),
     (4, "c", "a", "T", "prompter", "more", None, "en", False, [], []), (5, "d", "c", "T", "assistant", "last", 0, "en", False, ["toxicity"], [0.5]), (6, "e", "c", "T", "assistant", "last", 1, "en", False, [], []),
     (7, "f", "gone", "U", "assistant", "orphan", 0, "en", False, [], []), (8, "g", "gone", "U", "prompter", "mid", 0, "en", False, [], []), (9, "h", "g", "U", "assistant", "reply", 0, "zh", None, None, None),
@@ -199,7 +200,7 @@ def _rejected():
 
 @query("oasst_label_gate", f"WITH {NODES.sql('fx')} SELECT message_id, {_OUT} AS rejected FROM fx")
 def oasst_label_gate(spark, sf_dir):
-    return NODES.frame(spark).select("message_id", _rejected().alias("rejected"))
+    return NODES.frame(spark, sf_dir).select("message_id", _rejected().alias("rejected"))
 
 
 @query("oasst_tree_paths", f"""WITH RECURSIVE {NODES.sql('fx')}, kept AS (SELECT *, CASE role WHEN 'prompter' THEN 'user' ELSE role END AS who FROM fx WHERE NOT {_OUT}),
@@ -209,7 +210,7 @@ whole AS (SELECT * FROM walk WHERE top = 'user' AND n % 2 = 0 AND NOT EXISTS (SE
 ranked AS (SELECT *, row_number() OVER (PARTITION BY turns ORDER BY tree_id, coalesce(rank, 999), seq) AS place FROM whole)
 SELECT 'trees' AS source, 'apache-2.0' AS license_id, tree_id || ':' || leaf AS source_id, turns, 'language=' || lang || ';message_tree_id=' || tree_id AS meta FROM ranked WHERE place = 1""")
 def oasst_tree_paths(spark, sf_dir):
-    return shown(trees.conversations(NODES.frame(spark).where(~_rejected()), "trees", "Apache-2.0"))
+    return shown(trees.conversations(NODES.frame(spark, sf_dir).where(~_rejected()), "trees", "Apache-2.0"))
 
 
 @query("conv_linear_tree_paths", """WITH n AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS depth FROM conversations)

@@ -8,19 +8,20 @@ from ..operators import conversations, dedup, memory, trees
 from ..sources.lineage import cut
 from . import registry
 from .cleaning import _DOC, _GROUP_SQL, _JUDGE_SQL, judged_conversations, lower_sql
+from . import derived
 from .common import Fixture, table
 from .converting import NODES, _rejected, shown
 from .registry import query
 from .training import _MEMORY_SQL
 
-_WRITES = Fixture("id string, type string, content string, importance double, metadata map<string,string>", ["VARCHAR", "VARCHAR", "VARCHAR", "DOUBLE", "MAP(VARCHAR, VARCHAR)"], [
+_WRITES = Fixture.over(derived.writes, "id string, type string, content string, importance double, metadata map<string,string>", ["VARCHAR", "VARCHAR", "VARCHAR", "DOUBLE", "MAP(VARCHAR, VARCHAR)"], [
     ("a", "fact", "the mill é turns", 0.9, {"who": "joan", "where": "the \"old\" mill"}), ("b", "fact", "no", 0.5, {"k": "v"}), ("c", "plan", "", 0.51, {"k": "v"}), ("d", "plan", "grain", 1.0, {"x": "ü"}),
 ])
 
 
 @query("memory_write", f"WITH {_WRITES.sql('fx')} SELECT id, type, importance, strlen(content) + 2 + strlen(array_to_string(list_transform(map_entries(metadata), lambda e: to_json(e.key)::VARCHAR || ': ' || to_json(e.value)::VARCHAR), ', ')) AS payload_bytes, 0::BIGINT AS access_count FROM fx WHERE importance > 0.5::DOUBLE")
 def memory_write(spark, sf_dir):
-    return memory.written(_WRITES.frame(spark), F.lit(0.0)).select("id", "type", "importance", "payload_bytes", "access_count")
+    return memory.written(_WRITES.frame(spark, sf_dir), F.lit(0.0)).select("id", "type", "importance", "payload_bytes", "access_count")
 
 
 def _recalled(spark, sf_dir):
@@ -66,7 +67,7 @@ def hra_report(spark, sf_dir):
 @query("oasst_per_tree", registry._oracles["oasst_tree_paths"].replace("PARTITION BY turns", "PARTITION BY tree_id, turns"))
 def oasst_per_tree(spark, sf_dir):
     """Equal conversations of two trees both stay."""
-    return shown(trees.conversations(NODES.frame(spark).where(~_rejected()), "trees", "Apache-2.0", per_tree=True))
+    return shown(trees.conversations(NODES.frame(spark, sf_dir).where(~_rejected()), "trees", "Apache-2.0", per_tree=True))
 
 
 _FAST_FORM = lower_sql("fast", "trim(regexp_replace(text, '\\s+', ' ', 'g'))")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..operators import dedup, quota, retrieval, tokens
+from . import derived
 from .common import Fixture, table
 from .registry import query
 
@@ -82,21 +83,21 @@ def magnitude_mask(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.aggregate(ranked, F.lit(0).cast("long"), lambda s, r: s + r["k"]).alias("places"))
 
 
-_CONF = Fixture("id long, conf array<double>, load double", ["BIGINT", "DOUBLE[]", "DOUBLE"], [(1, [0.9, 0.8, 0.7, 0.2, 0.9], 0.0), (2, [0.9, 0.8, 0.7, 0.2, 0.9], 1.0), (3, [0.1, 0.1], 0.5), (4, [1.5, 1.0, 0.99, 0.98], 0.2), (5, [0.5, -1.0, 0.5], 0.0)])
+_CONF = Fixture.over(derived.confidences, "id long, conf array<double>, load double", ["BIGINT", "DOUBLE[]", "DOUBLE"], [(1, [0.9, 0.8, 0.7, 0.2, 0.9], 0.0), (2, [0.9, 0.8, 0.7, 0.2, 0.9], 1.0), (3, [0.1, 0.1], 0.5), (4, [1.5, 1.0, 0.99, 0.98], 0.2), (5, [0.5, -1.0, 0.5], 0.0)])
 
 
 @query("verify_schedule", f"""WITH RECURSIVE {_CONF.sql('fx')}, s AS (SELECT id, conf, load, 1 AS k, greatest(0, least(1, conf[1])) AS p FROM fx UNION ALL SELECT id, conf, load, k + 1, p * greatest(0, least(1, conf[k + 1])) FROM s WHERE k < len(conf))
 SELECT id, greatest(1, least(any_value(len(conf)) - 1, count(*) FILTER (p >= 0.2::DOUBLE + 0.6::DOUBLE * load))) AS n FROM s GROUP BY id""")
 def verify_schedule(spark, sf_dir):
-    return _CONF.frame(spark).select("id", A.verify_length(F.col("conf"), F.col("load"), 0.2, 0.8).cast("long").alias("n"))
+    return _CONF.frame(spark, sf_dir).select("id", A.verify_length(F.col("conf"), F.col("load"), 0.2, 0.8).cast("long").alias("n"))
 
 
-_DRAFT = Fixture("id long, draft array<int>, target array<int>", ["BIGINT", "INTEGER[]", "INTEGER[]"], [(1, [5, 6, 7], [5, 6, 7]), (2, [5, 6, 7], [5, 9, 7]), (3, [1, 2], [3, 2]), (4, [4, 4, 4, 4], [4, 4, 4, 5])])
+_DRAFT = Fixture.over(derived.drafts, "id long, draft array<int>, target array<int>", ["BIGINT", "INTEGER[]", "INTEGER[]"], [(1, [5, 6, 7], [5, 6, 7]), (2, [5, 6, 7], [5, 9, 7]), (3, [1, 2], [3, 2]), (4, [4, 4, 4, 4], [4, 4, 4, 5])])
 
 
 @query("accept_prefix", f"WITH {_DRAFT.sql('fx')} SELECT id, coalesce(list_min(list_filter(range(1, len(draft) + 1), lambda k: draft[k] <> target[k])) - 1, len(draft)) AS n FROM fx")
 def accept_prefix(spark, sf_dir):
-    return _DRAFT.frame(spark).select("id", A.accepted_prefix(F.col("draft"), F.col("target")).alias("n"))
+    return _DRAFT.frame(spark, sf_dir).select("id", A.accepted_prefix(F.col("draft"), F.col("target")).alias("n"))
 
 
 _UNITS = Fixture("layer int, kind string, idx int, logit double, active boolean", ["INTEGER", "VARCHAR", "INTEGER", "DOUBLE", "BOOLEAN"], [(la, k, i, float((la * 7 + i * 5 + (3 if k == "ffn" else 0)) % 11) / 4 + la * 0.01 + i * 0.001, (la + i) % 4 != 0) for la in range(6) for k in ("head", "ffn") for i in range(5)])
@@ -108,7 +109,7 @@ SELECT layer, kind, idx, round(exp(logit) / sum(exp(logit)) OVER (), 6) AS weigh
 def routing_topk(spark, sf_dir):
     from pyspark.sql import Window
 
-    live = _UNITS.frame(spark).where("active")
+    live = _UNITS.frame(spark, sf_dir).where("active")
     layers = live.groupBy("layer", "kind").agg(F.avg("logit").alias("m")).groupBy("layer").agg(F.max("m").alias("m")).orderBy(F.desc("m"), "layer").limit(3).select("layer")
     picked = dedup.ranked_first(live.join(layers, "layer"), ["layer", "kind"], [F.desc("logit"), F.asc("idx")], 2)
     return picked.select("layer", "kind", "idx", F.round(F.exp("logit") / F.sum(F.exp("logit")).over(Window.partitionBy()), 6).alias("weight"))
@@ -164,27 +165,27 @@ def hard_token_labels(spark, sf_dir):
 
 
 _nan = float("nan")
-_LOSS = Fixture("id long, hot array<double>, teacher array<double>", ["BIGINT", "DOUBLE[]", "DOUBLE[]"], [(1, [3.5, 2.0, 4.0, 3.0], [0.5, 0.1, 3.5, 1.0]), (2, [_nan, 5.0], [0.2, 1.0]), (3, [3.0, 3.0], [2.0, _nan])])
+_LOSS = Fixture.over(derived.losses, "id long, hot array<double>, teacher array<double>", ["BIGINT", "DOUBLE[]", "DOUBLE[]"], [(1, [3.5, 2.0, 4.0, 3.0], [0.5, 0.1, 3.5, 1.0]), (2, [_nan, 5.0], [0.2, 1.0]), (3, [3.0, 3.0], [2.0, _nan])])
 
 
 @query("external_labels", f"WITH {_LOSS.sql('fx')} SELECT id, list_transform(range(1, len(hot) + 1), lambda k: CASE WHEN isnan(hot[k]) OR isnan(teacher[k]) THEN -1.0::DOUBLE WHEN hot[k] >= 3 AND teacher[k] <= 1 AND hot[k] - teacher[k] >= 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS y FROM fx")
 def external_labels(spark, sf_dir):
-    return _LOSS.frame(spark).select("id", tokens.external_labels(F.col("hot"), F.col("teacher")).alias("y"))
+    return _LOSS.frame(spark, sf_dir).select("id", tokens.external_labels(F.col("hot"), F.col("teacher")).alias("y"))
 
 
 @query("align_supervision", f"WITH {_LOSS.sql('fx')} SELECT id, (list_transform(hot, lambda x: coalesce(nullif(x, 'nan'::DOUBLE), -1)) || [-1.0::DOUBLE, -1.0::DOUBLE, -1.0::DOUBLE])[1:3] AS y FROM fx")
 def align_supervision(spark, sf_dir):
     filled = F.transform("hot", lambda x: F.nanvl(x, F.lit(-1.0)))
-    return _LOSS.frame(spark).select("id", A.fit_length(filled, F.lit(3), F.lit(-1.0)).alias("y"))
+    return _LOSS.frame(spark, sf_dir).select("id", A.fit_length(filled, F.lit(3), F.lit(-1.0)).alias("y"))
 
 
-_BATCH = Fixture("batch long, seq long, skeleton array<int>, losses array<double>", ["BIGINT", "BIGINT", "INTEGER[]", "DOUBLE[]"], [(1, 1, [1, 2], [0.5]), (1, 2, [3, 4], None), (2, 1, None, None), (2, 2, [5, 6], None)])
+_BATCH = Fixture.over(derived.batches, "batch long, seq long, skeleton array<int>, losses array<double>", ["BIGINT", "BIGINT", "INTEGER[]", "DOUBLE[]"], [(1, 1, [1, 2], [0.5]), (1, 2, [3, 4], None), (2, 1, None, None), (2, 2, [5, 6], None)])
 
 
 @query("collate_optional", f"""WITH {_BATCH.sql('fx')}, f AS (SELECT *, bool_and(skeleton IS NOT NULL) OVER (PARTITION BY batch) AS all_s, bool_or(losses IS NOT NULL) OVER (PARTITION BY batch) AS any_l FROM fx)
 SELECT batch, seq, CASE WHEN all_s THEN skeleton END AS skeleton, CASE WHEN any_l THEN coalesce(losses, [-1.0::DOUBLE]) END AS losses FROM f""")
 def collate_optional(spark, sf_dir):
-    rows = _BATCH.frame(spark)
+    rows = _BATCH.frame(spark, sf_dir)
     has = rows.groupBy("batch").agg(F.bool_and(F.col("skeleton").isNotNull()).alias("s"), F.bool_or(F.col("losses").isNotNull()).alias("l"))
     return rows.join(has, "batch").select("batch", "seq", F.when(F.col("s"), F.col("skeleton")).alias("skeleton"), F.when(F.col("l"), F.coalesce("losses", F.array(F.lit(-1.0)))).alias("losses"))
 
@@ -287,24 +288,24 @@ def cosine_topk(spark, sf_dir):
     return retrieval.cosine_top(v, v.where("id % 50 = 0"), 10)
 
 
-_MEM = Fixture("id string, importance double, access_count long, last_access double, payload_bytes long", ["VARCHAR", "DOUBLE", "BIGINT", "DOUBLE", "BIGINT"], [(f"m{k}", 0.5 + (k * 37 % 50) / 100, k * 13 % 7, 1e6 - k * 50_000.0, 100 + k * 29 % 83) for k in range(20)])
+_MEM = Fixture.over(derived.memories, "id string, importance double, access_count long, last_access double, payload_bytes long", ["VARCHAR", "DOUBLE", "BIGINT", "DOUBLE", "BIGINT"], [(f"m{k}", 0.5 + (k * 37 % 50) / 100, k * 13 % 7, 1e6 - k * 50_000.0, 100 + k * 29 % 83) for k in range(20)])
 
 
 @query("memory_write_gate", f"WITH {_MEM.sql('fx')} SELECT id, importance FROM fx WHERE importance > 0.5::DOUBLE")
 def memory_write_gate(spark, sf_dir):
-    return _MEM.frame(spark).where(F.col("importance") > 0.5).select("id", "importance")
+    return _MEM.frame(spark, sf_dir).where(F.col("importance") > 0.5).select("id", "importance")
 
 
 @query("memory_prune_budget", f"""WITH {_MEM.sql('fx')}, s AS (SELECT *, importance * pow(0.995::DOUBLE, (1e6::DOUBLE - last_access) / 86400) + 0.01::DOUBLE * access_count AS score FROM fx),
 r AS (SELECT *, row_number() OVER w AS k, coalesce(sum(payload_bytes) OVER (ORDER BY score, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(payload_bytes) OVER () AS total, count(*) OVER () AS n FROM s WINDOW w AS (ORDER BY score, id))
 SELECT id, round(score, 6) AS score FROM r WHERE NOT (total - before > 1200 AND k < n)""")
 def memory_prune_budget(spark, sf_dir):
-    return retrieval.prune_to_budget(_MEM.frame(spark), 1200, 1e6)
+    return retrieval.prune_to_budget(_MEM.frame(spark, sf_dir), 1200, 1e6)
 
 
 @query("knowledge_prune", f"WITH {_MEM.sql('fx')} SELECT id FROM (SELECT id, row_number() OVER (ORDER BY importance, access_count, last_access, id) AS k, count(*) OVER () AS n FROM fx) WHERE k > n - 8")
 def knowledge_prune(spark, sf_dir):
-    return retrieval.prune_to_count(_MEM.frame(spark), 8, ["importance", "access_count", "last_access"]).select("id")
+    return retrieval.prune_to_count(_MEM.frame(spark, sf_dir), 8, ["importance", "access_count", "last_access"]).select("id")
 
 
 @query("hra_chunks", """WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, (len(w) + 511) // 512)) AS chunk FROM w)

@@ -10,6 +10,7 @@ from ..operators import cleaner, landmarks, tokens, training
 from ..sources import files
 from ..sources.lineage import cut
 from .cleaning import _JUDGE_SQL, _doc_sql, doc_prefilter, judged_conversations
+from . import derived
 from .common import Fixture, literal, table
 from .numeric import _VEC, _vectors
 from .registry import query
@@ -137,16 +138,16 @@ def snippet_statistics(spark, sf_dir):
     return s.select("source", *[_r(c).alias(c) for c in s.columns[1:]])
 
 
-_PARAMS = Fixture("name string, numel long, trainable boolean", ["VARCHAR", "BIGINT", "BOOLEAN"], [("hot.0.q", 64, True), ("hot.0.k", 64, False), ("cold.9.ffn.w", 640, False), ("embed", 1000, True), ("cold.1.b", 3, True)])
+_PARAMS = Fixture.over(derived.parameters, "name string, numel long, trainable boolean", ["VARCHAR", "BIGINT", "BOOLEAN"], [("hot.0.q", 64, True), ("hot.0.k", 64, False), ("cold.9.ffn.w", 640, False), ("embed", 1000, True), ("cold.1.b", 3, True)])
 
 
 @query("parameter_report", f"WITH {_PARAMS.sql('fx')} SELECT split_part(name, '.', 1) AS key, sum(numel)::BIGINT AS numel FROM fx GROUP BY 1 UNION ALL SELECT 'total', sum(numel)::BIGINT FROM fx UNION ALL SELECT 'trainable', sum(numel)::BIGINT FROM fx WHERE trainable")
 def parameter_report(spark, sf_dir):
-    return training.parameter_report(_PARAMS.frame(spark))
+    return training.parameter_report(_PARAMS.frame(spark, sf_dir))
 
 
 _nan = float("nan")
-_RECORDS = Fixture("id long, losses array<double>, encoded_len int", ["BIGINT", "DOUBLE[]", "INTEGER"], [
+_RECORDS = Fixture.over(derived.records, "id long, losses array<double>, encoded_len int", ["BIGINT", "DOUBLE[]", "INTEGER"], [
     (1, [3.5, 2.0, 4.0, 3.1234567, _nan], 5), (2, [0.1, 0.2, _nan], 2), (3, [9.0], 4), (4, [5.0, 5.0, 5.0, 5.0, 1.0, 1.0, 1.0, 1.0], 8), (5, [_nan], 3),
 ])
 _OK = "list_filter(losses, lambda x: NOT isnan(x))"
@@ -155,21 +156,21 @@ an AS (SELECT id, (list_transform(losses, lambda x: CASE WHEN NOT isnan(x) AND x
   (list_transform(losses, lambda x: CASE WHEN NOT isnan(x) THEN round(x, 6) END) || list_transform(range(0, 8), lambda k: NULL::DOUBLE))[1:encoded_len] AS l, len({_OK}) AS valid FROM fx_y)"""
 
 
-def _annotated(spark):
-    return training.annotated(_RECORDS.frame(spark), 2.0, 0.5)
+def _annotated(spark, sf_dir):
+    return training.annotated(_RECORDS.frame(spark, sf_dir), 2.0, 0.5)
 
 
 @query("annotate_losses", f"WITH {_RECORDS.sql('fx')}, {_ANNOTATED} SELECT id, y AS external_knowledge_labels, l AS hot_token_losses, valid AS valid_tokens, list_sum(y)::BIGINT AS positive_tokens FROM an")
 def annotate_losses(spark, sf_dir):
-    return _annotated(spark).select("id", "external_knowledge_labels", "hot_token_losses", "valid_tokens", "positive_tokens")
+    return _annotated(spark, sf_dir).select("id", "external_knowledge_labels", "hot_token_losses", "valid_tokens", "positive_tokens")
 
 
 @query("annotation_summary", f"WITH {_RECORDS.sql('fx')}, {_ANNOTATED} SELECT count(*) AS records, sum(valid)::BIGINT AS valid_tokens, sum(list_sum(y))::BIGINT AS positive_tokens FROM an")
 def annotation_summary(spark, sf_dir):
-    return training.annotation_summary(_annotated(spark))
+    return training.annotation_summary(_annotated(spark, sf_dir))
 
 
-_SUPER = Fixture("id long, explicit array<double>, hot array<double>, teacher array<double>", ["BIGINT", "DOUBLE[]", "DOUBLE[]", "DOUBLE[]"], [
+_SUPER = Fixture.over(derived.supervision, "id long, explicit array<double>, hot array<double>, teacher array<double>", ["BIGINT", "DOUBLE[]", "DOUBLE[]", "DOUBLE[]"], [
     (1, [1.0, -1.0, 0.5, 7.0], [9.0, 9.0], [0.0, 0.0]), (2, None, [4.0, 4.0, 2.0], [0.5, 3.5, 0.1]), (3, None, [4.0, _nan, 4.0, 4.0, 4.0], [0.5, 0.1]), (4, None, None, [1.0]), (5, None, None, None), (6, [_nan, 0.0], None, None),
 ])
 _pad = lambda c, v: f"({c} || [{v}, {v}, {v}, {v}])[1:4]"
@@ -181,28 +182,28 @@ SELECT id, CASE WHEN explicit IS NOT NULL THEN list_transform(g, lambda x: CASE
   CASE WHEN explicit IS NOT NULL THEN list_transform(g, lambda x: NOT isnan(x) AND x >= 0) WHEN two THEN list_transform(range(1, 5), lambda k: NOT isnan(h[k]) AND NOT isnan(t[k])) END AS mask FROM p""")
 def supervision_precedence(spark, sf_dir):
     labels, mask = L.supervised(F.col("explicit"), F.col("hot"), F.col("teacher"), F.lit(4))
-    return _SUPER.frame(spark).select("id", labels.alias("labels"), mask.alias("mask"))
+    return _SUPER.frame(spark, sf_dir).select("id", labels.alias("labels"), mask.alias("mask"))
 
 
-_LOGITS = Fixture("id long, logits array<array<double>>, labels array<int>", ["BIGINT", "DOUBLE[][]", "INTEGER[]"], [
+_LOGITS = Fixture.over(derived.logits, "id long, logits array<array<double>>, labels array<int>", ["BIGINT", "DOUBLE[][]", "INTEGER[]"], [
     (1, [[0.1, 2.0, -1.0], [1.0, 1.0, 1.0], [5.0, 0.0, 0.0]], [0, 1, 2]), (2, [[0.0, 0.0, 1.5]], [2]), (3, [[-3.0, 100.0, 2.0], [7.0, 7.0, 700.0]], [1, 1]),
 ])
 
 
 @query("shifted_token_losses", f"""WITH {_LOGITS.sql('fx')} SELECT id, list_transform(range(1, len(labels)), lambda k: round(list_max(logits[k]) + ln(list_sum(list_transform(logits[k], lambda x: exp(x - list_max(logits[k]))))) - logits[k][labels[k + 1] + 1], 6)) AS losses FROM fx""")
 def shifted_token_losses(spark, sf_dir):
-    return _LOGITS.frame(spark).select("id", F.transform(L.shifted_losses(F.col("logits"), F.col("labels")), lambda x: _r(x)).alias("losses"))
+    return _LOGITS.frame(spark, sf_dir).select("id", F.transform(L.shifted_losses(F.col("logits"), F.col("labels")), lambda x: _r(x)).alias("losses"))
 
 
-_RUNS = Fixture("run long, failed boolean, p array<double>", ["BIGINT", "BOOLEAN", "DOUBLE[]"], [(1, True, [0.1, 0.2]), (2, True, [0.1, 0.5]), (3, False, [0.0]), (4, True, [0.2]), (5, None, [0.1]), (6, True, [])])
+_RUNS = Fixture.over(derived.executions, "run long, failed boolean, p array<double>", ["BIGINT", "BOOLEAN", "DOUBLE[]"], [(1, True, [0.1, 0.2]), (2, True, [0.1, 0.5]), (3, False, [0.0]), (4, True, [0.2]), (5, None, [0.1]), (6, True, [])])
 
 
 @query("posthoc_learning", f"WITH {_RUNS.sql('fx')} SELECT run, coalesce(failed AND list_avg(p) < 0.2::DOUBLE, FALSE) AS learn FROM fx")
 def posthoc_learning(spark, sf_dir):
-    return _RUNS.frame(spark).select("run", training.overconfident(F.col("failed"), F.col("p")).alias("learn"))
+    return _RUNS.frame(spark, sf_dir).select("run", training.overconfident(F.col("failed"), F.col("p")).alias("learn"))
 
 
-_SETTINGS = Fixture(
+_SETTINGS = Fixture.over(derived.settings, 
     "id long, train_path string, train_stage string, self_driven_induction_enabled boolean, permanent_knowledge_enabled boolean, adaptive_deliberation_enabled boolean, dspark_enabled boolean, dspark_gamma int, tool_calling_enabled boolean, tool_action_count int, max_steps int, grad_accum_steps int",
     ["BIGINT", "VARCHAR", "VARCHAR", *["BOOLEAN"] * 4, "INTEGER", "BOOLEAN", "INTEGER", "INTEGER", "INTEGER"],
     [(1, "a", "stage1", False, False, False, False, 4, False, 8, 10, 1), (2, None, "stage9", False, False, False, True, 1, True, 1, 0, 0), (3, "a", "stage_sdit", False, True, True, False, 4, False, 8, 5, 1), (4, "a", "tool_calling", True, True, True, True, 2, False, 8, 5, 1), (5, "a", "stage5", True, None, False, False, 4, False, 8, -1, 2)],
@@ -217,7 +218,7 @@ _need = lambda stages, name, flag: f"CASE WHEN train_stage IN {stages} AND NOT c
   CASE WHEN dspark_enabled AND dspark_gamma < 2 THEN 'model.dspark_gamma must be at least 2' END, CASE WHEN tool_calling_enabled AND tool_action_count < 2 THEN 'model.tool_action_count must be at least 2' END,
   CASE WHEN max_steps <= 0 THEN 'train.max_steps must be positive' END, CASE WHEN grad_accum_steps <= 0 THEN 'train.grad_accum_steps must be positive' END], lambda m: m IS NOT NULL) AS errors FROM fx""")
 def setting_errors(spark, sf_dir):
-    return training.setting_errors(_SETTINGS.frame(spark)).select("id", "errors")
+    return training.setting_errors(_SETTINGS.frame(spark, sf_dir)).select("id", "errors")
 
 
 _quoted = lambda t: "'" + t.replace("'", "''") + "'"

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-_EVENTS, _KNOWN = "key string, batch long, taken boolean", "key string, batch long"
+_EVENTS, _KNOWN = "key string, batch long, taken boolean, at timestamp", "key string, batch long"
 #: Settings of the session that the look-ups run in.
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -28,37 +28,48 @@ class _Taken(StatefulProcessor):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.since = handle.getValueState("since", "batch long", self.keep_ms)
+        self.handle, self.since = handle, handle.getValueState("since", "batch long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timers: object) -> Iterator[Row]:
         held = self.since.get()[0] if self.since.exists() else None
-        since, asked = held, set()  # the batches of this run: a few
+        since, asked, latest = held, set(), 0  # the batches of this run: a few
         for r in rows:
+            latest = max(latest, int(r["at"].timestamp() * 1000))
             if r["taken"]:
                 since = r["batch"] if since is None else min(since, r["batch"])
             else:
                 asked.add(r["batch"])
         if since != held:
             self.since.update((since,))
+            if self.keep_ms is not None and held is None:
+                self.handle.registerTimer(latest + self.keep_ms)
         for batch in sorted(asked):
             if since is not None and since < batch:
                 yield Row(key=key[0], batch=batch)
 
+    def handleExpiredTimer(self, key: tuple, timers: object, expired: object) -> Iterator[Row]:
+        self.since.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
 class KeyState:
-    """Keys taken so far, below ``folder`` (of the shared folders); ``keep_ms`` lets a key go so long after it was taken, by the state's own timers.
+    """Keys taken so far, below ``folder`` (of the shared folders).
 
-    ``parts`` is fixed by the first run.  Keys must not be null.
+    With ``keep_ms`` a timer lets a key go so long after it was taken, once the
+    stream's time, which trails by ``late``, has come so far.  ``parts`` and
+    whether there is a ``keep_ms`` are fixed by the first run.  Keys must not be
+    null.
     """
 
-    def __init__(self, folder: str, keep_ms: int | None = None, parts: int = 64) -> None:
-        self.folder, self.keep_ms, self.parts = folder, keep_ms, parts
+    def __init__(self, folder: str, keep_ms: int | None = None, parts: int = 64, late: str = "1 hour") -> None:
+        self.folder, self.keep_ms, self.parts, self.late = folder, keep_ms, parts, late
 
     def _add(self, keys: DataFrame, batch: int, taken: bool) -> None:
-        keys.select(F.col("key").cast("string"), F.lit(batch).cast("long").alias("batch"), F.lit(taken).alias("taken")).distinct().write.mode("append").parquet(f"{self.folder}/events")
+        rows = keys.select(F.col("key").cast("string"), F.lit(batch).cast("long").alias("batch"), F.lit(taken).alias("taken")).distinct()
+        rows.withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{self.folder}/events")
 
     def taken_before(self, keys: DataFrame, batch: int) -> DataFrame:
         """Of the keys (key), those that a batch before ``batch`` took."""
@@ -70,8 +81,9 @@ class KeyState:
             known.write.mode("overwrite").parquet(f"{self.folder}/known/run={run}")
             runs.append(run)
 
-        events = spark.readStream.schema(_EVENTS).parquet(f"{self.folder}/events").groupBy("key")
-        known = events.transformWithState(_Taken(self.keep_ms), _KNOWN, "Update", "ProcessingTime" if self.keep_ms else "None")
+        events = spark.readStream.schema(_EVENTS).parquet(f"{self.folder}/events")
+        events = events if self.keep_ms is None else events.withWatermark("at", self.late)
+        known = events.groupBy("key").transformWithState(_Taken(self.keep_ms), _KNOWN, "Update", "None" if self.keep_ms is None else "EventTime")
         query = known.writeStream.foreachBatch(keep).option("checkpointLocation", f"{self.folder}/state").outputMode("update").trigger(availableNow=True).start()
         query.awaitTermination()
         spark = keys.sparkSession
