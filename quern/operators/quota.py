@@ -119,32 +119,127 @@ def with_total(rows: DataFrame, budget: dict[str, int], whole: int, total_first:
     return verdicts if stop is None else verdicts.withColumn("verdict", F.when(F.col("seq") >= stop, "stopped").otherwise(F.col("verdict")))
 
 
+#: So many neighbouring ranges of rows are composed at a time.
+FAN = 16
+
+
+_BEYOND = 1 << 62
+
+
+class _Steps:
+    """What a range of rows does to the shards, for any place where the shard before it began.
+
+    Places are running sums of bytes.  Entering with a shard that began at
+    ``x - limit``, the next begins at the first row that ends beyond x.  ``high``
+    holds rising bounds: up to high[k] (exclusive) of x, ``count[k]`` shards
+    begin in the range, the last of them at ``last[k]``; beyond all bounds none
+    does.
+    """
+
+    def __init__(self, high: np.ndarray, count: np.ndarray, last: np.ndarray) -> None:
+        self.high, self.count, self.last = high, count, last
+
+    def enter(self, began: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """(where the last shard began, how many began) for shards that began at ``began``."""
+        k = np.searchsorted(self.high, began + limit, side="right")
+        inside = k < len(self.high)
+        k = np.minimum(k, max(len(self.high) - 1, 0))
+        if not len(self.high):
+            return began, np.zeros(len(began), np.int64)
+        return np.where(inside, self.last[k], began), np.where(inside, self.count[k], 0)
+
+    @staticmethod
+    def of(ends: np.ndarray, starts: np.ndarray, limit: int) -> _Steps:
+        """Of rows by their running sums; a row that is larger than the limit has a shard of its own."""
+        n = len(ends)
+        # the row at which the shard after one that begins at row i begins: the first that ends beyond, and doesn't begin where that one does
+        after = np.maximum(np.searchsorted(ends, starts + limit, side="right"), np.searchsorted(starts, starts, side="right"))
+        count, last = np.empty(n + 1, np.int64), np.empty(n + 1, np.int64)
+        for i in range(n - 1, -1, -1):
+            j = after[i]
+            count[i], last[i] = (1, starts[i]) if j >= n else (count[j] + 1, last[j])
+        reached = starts <= starts[0] + limit if n else np.zeros(0, bool)  # no shard from before can go on for longer
+        high = ends[reached]
+        if n and high[-1] > starts[0] + limit:
+            high[-1] = _BEYOND  # however it is entered, a shard begins here
+        return _Steps(*_joined(high, count[:n][reached], last[:n][reached]))
+
+    def then(self, other: _Steps, limit: int) -> _Steps:
+        """This range and the next one as one."""
+        last, more = other.enter(self.last, limit)
+        beyond = other.high > (self.high[-1] if len(self.high) else -1)  # entered without a shard in this range
+        return _Steps(*_joined(np.concatenate([self.high, other.high[beyond]]), np.concatenate([self.count + more, other.count[beyond]]), np.concatenate([last, other.last[beyond]])))
+
+
+def _joined(high: np.ndarray, count: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbouring steps that do the same, as one; chains of shards meet soon, so few are left."""
+    keep = np.ones(len(high), bool)
+    if len(high):
+        keep[:-1] = (np.diff(count) != 0) | (np.diff(last) != 0)
+    return high[keep], count[keep], last[keep]
+
+
 def shards(rows: DataFrame, limit: int) -> DataFrame:
-    """(seq, n) with ``shard``: a new one begins where the current one would exceed ``limit`` (a first row always fits).
+    """(seq, n) with ``shard``: a new one begins where the current one would exceed ``limit`` (a first row always fits); sizes are above 0.
 
-    Where a shard ends depends on where it began, so one task walks the sums of
-    two narrow columns; it stops at the shards' ends only, not at every row.
+    Where a shard ends depends on where it began.  So each range of rows first
+    says what it does for every place where a shard may have begun before it (a
+    step function), neighbouring ranges are composed ``FAN`` at a time up to the
+    whole, and the places are handed down again; then every range numbers its
+    own rows.  No task holds more than a range, or ``FAN`` step functions, of
+    at most the rows of one shard each.
     """
+    placed = cut(running_total(rows.select("seq", "n"), ["seq"], "n").select("seq", "n", "total").repartitionByRange("seq").withColumn("part", F.spark_partition_id().cast("long")))
+    schema = "part long, high array<long>, count array<long>, last array<long>"
+    packed = lambda part, s: pd.DataFrame({"part": [part], "high": [s.high.tolist()], "count": [s.count.tolist()], "last": [s.last.tolist()]})
+    steps = lambda r: _Steps(*(np.array(r[c], np.int64) for c in ("high", "count", "last")))
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches) or [pd.DataFrame({"n": [], "total": [], "part": []})])
+        for part, of in pdf.groupby("part"):
+            of = of.sort_values("seq")
+            ends = of["total"].to_numpy(np.int64)
+            yield packed(part, _Steps.of(ends, ends - of["n"].to_numpy(np.int64), limit))
+
+    def composed(pdf: pd.DataFrame) -> pd.DataFrame:
+        ordered = [r for _, r in pdf.sort_values("part").iterrows()]
+        whole = steps(ordered[0])
+        for r in ordered[1:]:
+            whole = whole.then(steps(r), limit)
+        return packed(int(ordered[0]["part"]) // FAN, whole)
+
+    levels = [cut(placed.mapInPandas(own, schema))]
+    while levels[-1].count() > 1:
+        levels.append(cut(levels[-1].groupBy(F.floor(F.col("part") / FAN)).applyInPandas(composed, schema)))
+
+    def handed(pdf: pd.DataFrame) -> pd.DataFrame:
+        began, shard, out = int(pdf["began"].iloc[0]), int(pdf["shard"].iloc[0]), []
+        for _, r in pdf.sort_values("part").iterrows():
+            out.append((int(r["part"]), began, shard))
+            last, more = steps(r).enter(np.array([began]), limit)
+            began, shard = int(last[0]), shard + int(more[0])
+        return pd.DataFrame(out, columns=["part", "began", "shard"])
+
+    # before the first row, as if the shard before had just been filled
+    entered = levels[-1].select("part", F.lit(-limit - 1).cast("long").alias("began"), F.lit(-1).cast("long").alias("shard"))
+    for level in reversed(levels[:-1]):
+        up = entered.withColumnRenamed("part", "up")
+        entered = cut(level.withColumn("up", F.floor(F.col("part") / FAN)).join(up, "up").groupBy("up").applyInPandas(handed, "part long, began long, shard long"))
+
+    def numbered(key: tuple, pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        ends, size = pdf["total"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
+        starts, at = ends - size, 0
+        base, shard, out = int(state["began"].iloc[0]), int(state["shard"].iloc[0]), np.empty(len(pdf), np.int32)
+        while at < len(pdf):
+            end = max(int(np.searchsorted(ends, base + limit, side="right")), int(np.searchsorted(starts, base, side="right")))
+            out[at : max(end, at)] = shard
+            at = max(end, at)
+            if at < len(pdf):
+                base, shard = int(starts[at]), shard + 1
+        return pd.DataFrame({"seq": pdf["seq"], "n": pdf["n"], "shard": out})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, used = 0, 0
-        for pdf in batches:
-            size = pdf["n"].to_numpy("int64")
-            total, out, at = np.cumsum(size), np.empty(len(size), "int32"), 0
-            while at < len(size):
-                base = int(total[at - 1]) if at else 0
-                end = int(np.searchsorted(total, base + limit - used, side="right"))
-                if end <= at:
-                    if used:
-                        shard, used = shard + 1, 0
-                        continue
-                    end = at + 1
-                out[at:end] = shard
-                used += int(total[end - 1]) - base
-                at = end
-            yield pdf.assign(shard=out)
-
-    return rows.select("seq", "n").repartitionByRange(1, "seq").sortWithinPartitions("seq").mapInPandas(run, "seq long, n long, shard int")
+    return placed.groupBy("part").cogroup(entered.groupBy("part")).applyInPandas(numbered, "seq long, n long, shard int")
 
 
 def ratios(values: dict[str, float], whole: int) -> dict[str, int]:

@@ -129,3 +129,52 @@ def test_skeletons_of_deep_and_sampled_sources(spark):
     skeleton = {"kind": "python_function", "name": "f7", "params": ["a"], "steps": [{"op": "parse_input"}, {"op": "return"}]}
     assert json.loads(task["skeleton"]) == skeleton and task["skeleton"] == json.dumps(skeleton, ensure_ascii=False, sort_keys=True)
     assert task["text"] == f"[skeleton]\nCode:\ndef f7(a):\n    return a\nSkeleton JSON:\n{task['skeleton']}" and task["metadata"] == {"source_path": "m7.py", "function": "f7", "task": "skeleton_generation"}
+
+
+def test_shards_over_many_ranges_are_the_fold(spark, monkeypatch):
+    """Step functions of many small ranges, composed over several levels; sizes below, about and above the limit."""
+    from quern.operators import quota
+
+    monkeypatch.setattr(quota, "FAN", 3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        r = random.Random(1)
+        for sizes, limit in (([1, 3, 9, 40, 200], 100), ([5], 1), ([1, 2], 10**6), ([1, 2, 3], 7), ([300, 1], 100)):
+            rows = [(7 * k, r.choice(sizes)) for k in range(400)]
+            want, used, shard = {}, 0, 0
+            for seq, n in rows:
+                if used and used + n > limit:
+                    used, shard = 0, shard + 1
+                used += n
+                want[seq] = shard
+            got = quota.shards(spark.createDataFrame(rows, "seq long, n long"), limit)
+            assert {x["seq"]: x["shard"] for x in got.collect()} == want, (sizes, limit)
+        assert quota.shards(spark.createDataFrame([], "seq long, n long"), 5).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_steps_compose():
+    """Ranges entered at every place do what the rows do one by one."""
+    import numpy as np
+
+    from quern.operators.quota import _Steps
+
+    r = random.Random(5)
+    for _ in range(60):
+        limit = r.choice([5, 20, 60])
+        sizes = [r.choice([1, 2, 5, 9, 30, 80]) for _ in range(30)]
+        ends = np.cumsum(sizes)
+        cut = sorted(r.sample(range(1, 30), 3))
+        parts = [_Steps.of(ends[a:b], ends[a:b] - np.array(sizes[a:b]), limit) for a, b in zip([0, *cut], [*cut, 30], strict=True)]
+        whole = parts[0].then(parts[1], limit).then(parts[2].then(parts[3], limit), limit)
+        for began in range(-limit - 1, 0):
+            last, count = began, 0
+            for end, n in zip(ends.tolist(), sizes, strict=True):
+                if end > last + limit and end - n > last:
+                    last, count = end - n, count + 1
+            got = whole.enter(np.array([began]), limit)
+            assert (int(got[0][0]), int(got[1][0])) == (last, count)
