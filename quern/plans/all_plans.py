@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import cleaning, converting, memory, numeric, stores, training  # noqa: F401
+from . import cleaning, converting, memory, numeric, stores, streams, training  # noqa: F401

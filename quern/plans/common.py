@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.lineage import cut
 from .derived import Dialect
 
 
@@ -15,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder that all machines share."""
+    base = cut(spark.range(1)).sparkSession.sparkContext.getCheckpointDir()
+    return f"{base}/{label}-{uuid.uuid4().hex}"
+
+
 def literal(x) -> str:
     """A Python value as DuckDB SQL."""
     if x is None:

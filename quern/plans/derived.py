@@ -191,3 +191,8 @@ def settings(d: Dialect) -> str:
 def records(d: Dialect) -> str:
     some = d.doubles(d.array(*[f"CAST(vec_id % {k} AS DOUBLE) / 2" for k in (7, 5, 11, 3, 13)]))
     return f"SELECT vec_id + 1000, {some}, CAST(3 + vec_id % 4 AS INT) {_vec}"
+
+
+def changes(d: Dialect) -> str:
+    op = "CASE WHEN quality = 0 THEN 'delete' WHEN toxic = 1 THEN 'create' ELSE 'update' END"
+    return f"SELECT doc_id AS seq, 'doc' || {_TEXT('doc_id * 2')} AS id, {op} AS op, CASE WHEN doc_id % 3 = 0 THEN 'changed ' || {_TEXT('doc_id')} END AS rule, {_NULL} AS domain, {_share('doc_id', 8)} AS importance, CASE WHEN doc_id % 5 = 0 THEN 'seen' END AS add_positive, {_NULL} AS add_negative FROM labels"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import dedup, generators, knowledge, reports
@@ -12,7 +10,7 @@ from ..sources.lineage import cut
 from ..streaming import cleaning as stream
 from . import cleaning as C
 from . import derived
-from .common import Fixture, table
+from .common import Fixture, shared_folder, table
 from .registry import query
 
 # ---- knowledge
@@ -176,17 +174,12 @@ def dual_key_dedup(spark, sf_dir):
 # ---- streams
 
 
-def _shared(spark) -> str:
-    base = cut(spark.range(1)).sparkSession.sparkContext.getCheckpointDir()
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 @query("stream_clean", f"""WITH {C._DOC}, {C.repetition_sql('d', 'doc_id', 'text')} SELECT DISTINCT sha256({_FP.format('text')}) AS fp FROM d LEFT JOIN rep USING (doc_id)
 WHERE {C.case_sql(C.strict_sql('text', 'lower(text)', 'coalesce(ratio, 0)'))} IS NULL""")
 def stream_clean(spark, sf_dir):
     """Texts that one run of the stream keeps; the file source ends when it has read what is there.  Which of several equal documents comes first is open, so texts are counted by their fingerprint."""
     docs = table(spark, sf_dir, "documents")
-    base = _shared(spark)
+    base = shared_folder(spark, "clean")
     rows = stream.table_source(docs, f"{sf_dir}/documents.parquet")
     stream.run(stream.unseen(stream.cleaned(rows.select("text"), F.col("text"))).select("fp"), f"{base}/out", f"{base}/state")
     return spark.read.schema("fp string").parquet(f"{base}/out")

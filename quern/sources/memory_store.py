@@ -6,7 +6,7 @@ import sqlite3
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 
 #: The columns of a memory; those that the store is asked to filter by.
 SCHEMA = "id string, type string, content string, timestamp double, importance double, access_count long, last_access double, metadata string"
@@ -36,6 +36,8 @@ class _Reader(DataSourceReader):
             if type(f) in _SIGN and len(f.attribute) == 1 and f.attribute[0] in _PUSHED and f.value is not None:
                 self.where.append(f'"{f.attribute[0]}" {_SIGN[type(f)]} ?')
                 self.values.append(f.value)
+            elif isinstance(f, IsNotNull) and len(f.attribute) == 1 and f.attribute[0] in _PUSHED:
+                self.where.append(f'"{f.attribute[0]}" IS NOT NULL')
             else:
                 yield f
 

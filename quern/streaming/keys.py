@@ -30,7 +30,7 @@ class _Taken(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.since = handle, handle.getValueState("since", "batch long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers: object) -> Iterator[Row]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
         held = self.since.get()[0] if self.since.exists() else None
         since, asked, latest = held, set(), 0  # the batches of this run: a few
         for r in rows:
@@ -47,7 +47,7 @@ class _Taken(StatefulProcessor):
             if since is not None and since < batch:
                 yield Row(key=key[0], batch=batch)
 
-    def handleExpiredTimer(self, key: tuple, timers: object, expired: object) -> Iterator[Row]:
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
         self.since.clear()
         return iter(())
 

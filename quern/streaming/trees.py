@@ -22,7 +22,7 @@ class _Buffered(StatefulProcessor):
         self.nodes = handle.getListState("nodes", NODE)
         self.due = handle.getValueState("due", "at long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers: object) -> Iterator[Row]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
         last, new = self.due.get()[0] if self.due.exists() else None, []
         due = last
         for r in rows:
@@ -37,7 +37,7 @@ class _Buffered(StatefulProcessor):
             self.due.update((due,))
         return iter(())
 
-    def handleExpiredTimer(self, key: tuple, timers: object, expired: object) -> Iterator[Row]:
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
         for n in self.nodes.get():
             yield Row(**dict(zip(_NAMES, n, strict=True)))
         self.nodes.clear()
@@ -60,7 +60,7 @@ def complete(nodes: DataFrame, gap: str = "10 minutes", late: str = "0 seconds")
     batch, so ``trees.conversations(..., per_tree=True)`` in foreachBatch gives
     whole trees.  Needs the RocksDB state store.
     """
-    gap_ms = int(nodes.sparkSession.sql(f"SELECT extract(epoch FROM TIMESTAMP'1970-01-01 00:00:00Z' + INTERVAL {gap}) * 1000 AS ms").first()["ms"])
+    gap_ms = nodes.sparkSession.sql(f"SELECT unix_millis(TIMESTAMP'1970-01-01 00:00:00Z' + INTERVAL {gap}) AS ms").first()["ms"]
     typed = [F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in NODE.split(", ")]
     keyed = nodes.select(*typed, F.col("at").cast("timestamp").alias("at"), F.coalesce(F.col("tree_id"), F.col("message_id")).alias("tree")).withWatermark("at", late)
     return keyed.where("tree is not null").groupBy("tree").transformWithState(_Buffered(gap_ms), NODE, "Append", "EventTime")

@@ -78,7 +78,7 @@ def test_key_state_answers_for_its_own_keys(spark, tmp_path):
     assert ask(2, "b", "c", "z") == {"b", "c"} and ask(1, "b", "c") == {"c"}
     known = spark.read.parquet(f"{tmp_path}/keys/known")
     assert known.where("batch = 2").count() == 2  # no more than its own keys
-    timed = KeyState(f"{tmp_path}/timed", keep_ms=1, parts=1)
+    timed = KeyState(f"{tmp_path}/timed", keep_ms=1, parts=1, late="0 seconds")
     timed.take(keys("a"), 0)
     assert {r["key"] for r in timed.taken_before(keys("b"), 1).collect()} == set()
     assert {r["key"] for r in timed.taken_before(keys("a"), 2).collect()} == set()  # let go by then
