@@ -26,8 +26,8 @@ STAGES = (
     "stage_tool_schema_following", "stage_tool_retrieval", "stage_agent_rollout", "structural_reconstruction", "hyper_lora", "isg_training", "cognitive_search",
     "self_driven_induction", "knowledge_management", "adaptive_deliberation", "dspark_speculative", "tool_calling",
 )
-
-
+#: Attention backends, and the most parameters that speculative heads may add.
+BACKENDS, MOST_EXTRA = ("torch", "int4_reference", "triton_int4"), 20_000_000
 #: What the names of stages stand for.
 ALIASES = {
     "stage1": "structural_reconstruction", "stage2": "hyper_lora", "stage2_5": "intent_alignment", "stage3": "isg_training", "stage3_5": "cognitive_search", "stage4": "cognitive_search",
@@ -128,7 +128,10 @@ def prepared(lines: DataFrame, key: str, ratio: float, seed: int = 0) -> DataFra
 
 
 def setting_errors(settings: DataFrame) -> DataFrame:
-    """Adds ``errors``: what is wrong with each row of settings, in order."""
+    """Adds ``errors``: what is wrong with each row of settings, in order; settings of the model are named ``model.``, whatever a project calls that part.
+
+    A setting that is null counts as fine, but for ``train_path`` and the flags that a stage needs.
+    """
     c, off = F.col, lambda name: ~F.coalesce(F.col(name), F.lit(False))
     need = lambda stages, name, flag: (f"{name} requires model.{flag}=true", c("train_stage").isin(*stages) & off(flag))
     return settings.withColumn("errors", L.expectations([
@@ -140,9 +143,14 @@ def setting_errors(settings: DataFrame) -> DataFrame:
         need(("stage_dspark", "dspark_speculative"), "stage_dspark", "dspark_enabled"),
         need(("stage_tool_calling", "stage_tool_schema_following", "stage_tool_retrieval", "stage_agent_rollout", "tool_calling"), "stage_tool_calling", "tool_calling_enabled"),
         ("model.dspark_gamma must be at least 2", c("dspark_enabled") & (c("dspark_gamma") < 2)),
+        ("model.dspark_max_extra_params must be <= 20M", c("dspark_enabled") & (c("dspark_max_extra_params") > MOST_EXTRA)),
         ("model.tool_action_count must be at least 2", c("tool_calling_enabled") & (c("tool_action_count") < 2)),
+        ("model.tool_query_dim must be positive", c("tool_calling_enabled") & (c("tool_query_dim") <= 0)),
+        (F.concat(F.lit("unknown attention_backend: "), "attention_backend"), ~c("attention_backend").isin(*BACKENDS)),
         ("train.max_steps must be positive", c("max_steps") <= 0),
         ("train.grad_accum_steps must be positive", c("grad_accum_steps") <= 0),
+        ("offload.cold_layer_budget_per_step must be positive", (c("cold_granularity") == "unit") & (c("cold_layer_budget_per_step") <= 0)),
+        ("cold unit budgets must be non-negative", (c("cold_granularity") == "unit") & (F.least("cold_attention_heads_per_step", "cold_ffn_blocks_per_step") < 0)),
     ]))
 
 

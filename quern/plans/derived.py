@@ -184,7 +184,8 @@ def executions(d: Dialect) -> str:
 
 def settings(d: Dialect) -> str:
     stage = "CASE doc_id % 4 WHEN 0 THEN 'stage1' WHEN 1 THEN 'stage_sdit' WHEN 2 THEN 'tool_calling' ELSE source END"
-    return f"""SELECT doc_id + 1000, source, {stage}, doc_id % 2 = 0, doc_id % 3 = 0, doc_id % 5 = 0, doc_id % 2 = 1, CAST(doc_id % 4 AS INT), doc_id % 7 = 0, CAST(doc_id % 3 AS INT), CAST(doc_id % 6 AS INT), CAST(doc_id % 2 AS INT)
+    return f"""SELECT doc_id + 1000, source, {stage}, doc_id % 2 = 0, doc_id % 3 = 0, doc_id % 5 = 0, doc_id % 2 = 1, CAST(doc_id % 4 AS INT), doc_id % 7 = 0, CAST(doc_id % 3 AS INT), CAST(doc_id % 6 AS INT), CAST(doc_id % 2 AS INT),
+      CAST(n_chars AS BIGINT) * 5000, CAST(doc_id % 4 - 1 AS INT), CASE WHEN doc_id % 3 = 0 THEN 'torch' ELSE lang END, CASE WHEN doc_id % 2 = 0 THEN 'unit' ELSE 'layer' END, CAST(doc_id % 5 - 1 AS INT), CAST(doc_id % 7 - 1 AS INT), CAST(doc_id % 9 - 1 AS INT)
       FROM documents WHERE source IS NOT NULL"""
 
 

@@ -204,9 +204,9 @@ def posthoc_learning(spark, sf_dir):
 
 
 _SETTINGS = Fixture.over(derived.settings, 
-    "id long, train_path string, train_stage string, self_driven_induction_enabled boolean, permanent_knowledge_enabled boolean, adaptive_deliberation_enabled boolean, dspark_enabled boolean, dspark_gamma int, tool_calling_enabled boolean, tool_action_count int, max_steps int, grad_accum_steps int",
-    ["BIGINT", "VARCHAR", "VARCHAR", *["BOOLEAN"] * 4, "INTEGER", "BOOLEAN", "INTEGER", "INTEGER", "INTEGER"],
-    [(1, "a", "stage1", False, False, False, False, 4, False, 8, 10, 1), (2, None, "stage9", False, False, False, True, 1, True, 1, 0, 0), (3, "a", "stage_sdit", False, True, True, False, 4, False, 8, 5, 1), (4, "a", "tool_calling", True, True, True, True, 2, False, 8, 5, 1), (5, "a", "stage5", True, None, False, False, 4, False, 8, -1, 2)],
+    "id long, train_path string, train_stage string, self_driven_induction_enabled boolean, permanent_knowledge_enabled boolean, adaptive_deliberation_enabled boolean, dspark_enabled boolean, dspark_gamma int, tool_calling_enabled boolean, tool_action_count int, max_steps int, grad_accum_steps int, dspark_max_extra_params long, tool_query_dim int, attention_backend string, cold_granularity string, cold_layer_budget_per_step int, cold_attention_heads_per_step int, cold_ffn_blocks_per_step int",
+    ["BIGINT", "VARCHAR", "VARCHAR", *["BOOLEAN"] * 4, "INTEGER", "BOOLEAN", "INTEGER", "INTEGER", "INTEGER", "BIGINT", "INTEGER", "VARCHAR", "VARCHAR", *["INTEGER"] * 3],
+    [(1, "a", "stage1", False, False, False, False, 4, False, 8, 10, 1, 10**9, 0, "torch", "layer", 0, -1, -1), (2, None, "stage9", False, False, False, True, 1, True, 1, 0, 0, 20_000_001, 0, "other", "unit", 0, 1, -1), (3, "a", "stage_sdit", False, True, True, False, 4, False, 8, 5, 1, None, None, None, None, None, None, None), (4, "a", "tool_calling", True, True, True, True, 2, False, 8, 5, 1, 20_000_000, 0, "triton_int4", "unit", 1, 0, 0), (5, "a", "stage5", True, None, False, False, 4, False, 8, -1, 2, 5, 1, "int4_reference", "unit", -1, -1, 1)],
 )
 _need = lambda stages, name, flag: f"CASE WHEN train_stage IN {stages} AND NOT coalesce({flag}, FALSE) THEN '{name} requires model.{flag}=true' END"
 
@@ -215,8 +215,10 @@ _need = lambda stages, name, flag: f"CASE WHEN train_stage IN {stages} AND NOT c
   {_need("('stage_sdit', 'self_driven_induction')", 'stage_sdit', 'self_driven_induction_enabled')}, {_need("('stage5', 'knowledge_management')", 'stage5', 'permanent_knowledge_enabled')},
   {_need("('stage_deliberation', 'adaptive_deliberation')", 'stage_deliberation', 'adaptive_deliberation_enabled')}, {_need("('stage_dspark', 'dspark_speculative')", 'stage_dspark', 'dspark_enabled')},
   {_need("('stage_tool_calling', 'stage_tool_schema_following', 'stage_tool_retrieval', 'stage_agent_rollout', 'tool_calling')", 'stage_tool_calling', 'tool_calling_enabled')},
-  CASE WHEN dspark_enabled AND dspark_gamma < 2 THEN 'model.dspark_gamma must be at least 2' END, CASE WHEN tool_calling_enabled AND tool_action_count < 2 THEN 'model.tool_action_count must be at least 2' END,
-  CASE WHEN max_steps <= 0 THEN 'train.max_steps must be positive' END, CASE WHEN grad_accum_steps <= 0 THEN 'train.grad_accum_steps must be positive' END], lambda m: m IS NOT NULL) AS errors FROM fx""")
+  CASE WHEN dspark_enabled AND dspark_gamma < 2 THEN 'model.dspark_gamma must be at least 2' END, CASE WHEN dspark_enabled AND dspark_max_extra_params > 20000000 THEN 'model.dspark_max_extra_params must be <= 20M' END, CASE WHEN tool_calling_enabled AND tool_action_count < 2 THEN 'model.tool_action_count must be at least 2' END,
+  CASE WHEN tool_calling_enabled AND tool_query_dim <= 0 THEN 'model.tool_query_dim must be positive' END, CASE WHEN attention_backend NOT IN {training.BACKENDS} THEN 'unknown attention_backend: ' || attention_backend END,
+  CASE WHEN max_steps <= 0 THEN 'train.max_steps must be positive' END, CASE WHEN grad_accum_steps <= 0 THEN 'train.grad_accum_steps must be positive' END,
+  CASE WHEN cold_granularity = 'unit' AND cold_layer_budget_per_step <= 0 THEN 'offload.cold_layer_budget_per_step must be positive' END, CASE WHEN cold_granularity = 'unit' AND (cold_attention_heads_per_step < 0 OR cold_ffn_blocks_per_step < 0) THEN 'cold unit budgets must be non-negative' END], lambda m: m IS NOT NULL) AS errors FROM fx""")
 def setting_errors(spark, sf_dir):
     return training.setting_errors(_SETTINGS.frame(spark, sf_dir)).select("id", "errors")
 
