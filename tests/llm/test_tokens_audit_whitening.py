@@ -187,3 +187,49 @@ def test_residues_sum_exactly():
     ps = whitening.primes(1 << 150)
     assert len(set(ps)) == len(ps) and all(p < 1 << whitening.PRIME_BITS for p in ps) and np.prod([float(p) for p in ps]) > 2.0**150
     assert (whitening.primes(1)[0] // 2) ** 2 * whitening.EXACT_ROWS <= 1 << 53
+
+
+def test_archives_of_whole_pages(spark):
+    """Every page of a table by hashlib and a dict, and the archives by zipfile."""
+    import os
+    import zipfile
+    import zlib
+
+    from quern.llm import warc
+    from quern.llm.common import shared_dir, table
+
+    pages = table(spark, os.environ.get("QUERN_TEST_DIR", "/root/testdata/sf0.001"), "pages")
+    rows = [(r["page_id"], (r["html"] or "").encode()) for r in pages.collect()]
+    largest: dict = {}
+    for i, payload in rows:
+        largest[payload] = max(i, largest.get(payload, i))
+    want = {(i, len(p), hashlib.sha1(p).hexdigest(), *(("revisit", largest[p]) if len(p) >= 1000 and largest[p] != i else ("response", None))) for i, p in rows}
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    archives = warc.write(pages, shared_dir(spark, "warc-test"))
+    got = warc.read(archives).select(*columns).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(rows)
+    held = {}
+    for r in archives.collect():
+        with zipfile.ZipFile(r["path"].removeprefix("file://")) as z:
+            assert z.testzip() is None
+            for entry in z.infolist():
+                rest = z.read(entry)
+                while rest[:2] == b"\x1f\x8b":  # records, each compressed by itself, one after another
+                    one = zlib.decompressobj(31)
+                    headers, _, payload = warc.parse(one.decompress(rest))
+                    rest = one.unused_data
+                    if headers["warc-type"] == "response":
+                        held[int(headers["warc-record-id"].removeprefix("<urn:page:").rstrip(">"))] = payload
+    assert held == {i: p for i, p in rows if (i, len(p), hashlib.sha1(p).hexdigest(), "response", None) in want}
+
+
+def test_very_long_texts_are_joined(spark):
+    from quern.llm import jaccard
+
+    r = random.Random(8)
+    long = [f"w{r.randrange(100_000)}" for _ in range(60_000)]
+    near = [*long[:30_000], "changed", *long[30_001:]]
+    far = [f"v{r.randrange(100_000)}" for _ in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(long[:100])), (5, " ".join(long))]
+    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: c for i, (c, _) in got.items()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 1} and got[2][1] > 0 and got[3][1] == 0
