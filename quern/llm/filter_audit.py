@@ -111,13 +111,13 @@ flagged AS (
   FROM worded JOIN firsts ON t = ft LEFT JOIN said ON doc_id = label_id),
 letters AS (SELECT unnest([1, 2, 3, 4, 5]) AS f),
 orders AS (
-  SELECT [a.f, b.f, c.f, d.f, e.f] AS o, array_to_string(list_transform(o, k -> chr((64 + k)::INT)), '') AS filter_order
+  SELECT [a.f, b.f, c.f, d.f, e.f] AS o, array_to_string(list_transform(o, lambda k: chr((64 + k)::INT)), '') AS filter_order
   FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
-crossed AS (SELECT part, fails, good, toxic, o, filter_order, coalesce(list_position(list_transform(o, k -> fails[k]), true), 6) AS first FROM flagged, orders),
+crossed AS (SELECT part, fails, good, toxic, o, filter_order, coalesce(list_position(list_transform(o, lambda k: fails[k]), true), 6) AS first FROM flagged, orders),
 steps AS (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM crossed),
 counted AS (
   SELECT part, filter_order, step, count(*) FILTER (first > step) AS kept, count(*) FILTER (first = step) AS removed,
-    count(*) FILTER (fails[o[step]] AND first < step) AS redundant, count(*) FILTER (fails[o[step]] AND len(list_filter(fails, x -> x)) = 1) AS unique_fails,
+    count(*) FILTER (fails[o[step]] AND first < step) AS redundant, count(*) FILTER (fails[o[step]] AND len(list_filter(fails, lambda x: x)) = 1) AS unique_fails,
     count(*) FILTER (first = step AND good) AS good_lost, count(*) FILTER (first = step AND toxic) AS toxic_lost
   FROM steps GROUP BY part, filter_order, step)
 SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,

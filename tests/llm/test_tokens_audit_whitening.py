@@ -7,7 +7,9 @@ import struct
 from fractions import Fraction
 from itertools import permutations
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 llm = pytest.importorskip("quern.llm")
@@ -123,6 +125,11 @@ def test_filter_audit(spark):
     for x in got:
         key = x["part"], x["filter_order"], x["step"]
         assert {c: x[c] for c in want[key]} == want[key] and x["shapley"] == total[key[0], key[1][key[2] - 1]]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([d[0] for d in docs], pa.int64()), "text": pa.array([d[1] for d in docs], pa.string()), "lang": pa.array([d[2] for d in docs], pa.string())}))
+    con.register("labels", pa.table({c: pa.array([x[k] for x in labels], pa.int64()) for k, c in enumerate(("doc_id", "quality", "toxic"))}))
+    columns = ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
+    assert sorted(con.sql(f"select {', '.join(columns)} from ({filter_audit.SQL})").fetchall()) == sorted(tuple(x[c] for c in columns) for x in got)
     assert filter_audit.audit(frame.limit(0), named).count() == 0 and filter_audit.audit(frame, named.limit(0)).where("good_lost + toxic_lost > 0").count() == 0
 
 
