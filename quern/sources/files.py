@@ -71,10 +71,9 @@ def prompts(rows: DataFrame) -> DataFrame:
 
 def dataset_rows(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
     """Rows of a dataset's folder, Parquet or JSON lines by its files' names; the first ``most`` if asked for."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select("path")
     reader = spark.read.option("recursiveFileLookup", True)
-    names = reader.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
-    parquet = not names.limit(1).isEmpty()
-    rows = reader.option("pathGlobFilter", "*.parquet").parquet(path) if parquet else reader.json(path)
+    rows = reader.json(path) if names.limit(1).isEmpty() else reader.option("pathGlobFilter", "*.parquet").parquet(path)
     return rows if most is None else rows.limit(most)
 
 

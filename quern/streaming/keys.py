@@ -59,12 +59,12 @@ class KeyState:
     """Keys taken so far, below ``folder`` (of the shared folders).
 
     With ``keep_ms`` a timer lets a key go so long after it was taken, once the
-    stream's time, which trails by ``late``, has come so far.  ``parts`` and
-    whether there is a ``keep_ms`` are fixed by the first run.  Keys must not be
-    null.
+    stream's time, which trails by ``late``, has come so far.  ``parts`` (of the
+    state; by default the session's shuffle partitions) and whether there is a
+    ``keep_ms`` are fixed by the first run.  Keys must not be null.
     """
 
-    def __init__(self, folder: str, keep_ms: int | None = None, parts: int = 64, late: str = "1 hour") -> None:
+    def __init__(self, folder: str, keep_ms: int | None = None, parts: int | None = None, late: str = "1 hour") -> None:
         self.folder, self.keep_ms, self.parts, self.late = folder, keep_ms, parts, late
 
     def _add(self, keys: DataFrame, batch: int, taken: bool) -> None:
@@ -101,5 +101,5 @@ class KeyState:
         own = spark.newSession()
         for k, v in _STATE.items():
             own.conf.set(k, v)
-        own.conf.set("spark.sql.shuffle.partitions", str(self.parts))
+        own.conf.set("spark.sql.shuffle.partitions", str(self.parts or spark.conf.get("spark.sql.shuffle.partitions")))
         return own

@@ -34,7 +34,7 @@ class CleaningRun:
     policy: Policy = field(default_factory=Policy)
     ruleset: str = "strict"
     keep_ms: int | None = None
-    state_parts: int = 64
+    state_parts: int | None = None
 
     @property
     def keys(self) -> KeyState:

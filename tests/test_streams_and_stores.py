@@ -106,12 +106,12 @@ def test_trees_close_once_others_go_on(spark, tmp_path):
     for k, v in store.items():
         session.conf.set(k, v)
     session.conf.set("spark.sql.shuffle.partitions", "2")
-    got, seen = set(), []
+    out, seen = [], []
 
     def whole(rows, k):
-        trees_of = [x["tree_id"] for x in rows.select("tree_id").distinct().collect()]
-        seen.append(sorted(trees_of))
-        got.update((x["source_id"], str(x["messages"])) for x in trees.conversations(rows, "s", "mit", per_tree=True).collect())
+        held = rows.collect()
+        seen.append(sorted({x["tree_id"] for x in held}))  # a tree is in one batch only
+        out.extend(held)
 
     def work():
         rows = stream.complete(session.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), gap="100 seconds")
@@ -124,6 +124,7 @@ def test_trees_close_once_others_go_on(spark, tmp_path):
     assert early and early < {n[2] for n in nodes}  # some are out, some wait
     stream.closing(frame, "100 seconds").select(*[c.split()[0] for c in schema.split(", ")[:-1]], F.col("at").cast("long").alias("at")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     work()
+    got = {(x["source_id"], str(x["messages"])) for x in trees.conversations(spark.createDataFrame(out, stream.NODE), "s", "mit", per_tree=True).collect()}
     assert got == batch and len(batch) > 5
     assert sorted(t for b in seen for t in b if t != "\n") == sorted({n[2] for n in nodes})  # each tree once, whole
 
@@ -287,3 +288,16 @@ def test_live_report_adds_up(spark, tmp_path):
     assert told[-1]["seen"] == 8 == out.count() and told[-1]["accepted"] == good.count() > 0
     assert told[-1]["bytes"] == good.agg(F.sum(F.octet_length("text"))).first()[0] and len(told) >= 2
     assert all(a["seen"] <= b["seen"] for a, b in zip(told, told[1:], strict=False))
+
+
+def test_parquet_among_many_other_files(spark, tmp_path):
+    """The format of a folder is its Parquet files', wherever they stand among its names."""
+    from quern.sources import files
+
+    (tmp_path / "set").mkdir()
+    for k in range(1100):
+        (tmp_path / "set" / f"a{k:04d}.txt").write_text("{}")
+    spark.range(7).coalesce(1).write.parquet(f"{tmp_path}/set/z")
+    assert sorted(r["id"] for r in files.dataset_rows(spark, f"{tmp_path}/set").collect()) == list(range(7))
+    spark.createDataFrame([("a",), ("b",)], "v string").write.json(f"{tmp_path}/lines")
+    assert files.dataset_rows(spark, f"{tmp_path}/lines").count() == 2 and files.dataset_rows(spark, f"{tmp_path}/lines", 1).count() == 1
