@@ -42,8 +42,8 @@ def seeded(rows: DataFrame, prior: DataFrame, key: str) -> DataFrame:
     return rows.join(prior.select(key).distinct(), key, "left_anti")
 
 
-#: A component of so many different pairs of keys at most is decided in one task, of three narrow columns.
-FOLD_PAIRS = 1_000_000
+#: So many different pairs of keys at most are decided in one task, of three narrow columns: all of them, or those of a component.
+FOLD_ALL, FOLD_PAIRS = 1_000_000, 1_000_000
 
 
 def components(edges: DataFrame, keep) -> DataFrame:
@@ -100,13 +100,15 @@ def first_wins(rows: DataFrame, keep) -> DataFrame:
     Of the rows of one text and thread only the first can be accepted, so only
     firsts are looked at.  Texts and threads are the vertices of a graph whose
     edges are those rows; what happens in one of its components doesn't touch
-    the others, so each is folded in order in one task.  A component of more
-    than ``FOLD_PAIRS`` rows is decided by rounds instead, as many as its longest
+    the others, so each is folded in order in one task (few rows, up to
+    ``FOLD_ALL``, are folded at once).  A component of more than ``FOLD_PAIRS`` rows is decided by rounds instead, as many as its longest
     chain of rows that wait for each other.  ``keep`` cuts the lineage
     (checkpoint or written table).
     """
     rows = keep(rows.select("seq", "fp", "thread"))
     pairs = keep(rows.groupBy("fp", "thread").agg(F.min("seq").alias("seq")).select("seq", "fp", "thread").withColumn("vertex", F.xxhash64(F.lit("f"), "fp")))
+    if pairs.count() <= FOLD_ALL:
+        return _reasons(rows, keep(pairs.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(_fold, pairs.drop("vertex").schema)))
     linked = pairs.where("thread is not null").select(F.col("vertex").alias("a"), F.xxhash64(F.lit("t"), "thread").alias("b"))
     of = pairs.join(components(linked, keep), "vertex", "left").withColumn("part", F.coalesce("least", "vertex"))
     of = keep(of.select("seq", "fp", "thread", "part"))
@@ -115,7 +117,10 @@ def first_wins(rows: DataFrame, keep) -> DataFrame:
     schema = of.select("seq", "fp", "thread").schema
     folded = of.join(F.broadcast(giant), "part", "left_anti").groupBy("part").applyInPandas(_fold, schema)
     rest = _by_rounds(of.join(F.broadcast(giant), "part", "left_semi").select("seq", "fp", "thread"), keep)
-    winners = keep(folded.union(rest))
+    return _reasons(rows, keep(folded.union(rest)))
+
+
+def _reasons(rows: DataFrame, winners: DataFrame) -> DataFrame:
     # the reason needs all accepted rows: a thread's may have been found after the row was out by its text
     threads = winners.where("thread is not null").select("thread", F.col("seq").alias("thread_seq"))
     out = rows.join(winners.select("seq", F.lit(True).alias("won")), "seq", "left").join(threads, "thread", "left")

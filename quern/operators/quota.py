@@ -187,9 +187,12 @@ def shards(rows: DataFrame, limit: int) -> DataFrame:
     step function), neighbouring ranges are composed ``FAN`` at a time up to the
     whole, and the places are handed down again; then every range numbers its
     own rows.  No task holds more than a range, or ``FAN`` step functions, of
-    at most the rows of one shard each.
+    at most the rows of one shard each.  Up to ``FOLD_ROWS`` rows are one range.
     """
-    placed = cut(running_total(rows.select("seq", "n"), ["seq"], "n").select("seq", "n", "total").repartitionByRange("seq").withColumn("part", F.spark_partition_id().cast("long")))
+    rows = rows.select("seq", "n")
+    if rows.count() <= FOLD_ROWS:
+        return rows.repartitionByRange(1, "seq").mapInPandas(lambda b: (_numbered(p.sort_values("seq"), -limit - 1, -1, limit) for p in _whole(b)), _PLACED)
+    placed = cut(running_total(rows, ["seq"], "n").select("seq", "n", "total").repartitionByRange("seq").withColumn("part", F.spark_partition_id().cast("long")))
     schema = "part long, high array<long>, count array<long>, last array<long>"
     packed = lambda part, s: pd.DataFrame({"part": [part], "high": [s.high.tolist()], "count": [s.count.tolist()], "last": [s.last.tolist()]})
     steps = lambda r: _Steps(*(np.array(r[c], np.int64) for c in ("high", "count", "last")))
@@ -227,19 +230,33 @@ def shards(rows: DataFrame, limit: int) -> DataFrame:
         entered = cut(level.withColumn("up", F.floor(F.col("part") / FAN)).join(up, "up").groupBy("up").applyInPandas(handed, "part long, began long, shard long"))
 
     def numbered(key: tuple, pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        ends, size = pdf["total"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
-        starts, at = ends - size, 0
-        base, shard, out = int(state["began"].iloc[0]), int(state["shard"].iloc[0]), np.empty(len(pdf), np.int32)
-        while at < len(pdf):
-            end = max(int(np.searchsorted(ends, base + limit, side="right")), int(np.searchsorted(starts, base, side="right")))
-            out[at : max(end, at)] = shard
-            at = max(end, at)
-            if at < len(pdf):
-                base, shard = int(starts[at]), shard + 1
-        return pd.DataFrame({"seq": pdf["seq"], "n": pdf["n"], "shard": out})
-
-    return placed.groupBy("part").cogroup(entered.groupBy("part")).applyInPandas(numbered, "seq long, n long, shard int")
+        return _numbered(pdf.sort_values("seq"), int(state["began"].iloc[0]), int(state["shard"].iloc[0]), limit)
+
+    return placed.groupBy("part").cogroup(entered.groupBy("part")).applyInPandas(numbered, _PLACED)
+
+
+_PLACED = "seq long, n long, shard int"
+
+
+def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All rows of a partition at once, with their running sums; nothing for an empty one."""
+    parts = list(batches)
+    if parts:
+        pdf = pd.concat(parts).sort_values("seq")
+        yield pdf.assign(total=np.cumsum(pdf["n"].to_numpy(np.int64)))
+
+
+def _numbered(pdf: pd.DataFrame, base: int, shard: int, limit: int) -> pd.DataFrame:
+    """Sorted rows (seq, n, total) with their shard, after a shard that began at ``base``."""
+    ends, size = pdf["total"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
+    starts, at, out = ends - size, 0, np.empty(len(pdf), np.int32)
+    while at < len(pdf):
+        end = max(int(np.searchsorted(ends, base + limit, side="right")), int(np.searchsorted(starts, base, side="right")), at)
+        out[at:end] = shard
+        at = end
+        if at < len(pdf):
+            base, shard = int(starts[at]), shard + 1
+    return pd.DataFrame({"seq": pdf["seq"], "n": pdf["n"], "shard": out})
 
 
 def ratios(values: dict[str, float], whole: int) -> dict[str, int]:

@@ -49,6 +49,7 @@ def fold(rows):
 @pytest.mark.parametrize("most", [3, 1_000_000])
 def test_first_wins_by_components(spark, monkeypatch, most):
     """Components in one fold each, giant ones (here: of more than three rows) by rounds."""
+    monkeypatch.setattr(dedup, "FOLD_ALL", 0)
     monkeypatch.setattr(dedup, "FOLD_PAIRS", most)
     r = random.Random(most)
     rows = [(i, f"f{r.randrange(30)}", r.choice([None, *[f"t{k}" for k in range(30)]])) for i in range(80)]
@@ -56,8 +57,9 @@ def test_first_wins_by_components(spark, monkeypatch, most):
     assert {x["seq"]: x["reason"] for x in got.collect()} == fold(rows)
 
 
-def test_a_long_chain_takes_few_jobs(spark):
+def test_a_long_chain_takes_few_jobs(spark, monkeypatch):
     """Each row waits for the one before it; rounds would need half as many jobs as there are rows."""
+    monkeypatch.setattr(dedup, "FOLD_ALL", 0)
     n = 10_000
     rows = [(i, f"f{(i + 1) // 2}", f"t{i // 2}") for i in range(n)]
     cuts = []
@@ -136,6 +138,7 @@ def test_shards_over_many_ranges_are_the_fold(spark, monkeypatch):
     from quern.operators import quota
 
     monkeypatch.setattr(quota, "FAN", 3)
+    monkeypatch.setattr(quota, "FOLD_ROWS", 0)
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "23")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
