@@ -8,16 +8,16 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import arrays as A
 from . import selection
 from .quota import running_total
 from .tokens import fnv1a
 
 #: Rows of a block, and queries of a block, when every row meets every query.
-ROWS, QUERIES = 512, 1024
+ROWS, QUERIES = 1024, 4096
 #: A pass over the rows takes at most so many queries, of about so many tokens; so many are scored at a time.
 MOST_QUERIES, MOST_TOKENS, QUERY_BLOCK = 4096, 1 << 20, 256
 
@@ -157,25 +157,83 @@ def hybrid(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return best_by_tokens(rows, asked, k, overlap=0.3, dense=0.7, cells=fnv_cells()).select("query_id", "id", "score", "rank")
 
 
-def met(rows: DataFrame, queries: DataFrame, most_rows: int = ROWS, most_queries: int = QUERIES) -> DataFrame:
-    """Every row (id, ...) beside every query (query_id, ...), in pairs of blocks, so that no task or broadcast holds a whole side.
-
-    The hint keeps Spark from broadcasting the dealt queries, whose size it underrates.
-    """
+def met(rows: DataFrame, queries: DataFrame, run, kinds: str, most_rows: int = ROWS, most_queries: int = QUERIES) -> DataFrame:
+    """``run`` (two Arrow tables to one of ``kinds``) over every pair of a block of rows (id, ...) and one of queries (query_id, ...), so that no task or broadcast holds a whole side."""
     row_blocks, query_blocks = max(1, -(-rows.select("id").count() // most_rows)), max(1, -(-queries.select("query_id").count() // most_queries))
     place = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
     all_of = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     dealt = rows.withColumn("_r", place("id", row_blocks)).withColumn("_q", all_of(query_blocks))
     asked = queries.withColumn("_q", place("query_id", query_blocks)).withColumn("_r", all_of(row_blocks))
-    return dealt.join(asked.hint("merge"), ["_r", "_q"]).drop("_r", "_q")
+    # a number of parts that is given is not merged by size: the work of a pair of blocks is far larger than its rows
+    pairs = lambda side: side.repartition(row_blocks * query_blocks, "_r", "_q").groupBy("_r", "_q")
+    return pairs(dealt).cogroup(pairs(asked)).applyInArrow(lambda r, q: run(r.drop_columns(["_r", "_q"]), q.drop_columns(["_r", "_q"])), kinds)
+
+
+def _by_length(column: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray | None, np.ndarray | None]]:
+    """Of a column of vectors, for each length: places, vectors as doubles, and where they hold nulls; null vectors have none."""
+    lists = column.combine_chunks()
+    size = np.asarray(lists.value_lengths().fill_null(-1))
+    out = []
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        flat = lists.take(pa.array(at)).flatten()
+        out.append((at, None, None) if n < 0 else (at, np.asarray(flat.cast(pa.float64()).fill_null(0.0)).reshape(len(at), n), np.asarray(flat.is_null()).reshape(len(at), n)))
+    return out
+
+
+def _cosines(rows: list, queries: list, n_rows: int, lo: int, hi: int) -> np.ndarray:
+    """Cosines of all rows and the queries lo to hi over their common length, at six places; norms count as 1e-8 at least.  A null, below all others, is -9, and NaN, above them, 9."""
+    out = np.full((n_rows, hi - lo), -9.0)
+    for at, x, null in rows:
+        for asked, y, gone in queries:
+            some = (asked >= lo) & (asked < hi)
+            if x is None or y is None or not some.any():
+                continue
+            n = min(x.shape[1], y.shape[1])
+            a, b = x[:, :n], y[some][:, :n]
+            with np.errstate(all="ignore"):
+                length = lambda v: np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-8)
+                c = (a @ b.T) / (length(a)[:, None] * length(b)[None, :])
+                c = np.where(np.isnan(c), 9.0, np.copysign(np.floor(np.abs(c) * 1e6 + 0.5) / 1e6, c))
+            c[null[:, :n].any(axis=1)] = -9.0
+            c[:, gone[some][:, :n].any(axis=1)] = -9.0
+            out[np.ix_(at, asked[some] - lo)] = c
+    return out
+
+
+def _nearest(k: int):
+    """What gives, of a block of rows (id, v) and one of queries (query_id, qv), the k rows of largest cosine for each query; ties to the smaller id."""
+
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        rows = rows.sort_by("id")
+        ids, names = rows["id"].to_numpy(), asked["query_id"].to_numpy()
+        vectors, queries = _by_length(rows["v"]), _by_length(asked["qv"])
+        r, q, s = [], [], []
+        for lo in range(0, len(names) if len(ids) else 0, QUERY_BLOCK):
+            hi = min(lo + QUERY_BLOCK, len(names))
+            score = _cosines(vectors, queries, len(ids), lo, hi).T
+            score[ids[None, :] == names[lo:hi, None]] = -np.inf  # a query doesn't find itself
+            most = min(k, score.shape[1])
+            which, row = np.nonzero(score >= np.partition(score, score.shape[1] - most, axis=1)[:, score.shape[1] - most, None])
+            order = np.lexsort((row, -score[which, row], which))
+            which, row = which[order], row[order]
+            best = (np.arange(len(which)) - np.searchsorted(which, which) < most) & np.isfinite(score[which, row])
+            r.append(row[best])
+            q.append(which[best] + lo)
+            s.append(score[which[best], row[best]])
+        r, q, s = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((r, np.int64), (q, np.int64), (s, float)))
+        score = pa.array(np.where(s == 9.0, np.nan, s), mask=s == -9.0)
+        return pa.table({"query_id": asked["query_id"].take(pa.array(q)), "id": rows["id"].take(pa.array(r)), "score": score})
+
+    return run
 
 
 def cosine_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k rows of largest cosine for each query, of any number of queries."""
-    v = vectors.select("id", F.col("v").cast("array<double>").alias("v"))
-    q = queries.select(F.col("id").alias("query_id"), F.col("v").cast("array<double>").alias("qv"))
-    scored = met(v, q).where(F.col("id") != F.col("query_id")).select("query_id", "id", F.round(A.cosine(F.col("qv"), F.col("v")), 6).alias("score"))
-    return top(scored, k)
+    v = vectors.where("id is not null").select("id", "v")
+    q = queries.where("id is not null").select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
+    kinds = f"query_id {dict(q.dtypes)['query_id']}, id {dict(v.dtypes)['id']}, score double"
+    return top(met(v, q, _nearest(k), kinds), k)
 
 
 def prune_to_budget(memories: DataFrame, budget: int, now: float, gamma: float = 0.995, tau: float = 86400.0) -> DataFrame:

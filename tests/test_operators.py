@@ -149,6 +149,33 @@ def test_cosine_top_over_blocks_is_brute_force(spark, monkeypatch):
     assert {(r["query_id"], r["id"]): r["rank"] for r in retrieval.cosine_top(v, v.where("id % 3 = 0"), 5).collect()} == want
 
 
+def test_cosine_top_of_odd_vectors_is_what_columns_give(spark, monkeypatch):
+    from quern.functions import arrays as A
+    from quern.operators import retrieval
+
+    monkeypatch.setattr(retrieval.met, "__defaults__", (5, 2))
+    odd = [None, [], [0.0, 0.0, 0.0], [1.0, None, 2.0], [1.0, 2.0], [float("nan"), 1.0, 1.0], [float("inf"), 1.0, 0.0], [1.0, 2.0, 3.0, 4.0]]
+    rows = [(i, odd[i % 8] if i % 3 == 0 else [float(i % 5), 1.0, float(i % 7) - 3]) for i in range(48)] + [(None, [1.0, 1.0, 1.0])]
+    v = spark.createDataFrame(rows, "id long, v array<double>")
+    q = v.where("id % 4 = 0")
+    asked = q.select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
+    plain = retrieval.top(v.crossJoin(asked).where("id <> query_id").select("query_id", "id", F.round(A.cosine(F.col("qv"), F.col("v")), 6).alias("score")), 20)
+    shown = lambda df: sorted((r["query_id"], r["rank"], r["id"], "nan" if r["score"] != r["score"] else r["score"]) for r in df.collect())
+    assert shown(retrieval.cosine_top(v, q, 20)) == shown(plain)
+
+
+def test_cosine_top_pairs_are_not_rows(spark):
+    """Of 400 queries and 20,000 rows no row is made for each of the 8,000,000 pairs."""
+    import time
+
+    from quern.operators import retrieval
+
+    v = spark.range(20_000).selectExpr("id", "transform(sequence(1, 64), k -> cast(cos(id * k) as float)) as v").localCheckpoint()
+    began = time.time()
+    assert retrieval.cosine_top(v, v.where("id % 50 = 0"), 10).count() == 4000
+    assert time.time() - began < 20
+
+
 def test_cosine_asks_every_fiftieth(spark, tmp_path):
     from quern.plans import registry
 
