@@ -10,6 +10,11 @@ def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
 
 
+def rounded(x: Column, places: int) -> Column:
+    """Rounded half away from zero; what rounds to zero keeps its sign, as in IEEE arithmetic, where Spark's round drops it."""
+    return F.round(F.abs(x), places) * F.signum(x)
+
+
 def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x * y))
 

@@ -532,3 +532,19 @@ def test_copies_of_runs_and_their_report(spark, tmp_path):
     rows = spark.createDataFrame([("seen", "", 5), ("accepted", "", 2), ("category", "debug", 2), ("rejected", "mojibake", 3)], "metric string, key string, cnt long")
     text = reports.quality_markdown(rows, 1, 1)
     assert "seen=5 accepted=2 train=1 valid=1" in text and "- mojibake: 3" in text and "## Sources\n- none: 0" in text and text.endswith("duplicates are removed.\n")
+
+
+def test_soft_penalty_of_odd_vectors_is_its_sql(spark, tmp_path):
+    """Small negative values round to -0.0; null, empty and short vectors, null and non-finite entries."""
+    import duckdb
+
+    from quern.plans import registry
+
+    nan, inf = float("nan"), float("inf")
+    odd = [[-3e-7] * 9, [0.2, -2e-7, 2e-7, 0.0, -0.0] * 2, None, [], [0.5, -1e-7], [None, 0.25, -0.25], [nan, 1.0, inf], [-inf, 1.0, -4e-7], [-0.5] * 12, [0.1, None, 0.3]]
+    spark.createDataFrame(list(enumerate(odd)), "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = {k: repr(v) for k, v in con.sql(registry.oracle_sql()["soft_penalty"]).fetchall()}
+    assert {r["vec_id"]: repr(r["logits"]) for r in registry.queries()["soft_penalty"](spark, str(tmp_path)).collect()} == want
+    assert "-0.0," in want[0]
