@@ -62,19 +62,33 @@ def _up_to_last(text: Column, end: str, f) -> Column:
     """
 
     def cut(t: Column) -> Column:
-        return let(F.regexp_extract(t, f"(?is)^.*{end}", 0), lambda head: F.concat(f(head), F.substring(t, F.length(head) + 1, F.length(t))))
+        return let(F.regexp_extract(t, f"(?isu)^.*{end}", 0), lambda head: F.concat(f(head), F.substring(t, F.length(head) + 1, F.length(t))))
 
     return let(text, cut)
 
 
+def without_tags(text: Column, space: str = r"\s") -> Column:
+    """HTML without scripts, styles and tags, block ends as line ends; in time linear in the text.  ``space`` matches a blank inside a tag."""
+    t = text
+    for tag in ("script", "style"):
+        t = _up_to_last(t, f"</{tag}>", lambda head, tag=tag: F.regexp_replace(head, rf"(?isu)<{tag}.*?</{tag}>", ""))
+    t = F.regexp_replace(t, rf"(?iu)<{space}*+br{space}*+/?{space}*+>", "\n")
+    t = F.regexp_replace(t, rf"(?iu)</{space}*+(p|li|div|pre|blockquote|h[1-6]){space}*+>", "\n")
+    return _up_to_last(t, ">", lambda head: F.regexp_replace(head, r"(?s)<[^>]++>", ""))
+
+
 def clean_html(text: Column, entities: bool = True) -> Column:
     """Visible text of HTML: entities, scripts and styles out, block ends as line ends, tags out; in time linear in the text."""
-    t = unescape(text) if entities else text
-    for tag in ("script", "style"):
-        t = _up_to_last(t, f"</{tag}>", lambda head, tag=tag: F.regexp_replace(head, rf"(?is)<{tag}.*?</{tag}>", ""))
-    t = F.regexp_replace(t, r"(?i)<\s*+br\s*+/?\s*+>", "\n")
-    t = F.regexp_replace(t, r"(?i)</\s*+(p|li|div|pre|blockquote|h[1-6])\s*+>", "\n")
-    return tidy(_up_to_last(t, ">", lambda head: F.regexp_replace(head, r"(?s)<[^>]++>", "")))
+    return tidy(without_tags(unescape(text) if entities else text))
+
+
+def clean_page(text: Column, entities: list[tuple[str, str]]) -> Column:
+    """``clean_html`` of a page whose only entities are those given, replaced one after the other; lines end at line feeds, and blanks are those of ASCII."""
+    for name, sign in entities:
+        text = F.replace(text, F.lit(name), F.lit(sign))
+    t = F.regexp_replace(without_tags(text, r"[ \t\n\f\r]"), "[ \t]+", " ")
+    t = F.regexp_replace(t, r"(?<![ \t\f\r])[ \t\f\r]*+\n[ \t\n\f\r]*+", "\n")
+    return F.regexp_replace(t, r"\A[ \t\n\f\r]++|(?<![ \t\n\f\r])[ \t\n\f\r]++\z", "")
 
 
 def ascii_lower(text: Column) -> Column:
