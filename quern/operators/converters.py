@@ -61,7 +61,7 @@ def first(rows: DataFrame, names: tuple[str, ...]) -> Column:
 
 
 def _source(rows: DataFrame, names: tuple[str, ...]) -> Column:
-    return X.clean_html(first(rows, names))
+    return X.clean_html(first(rows, names)) if set(names) & set(rows.columns) else F.lit("")
 
 
 def turn(role: str, content: Column) -> Column:
@@ -76,6 +76,12 @@ def _contents(messages: Column) -> Column:
     return F.array_join(F.transform(messages, lambda m: m["content"]), "\n")
 
 
+def _once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that are computed once a row, however often later ones speak of them: no expression is merged across a generator."""
+    made = rows.withColumns(columns)
+    return made.select(*[c for c in made.columns if c not in columns], F.inline(F.array(F.struct(*columns))))
+
+
 def messages_of(rows: DataFrame, name: str) -> Column:
     """An array column of turns, whatever its fields are called, as merged messages of composed, tidy text."""
     if name not in rows.columns:
@@ -172,11 +178,11 @@ def _answers(rows: DataFrame) -> Column:
 
 def question_answers(rows: DataFrame, source: str, license_id: str) -> DataFrame:
     """A question with several answers: accepted before others, then the higher score, then the longer text, then the earlier."""
-    held = rows.withColumn("_answers", _answers(rows)).withColumns({"_title": _source(rows, ("title", "question_title")), "_body": _source(rows, ("question", "body", "prompt", "instruction", "input"))})
+    held = _once(rows, {"_answers": _answers(rows), "_title": _source(rows, ("title", "question_title")), "_body": _source(rows, ("question", "body", "prompt", "instruction", "input"))})
     texts = F.transform(_unescape_all(F.transform("_answers", lambda a: a["raw"])), lambda t: X.clean_html(t, entities=False))
-    held = held.withColumn("_texts", texts)
+    held = _once(held, {"_texts": texts})
     ranked = F.transform("_answers", lambda a, k: F.struct(a["accepted"].alias("ok"), F.coalesce(a["score"], F.lit(-1e6)).alias("order"), F.length(F.get(F.col("_texts"), k)).alias("size"), (-k).alias("place"), F.get(F.col("_texts"), k).alias("text"), a["score"].alias("score"), a["origin"].alias("origin")))
-    held = held.withColumn("_best", F.array_max(F.filter(ranked, lambda a: a["text"] != "")))
+    held = _once(held, {"_best": F.array_max(F.filter(ranked, lambda a: a["text"] != ""))})
     title, body = F.col("_title"), F.col("_body")
     ask = F.when((title != "") & (body != "") & ~F.contains(F.lower(body), F.lower(title)), F.concat(title, F.lit("\n\n"), body)).when(body != "", body).otherwise(title)
     score = F.col("_best.score")
@@ -184,7 +190,8 @@ def question_answers(rows: DataFrame, source: str, license_id: str) -> DataFrame
     tags = [F.array_join(F.filter(F.transform(F.col(n), lambda t: strip(t.cast("string"))), lambda t: t != ""), ",") if isinstance(rows.schema[n].dataType, T.ArrayType) else F.array_join(F.filter(F.split(F.col(n).cast("string"), "[,;| ]+"), lambda t: t != ""), ",") for n in ("tags", "tag", "categories") if n in rows.columns]
     meta = {"language": F.lower(F.coalesce(F.nullif(_source(rows, ("language", "lang", "locale")), F.lit("")), F.lit("en"))), "site": _source(rows, ("site", "site_name", "subreddit")),
             "tags": F.coalesce(*[F.nullif(t, F.lit("")) for t in tags], F.lit("")), "answer_score": shown, "answer_accepted": F.col("_best.ok"), "preference_source": F.col("_best.origin")}
-    return _record(held.where("_best is not null"), source, license_id, _pair(ask, F.col("_best.text")), ("qid", "question_id", "post_id", "id", "prompt_id", "sample_id"), meta, _filled())
+    held = _once(held.where("_best is not null"), {"_ask": ask})
+    return _record(held, source, license_id, _pair(F.col("_ask"), F.col("_best.text")), ("qid", "question_id", "post_id", "id", "prompt_id", "sample_id"), meta, _filled())
 
 
 def system_question(rows: DataFrame, source: str, license_id: str) -> DataFrame:

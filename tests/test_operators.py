@@ -568,3 +568,12 @@ def test_html_clean_pages_of_odd_pages_is_its_sql(spark, tmp_path):
     want = sorted(con.sql(f"select page_id, text_sha256, n_chars from ({registry.oracle_sql()['html_clean_pages']})").fetchall())
     got = registry.queries()["html_clean_pages"](spark, str(tmp_path)).select("page_id", "text_sha256", "n_chars").collect()
     assert [pages[g[0]] for g, w in zip(sorted(map(tuple, got)), want, strict=True) if g != w] == []
+
+
+def test_questions_are_cleaned_once(spark, capsys):
+    """Title, body and answers are cleaned where they are made, not wherever a later column speaks of them."""
+    from quern.plans import registry
+
+    registry.queries()["conv_from_stack_exchange"](spark, "/root/testdata/sf0.001").explain(True)
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert 0 < plan.count("p|li|div|pre") <= 6
