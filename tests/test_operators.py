@@ -577,3 +577,14 @@ def test_questions_are_cleaned_once(spark, capsys):
     registry.queries()["conv_from_stack_exchange"](spark, "/root/testdata/sf0.001").explain(True)
     plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
     assert 0 < plan.count("p|li|div|pre") <= 6
+
+
+#: Queries that once made their rows up, or seemed to.
+QUERIES_MOVED = ["deliberation_levels", "lr_schedule"]
+
+
+def test_queries_read_given_tables(spark):
+    from quern.plans import registry
+
+    for name in QUERIES_MOVED:
+        assert registry.queries()[name](spark, "/root/testdata/sf0.001").inputFiles(), name
