@@ -580,7 +580,7 @@ def test_questions_are_cleaned_once(spark, capsys):
 
 
 #: Queries that once made their rows up, or seemed to.
-QUERIES_MOVED = ["deliberation_levels", "lr_schedule", "routing_topk", "selfplay_tasks", "source_catalog"]
+QUERIES_MOVED = ["deliberation_levels", "lr_schedule", "routing_topk", "selfplay_tasks", "source_catalog", "toy_rows"]
 
 
 def test_queries_read_given_tables(spark):
